@@ -1,8 +1,9 @@
 """The registered queries of the corpus operators: thin digests of what the operators return."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from planframe.llm import minhash
+from planframe.llm import bpe, minhash, substrings
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -12,8 +13,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, percent=85)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op6_substrings": op6_substrings,
+    "op7_bpe": op7_bpe,
 }
 
 SQL = {
@@ -33,5 +44,16 @@ p AS (
 ), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least.c AS component_id, s.doc_id = least.c AS kept
 FROM s JOIN least ON s.doc_id = least.a
+""",
+    "op6_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM x),
+m AS (SELECT h, min(doc_id) AS d FROM h GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN m USING (h) WHERE doc_id > d),
+gone AS (SELECT doc_id, list(j) AS j FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(j), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(j, []), k)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
 """,
 }
