@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.llm import bpe, minhash, packing, sharding, substrings, warc
+from planframe.llm import bpe, fingerprints, minhash, packing, sharding, substrings, warc
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +18,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -39,6 +43,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,

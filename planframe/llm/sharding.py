@@ -122,22 +122,35 @@ def best_fit_decreasing(sizes: dict, capacity: int, bins: int | None = None) ->
 
 
 def near_equal(sizes: dict, shards: int) -> dict:
-    """item -> shard: the least fixed capacity whose best-fit-decreasing packing needs no more than ``shards`` bins."""
-    total = sum(sizes.values())
-    low, high = -(-total // shards), max(-(-total // shards), max(sizes.values(), default=0)) * 2
-    best = None
-    for _ in range(40):
-        if low >= high and best:
+    """item -> shard: about the least fixed capacity whose best-fit-decreasing packing needs no more than ``shards`` bins.
+
+    An item above an equal part has a bin to itself; the others share the remaining bins evenly.
+    """
+    left, bins = sum(sizes.values()), shards
+    for size in sorted(sizes.values(), reverse=True):
+        if bins == 1 or size <= left / bins:
             break
+        left, bins = left - size, bins - 1
+    low = max(1, -(-left // bins))
+    step = max(1, low // 5_000)
+    high, best = low + step, None
+    while best is None:
+        placed = best_fit_decreasing(sizes, high)
+        if len(set(placed.values())) <= shards:
+            best = placed
+        else:
+            low, step = high + 1, 2 * step
+            high += step
+    for _ in range(4):
         middle = (low + high) // 2
+        if middle >= high:
+            break
         placed = best_fit_decreasing(sizes, middle)
         if len(set(placed.values())) <= shards:
             best, high = placed, middle
         else:
             low = middle + 1
-        if high - low <= max(1, total // shards // 10_000) and best:
-            break
-    return best or best_fit_decreasing(sizes, low, shards)
+    return best
 
 
 def shard(docs: DataFrame, shards: int = 40, grains: int = 1000, overhead: int = 16) -> DataFrame:
