@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.llm import bpe, fingerprints, minhash, packing, sharding, substrings, warc
+from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, sharding, substrings, warc
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +40,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op4_packing": op4_packing,
@@ -48,6 +52,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
+    "op10_embeddings": op10_embeddings,
 }
 
 SQL = {
@@ -78,5 +83,20 @@ gone AS (SELECT doc_id, list(j) AS j FROM g GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(j), 0) AS BIGINT) AS n_removed,
     sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(coalesce(j, []), k)), ' ')) AS kept_sha256
 FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+""",
+    "op10_embeddings": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a
 """,
 }
