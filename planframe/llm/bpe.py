@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 #: Stretches of text between spaces that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
 
-#: Characters of text handled at once.
-PIECE = 4_000_000
+#: Characters of text whose pre-tokens are merged together, and characters encoded at once.
+LEARNED, PIECE = 40_000_000, 4_000_000
 
 #: A space before another white-space character or the end: there, a space need not start a pre-token.
 _LOOSE = re.compile(r" (?=\s)| $")
@@ -49,7 +49,9 @@ class PairIndexBPE:
         self.byte_id = np.array([vocab[x] for x in letters], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(self.pairs)}
+        keys = np.array([a << 32 | b for a, b, _ in self.pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
         byte = {x: i for i, x in enumerate(letters)}
         self.token = {i: bytes(byte[x] for x in t) for t, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -59,64 +61,92 @@ class PairIndexBPE:
         self.token_end = np.cumsum(size)
         self.token_size = size
         self.token_bytes = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(len(size))), np.uint8)
+        names = [b"%d," % i for i in range(len(size))]
+        self.name_size = np.array([len(x) for x in names], np.int64)
+        self.name_end = np.cumsum(self.name_size)
+        self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         self.forget()
 
     def forget(self) -> None:
-        """Starts the memory anew: pre-tokens' ids; stretches' codes, ids as text, and ids in one array."""
-        self.merged: dict[str, list[int]] = {t: [i] for t, i in self.special.items()}
+        """Starts the memory anew: stretches' codes, and their ids in one array."""
         self.known: tuple[dict[str, int], dict[str, int]] = {}, {}
-        self.text: list[str] = []
         self.ids, self.end, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.order[at], -1)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words side by side, and how many each has."""
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum([len(w) for w in words])
-        symbol = self.byte_id[data].tolist()
+        symbol = self.byte_id[data]
         after = np.arange(1, len(data) + 1)
         after[ends - 1] = -1
         before = np.arange(-1, len(data) - 1)
         before[np.r_[0, ends[:-1]]] = -1
-        after, before = after.tolist(), before.tolist()
-        index: dict[int, list[int]] = {}
-        ranks = self.rank.get
-        for p, q in enumerate(after):
-            if q >= 0 and (r := ranks(symbol[p] << 32 | symbol[q])) is not None:
-                index.setdefault(r, []).append(p)
-        active = list(index)
-        heapq.heapify(active)
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            rank = self._ranks(symbol[at], symbol[after[at]])
+            has = rank >= 0
+            if not has.any():
+                return
+            at, rank = at[has], rank[has]
+            if len(at) < 12:
+                for r, p in zip(rank.tolist(), at.tolist(), strict=True):
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heapq.heappush(active, r)
+                return
+            o = np.argsort(rank, kind="stable")
+            at, rank = at[o], rank[o]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            bounds = [0, *cuts.tolist(), len(at)]
+            for r, lo, hi in zip(rank[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True):
+                if r in index:
+                    index[r].append(at[lo:hi])
+                else:
+                    index[r] = [at[lo:hi]]
+                    heapq.heappush(active, r)
+
+        add(np.flatnonzero(after >= 0))
         while active:
             rank = heapq.heappop(active)
             a, b, made = self.pairs[rank]
-            at = index.pop(rank)
+            lists = index.pop(rank)
+            at = lists[0] if len(lists) == 1 and isinstance(lists[0], np.ndarray) else np.unique(np.hstack(lists))
+            at = at[symbol[at] == a]
+            gone = after[at]
+            good = (gone >= 0) & (symbol[gone] == b)
+            at, gone = at[good], gone[good]
+            if not len(at):
+                continue
             if a == b:  # overlapping pairs merge from the left
-                at.sort()
-            for p in at:
-                q = after[p]
-                if symbol[p] != a or q < 0 or symbol[q] != b:
-                    continue
-                symbol[p], symbol[q] = made, -1
-                after[p] = n = after[q]
-                o = before[p]
-                if n >= 0:
-                    before[n] = p
-                    if (r := ranks(made << 32 | symbol[n])) is not None:
-                        if r in index:
-                            index[r].append(p)
-                        else:
-                            index[r] = [p]
-                            heapq.heappush(active, r)
-                if o >= 0 and (r := ranks(symbol[o] << 32 | made)) is not None:
-                    if r in index:
-                        index[r].append(o)
-                    else:
-                        index[r] = [o]
-                        heapq.heappush(active, r)
-        symbol = np.array(symbol, np.int32)
+                at = np.sort(at)
+                chosen, last = [], -1
+                for p, q in zip(at.tolist(), after[at].tolist(), strict=True):
+                    if p != last:
+                        chosen.append(p)
+                        last = q
+                at = np.array(chosen)
+                gone = after[at]
+            nxt = after[gone]
+            symbol[at], symbol[gone] = made, -1
+            after[at] = nxt
+            has = nxt >= 0
+            right = at[has]
+            before[nxt[has]] = right
+            left = before[at]
+            left = left[left >= 0]
+            add(np.unique(np.concatenate([left, right])))
         alive = np.flatnonzero(symbol >= 0)
-        cut = np.searchsorted(alive, ends).tolist()
-        ids = symbol[alive].tolist()
-        return [ids[lo:hi] for lo, hi in zip([0, *cut[:-1]], cut, strict=True)]
+        return symbol[alive], np.diff(np.r_[0, np.searchsorted(alive, ends)])
 
     def learn(self, stretches: set[str], spaced: bool) -> None:
         """Remembers stretches of text, each with a space before it if ``spaced``."""
@@ -124,46 +154,81 @@ class PairIndexBPE:
         new = [x for x in stretches if x not in known]
         if not new:
             return
-        parts = [self.split(" " + x if spaced else x) for x in new]
-        words = [w for w in set().union(*parts) if w not in self.merged]
-        for lo in range(0, len(words), 200_000):
-            some = words[lo : lo + 200_000]
-            self.merged.update(zip(some, self.merge([w.encode() for w in some]), strict=True))
-        merged = self.merged
-        ids = [merged[p[0]] if len(p) == 1 else [i for w in p for i in merged[w]] for p in parts]
-        known.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
-        self.text += [",".join(map(str, x)) for x in ids]
-        self.count = np.r_[self.count, [len(x) for x in ids]].astype(np.int64)
+        blob = " " + " ".join(new)
+        if spaced and not any(x in blob for x in self.special):
+            # A space starts each stretch and is nowhere else, so one pass parts them all.
+            tokens = _SPLIT.findall(blob)
+            first = np.flatnonzero([t[0] == " " for t in tokens])
+            parts = np.diff(np.r_[first, len(tokens)])
+        else:
+            split = [self.split(" " + x if spaced else x) for x in new]
+            tokens = [t for s in split for t in s]
+            parts = np.array([len(s) for s in split], np.int64)
+        words = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        ids, count = [], []
+        listed = list(words)
+        for lo in range(0, len(listed), 400_000):
+            some = listed[lo : lo + 400_000]
+            one, n = self.merge([b"" if w in self.special else w.encode() for w in some])
+            ids.append(one)
+            count.append(n)
+        ids, count = np.concatenate([*ids, np.array(list(self.special.values()), np.int32)]), np.concatenate(count)
+        end = np.cumsum(count)
+        for k, (text, _) in enumerate(self.special.items()):
+            if text in words:
+                count[words[text]] = 1
+                end[words[text]] = len(ids) - len(self.special) + k + 1
+        flat = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+        made, at = gather(ids, end, count, flat)
+        known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, made])
+        self.count = np.concatenate([self.count, np.diff(at[np.r_[0, np.cumsum(parts)]])])
         self.end = np.cumsum(self.count)
-        self.ids = np.r_[self.ids, [i for x in ids for i in x]].astype(np.int32)
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text; a special token is one by itself."""
-        if not self.special or not any(x in text for x in self.special):
+        if not any(x in text for x in self.special):
             return _SPLIT.findall(text)
         out = []
         for part in self.parts.split(text):
             out += [part] if part in self.special else _SPLIT.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """All ids, where each text's begin (with the end), and each text's codes of stretches.
+    def learn_all(self, texts: list[str]) -> None:
+        """Remembers the stretches of many texts; the more at once, the more pre-tokens share each merge."""
+        if sum(map(len, self.known)) > REMEMBERED:
+            self.forget()
+        heads, rest = set(), set()
+        for t in texts:
+            if _LOOSE.search(t):
+                heads.add(t)
+            else:
+                parts = t.split(" ")
+                heads.add(parts[0])
+                rest.update(parts[1:])
+        self.learn(heads, False)
+        self.learn(rest, True)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (with the end); learn_all comes first.
 
         A space before a character that is not white space starts a pre-token, so a text whose spaces are
         all such is parted there; any other is one stretch.
         """
-        if sum(map(len, self.known)) > REMEMBERED:
-            self.forget()
         parts = [[t] if _LOOSE.search(t) else t.split(" ") for t in texts]
-        self.learn({p[0] for p in parts}, False)
-        self.learn(set().union(*(p[1:] for p in parts)), True)
         head, rest = self.known[0].__getitem__, self.known[1].__getitem__
         codes = [[head(p[0]), *map(rest, p[1:])] for p in parts]
         flat = np.fromiter((c for s in codes for c in s), np.int64, sum(map(len, codes)))
         first = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(s) for s in codes], out=first[1:])
         ids, made = gather(self.ids, self.end, self.count, flat)
-        return ids, made[first], codes
+        return ids, made[first]
+
+    def listed(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The ids of each text as decimals with commas between."""
+        data, made = gather(self.name_bytes, self.name_end, self.name_size, ids.astype(np.int64))
+        data, cut = data.tobytes(), made[at].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """The texts of ids; ``at``: where each text's begin, with the end."""
@@ -186,18 +251,24 @@ def tokenizer(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def _pieces(column: pa.Array):
-    """Rows of a string column in lists of about PIECE characters."""
-    texts, size = [], 0
-    for x in column:
-        t = x.as_py() or ""
-        texts.append(t)
-        size += len(t)
-        if size >= PIECE:
-            yield texts
-            texts, size = [], 0
-    if texts:
-        yield texts
+def _learned(column: pa.Array, bpe: PairIndexBPE):
+    """Rows of a string column in lists of about PIECE characters, each known to the tokenizer; a null is empty."""
+    texts = ["" if t is None else t for t in column.to_pylist()]
+    for lo, hi in _cuts(texts, LEARNED):
+        bpe.learn_all(texts[lo:hi])
+        for a, b in _cuts(texts[lo:hi], PIECE):
+            yield texts[lo + a : lo + b]
+
+
+def _cuts(texts: list[str], size: int):
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= size:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -207,8 +278,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = tokenizer(path)
         for batch in batches:
             row = 0
-            for texts in _pieces(batch.column(1)):
-                ids, at, _ = bpe.encode(texts)
+            for texts in _learned(batch.column(1), bpe):
+                ids, at = bpe.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), lists], ["doc_id", "ids"])
                 row += len(texts)
@@ -241,11 +312,10 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             row = 0
-            for texts in _pieces(batch.column(1)):
-                ids, at, codes = bpe.encode(texts)
-                text = bpe.text.__getitem__
+            for texts in _learned(batch.column(1), bpe):
+                ids, at = bpe.encode(texts)
                 count = np.diff(at)
-                ids_sha = [sha(",".join(map(text, c)).encode()).hexdigest() for c in codes]
+                ids_sha = [sha(x).hexdigest() for x in bpe.listed(ids, at)]
                 text_sha = [sha(t.encode()).hexdigest() for t in bpe.decode(ids, at)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(texts)), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
