@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, sharding, substrings, warc
+from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, sharding, substrings, url_filter, warc
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -14,6 +14,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, percent=85)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    labels = url_filter.page_labels(pages, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return url_filter.judge(pages, labels)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +52,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_urls": op2_urls,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
@@ -98,5 +105,40 @@ WITH RECURSIVE v AS (
 n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
 FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a
+""",
+    "op2_urls": rf"""
+WITH u AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
+    FROM pages
+), r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (
+    SELECT page_id, arg_max(rh || rp, (len(rh || rp), rh || rp)) AS rule, arg_max(rv, (len(rh || rp), rh || rp)) AS rv
+    FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+), t AS (
+    SELECT *, string_split(host, '.') AS l,
+        CASE WHEN host = '' THEN [] ELSE list_distinct(list_filter(
+            list_transform(regexp_split_to_array(host, '[.-]'), lambda w: 'word=' || w)
+            || [CASE WHEN len(l) > 1 THEN 'site=' || l[-2] || '.' || l[-1] END, 'dir=' || regexp_extract(path, '^/([^/]*)/', 1)],
+            lambda x: x IS NOT NULL)) END AS tokens
+    FROM u
+), b AS (
+    SELECT row_number() OVER () AS i, tokens, quality = 0 OR toxic = 1 AS bad FROM t
+    JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:\.html|/)?$', 1), '') AS BIGINT)
+    WHERE len(tokens) > 0 AND (quality = 0 OR toxic = 1) IS NOT NULL
+), e AS (SELECT i, bad, unnest(tokens) AS x FROM b),
+s AS (
+    SELECT [x] AS a, count(*) AS n, count(*) FILTER (WHERE bad) AS nb FROM e GROUP BY x
+    UNION ALL
+    SELECT [e.x, g.x], count(*), count(*) FILTER (WHERE e.bad) FROM e JOIN e g ON e.i = g.i AND e.x < g.x GROUP BY e.x, g.x
+), k AS (
+    SELECT a, array_to_string(a, ' ') AS id, CAST(nb AS DOUBLE) / CAST(n AS DOUBLE) AS c FROM s
+    WHERE nb >= greatest(1, ceil(0.005 * (SELECT count(*) FROM b))) AND CAST(nb AS DOUBLE) / CAST(n AS DOUBLE) >= 0.5
+), h AS (
+    SELECT page_id, arg_min(id, (-c, id)) AS mined FROM (SELECT DISTINCT page_id, tokens FROM t) JOIN k ON list_has_all(tokens, a)
+    WHERE page_id NOT IN (SELECT page_id FROM f) GROUP BY page_id
+)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.rv, CASE WHEN h.mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, h.mined
+FROM u LEFT JOIN f USING (page_id) LEFT JOIN h USING (page_id)
 """,
 }
