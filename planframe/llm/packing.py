@@ -8,6 +8,7 @@ Executors look up each piece's place by its length and its number among pieces o
 """
 
 import bisect
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -21,10 +22,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from planframe.llm.common import numbered, settle
 
 #: Stretches of text between blanks that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 
 #: Bytes of text encoded at once.
-PIECE = 4_000_000
+PIECE = 6_000_000
 
 
 def patterns(cells: int, parts: int, least: int) -> np.ndarray:
@@ -183,6 +184,10 @@ def _tokenizer(path: str):
     return t
 
 
+#: A full stop or comma that ends a word.
+_END = re.compile(rb"([a-z0-9])([.,])(?=\s)")
+
+
 class StretchEncoder:
     """Encodes whole texts by the tokenizer's ids of their distinct stretches between blanks.
 
@@ -191,24 +196,51 @@ class StretchEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        added = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.special = added[0] if added else (None, -1)
+        self.taken = [t.encode() for t, _ in added]
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.lowers = ids("AB") == ids("ab") and ids("Ab.") == ids("ab .") and ids("A1,") == ids("a1 ,")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.end, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _stretches(self, text: bytes) -> list[bytes]:
+        """The stretches between blanks; where the tokenizer sees no difference, A-Z lower-cased and full stops and commas parted from words."""
+        if self.lowers:
+            low = text.lower()
+            if not any(t in low for t in self.taken):
+                return _END.sub(rb"\1 \2", low).split()
+        return text.split()
+
+    def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokenizer's ids of stretches side by side, and how many each has.
+
+        One call encodes them all with a special token between, which the tokenizer takes out of the text
+        before it does anything else; stretches that hold that token are encoded by themselves.
+        """
+        between, mark = self.special
+        if between is None or any(between in x for x in stretches):
+            ids = [e.ids for e in self.tokenizer.encode_batch(stretches, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        ids = np.array(self.tokenizer.encode(between.join(stretches), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(ids == mark)
+        count = np.diff(np.r_[-1, cuts, len(ids)]) - 1
+        return np.delete(ids, cuts), count
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin, with the end."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        parts = [t.encode().split() for t in texts]
+        parts = [self._stretches(t.encode()) for t in texts]
         new = [x for x in set().union(*parts) if x not in self.known]
-        for lo in range(0, len(new), 50_000):
-            some = new[lo : lo + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)]
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-            self.count = np.r_[self.count, [len(x) for x in ids]].astype(np.int64)
-            self.ids = np.r_[self.ids, [i for x in ids for i in x]].astype(np.uint32)
+        if new:
+            made = [self._encode([x.decode() for x in new[lo : lo + 500]]) for lo in range(0, len(new), 500)]
+            self.known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, *(m[0] for m in made)])
+            self.count = np.concatenate([self.count, *(m[1] for m in made)])
         self.end = np.cumsum(self.count)
         get = self.known.__getitem__
         flat = np.fromiter((c for p in parts for c in map(get, p)), np.int64, sum(map(len, parts)))
