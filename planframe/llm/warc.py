@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import settle, shared_dir
+from planframe.llm.common import BROADCAST_ROWS, settle, shared_dir
 
 #: Characters of a block in one record; a longer block is continued.
 SEGMENT = 32_768
@@ -23,8 +23,8 @@ SEGMENT = 32_768
 #: Characters in a chunk of the chunked framing.
 CHUNK = 8_192
 
-#: Bytes of payload for each archive file.
-ARCHIVE = 16_000_000
+#: Most records in an archive file; with SEGMENT it bounds what a reading task holds.
+ARCHIVE = 3_000
 
 _DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:planframe:page:"
@@ -107,6 +107,7 @@ def write(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
     told = settle(seen.join(last, ["_sha", "_length"], "left").withColumn("refers_to", F.when(F.col("_last") > F.col("page_id"), F.col("_last"))), "told")
     revisits = told.where("refers_to is not null").select("page_id", "url", F.lit(None).cast("string").alias("html"), "refers_to", "_sha", "_length")
     gone = told.where("refers_to is not null").select(F.col("page_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     nothing = F.lit(None)
     responses = pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti").select("page_id", "url", "html", nothing.cast("long").alias("refers_to"), nothing.cast("string").alias("_sha"), nothing.cast("long").alias("_length"))
 
@@ -122,10 +123,8 @@ def write(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
                 out += records(page_id, url, text, refers_to, sha, length)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    total = told.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("_length")).otherwise(0) + 1000)).first()[0] or 0
-    files = max(1, -(-int(total) // ARCHIVE))
-    dealt = responses.unionByName(revisits).repartition(files, F.xxhash64("page_id"))
-    dealt.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    # Pages are written where they are read, so that no payload is shuffled to be written.
+    responses.unionByName(revisits).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
