@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, sharding, substrings, url_filter, warc
+from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, quality, sharding, substrings, url_filter, warc
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labels)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +57,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_urls": op2_urls,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
