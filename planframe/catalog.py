@@ -1,4 +1,273 @@
-"""All registered queries of the drawing operators and their SQL."""
+"""All registered queries of the drawing operators, over views of the driver's tables, and their SQL for DuckDB."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planframe.functions.text import ROUTES, first_match, normal_dims
+from planframe.operators import admit, alerts, annotate, boxes, corrections, grid, jobs, library, sanitize
+from planframe.options import DEFAULTS, ROUND_SIZES, SQUARE_SIZES
+from planframe.plans.adapters import view, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None, *views: str):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = with_views(sql, *views)
+        return f
+
+    return keep
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles at a fixed scale, for a comparison by value."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+_CORR = "corrections"
+
+
+@_query("corr_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE is_delete) AS deletes, count(*) FILTER (WHERE NOT is_delete) AS edits, {_TS.format('max(ts)')} AS latest FROM corrections_v", _CORR)
+def corr_stats(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.stats(view(spark, d, _CORR))
+
+
+@_query("corr_stats_by_type", "SELECT element_type, count(*) AS n, count(*) FILTER (WHERE is_delete) AS deletes FROM corrections_v GROUP BY element_type", _CORR)
+def corr_stats_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.stats_by_type(view(spark, d, _CORR))
+
+
+@_query(
+    "corr_defaults",
+    """, e AS (SELECT id, element_type, 'k' AS field, json_extract_string(changes, '$.k') AS value FROM corrections_v WHERE NOT is_delete AND json_extract_string(changes, '$.k') IS NOT NULL),
+    c AS (SELECT element_type, field, value, count(*) AS n, min(id) AS f FROM e GROUP BY ALL)
+    SELECT element_type, field, arg_min(value, (-n, f)) AS value, CAST(arg_min(n, (-n, f)) AS BIGINT) AS n_value, CAST(sum(n) AS BIGINT) AS n_observed FROM c GROUP BY element_type, field HAVING sum(n) >= 2""",
+    _CORR,
+)
+def corr_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.defaults(view(spark, d, _CORR))
+
+
+@_query("corr_export", f"SELECT id, {_TS.format('ts')} AS at, job_id, element_type, element_index, changes, CAST(is_delete AS INT) AS is_delete FROM corrections_v ORDER BY ts DESC, id DESC LIMIT 5000", _CORR)
+def corr_export(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.export(view(spark, d, _CORR))
+
+
+@_query(
+    "train_split",
+    ", j AS (SELECT job_id, row_number() OVER (ORDER BY job_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT job_id FROM corrections_v)) SELECT job_id, CASE WHEN rn <= greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'train' END AS split FROM j",
+    _CORR,
+)
+def train_split(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.train_split(view(spark, d, _CORR))
+
+
+_FOLD = """, p AS (SELECT job_id, min(ord) AS created_ord, max(ord) AS lp FROM job_ops_v WHERE op = 'put' GROUP BY job_id),
+    l AS (SELECT o.*, created_ord, lp FROM job_ops_v o JOIN p USING (job_id) WHERE ord >= created_ord),
+    t AS (SELECT job_id, max(ord) AS accessed_ord FROM l WHERE op <> 'contains' GROUP BY job_id),
+    k AS (SELECT job_id, 'k' AS key, arg_max(json_extract_string(payload, '$.k'), ord) AS value FROM l WHERE ord >= lp AND op IN ('put', 'update') GROUP BY job_id)"""
+
+
+@_query("job_store_fold", _FOLD + " SELECT job_id, key, value, created_ord, accessed_ord FROM k JOIN p USING (job_id) JOIN t USING (job_id)", "job_ops")
+def job_store_fold(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.fold(view(spark, d, "job_ops")).select("job_id", "key", "value", "created_ord", "accessed_ord")
+
+
+@_query("job_store_lru", _FOLD + " SELECT job_id, accessed_ord FROM t ORDER BY accessed_ord DESC, job_id DESC LIMIT (SELECT CASE WHEN count(*) <= 100 THEN count(*) ELSE 99 END FROM t)", "job_ops")
+def job_store_lru(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.survivors(jobs.fold(view(spark, d, "job_ops")).select("job_id", "accessed_ord").distinct())
+
+
+_ROUTE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(content, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in ROUTES) + " ELSE 'general' END"
+
+
+@_query("chat_route", f"SELECT user_id, ord, role, {_ROUTE_SQL} AS route FROM chat_v", "chat")
+def chat_route(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "chat").select("user_id", "ord", "role", first_match(F.col("content"), ROUTES, "general").alias("route"))
+
+
+@_query("chat_history_40", "SELECT user_id, ord, content FROM chat_v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) <= 40", "chat")
+def chat_history_40(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.history(view(spark, d, "chat")).select("user_id", "ord", "content")
+
+
+@_query(
+    "chat_sessions",
+    f""", e AS (SELECT job_id, ts, lag(ts) OVER (PARTITION BY job_id ORDER BY ts) AS p FROM job_ops_v),
+    s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 60 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
+    SELECT job_id, {_TS.format("min(ts)")} AS started, {_TS.format("max(ts)")} AS ended, count(*) AS n FROM s GROUP BY job_id, s""",
+    "job_ops",
+)
+def chat_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.sessions(view(spark, d, "job_ops"))
+
+
+@_query(
+    "box_filter",
+    """SELECT job_id, ord, 2 * x1 AS x1, 2 * y1 AS y1, 2 * x2 AS x2, 2 * y2 AS y2, x1 + x2 AS cx, y1 + y2 AS cy FROM detections_v
+    WHERE least(x2 - x1, y2 - y1) >= 10 AND greatest(x2 - x1, y2 - y1) <= 80 AND least(x2 - x1, y2 - y1) / greatest(x2 - x1, y2 - y1) >= 0.5""",
+    "detections",
+)
+def box_filter(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.box_filter(view(spark, d, "detections"), 2.0).select("job_id", "ord", "x1", "y1", "x2", "y2", "cx", "cy")
+
+
+@_query(
+    "type_dispatch",
+    """SELECT job_id, ord, regexp_replace(lower(type), 's+$', '') AS kind, CAST(CASE WHEN type = 'structural_framing' THEN 0 ELSE row_number() OVER (PARTITION BY job_id, type ORDER BY ord) - 1 END AS INT) AS id,
+    x2 - x1 >= y2 - y1 AS flat, least(x2 - x1, y2 - y1) AS thickness FROM detections_v""",
+    "detections",
+)
+def type_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.dispatch(view(spark, d, "detections")).select("job_id", "ord", "kind", "id", "flat", "thickness")
+
+
+_LINES_SQL = "g AS (SELECT list(px ORDER BY px) FILTER (WHERE axis = 'x') AS xs, list(px ORDER BY px) FILTER (WHERE axis = 'y') AS ys FROM grid_lines_v)"
+_C_SQL = "c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM detections_v)"
+_IOU_SQL = """CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) THEN
+    (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+    - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) ELSE 0.0 END"""
+
+
+@_query("outside_grid", f", {_LINES_SQL}, {_C_SQL} SELECT job_id, ord, cx BETWEEN xs[1] - 50 AND xs[-1] + 50 AND cy BETWEEN ys[1] - 50 AND ys[-1] + 50 AS kept FROM c, g", "detections", "grid_lines")
+def outside_grid(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.outside_grid(view(spark, d, "detections"), view(spark, d, "grid_lines")).select("job_id", "ord", "kept")
+
+
+_PAIRS_SQL = f"(SELECT a.job_id, a.ord AS a_ord, b.ord AS b_ord, {_IOU_SQL} AS iou FROM detections_v a JOIN detections_v b ON a.job_id = b.job_id AND a.ord < b.ord WHERE a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"
+_ALONE_SQL = """(SELECT a.job_id, a.ord FROM c a WHERE (SELECT count(*) FROM c b WHERE b.job_id = a.job_id) >= 2
+    AND NOT EXISTS (SELECT 1 FROM c b WHERE b.job_id = a.job_id AND b.ord <> a.ord AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 200))"""
+
+
+@_query("iou_overlap", f"SELECT job_id, a_ord, b_ord, round(iou, 6) AS iou FROM {_PAIRS_SQL} WHERE iou > 0.5", "detections")
+def iou_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _r(boxes.overlap_pairs(view(spark, d, "detections"), 0.5), "iou")
+
+
+@_query("isolated", f", {_C_SQL} SELECT job_id, ord FROM {_ALONE_SQL}", "detections")
+def isolated(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.isolated(view(spark, d, "detections"))
+
+
+_OFF_SQL = "o AS (SELECT job_id, ord, list_min(list_transform(xs, lambda v: abs(v - cx))) AS dx, list_min(list_transform(ys, lambda v: abs(v - cy))) AS dy FROM c, g)"
+
+
+@_query("off_grid", f", {_LINES_SQL}, {_C_SQL}, {_OFF_SQL} SELECT job_id, ord, dx, dy, dx > 80 AND dy > 80 AS off_grid FROM o", "detections", "grid_lines")
+def off_grid(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.off_grid(view(spark, d, "detections"), view(spark, d, "grid_lines")).select("job_id", "ord", "dx", "dy", "off_grid")
+
+
+@_query(
+    "validate_all",
+    f""", {_LINES_SQL}, {_C_SQL}, {_OFF_SQL}, p AS (SELECT * FROM {_PAIRS_SQL} WHERE iou > 0.5), h AS (SELECT job_id, a_ord AS ord FROM p UNION SELECT job_id, b_ord FROM p), i AS (SELECT * FROM {_ALONE_SQL})
+    SELECT o.job_id, o.ord, concat_ws(',', CASE WHEN h.ord IS NOT NULL THEN 'iou_overlap' END, CASE WHEN dx > 80 AND dy > 80 THEN 'off_grid' END, CASE WHEN i.ord IS NOT NULL THEN 'isolated' END) AS flags,
+    NOT (h.ord IS NOT NULL OR (dx > 80 AND dy > 80) OR i.ord IS NOT NULL) AS is_valid FROM o LEFT JOIN h USING (job_id, ord) LEFT JOIN i USING (job_id, ord)""",
+    "detections",
+    "grid_lines",
+)
+def validate_all(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.validate(view(spark, d, "detections"), view(spark, d, "grid_lines"))
+
+
+@_query("bay_rules", "SELECT axis, idx, CASE WHEN spacing_mm < 3000 THEN 'bay_too_narrow_' ELSE 'bay_too_wide_' END || CAST(CAST(round_even(spacing_mm, 0) AS BIGINT) AS VARCHAR) || 'mm' AS violation FROM grid_gaps_v WHERE spacing_mm < 3000 OR spacing_mm > 12000", "grid_gaps")
+def bay_rules(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.bay_rules(view(spark, d, "grid_gaps"))
+
+
+@_query("nms")
+def nms(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.suppress(view(spark, d, "detections")).select("job_id", "type", "ord", "confidence")
+
+
+_PREFIX_SQL = """w AS (SELECT axis, idx, coalesce(sum(spacing_mm) OVER (PARTITION BY axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_mm FROM grid_gaps_v
+    UNION ALL SELECT axis, max(idx) + 1, sum(spacing_mm) FROM grid_gaps_v GROUP BY axis)"""
+
+
+@_query("grid_prefix_sum", f", {_PREFIX_SQL} SELECT axis, idx, start_mm FROM w", "grid_gaps")
+def grid_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
+    return grid.prefix_mm(view(spark, d, "grid_gaps"))
+
+
+_WORLD_SQL = f"""{_PREFIX_SQL}, {_C_SQL}, l AS (SELECT axis, idx, px, start_mm AS mm, lead(px) OVER (PARTITION BY axis ORDER BY idx) AS npx, lead(start_mm) OVER (PARTITION BY axis ORDER BY idx) AS nmm,
+    min(px) OVER (PARTITION BY axis) AS p0, max(px) OVER (PARTITION BY axis) AS p1, max(start_mm) OVER (PARTITION BY axis) AS m1 FROM grid_lines_v JOIN w USING (axis, idx)),
+    u AS (SELECT job_id, ord, 'x' AS axis, cx AS v FROM c UNION ALL SELECT job_id, ord, 'y', cy FROM c),
+    m AS (SELECT job_id, ord, u.axis, CASE WHEN v >= p1 THEN m1 ELSE mm + (v - px) / (npx - px) * (nmm - mm) END AS mm FROM u JOIN l ON u.axis = l.axis AND npx IS NOT NULL AND ((v >= px AND v < npx) OR (v >= p1 AND npx = p1) OR (v < p0 AND px = p0))),
+    k AS (SELECT job_id, ord, max(mm) FILTER (WHERE axis = 'x') AS wx, (SELECT max(start_mm) FROM w WHERE axis = 'y') - max(mm) FILTER (WHERE axis = 'y') AS wy FROM m GROUP BY job_id, ord)"""
+
+
+@_query("px_to_mm", f", {_WORLD_SQL} SELECT job_id, ord, round(wx, 6) AS wx, round(wy, 6) AS wy FROM k", "detections", "grid_lines", "grid_gaps")
+def px_to_mm(spark: SparkSession, d: str) -> DataFrame:
+    points = boxes.centred(view(spark, d, "detections"))
+    return _r(grid.to_world(points, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")).select("job_id", "ord", "wx", "wy"), "wx", "wy")
+
+
+@_query(
+    "grid_snap",
+    f""", {_WORLD_SQL}, b AS (SELECT min(spacing_mm) AS bay FROM grid_gaps_v), h AS (SELECT max(start_mm) AS h FROM w WHERE axis = 'y'),
+    sx AS (SELECT job_id, ord, arg_min(start_mm, (abs(start_mm - wx), idx)) AS lx FROM k JOIN w ON w.axis = 'x' GROUP BY job_id, ord),
+    sy AS (SELECT job_id, ord, arg_min(h - start_mm, (abs(h - start_mm - wy), idx)) AS ly FROM k JOIN w ON w.axis = 'y' CROSS JOIN h GROUP BY job_id, ord)
+    SELECT job_id, ord, round(CASE WHEN abs(lx - wx) <= bay / 2 THEN lx ELSE wx END, 6) AS snap_x, round(CASE WHEN abs(ly - wy) <= bay / 2 THEN ly ELSE wy END, 6) AS snap_y
+    FROM k JOIN sx USING (job_id, ord) JOIN sy USING (job_id, ord) CROSS JOIN b""",
+    "detections",
+    "grid_lines",
+    "grid_gaps",
+)
+def grid_snap(spark: SparkSession, d: str) -> DataFrame:
+    points = boxes.centred(view(spark, d, "detections"))
+    return _r(grid.snap(points, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")).select("job_id", "ord", "snap_x", "snap_y"), "snap_x", "snap_y")
+
+
+@_query("label_upper_median", "SELECT job_id, text, list_sort(list(sx))[CAST(floor(count(*) / 2) AS INT) + 1] AS x FROM spans_v GROUP BY job_id, text", "spans")
+def label_upper_median(spark: SparkSession, d: str) -> DataFrame:
+    return grid.upper_median(view(spark, d, "spans"), ["job_id", "text"], "sx", "x")
+
+
+_TEXTS_SQL = "t AS (SELECT job_id, ord, CASE WHEN ord % 12 = 5 THEN 'x' ELSE 'y' END AS axis, CASE WHEN ord % 12 = 5 THEN sx ELSE sy END AS pos, CAST(text AS DOUBLE) AS mm FROM spans_v WHERE ord % 6 = 5)"
+_GAPS_SQL = "b AS (SELECT axis, idx AS gap, px AS lo, lead(px) OVER (PARTITION BY axis ORDER BY idx) AS hi FROM grid_lines_v), n AS (SELECT axis, gap, lo, hi, hi - lo AS width FROM b WHERE hi IS NOT NULL)"
+_ASSIGN_SQL = f"{_TEXTS_SQL}, {_GAPS_SQL}, a AS (SELECT job_id, t.axis, ord, mm, min(gap) AS gap, arg_min(width, gap) AS width FROM t JOIN n ON t.axis = n.axis AND abs(pos - (lo + hi) / 2) < greatest(width / 2, 1) GROUP BY ALL)"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("ord") % 12 == 5
+    spans = view(spark, d, "spans").where(F.col("text").rlike(r"^\d{3,5}$"))
+    return spans.select("job_id", "ord", F.when(x, "x").otherwise("y").alias("axis"), F.when(x, F.col("sx")).otherwise(F.col("sy")).alias("pos"), F.col("text").cast("double").alias("mm")).where("mm between 300 and 30000")
+
+
+@_query("modal_dim", f", {_TEXTS_SQL}, m AS (SELECT job_id, axis, mm, count(*) AS n, min(ord) AS f FROM t GROUP BY ALL) SELECT job_id, axis, arg_min(mm, (-n, f)) AS mm FROM m GROUP BY job_id, axis", "spans")
+def modal_dim(spark: SparkSession, d: str) -> DataFrame:
+    return grid.mode_first(_texts(spark, d), ["job_id", "axis"], "mm", "ord", "out").withColumnRenamed("out", "mm")
+
+
+@_query("gap_assign", f", {_ASSIGN_SQL} SELECT job_id, axis, ord, mm, gap, width FROM a", "spans", "grid_lines")
+def gap_assign(spark: SparkSession, d: str) -> DataFrame:
+    return grid.assign_gaps(_texts(spark, d), view(spark, d, "grid_lines"))
+
+
+@_query(
+    "spacing_infer",
+    f""", {_ASSIGN_SQL}, c AS (SELECT job_id, axis, mm, count(*) AS n, min((gap, ord)) AS f FROM a GROUP BY ALL), md AS (SELECT job_id, axis, arg_min(mm, (-n, f)) AS modal FROM c GROUP BY job_id, axis),
+    wd AS (SELECT axis, list_sort(list(width))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM n GROUP BY axis),
+    s AS (SELECT a.*, abs(mm - modal * width / greatest(median, 1)) AS off, modal * width / greatest(median, 1) AS e FROM a JOIN md USING (job_id, axis) JOIN wd USING (axis)),
+    an AS (SELECT job_id, axis, gap, arg_min(mm, (off, ord)) AS mm, arg_min(width, (off, ord)) AS width FROM s WHERE off / greatest(e, 1) <= 0.30 GROUP BY job_id, axis, gap),
+    ra AS (SELECT job_id, axis, sum(width / mm) / count(*) AS ratio FROM an GROUP BY job_id, axis),
+    ev AS (SELECT job_id, axis, gap, width FROM (SELECT DISTINCT job_id, axis FROM t) JOIN n USING (axis)),
+    mi AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.job_id = ev.job_id AND an.axis = ev.axis AND an.gap = ev.gap)),
+    tr AS (SELECT mi.job_id, mi.axis, mi.gap, an.mm, an.gap AS g, mi.width / (an.mm * ratio) AS share FROM mi JOIN an USING (job_id, axis) JOIN ra USING (job_id, axis) WHERE an.mm * ratio > 0),
+    inf AS (SELECT job_id, axis, gap, arg_min(mm, (abs(share - 1), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap)
+    SELECT ev.job_id, ev.axis, ev.gap, coalesce(an.mm, inf.mm, 8400) AS mm, CASE WHEN an.mm IS NOT NULL THEN 'annotated' WHEN inf.mm IS NOT NULL THEN 'inferred' ELSE 'fallback' END AS source
+    FROM ev LEFT JOIN an USING (job_id, axis, gap) LEFT JOIN inf USING (job_id, axis, gap)""",
+    "spans",
+    "grid_lines",
+)
+def spacing_infer(spark: SparkSession, d: str) -> DataFrame:
+    return grid.infer_spacings(_texts(spark, d), view(spark, d, "grid_lines"))
+
+
+@_query("dedup_first_seen", f", {_C_SQL} SELECT job_id, type, ord, cx, cy FROM c QUALIFY row_number() OVER (PARTITION BY type, round_even(cx / 40, 1), round_even(cy / 40, 1) ORDER BY ord) = 1", "detections")
+def dedup_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    rows = boxes.centred(view(spark, d, "detections")).withColumns({"_x": F.col("cx") / 40, "_y": F.col("cy") / 40})
+    return boxes.first_seen(rows, ["type"], "_x", "_y").select("job_id", "type", "ord", "cx", "cy")
