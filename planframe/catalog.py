@@ -1,9 +1,9 @@
 """All registered queries of the drawing operators, over views of the driver's tables, and their SQL for DuckDB."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe.functions.text import ROUTES, first_match, normal_dims
+from planframe.functions.text import ROUTES, TAG, WARNINGS, code_thickness, first_match, normal_dims
 from planframe.operators import admit, alerts, annotate, boxes, corrections, grid, jobs, library, sanitize
 from planframe.options import DEFAULTS, ROUND_SIZES, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
@@ -271,3 +271,248 @@ def spacing_infer(spark: SparkSession, d: str) -> DataFrame:
 def dedup_first_seen(spark: SparkSession, d: str) -> DataFrame:
     rows = boxes.centred(view(spark, d, "detections")).withColumns({"_x": F.col("cx") / 40, "_y": F.col("cy") / 40})
     return boxes.first_seen(rows, ["type"], "_x", "_y").select("job_id", "type", "ord", "cx", "cy")
+
+
+@_query(
+    "dup_span",
+    """, p AS (SELECT job_id, ord, least((round_even(sx / 100, 1), round_even(sy / 100, 1)), (round_even(ex / 100, 1), round_even(ey / 100, 1))) AS a, greatest((round_even(sx / 100, 1), round_even(sy / 100, 1)), (round_even(ex / 100, 1), round_even(ey / 100, 1))) AS b FROM beams_v)
+    SELECT job_id, ord FROM p QUALIFY row_number() OVER (PARTITION BY job_id, a, b ORDER BY ord) > 1""",
+    "beams",
+)
+def dup_span(spark: SparkSession, d: str) -> DataFrame:
+    point = lambda p: F.struct(F.bround(F.col(f"{p}x") / 100, 1).alias("x"), F.bround(F.col(f"{p}y") / 100, 1).alias("y"))
+    rows = view(spark, d, "beams").withColumn("span", F.array_sort(F.array(point("s"), point("e"))))
+    rn = F.row_number().over(Window.partitionBy("job_id", "span").orderBy("ord"))
+    return rows.withColumn("_rn", rn).where("_rn > 1").select("job_id", "ord")
+
+
+_DIMS_SQL = r"""q AS (SELECT *, nullif(regexp_extract(text, '\b([A-Z]{1,3}\d{1,3})\b', 1), '') AS mark, CAST(nullif(regexp_extract(text, '(\d{2,4})\s*[xX×*]\s*(\d{2,4})', 1), '') AS DOUBLE) AS rw,
+    CAST(nullif(regexp_extract(text, '(\d{2,4})\s*[xX×*]\s*(\d{2,4})', 2), '') AS DOUBLE) AS rd, CAST(coalesce(nullif(regexp_extract(text, '(?i)(?:Ø|⌀|∅|dia\.?\s*|phi\s*)(\d{2,4})', 1), ''), nullif(regexp_extract(text, '(\d{2,4})\s*[Ø⌀∅]', 1), '')) AS DOUBLE) AS rc FROM spans_v),
+    l AS (SELECT job_id, ord, sx, sy, text, mark, coalesce(rw, rc) AS width_mm, coalesce(rd, rc) AS depth_mm, CASE WHEN rw IS NOT NULL THEN FALSE WHEN rc IS NOT NULL THEN TRUE END AS is_circular,
+    coalesce(regexp_matches(mark, '(?i)^(RCB|GB|SB|TB|FB|RB|SL|LB|L|B)\d'), FALSE) AS is_beam FROM q)"""
+_SCHED_SQL = "s AS (SELECT job_id, mark, arg_min(width_mm, ord) AS width_mm, arg_min(depth_mm, ord) AS depth_mm, arg_min(is_circular, ord) AS is_circular FROM l WHERE mark IS NOT NULL AND width_mm IS NOT NULL AND NOT is_beam GROUP BY job_id, mark)"
+
+
+@_query("dims_extract", f", {_DIMS_SQL} SELECT job_id, ord, mark, width_mm, depth_mm, is_circular, is_beam FROM l", "spans")
+def dims_extract(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.label_dims(view(spark, d, "spans")).select("job_id", "ord", "mark", "width_mm", "depth_mm", "is_circular", "is_beam")
+
+
+@_query("schedule_first", f", {_DIMS_SQL}, {_SCHED_SQL} SELECT job_id, mark, width_mm, depth_mm, is_circular FROM s", "spans")
+def schedule_first(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.schedule(view(spark, d, "spans"))
+
+
+@_query(
+    "annotate_columns",
+    f""", {_DIMS_SQL}, {_SCHED_SQL}, {_C_SQL}, k AS (SELECT job_id, ord, cx, cy, greatest(x2 - x1, y2 - y1, 200) * 3.0 AS reach FROM c WHERE type = 'column'),
+    n AS (SELECT k.job_id, k.ord, l.ord AS t_ord, sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) AS d, l.mark, l.width_mm, l.depth_mm, l.is_circular FROM k JOIN l ON k.job_id = l.job_id AND NOT is_beam WHERE sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) < reach),
+    a AS (SELECT job_id, ord, arg_min({{'w': width_mm, 'd': depth_mm, 'c': is_circular, 'm': mark}}, (d, t_ord)) AS v, 'proximity' AS source FROM n WHERE width_mm IS NOT NULL GROUP BY job_id, ord),
+    b AS (SELECT n.job_id, n.ord, arg_min({{'w': s.width_mm, 'd': s.depth_mm, 'c': s.is_circular, 'm': n.mark}}, (d, t_ord)) AS v, 'schedule' AS source FROM n JOIN s ON n.job_id = s.job_id AND n.mark = s.mark GROUP BY n.job_id, n.ord),
+    one AS (SELECT job_id, min(width_mm) AS w, min(depth_mm) AS d, bool_or(is_circular) AS c FROM s GROUP BY job_id HAVING count(*) = 1)
+    SELECT k.job_id, k.ord, coalesce(a.v.w, b.v.w, one.w, 800) AS width_mm, coalesce(a.v.d, b.v.d, one.d, 800) AS depth_mm, coalesce(a.v.c, b.v.c, one.c, FALSE) AS is_circular,
+    CASE WHEN a.ord IS NOT NULL THEN a.v.m ELSE b.v.m END AS type_mark, coalesce(a.source, b.source, CASE WHEN one.w IS NOT NULL THEN 'schedule_fallback' ELSE 'default' END) AS source
+    FROM k LEFT JOIN a USING (job_id, ord) LEFT JOIN b USING (job_id, ord) LEFT JOIN one USING (job_id)""",
+    "spans",
+    "detections",
+)
+def annotate_columns(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.annotate_columns(view(spark, d, "detections").where("type = 'column'"), view(spark, d, "spans"))
+
+
+_TAG_SQL = r"""g AS (SELECT job_id, ord AS t_ord, sx, sy, upper(text) AS tag FROM spans_v WHERE length(text) <= 10 AND regexp_matches(upper(text), '^[A-Z]{1,3}[-]?[A-Z]{0,3}\d{1,3}[A-Z]?$')),
+    n AS (SELECT c.job_id, c.ord, tag, t_ord, sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) AS dist FROM c JOIN g USING (job_id)),
+    tg AS (SELECT job_id, ord, arg_min(tag, (dist, t_ord)) AS tag, min(dist) AS dist FROM n WHERE dist <= {} GROUP BY job_id, ord)"""
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "spans").where((F.length("text") <= 10) & F.upper("text").rlike(TAG))
+
+
+@_query("nearest_tag", f", {_C_SQL}, {_TAG_SQL.replace('dist <= {}', 'dist <= 80')} SELECT c.job_id, c.ord, tag, round(dist, 6) AS dist FROM c LEFT JOIN tg USING (job_id, ord)", "detections", "spans")
+def nearest_tag(spark: SparkSession, d: str) -> DataFrame:
+    return _r(boxes.nearest_tag(view(spark, d, "detections"), _tags(spark, d), DEFAULTS.tag_radius_px), "dist")
+
+
+_NEAR_SQL = "nc AS (SELECT a.job_id, a.ord, arg_min(b.ord, (sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)), b.ord)) AS near_ord, min(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS dist FROM c a JOIN c b ON a.job_id = b.job_id AND b.type = 'column' WHERE a.type = 'structural_framing' GROUP BY a.job_id, a.ord)"
+
+
+@_query("nearest_column", f", {_C_SQL}, {_NEAR_SQL} SELECT job_id, ord, near_ord, round(dist, 6) AS dist FROM c LEFT JOIN nc USING (job_id, ord) WHERE type = 'structural_framing'", "detections")
+def nearest_column(spark: SparkSession, d: str) -> DataFrame:
+    rows = boxes.centred(view(spark, d, "detections"))
+    return _r(boxes.nearest_other(rows.where("type = 'structural_framing'"), rows.where("type = 'column'"), 128.0), "dist")
+
+
+@_query(
+    "dashline_near",
+    """SELECT job_id, ord FROM beams_v b WHERE EXISTS (SELECT 1 FROM dashes_v d WHERE d.job_id = b.job_id AND d.axis = b.dir AND abs(CASE WHEN dir = 'x' THEN sy ELSE sx END - perp) <= 150
+    AND CASE WHEN dir = 'x' THEN sx ELSE sy END BETWEEN lo - width * 0.5 AND hi + width * 0.5)""",
+    "beams",
+    "dashes",
+)
+def dashline_near(spark: SparkSession, d: str) -> DataFrame:
+    ends = view(spark, d, "beams").select("job_id", "ord", F.col("dir").alias("axis"), F.col("sx").alias("qx"), F.col("sy").alias("qy"), "width")
+    return sanitize.on_dash(ends, view(spark, d, "dashes"))
+
+
+_ZONE_SQL = "z AS (SELECT *, CASE WHEN regexp_matches(code, '^\\d{3}CIS$') THEN CAST(code[1:3] AS DOUBLE) WHEN code IN ('NSP1', 'NSP2', 'NSP5') THEN 100.0 + 50 * CAST(code[4:] AS INT) END AS t FROM zones_v)"
+
+
+def _legend(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"NSP{k}", 100.0 + 50 * k) for k in (1, 2, 5)], "code string, thickness double")
+
+
+@_query("zone_code", f", {_ZONE_SQL} SELECT job_id, zone_ord, code, t AS thickness_mm FROM z", "zones")
+def zone_code(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "zones").join(F.broadcast(_legend(spark)), "code", "left")
+    return rows.select("job_id", "zone_ord", "code", code_thickness(F.col("code"), F.col("thickness")).alias("thickness_mm"))
+
+
+@_query(
+    "pip_thickness",
+    f""", {_ZONE_SQL}, h AS (SELECT s.job_id, s.ord, arg_min(t, zone_ord) AS t FROM slabs_v s JOIN z ON s.job_id = z.job_id AND t IS NOT NULL AND zx >= x1 AND zx < x2 AND zy >= y1 AND zy < y2 GROUP BY s.job_id, s.ord)
+    SELECT job_id, ord, coalesce(t, 200) AS thickness_mm FROM slabs_v LEFT JOIN h USING (job_id, ord)""",
+    "slabs",
+    "zones",
+)
+def pip_thickness(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.zone_thickness(annotate.box_points(view(spark, d, "slabs")), view(spark, d, "zones"), _legend(spark))
+
+
+def _near_sql(v: str, sizes: list[int]) -> str:
+    return f"list_min(list_transform({sizes}, lambda s, i: (abs(s - {v}), i, CAST(s AS DOUBLE))))[3]"
+
+
+@_query(
+    "normalize_dims",
+    f""", r AS (SELECT job_id, ord, CAST(200 + (ord * 37) % 1100 AS DOUBLE) AS w, CAST(200 + (ord * 53) % 1100 AS DOUBLE) AS d, CASE ord % 3 WHEN 0 THEN 'circular' WHEN 1 THEN 'rectangular' ELSE 'square' END AS shape,
+    CASE WHEN ord % 2 = 0 THEN CAST(200 + 25 * (ord % 30) AS DOUBLE) END AS aw, CASE WHEN ord % 2 = 0 THEN CAST(200 + 25 * ((ord * 7) % 30) AS DOUBLE) END AS ad FROM detections_v),
+    s AS (SELECT *, CASE WHEN shape = 'circular' THEN {_near_sql("greatest(aw, ad)", ROUND_SIZES)} WHEN shape = 'square' OR abs(aw - ad) <= 100 THEN {_near_sql("(aw + ad) / 2", SQUARE_SIZES)} END AS one FROM r),
+    t AS (SELECT *, CASE WHEN aw IS NOT NULL THEN coalesce(one, round_even(aw / 50, 0) * 50) WHEN shape = 'circular' THEN {_near_sql("greatest(w, d)", ROUND_SIZES)}
+        WHEN shape = 'square' OR 1.0 - least(w, d) / greatest(w, d) <= 0.20 THEN {_near_sql("(w + d) / 2", SQUARE_SIZES)} ELSE round_even(w / 50, 0) * 50 END AS width,
+        CASE WHEN aw IS NOT NULL THEN coalesce(one, round_even(ad / 50, 0) * 50) WHEN shape = 'circular' THEN {_near_sql("greatest(w, d)", ROUND_SIZES)}
+        WHEN shape = 'square' OR 1.0 - least(w, d) / greatest(w, d) <= 0.20 THEN {_near_sql("(w + d) / 2", SQUARE_SIZES)} ELSE round_even(d / 50, 0) * 50 END AS depth FROM s)
+    SELECT job_id, ord, width, depth, CASE WHEN aw IS NULL AND shape = 'circular' THEN 'CIRC' || CAST(CAST(width AS BIGINT) AS VARCHAR)
+        ELSE 'RECT' || CAST(CAST(least(width, depth) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(greatest(width, depth) AS BIGINT) AS VARCHAR) || 'mm' END AS suffix FROM t""",
+    "detections",
+)
+def normalize_dims(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ord")
+    shape = F.when(o % 3 == 0, "circular").when(o % 3 == 1, "rectangular").otherwise("square")
+    ann = lambda k: F.when(o % 2 == 0, (200 + 25 * ((o * k) % 30)).cast("double"))
+    rows = view(spark, d, "detections").select("job_id", "ord", normal_dims((200 + (o * 37) % 1100).cast("double"), (200 + (o * 53) % 1100).cast("double"), shape, ann(1), ann(7)).alias("n"))
+    return rows.select("job_id", "ord", "n.width", "n.depth", "n.suffix")
+
+
+@_query(
+    "framing_score",
+    f""", {_LINES_SQL.replace("g AS", "ln AS")}, {_C_SQL}, {_TAG_SQL.replace("dist <= {}", "dist <= 120")}, {_NEAR_SQL},
+    f AS (SELECT c.job_id, c.ord, tag, nc.dist AS col_dist, least(x2 - x1, y2 - y1) AS short, CASE WHEN x2 - x1 >= y2 - y1 THEN list_min(list_transform(ys, lambda v: abs(v - cy))) <= 30 ELSE list_min(list_transform(xs, lambda v: abs(v - cx))) <= 30 END AS aligned
+        FROM c CROSS JOIN ln LEFT JOIN tg USING (job_id, ord) LEFT JOIN nc USING (job_id, ord) WHERE type = 'structural_framing'),
+    s AS (SELECT *, CASE WHEN tag IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN aligned THEN 2 ELSE 0 END + CASE WHEN col_dist > 0.5 * short THEN 1 ELSE 0 END AS score FROM f)
+    SELECT job_id, ord, tag, aligned, round(col_dist, 6) AS col_dist, score, CASE WHEN NOT coalesce(col_dist < 1.5 * short, FALSE) THEN 'admit' WHEN score >= 3 THEN 'admit_with_fix' WHEN score = 2 THEN 'admit' ELSE 'reject' END AS action FROM s""",
+    "detections",
+    "spans",
+    "grid_lines",
+)
+def framing_score(spark: SparkSession, d: str) -> DataFrame:
+    return admit.framing_scores(view(spark, d, "detections"), _tags(spark, d), view(spark, d, "grid_lines"))
+
+
+@_query(
+    "slab_dup",
+    f""", r AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM (SELECT job_id, ord, x1, y1, x2 + 10 * (ord % 30) AS x2, y2 + 8 * (ord % 20) - CASE WHEN ord % 9 = 0 THEN 690 ELSE 0 END AS y2 FROM slabs_v)),
+    p AS (SELECT a.job_id, a.ord, min(b.ord) AS of_ord FROM r a JOIN r b ON a.job_id = b.job_id AND b.area > a.area WHERE {_IOU_SQL} >= 0.5 GROUP BY a.job_id, a.ord)
+    SELECT job_id, ord, area, CASE WHEN area < 90000 THEN 'too_small' WHEN of_ord IS NOT NULL THEN 'duplicate_of_larger' END AS reason, CASE WHEN area >= 90000 THEN of_ord END AS of_ord FROM r LEFT JOIN p USING (job_id, ord)""",
+    "slabs",
+)
+def slab_dup(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ord")
+    rows = view(spark, d, "slabs").withColumns({"x2": F.col("x2") + 10 * (o % 30), "y2": F.col("y2") + 8 * (o % 20) - F.when(o % 9 == 0, 690).otherwise(0)})
+    return admit.slab_duplicates(rows)
+
+
+def _sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize.sanitize(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "dashes"), view(spark, d, "grid_gaps").withColumn("spacing_mm", F.lit(8400.0)))
+
+
+@_query("sanitize_kept")
+def sanitize_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _sanitized(spark, d).where("tag is null").drop("tag")
+
+
+@_query("sanitize_rejects")
+def sanitize_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize.reject_counts(_sanitized(spark, d))
+
+
+_WARN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in WARNINGS) + " ELSE 'unresolved' END"
+
+
+@_query("warning_dispatch", f"SELECT job_id, ord, {_WARN_SQL} AS handler FROM warnings_v", "warnings")
+def warning_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.dispatch(view(spark, d, "warnings")).select("job_id", "ord", "handler")
+
+
+@_query(
+    "worst_beam",
+    f""", k AS (SELECT job_id, count(*) AS k FROM warnings_v WHERE {_WARN_SQL} = 'join_error' AND ord < 200 GROUP BY job_id), e AS (SELECT job_id, ord, sx AS px, sy AS py FROM beams_v UNION ALL SELECT job_id, ord, ex, ey FROM beams_v),
+    w AS (SELECT e.job_id, e.ord, max(least(hw - abs(px - cx), hd - abs(py - cy))) AS depth_mm FROM e JOIN columns_v c ON e.job_id = c.job_id AND abs(px - cx) < hw AND abs(py - cy) < hd GROUP BY e.job_id, e.ord)
+    SELECT job_id, ord, depth_mm FROM w JOIN k USING (job_id) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY depth_mm DESC, ord) <= max(k) OVER (PARTITION BY job_id)""",
+    "warnings",
+    "beams",
+    "columns",
+)
+def worst_beam(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.worst_beams(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "warnings").where("ord < 200"))
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.array(F.struct("type_name", "width_mm", "depth_mm"))
+    return view(spark, d, "families").withColumns({"tags": F.split("family_name", " "), "types": kind})
+
+
+@_query("library_search", "SELECT ord, family_name, category FROM families_v WHERE lower(category) = 'economy' AND (contains(lower(family_name), 'red') OR contains(lower(type_name), 'red') OR len(list_filter(string_split(family_name, ' '), lambda t: contains(t, 'red'))) > 0)", "families")
+def library_search(spark: SparkSession, d: str) -> DataFrame:
+    return library.search(_families(spark, d), "Economy", "red").select("ord", "family_name", "category")
+
+
+@_query(
+    "library_rank",
+    r""", h AS (SELECT *, 4.0 * CAST(lower(category) = 'economy' AS INT) + CASE WHEN regexp_matches(lower(family_name), '\bring\b') THEN 3.0 WHEN contains(lower(family_name), 'ring') THEN 1.5 ELSE 0.0 END
+    + CASE WHEN contains(lower(family_name), 'ring') THEN 1.0 ELSE 0.0 END - CASE WHEN has_path THEN 0.0 ELSE 1.0 END AS score FROM families_v WHERE lower(category) = 'economy' AND contains(lower(family_name), 'ring'))
+    SELECT ord, family_name, score FROM h ORDER BY score DESC, ord LIMIT 15""",
+    "families",
+)
+def library_rank(spark: SparkSession, d: str) -> DataFrame:
+    return library.ranked(_families(spark, d), "economy", "ring").select("ord", "family_name", "score")
+
+
+@_query(
+    "library_rank_size",
+    """, h AS (SELECT *, greatest(0.0, 2.0 - (abs(greatest(300.0, 200.0) - greatest(width_mm, depth_mm)) + abs(least(300.0, 200.0) - least(width_mm, depth_mm))) / 500.0) - CASE WHEN has_path THEN 0.0 ELSE 1.0 END AS score FROM families_v)
+    SELECT ord, round(score, 6) AS score FROM h""",
+    "families",
+)
+def library_rank_size(spark: SparkSession, d: str) -> DataFrame:
+    return _r(_families(spark, d).select("ord", library.score(None, "200x300").alias("score")), "score")
+
+
+@_query(
+    "pre_clash",
+    """SELECT job_id, ord, 'column' AS kind, 'side under 200 mm' AS reason FROM detections_v WHERE type = 'column' AND (4 * (x2 - x1) < 200 OR 4 * (y2 - y1) < 200)
+    UNION ALL SELECT job_id, ord, 'wall', 'shorter than 100 mm' FROM beams_v WHERE sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) / 80 > 0 AND sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) / 80 < 100
+    UNION ALL SELECT job_id, ord, 'door', 'too wide' FROM detections_v WHERE type = 'slab' AND 40 * (x2 - x1) > 2000""",
+    "detections",
+    "beams",
+)
+def pre_clash(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "detections")
+    sized = lambda k: rows.select("job_id", "ord", "type", (k * (F.col("x2") - F.col("x1"))).alias("width_mm"), (k * (F.col("y2") - F.col("y1"))).alias("depth_mm"))
+    walls = view(spark, d, "beams").withColumns({c: F.col(c) / 80 for c in ("sx", "sy", "ex", "ey")})
+    return alerts.pre_clash(sized(4).where("type = 'column'"), walls, sized(40).where("type = 'slab'").withColumn("kind", F.lit("door")))
+
+
+@_query("low_conf", "SELECT job_id, ord, type, confidence FROM detections_v WHERE confidence < 0.6", "detections")
+def low_conf(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.low_confidence(view(spark, d, "detections")).select("job_id", "ord", "type", "confidence")

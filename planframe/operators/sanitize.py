@@ -41,7 +41,7 @@ def _pass_a(ends: DataFrame, columns: DataFrame, reach: float, options: Options)
     return ends.join(best, ["job_id", "ord", "which"], "left").withColumns({"ax": F.coalesce("c_x", "ax"), "ay": F.coalesce("c_y", "ay")})
 
 
-def _on_dash(ends: DataFrame, dashes: DataFrame, options: Options) -> DataFrame:
+def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(job_id, ord) of ends that lie on a dashed line of their axis."""
     x = F.col("axis") == "x"
     a = ends.withColumns({"_perp": F.when(x, F.col("qy")).otherwise(F.col("qx")), "_long": F.when(x, F.col("qx")).otherwise(F.col("qy"))})
@@ -54,7 +54,7 @@ def _on_dash(ends: DataFrame, dashes: DataFrame, options: Options) -> DataFrame:
 
 def _pass_b(ends: DataFrame, columns: DataFrame, dashes: DataFrame, reach: float, options: Options) -> DataFrame:
     """(job_id, ord, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column is met."""
-    dashed = _on_dash(ends, dashes, options).withColumn("_dash", F.lit(True))
+    dashed = on_dash(ends, dashes, options).withColumn("_dash", F.lit(True))
     steps = ends.join(dashed, ["job_id", "ord"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("budget"))))
     x = F.col("axis") == "x"
     steps = steps.withColumns({"_x": F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0), "_y": F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))})
