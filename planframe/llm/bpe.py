@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 REMEMBERED = 600_000
 
 #: Characters of text whose pre-tokens are merged together, and characters encoded at once.
-LEARNED, PIECE = 40_000_000, 4_000_000
+LEARNED, PIECE = 24_000_000, 2_000_000
 
 #: A space before another white-space character or the end: there, a space need not start a pre-token.
 _LOOSE = re.compile(r" (?=\s)| $")
@@ -251,13 +251,29 @@ def tokenizer(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def _learned(column: pa.Array, bpe: PairIndexBPE):
-    """Rows of a string column in lists of about PIECE characters, each known to the tokenizer; a null is empty."""
-    texts = ["" if t is None else t for t in column.to_pylist()]
-    for lo, hi in _cuts(texts, LEARNED):
-        bpe.learn_all(texts[lo:hi])
-        for a, b in _cuts(texts[lo:hi], PIECE):
-            yield texts[lo + a : lo + b]
+def _learned(batches, bpe: PairIndexBPE):
+    """(ids, texts) of rows of record batches (id, text) in lists of about PIECE characters, known to the tokenizer; a null is empty.
+
+    Batches are gathered up to LEARNED characters, so that many pre-tokens share each merge.
+    """
+    held, size = [], 0
+
+    def passed():
+        ids = pa.concat_arrays([b.column(0) for b in held])
+        texts = ["" if t is None else t for b in held for t in b.column(1).to_pylist()]
+        bpe.learn_all(texts)
+        for a, b in _cuts(texts, PIECE):
+            yield ids.slice(a, b - a), texts[a:b]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(1).nbytes
+        if size >= LEARNED:
+            yield from passed()
+            held, size = [], 0
+    if held:
+        yield from passed()
 
 
 def _cuts(texts: list[str], size: int):
@@ -276,13 +292,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = tokenizer(path)
-        for batch in batches:
-            row = 0
-            for texts in _learned(batch.column(1), bpe):
-                ids, at = bpe.encode(texts)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), lists], ["doc_id", "ids"])
-                row += len(texts)
+        for doc_ids, texts in _learned(batches, bpe):
+            ids, at = bpe.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -310,17 +323,13 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = tokenizer(path)
         sha = hashlib.sha256
-        for batch in batches:
-            row = 0
-            for texts in _learned(batch.column(1), bpe):
-                ids, at = bpe.encode(texts)
-                count = np.diff(at)
-                ids_sha = [sha(x).hexdigest() for x in bpe.listed(ids, at)]
-                text_sha = [sha(t.encode()).hexdigest() for t in bpe.decode(ids, at)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(texts)), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-                row += len(texts)
+        for doc_ids, texts in _learned(batches, bpe):
+            ids, at = bpe.encode(texts)
+            ids_sha = [sha(x).hexdigest() for x in bpe.listed(ids, at)]
+            text_sha = [sha(t.encode()).hexdigest() for t in bpe.decode(ids, at)]
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(np.diff(at)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,8 +19,21 @@ _OWN_DIRS: dict[str, str] = {}
 _USED: set[tuple[str, str]] = set()
 
 
+#: Rows in a batch that Spark hands to Python: texts may be long, and a worker holds a few batches.
+ARROW_ROWS = 2000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Keeps the session's Arrow batches at ARROW_ROWS rows or fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a Parquet table, and no others."""
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -59,6 +72,7 @@ def _clean() -> None:
 
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    tune(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
