@@ -6,6 +6,7 @@ beams of all drawings at once.
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from planframe.binning import first_by, tile, within
 from planframe.functions.geometry import axis, distance, nearest
@@ -85,7 +86,8 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
     a = _pass_a(ends, columns, reach_a, options)
     keep = ["ax", "ay", "c_x", "c_y", "hw", "hd"]
     a = a.groupBy("job_id", "ord").agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in "se" for c in keep])
-    rows = rows.join(a, ["job_id", "ord"])
+    # Each later step joins back to the rows before it: kept in memory or on disk, they are computed once.
+    rows = rows.join(a, ["job_id", "ord"]).persist(StorageLevel.MEMORY_AND_DISK)
     along: Column = F.when(F.col("axis") == "x", F.col("s_c_x")).otherwise(F.col("s_c_y"))
     same = F.coalesce((F.col("s_c_x") == F.col("e_c_x")) & (F.col("s_c_y") == F.col("e_c_y")) & (F.col("s_hw") > 0), F.lit(False))
     d = lambda p: distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col("s_c_x"), F.col("s_c_y"))
@@ -107,7 +109,7 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
             f"{w}_ax": F.coalesce("b_x", f"{w}_ax"), f"{w}_ay": F.coalesce("b_y", f"{w}_ay"),
             f"{w}_c_x": F.when(F.col(f"{w}_free"), F.col("b_x")).otherwise(F.col(f"{w}_c_x")), f"{w}_c_y": F.when(F.col(f"{w}_free"), F.col("b_y")).otherwise(F.col(f"{w}_c_y")),
             f"{w}_hw": F.when(met, F.col("b_hw")).otherwise(F.col(f"{w}_hw")), f"{w}_hd": F.when(met, F.col("b_hd")).otherwise(F.col(f"{w}_hd")),
-        }).drop("b_x", "b_y", "b_hw", "b_hd")
+        }).drop("b_x", "b_y", "b_hw", "b_hd").persist(StorageLevel.MEMORY_AND_DISK)
     inside = lambda p: F.col(f"{p}x").between(F.array_min("gx") - F.col("bay_x"), F.array_max("gx") + F.col("bay_x")) & F.col(f"{p}y").between(F.array_min("gy") - F.col("bay_y"), F.array_max("gy") + F.col("bay_y"))
     tag = (
         F.when(~(inside("s") & inside("e")), "out_of_grid")
