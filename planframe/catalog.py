@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planframe.functions.text import ROUTES, TAG, WARNINGS, code_thickness, first_match, normal_dims
-from planframe.operators import admit, alerts, annotate, boxes, corrections, grid, jobs, library, sanitize
+from planframe.operators import admit, alerts, annotate, boxes, corrections, grid, jobs, library, recipe, sanitize, strokes
 from planframe.options import DEFAULTS, ROUND_SIZES, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
 
@@ -516,3 +516,52 @@ def pre_clash(spark: SparkSession, d: str) -> DataFrame:
 @_query("low_conf", "SELECT job_id, ord, type, confidence FROM detections_v WHERE confidence < 0.6", "detections")
 def low_conf(spark: SparkSession, d: str) -> DataFrame:
     return alerts.low_confidence(view(spark, d, "detections")).select("job_id", "ord", "type", "confidence")
+
+
+@_query("mesh_params", "SELECT job_id, ord, round(sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)), 6) AS span, round(atan2(ey - sy, ex - sx), 6) AS angle, (sx + ex) / 2 AS cx, (sy + ey) / 2 AS cy FROM beams_v WHERE sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) >= 1", "beams")
+def mesh_params(spark: SparkSession, d: str) -> DataFrame:
+    return _r(recipe.mesh_params(view(spark, d, "beams")), "span", "angle")
+
+
+@_query(
+    "beam_params",
+    """SELECT job_id, ord, CASE WHEN x2 - x1 >= y2 - y1 THEN x1 ELSE (x1 + x2) / 2 END AS sx, CASE WHEN x2 - x1 >= y2 - y1 THEN (y1 + y2) / 2 ELSE y1 END AS sy, CASE WHEN x2 - x1 >= y2 - y1 THEN x2 ELSE (x1 + x2) / 2 END AS ex,
+    CASE WHEN x2 - x1 >= y2 - y1 THEN (y1 + y2) / 2 ELSE y2 END AS ey, 800.0::DOUBLE AS width, 800.0::DOUBLE AS depth FROM detections_v WHERE type = 'structural_framing' AND greatest(x2 - x1, y2 - y1) >= 10""",
+    "detections",
+)
+def beam_params(spark: SparkSession, d: str) -> DataFrame:
+    return recipe.beam_params(view(spark, d, "detections").where("type = 'structural_framing'"))
+
+
+@_query(
+    "stroke_style",
+    """, b AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty FROM detections_v), p AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty, dashes IN ('[3 2] 0', '[5] 1') AS dashed FROM strokes_v),
+    n AS (SELECT b.job_id, b.ord, count(*) FILTER (WHERE dashed) AS d, count(*) FILTER (WHERE NOT dashed) AS s FROM b JOIN p ON b.job_id = p.job_id AND abs(b.tx - p.tx) <= 1 AND abs(b.ty - p.ty) <= 1 AND p.x1 <= b.x2 AND p.x2 >= b.x1 AND p.y1 <= b.y2 AND p.y2 >= b.y1 GROUP BY b.job_id, b.ord)
+    SELECT job_id, ord, CASE WHEN d >= greatest(2, s) THEN 'dashed' WHEN s > d THEN 'solid' ELSE 'unknown' END AS style FROM b LEFT JOIN n USING (job_id, ord)""",
+    "detections",
+    "strokes",
+)
+def stroke_style(spark: SparkSession, d: str) -> DataFrame:
+    return strokes.stroke_style(view(spark, d, "detections"), view(spark, d, "strokes"))
+
+
+@_query(
+    "straight_runs",
+    """, r AS (SELECT *, last_value(CASE WHEN op <> 'l' THEN op END IGNORE NULLS) OVER w AS other, lag(x) OVER w AS px, lag(y) OVER w AS py FROM items_v WINDOW w AS (PARTITION BY job_id, path_ord ORDER BY item_ord)),
+    k AS (SELECT *, CASE WHEN abs(y - py) < 5 AND abs(x - px) > 20 THEN 'h' WHEN abs(x - px) < 5 AND abs(y - py) > 20 THEN 'v' END AS dir FROM r WHERE op = 'l' AND other = 'm')
+    SELECT job_id, path_ord, item_ord, dir, CASE WHEN dir = 'h' THEN least(x, px) ELSE least(y, py) END AS lo, CASE WHEN dir = 'h' THEN greatest(x, px) ELSE greatest(y, py) END AS hi, CASE WHEN dir = 'h' THEN (y + py) / 2 ELSE (x + px) / 2 END AS perp FROM k WHERE dir IS NOT NULL""",
+    "items",
+)
+def straight_runs(spark: SparkSession, d: str) -> DataFrame:
+    return strokes.runs(view(spark, d, "items"))
+
+
+@_query(
+    "text_lines",
+    """, r AS (SELECT job_id, ord, sx, sy, CASE WHEN abs(sy - lag(sy) OVER w) <= 6 THEN 0 ELSE 1 END AS b FROM spans_v WINDOW w AS (PARTITION BY job_id ORDER BY sy, sx, ord))
+    SELECT job_id, ord, CAST(sum(b) OVER (PARTITION BY job_id ORDER BY sy, sx, ord) - 1 AS BIGINT) AS line FROM r""",
+    "spans",
+)
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    spans = view(spark, d, "spans").withColumns({"x0": F.col("sx"), "y0": F.col("sy"), "y1": F.col("sy") + 10})
+    return strokes.text_lines(spans).select("job_id", "ord", F.col("line").cast("long").alias("line"))

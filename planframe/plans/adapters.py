@@ -41,6 +41,11 @@ VIEWS = {
         CASE WHEN s_suppkey % 3 = 0 THEN concat(CAST(150 + 50 * (s_suppkey % 4) AS STRING), 'CIS') ELSE concat('NSP', CAST(s_suppkey % 7 AS STRING)) END AS code FROM {supplier}""",
     "warnings": """SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE o_orderkey % 6 WHEN 0 THEN 'Cannot keep elements joined.' WHEN 1 THEN 'There are identical instances in the same place.'
         WHEN 2 THEN 'ExternalEvent request pending' WHEN 3 THEN 'Missing structural framing family' WHEN 4 THEN 'The column is too short' ELSE concat('Note ', o_orderpriority) END AS text FROM {orders}""",
+    "strokes": """SELECT p_partkey % 16 AS job_id, p_partkey AS path_ord, CAST((p_partkey * 83) % 4000 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 3000 AS DOUBLE) AS y1,
+        CAST((p_partkey * 83) % 4000 + 30 + (p_partkey * 3) % 400 AS DOUBLE) AS x2, CAST((p_partkey * 59) % 3000 + 20 + (p_partkey * 5) % 300 AS DOUBLE) AS y2,
+        CASE p_partkey % 4 WHEN 0 THEN '[3 2] 0' WHEN 1 THEN '[] 0' WHEN 2 THEN '[5] 1' ELSE '' END AS dashes FROM {part}""",
+    "items": """SELECT l_orderkey % 16 AS job_id, l_orderkey AS path_ord, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS item_ord, CASE WHEN l_linenumber = 1 THEN 'm' WHEN l_partkey % 7 = 0 THEN 'c' WHEN l_partkey % 11 = 0 THEN 'm' ELSE 'l' END AS op,
+        CAST((l_linenumber * 40) % 200 + l_suppkey % 3 AS DOUBLE) AS x, CAST((l_orderkey * 7 + CASE WHEN l_linenumber % 3 = 0 THEN 90 ELSE 0 END) % 500 AS DOUBLE) AS y FROM {lineitem}""",
     "families": """SELECT p_partkey AS ord, p_name AS family_name, p_type AS category, p_brand AS type_name, CAST(10 * p_size AS DOUBLE) AS width_mm, CAST(10 * (p_size % 37) AS DOUBLE) AS depth_mm,
         p_partkey % 4 <> 0 AS has_path FROM {part}""",
 }
