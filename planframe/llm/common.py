@@ -147,8 +147,8 @@ def id_filter(df: DataFrame, column: str, count: int) -> "IdFilter":
 
 def only_ids(docs: DataFrame, ids: DataFrame, count: int, how: str) -> DataFrame:
     """``docs`` semi- or anti-joined on doc_id; the ids are broadcast up to BROADCAST_ROWS, else shuffled."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, docs["doc_id"] == F.col("_id"), how)
+    ids = ids.select(F.col("doc_id").alias("__pf_id"))
+    return docs.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, docs["doc_id"] == F.col("__pf_id"), how)
 
 
 def runs(batches, keys: int):

@@ -140,8 +140,8 @@ def _keep(text: str, spans: list[int] | None, window: int) -> tuple[list[bytes],
 
 
 def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    spans = repeated_spans(docs, window, anchor).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    return docs.join(spans, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    spans = repeated_spans(docs, window, anchor).select(F.col("doc_id").alias("__pf_id"), F.col("spans").alias("__pf_spans"))
+    return docs.join(spans, docs["doc_id"].cast("long") == F.col("__pf_id"), "left").drop("__pf_id")
 
 
 def removal_digest(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataFrame:
@@ -163,7 +163,7 @@ def removal_digest(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window, anchor)
-    return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", "__pf_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataFrame:

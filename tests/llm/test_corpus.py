@@ -352,3 +352,19 @@ def test_empty_documents_table(none):
     assert minhash.near_duplicates(none).count() == 0
     assert substrings.removal_digest(none).count() == 0
     assert bpe.digest(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_pipeline_stages_keep_the_columns(spark, docs):
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    judged = {r.doc_id for r in minhash.near_duplicates(docs).where("not kept").collect()}
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, _ in ROWS if i is not None and i not in judged)
+    cut = substrings.drop_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == len(ROWS)
+    text = {r.doc_id: r.text for r in cut.collect() if r.doc_id is not None}
+    removed = {r.doc_id: r for r in substrings.removal_digest(docs).collect()}
+    for i, t in ROWS:
+        if i is not None and removed[i].n_removed == 0:
+            assert text[i] == t
+        elif i is not None:
+            assert hashlib.sha256(text[i].encode()).hexdigest() == removed[i].kept_sha256
