@@ -171,6 +171,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int =
 
     The last weight, the intercept, is the labels' log odds and stays: a text without words is as good as most.
     """
+    x = x.astype(np.float64)
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     share = (y.sum() + 2) / (len(y) + 3)
     w[-1] = np.log(share / (1 - share))
