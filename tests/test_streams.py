@@ -1,6 +1,7 @@
 """Streams against their batch twins, and the path and recipe operators on small cases."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ def test_job_store_stream_equals_the_fold(spark, tmp_path):
     for k in (0, 1):
         part = [{"job_id": j, "ord": o, "op": op, "payload": json.dumps(p)} for j, o, op, p in ops if o <= 3] if k == 0 else [{"job_id": j, "ord": o, "op": op, "payload": json.dumps(p)} for j, o, op, p in ops if o > 3]
         (tmp_path / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))  # a file source takes the older file first
     schema = "job_id long, ord long, op string, payload string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
     rows = run(events.store(stream), "update", "store_out").collect()
