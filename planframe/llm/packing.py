@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +186,19 @@ def _tokenizer(path: str):
 
 
 #: A full stop or comma that ends a word.
-_END = re.compile(rb"([a-z0-9])([.,])(?=\s)")
+_STOP, _COMMA = re.compile(rb"(?<=[a-z0-9])\.(?=\s)"), re.compile(rb"(?<=[a-z0-9]),(?=\s)")
+
+
+class Numbered(dict):
+    """Numbers keys from 0 as they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
 
 
 class StretchEncoder:
@@ -204,7 +217,7 @@ class StretchEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.ids, self.end, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _stretches(self, text: bytes) -> list[bytes]:
@@ -212,7 +225,7 @@ class StretchEncoder:
         if self.lowers:
             low = text.lower()
             if not any(t in low for t in self.taken):
-                return _END.sub(rb"\1 \2", low).split()
+                return _COMMA.sub(b" ,", _STOP.sub(b" .", low)).split()
         return text.split()
 
     def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,15 +248,13 @@ class StretchEncoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         parts = [self._stretches(t.encode()) for t in texts]
-        new = [x for x in set().union(*parts) if x not in self.known]
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        new, self.known.new = self.known.new, []
         if new:
             made = [self._encode([x.decode() for x in new[lo : lo + 500]]) for lo in range(0, len(new), 500)]
-            self.known.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
             self.ids = np.concatenate([self.ids, *(m[0] for m in made)])
             self.count = np.concatenate([self.count, *(m[1] for m in made)])
         self.end = np.cumsum(self.count)
-        get = self.known.__getitem__
-        flat = np.fromiter((c for p in parts for c in map(get, p)), np.int64, sum(map(len, parts)))
         n = self.count[flat]
         made = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=made[1:])
