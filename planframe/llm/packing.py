@@ -23,10 +23,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from planframe.llm.common import numbered, settle
 
 #: Stretches of text between blanks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 #: Bytes of text encoded at once.
-PIECE = 2_000_000
+PIECE = 4_000_000
 
 
 def patterns(cells: int, parts: int, least: int) -> np.ndarray:
