@@ -26,7 +26,7 @@ from planframe.llm.common import numbered, settle
 REMEMBERED = 800_000
 
 #: Bytes of text encoded at once.
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 
 def patterns(cells: int, parts: int, least: int) -> np.ndarray:
