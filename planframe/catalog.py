@@ -352,7 +352,7 @@ def nearest_column(spark: SparkSession, d: str) -> DataFrame:
 )
 def dashline_near(spark: SparkSession, d: str) -> DataFrame:
     ends = view(spark, d, "beams").select("job_id", "ord", F.col("dir").alias("axis"), F.col("sx").alias("qx"), F.col("sy").alias("qy"), "width")
-    return sanitize.on_dash(ends, view(spark, d, "dashes"))
+    return sanitize.on_dash(ends, view(spark, d, "all_dashes"))
 
 
 _ZONE_SQL = "z AS (SELECT *, CASE WHEN regexp_matches(code, '^\\d{3}CIS$') THEN CAST(code[1:3] AS DOUBLE) WHEN code IN ('NSP1', 'NSP2', 'NSP5') THEN 100.0 + 50 * CAST(code[4:] AS INT) END AS t FROM zones_v)"
@@ -433,7 +433,7 @@ def slab_dup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sanitized(spark: SparkSession, d: str) -> DataFrame:
-    return sanitize.sanitize(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "dashes"), view(spark, d, "grid_gaps").withColumn("spacing_mm", F.lit(8400.0)))
+    return sanitize.sanitize(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "all_dashes"), view(spark, d, "grid_gaps").withColumn("spacing_mm", F.lit(8400.0)))
 
 
 @_query("sanitize_kept")
@@ -464,7 +464,7 @@ def warning_dispatch(spark: SparkSession, d: str) -> DataFrame:
     "columns",
 )
 def worst_beam(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.worst_beams(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "warnings").where("ord < 200"))
+    return alerts.worst_beams(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "warnings"))
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:

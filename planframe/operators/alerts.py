@@ -27,7 +27,7 @@ def worst_beams(beams: DataFrame, columns: DataFrame, warnings: DataFrame) -> Da
     """
     k = dispatch(warnings).where("handler = 'join_error'").groupBy("job_id").agg(F.count(F.lit(1)).alias("k"))
     ends = beams.select("job_id", "ord", F.explode(F.array(F.struct(F.col("sx").alias("px"), F.col("sy").alias("py")), F.struct(F.col("ex").alias("px"), F.col("ey").alias("py")))).alias("p")).select("job_id", "ord", "p.*")
-    reach = 2000.0  # above the half side of any column
+    reach = columns.agg(F.max(F.greatest("hw", "hd"))).first()[0] or 1.0
     near = within(ends, columns.select("job_id", "cx", "cy", "hw", "hd"), ["job_id"], "px", "py", "cx", "cy", reach)
     depth = F.least(F.col("hw") - F.abs(F.col("px") - F.col("cx")), F.col("hd") - F.abs(F.col("py") - F.col("cy")))
     deepest = near.withColumn("depth_mm", depth).where("depth_mm > 0").groupBy("job_id", "ord").agg(F.max("depth_mm").alias("depth_mm"))

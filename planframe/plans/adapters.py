@@ -35,6 +35,9 @@ VIEWS = {
     "dashes": """SELECT DISTINCT l_orderkey % 16 AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
         CAST(8400 * (l_orderkey % 24) AS DOUBLE) AS lo, CAST(8400 * (l_orderkey % 24) + 6000 AS DOUBLE) AS hi, CAST(8400 * (l_partkey % 5) + l_linenumber * 40 AS DOUBLE) AS perp
         FROM {lineitem} WHERE l_orderkey % 5 = 0""",
+    "all_dashes": """SELECT DISTINCT l_orderkey % 16 AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
+        CAST(8400 * (l_orderkey % 24) AS DOUBLE) AS lo, CAST(8400 * (l_orderkey % 24) + 6000 AS DOUBLE) AS hi, CAST(8400 * (l_partkey % 5) + l_linenumber * 40 AS DOUBLE) AS perp
+        FROM {lineitem}""",
     "slabs": """SELECT s_suppkey % 4 AS job_id, s_suppkey AS ord, CAST((s_suppkey * 131) % 9000 AS DOUBLE) AS x1, CAST((s_suppkey * 71) % 7000 AS DOUBLE) AS y1,
         CAST((s_suppkey * 131) % 9000 + 900 AS DOUBLE) AS x2, CAST((s_suppkey * 71) % 7000 + 700 AS DOUBLE) AS y2 FROM {supplier}""",
     "zones": """SELECT s_suppkey % 4 AS job_id, s_suppkey AS zone_ord, CAST((s_suppkey * 113) % 9500 AS DOUBLE) AS zx, CAST((s_suppkey * 67) % 7500 AS DOUBLE) AS zy,
