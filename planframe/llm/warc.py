@@ -3,7 +3,8 @@
 Records go through Spark's text sink and come back through its binaryFile source, so the archives may lie
 in any store that Spark reaches. A payload is sent in HTTP chunked framing; a block over ``segment``
 characters is cut into a first record and continuation records. Reading groups continuations by the origin's
-record id, orders them by segment number, checks the total length, and undoes the chunked framing.
+record id, orders them by segment number, checks the total length, and undoes the chunked framing. A record is
+named by its page_id and, where rows repeat that, by a number of its own.
 """
 
 import base64
@@ -12,7 +13,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planframe.llm.common import BROADCAST_ROWS, settle, shared_dir
@@ -29,7 +30,7 @@ ARCHIVE = 3_000
 _DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:planframe:page:"
 _RECORD_SCHEMA = (
-    "page_id long, kind string, refers_to long, digest string, segment int, origin long, total long, declared long, block binary"
+    "page_id long, kind string, refers_to long, digest string, segment int, origin string, total long, declared long, block binary"
 )
 
 
@@ -66,13 +67,13 @@ def _line(value: str | None) -> str:
     return "".join(c for c in value or "" if c not in "\r\n")
 
 
-def records(page_id: int, url: str | None, payload: str | None, refers_to: int | None, sha: str, length: int) -> list[str]:
-    """The WARC records of a page, without the two line ends that follow each."""
+def records(name: str, url: str | None, payload: str | None, refers_to: str | None, sha: str, length: int) -> list[str]:
+    """The WARC records of a page, without the two line ends that follow each; ``name`` and ``refers_to`` are record names."""
     head = ["WARC/1.1", f"WARC-Target-URI: {_line(url)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{sha}"]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         block = f"{http}Content-Length: {length}\r\n\r\n"
-        head += [f"WARC-Record-ID: <{_ID}{page_id}>", "WARC-Type: revisit", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
+        head += [f"WARC-Record-ID: <{_ID}{name}>", "WARC-Type: revisit", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
         return ["\r\n".join([*head, "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]) + "\r\n\r\n" + block]
     block = f"{http}Transfer-Encoding: chunked\r\n\r\n{chunked(payload or '')}"
     parts = [block[lo : lo + SEGMENT] for lo in range(0, len(block), SEGMENT)]
@@ -80,9 +81,9 @@ def records(page_id: int, url: str | None, payload: str | None, refers_to: int |
     for k, part in enumerate(parts):
         own = list(head)
         if k == 0:
-            own += [f"WARC-Record-ID: <{_ID}{page_id}>", "WARC-Type: response", "Content-Type: application/http;msgtype=response"]
+            own += [f"WARC-Record-ID: <{_ID}{name}>", "WARC-Type: response", "Content-Type: application/http;msgtype=response"]
         else:
-            own += [f"WARC-Record-ID: <{_ID}{page_id}:{k + 1}>", "WARC-Type: continuation", f"WARC-Segment-Origin-ID: <{_ID}{page_id}>"]
+            own += [f"WARC-Record-ID: <{_ID}{name}:{k + 1}>", "WARC-Type: continuation", f"WARC-Segment-Origin-ID: <{_ID}{name}>"]
         if len(parts) > 1:
             own.append(f"WARC-Segment-Number: {k + 1}")
             if k == len(parts) - 1:
@@ -91,36 +92,57 @@ def records(page_id: int, url: str | None, payload: str | None, refers_to: int |
     return out
 
 
+def record_name(page_id: str, copy: str) -> Column:
+    """What names a record: the page_id, with the row's own number where rows repeat the page_id."""
+    return F.concat_ws(".", F.col(page_id).cast("string"), F.col(copy).cast("string"))
+
+
 def write(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
     """Writes ``pages(page_id, url, html)`` as gzipped WARC files below ``path``.
 
     Of pages with one payload of at least ``least_revisit`` bytes, that with the largest page_id is written
     as response, the others as revisits of it; pages with smaller payloads are responses. A null html is an
     empty payload, a null url an empty one. Rows with a null page_id can't be named and are left out; rows
-    that repeat a page_id are records of their own, responses where they hold the largest page_id.
+    that repeat a page_id are records of their own, responses where they hold their payload's largest page_id.
     """
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     html = F.coalesce("html", F.lit(""))
     seen = pages.select("page_id", "url", F.sha1(html.cast("binary")).alias("_sha"), F.octet_length(html).cast("long").alias("_length"))
     seen = settle(seen, "payloads")
-    last = seen.where(F.col("_length") >= least_revisit).groupBy("_sha", "_length").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    told = settle(seen.join(last, ["_sha", "_length"], "left").withColumn("refers_to", F.when(F.col("_last") > F.col("page_id"), F.col("_last"))), "told")
-    revisits = told.where("refers_to is not null").select("page_id", "url", F.lit(None).cast("string").alias("html"), "refers_to", "_sha", "_length")
-    gone = told.where("refers_to is not null").select(F.col("page_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    again = settle(seen.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("page_id"), "again")
+    n_again = again.count()
+    again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
     nothing = F.lit(None)
-    responses = pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti").select("page_id", "url", "html", nothing.cast("long").alias("refers_to"), nothing.cast("string").alias("_sha"), nothing.cast("long").alias("_length"))
+    keys = seen.withColumn("_copy", nothing.cast("long"))
+    if n_again:
+        # Only rows that repeat a page_id are written out with their payloads, to have numbers that stay.
+        copies = pages.join(again, "page_id", "left_semi").withColumns({"_sha": F.sha1(html.cast("binary")), "_length": F.octet_length(html).cast("long"), "_copy": F.monotonically_increasing_id()})
+        copies = settle(copies, "copies")
+        keys = keys.join(again, "page_id", "left_anti").unionByName(copies.drop("html"))
+    last = keys.where(F.col("_length") >= least_revisit).groupBy("_sha", "_length").agg(F.max(F.struct("page_id", "_copy")).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    last = last.select("_sha", "_length", F.col("_last.page_id").alias("_last"), record_name("_last.page_id", "_last._copy").alias("_name"))
+    told = settle(keys.join(last, ["_sha", "_length"], "left").withColumn("refers_to", F.when(F.col("_last") > F.col("page_id"), F.col("_name"))), "told")
+    revisits = told.where("refers_to is not null")
+    gone = revisits.where("_copy is null").select(F.col("page_id").alias("_gone")).unionByName(again.select(F.col("page_id").alias("_gone")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    columns = [record_name("page_id", "_copy").alias("name"), "url", "html", "refers_to", "_sha", "_length"]
+    fresh = {"refers_to": nothing.cast("string"), "_sha": nothing.cast("string"), "_length": nothing.cast("long")}
+    responses = pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti").withColumns(fresh | {"_copy": nothing.cast("long")}).select(*columns)
+    if n_again:
+        kept = copies.join(revisits.where("_copy is not null").select("_copy"), "_copy", "left_anti")
+        responses = responses.unionByName(kept.withColumns(fresh).select(*columns))
+    revisits = revisits.withColumn("html", nothing.cast("string")).select(*columns)
 
     def run(batches):
         for batch in batches:
             out = []
-            for page_id, url, text, refers_to, sha, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, url, text, refers_to, sha, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if refers_to is None:
                     data = (text or "").encode()
                     sha, length = digest(data), len(data)
                 else:
                     sha = base64.b32encode(bytes.fromhex(sha)).decode()
-                out += records(page_id, url, text, refers_to, sha, length)
+                out += records(name, url, text, refers_to, sha, length)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     # Pages are written where they are read, so that no payload is shuffled to be written.
@@ -135,8 +157,12 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def _page(name: str | None) -> int | None:
-    return int(name.strip("<>").removeprefix(_ID).split(":")[0]) if name else None
+def _name(record_id: str | None) -> str | None:
+    return record_id.strip("<>").removeprefix(_ID).split(":")[0] if record_id else None
+
+
+def _page(record_id: str | None) -> int | None:
+    return int(_name(record_id).split(".")[0]) if record_id else None
 
 
 def parse(data: bytes):
@@ -169,8 +195,8 @@ def read_records(spark, path: str) -> DataFrame:
                         length = int(_fields(block.split(b"\r\n\r\n")[0])["content-length"])
                         block = b""
                     total = f.get("warc-segment-total-length")
-                    own = _page(f["warc-record-id"])
-                    rows.append((own, f["warc-type"], _page(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), int(f.get("warc-segment-number", 0)), _page(f.get("warc-segment-origin-id")) or own, int(total) if total else None, length, block))
+                    own = f["warc-record-id"]
+                    rows.append((_page(own), f["warc-type"], _page(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), int(f.get("warc-segment-number", 0)), _name(f.get("warc-segment-origin-id") or own), int(total) if total else None, length, block))
                     if sum(len(r[-1]) for r in rows[-64:]) > 4_000_000 or len(rows) >= 2000:
                         yield _batch(rows)
                         rows = []
@@ -182,7 +208,7 @@ def read_records(spark, path: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
     names = ["page_id", "kind", "refers_to", "digest", "segment", "origin", "total", "declared", "block"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -195,7 +221,7 @@ def read(spark, path: str) -> DataFrame:
     """
     rows = read_records(spark, path)
     alone = rows.where("kind <> 'continuation' and segment = 0").select("page_id", F.col("kind").alias("record_type"), "refers_to", "digest", "declared", F.col("block").alias("whole"), F.lit(True).alias("ordered"))
-    parts = rows.where("kind = 'continuation' or segment > 0").groupBy(F.col("origin").alias("page_id"), "digest")
+    parts = rows.where("kind = 'continuation' or segment > 0").groupBy("page_id", "origin", "digest")
     joined = parts.agg(
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("p"),
         F.max("total").alias("total"),
