@@ -28,7 +28,8 @@ def host(url: str) -> Column:
 
 def path(url: str) -> Column:
     """What follows the host up to ? # or the end; empty for a null or a URL without ://."""
-    return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    # The path may be empty, so the pattern never goes on to a :// in a query or fragment.
+    return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
 def tokens(host: str, path: str) -> Column:

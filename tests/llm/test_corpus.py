@@ -336,6 +336,16 @@ def test_urls(spark):
     assert url_filter.judge(df, empty).where("verdict = 'block'").count() == 2 + 0 * len(urls)
 
 
+def test_urls_that_hold_another_url(spark):
+    urls = [(1, "http://a.net?u=http://b.org/fr/x"), (2, "http://a.net#http://b.org/fr/x"), (3, "http://a.net/p?u=http://b.org/fr/x"), (4, "http://x.org/fr/http://net/"), (5, "http://fine.info?u=http://h/d/7")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, none).collect()}
+    assert got[1] == got[2] == ("a.net", "", None, "allow")
+    assert got[3] == ("a.net", "/p", "net/", "block") and got[4] == ("x.org", "/fr/http://net/", "org/fr/", "allow")
+    assert url_filter.page_labels(df, spark.createDataFrame([(7, 0, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_quality_keeps_clean_texts(spark, none):
     r = random.Random(8)
     word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9)))
