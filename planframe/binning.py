@@ -26,6 +26,19 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, r
     return a.join(b, [*keys, "_tx", "_ty"]).drop("_tx", "_ty")
 
 
+def reaching(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, reach: str, rx: str, ry: str, size: float) -> DataFrame:
+    """Pairs of left points (x, y) and right points (rx, ry) of equal keys, each left one with a ``reach`` of its own.
+
+    Left points are put on every tile that their reach touches and right ones on their own, so every pair with
+    both |dx| and |dy| up to the left one's reach is there, once; the caller tests the exact condition.
+    """
+    a = left
+    for t, c in (("_tx", x), ("_ty", y)):
+        a = a.withColumn(t, F.explode(F.sequence(tile(F.col(c) - F.col(reach), size), tile(F.col(c) + F.col(reach), size))))
+    b = right.withColumns({"_tx": tile(F.col(rx), size), "_ty": tile(F.col(ry), size)})
+    return a.join(b, [*keys, "_tx", "_ty"]).drop("_tx", "_ty")
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, size: float) -> DataFrame:
     """Pairs of boxes (prefix ``a`` and ``b``, columns x1 y1 x2 y2) of equal keys that may overlap; each pair once.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planframe.binning import first_by, within
+from planframe.binning import first_by, reaching
 from planframe.functions.geometry import distance, in_polygon
 from planframe.functions.text import BEAM_MARK, code_thickness, dims, is_beam_label, mark
 from planframe.operators.boxes import centred
@@ -32,7 +32,7 @@ def annotate_columns(boxes: DataFrame, spans: DataFrame, options: Options = DEFA
     cols = centred(boxes).withColumn("reach", reach).select("job_id", "ord", "cx", "cy", "reach")
     labels = label_dims(spans).where("not is_beam").select("job_id", F.col("ord").alias("t_ord"), "sx", "sy", "mark", "width_mm", "depth_mm", "is_circular")
     labels = labels.where("width_mm is not null or mark is not null")
-    near = within(cols, labels, ["job_id"], "cx", "cy", "sx", "sy", options.search_floor_px * options.search_factor)
+    near = reaching(cols, labels, ["job_id"], "cx", "cy", "reach", "sx", "sy", options.search_floor_px * options.search_factor)
     near = near.withColumn("d", distance(F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy"))).where(F.col("d") < F.col("reach"))
     sized = near.where("width_mm is not null")
     a = first_by(sized, ["job_id", "ord"], [F.col("d"), F.col("t_ord")], ["width_mm", "depth_mm", "is_circular", "mark"])

@@ -16,10 +16,12 @@ def centred(boxes: DataFrame) -> DataFrame:
 
 
 def box_filter(boxes: DataFrame, scale: float = 1.0, options: Options = DEFAULTS) -> DataFrame:
-    """Boxes whose sides are within bounds and square enough, scaled, with their centre."""
+    """Boxes whose sides are within the bounds of their type and square enough for it, scaled, with their centre."""
+    kind = F.regexp_replace(F.lower("type"), "s+$", "")
+    of_type = lambda column, framing, other: F.when(kind == "column", column).when(kind == "structural_framing", framing).otherwise(other)
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    square = F.least(w, h) / F.greatest(w, h, F.lit(1e-9)) >= options.squareness
-    sized = (F.least(w, h) >= options.min_side_px) & (F.greatest(w, h) <= options.max_side_px)
+    square = F.least(w, h) / F.greatest(w, h, F.lit(1e-9)) >= of_type(options.column_squareness, options.framing_squareness, options.squareness)
+    sized = (F.least(w, h) >= options.min_side_px) & (F.greatest(w, h) <= of_type(options.column_max_side_px, options.framing_max_side_px, options.max_side_px))
     scaled = boxes.where(sized & square).withColumns({c: F.col(c) * scale for c in BOX})
     return centred(scaled)
 

@@ -11,6 +11,10 @@ class Options:
     min_side_px: float = 10.0
     max_side_px: float = 80.0
     squareness: float = 0.5
+    column_max_side_px: float = 80.0
+    column_squareness: float = 0.75
+    framing_max_side_px: float = 300.0
+    framing_squareness: float = 0.0
     nms_iou: float = 0.45
     # validation
     overlap_iou: float = 0.5

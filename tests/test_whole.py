@@ -4,7 +4,7 @@ import duckdb
 from test_oracles import DATA, TABLES, rows_of
 
 from planframe import catalog
-from planframe.operators import alerts
+from planframe.operators import alerts, annotate, boxes
 
 
 def rows_in(duck, sql):
@@ -28,3 +28,17 @@ def test_a_beam_far_inside_a_wide_column(spark):
     columns = spark.createDataFrame([(1, 5900.0, 0.0, 6000.0, 6000.0)], "job_id long, cx double, cy double, hw double, hd double")
     warnings = spark.createDataFrame([(1, 7, "Cannot keep elements joined.")], "job_id long, ord long, text string")
     assert [r.depth_mm for r in alerts.worst_beams(beams, columns, warnings).collect()] == [100.0]
+
+
+def test_box_bounds_are_those_of_the_type(spark):
+    sides = [("structural_framing", 250, 12), ("structural_framing", 301, 200), ("structural_framing", 250, 9), ("column", 80, 61), ("column", 80, 59), ("column", 81, 81)]
+    df = spark.createDataFrame([(1, i, t, 0.0, 0.0, float(w), float(h)) for i, (t, w, h) in enumerate(sides)], "job_id long, ord long, type string, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r.ord for r in boxes.box_filter(df).collect()) == [0, 3]
+
+
+def test_a_wide_column_meets_every_label_in_its_reach(spark):
+    # A column of 500 px reaches 1500 px; labels lie on both sides of it, just within and just past that.
+    cols = spark.createDataFrame([(j, j, 4750.0 + 100 * j, 4750.0, 5250.0 + 100 * j, 5250.0) for j in range(12)], "job_id long, ord long, x1 double, y1 double, x2 double, y2 double")
+    spans = spark.createDataFrame([(j, 0, 5000.0 + 100 * j + (1490.0 if j < 8 else 1510.0) * (-1) ** j, 5000.0, "900x700") for j in range(12)], "job_id long, ord long, sx double, sy double, text string")
+    got = {r.ord: (r.width_mm, r.source) for r in annotate.annotate_columns(cols, spans).collect()}
+    assert got == {j: (900.0, "proximity") if j < 8 else (800.0, "default") for j in range(12)}
