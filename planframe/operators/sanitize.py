@@ -1,4 +1,4 @@
-"""Beam clean-up before export: endpoints snap to columns, float outwards along confirmed lines, or the beam goes.
+"""Beam clean-up before export: endpoints snap to columns and core walls, float outwards along confirmed lines, or the beam goes.
 
 Beams do not depend on each other but for repeated spans, so each step is a join or a projection over all
 beams of all drawings at once.
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from planframe.binning import first_by, tile, within
-from planframe.functions.geometry import axis, distance, nearest
+from planframe.functions.geometry import axis, distance, in_polygon, nearest
 from planframe.operators.grid import prefix_mm
 from planframe.options import DEFAULTS, Options
 
@@ -26,8 +26,24 @@ def _columns(columns: DataFrame) -> DataFrame:
     return columns.select("job_id", "col_ord", F.col("cx").alias("c_x"), F.col("cy").alias("c_y"), "hw", "hd")
 
 
-def _pass_a(ends: DataFrame, columns: DataFrame, reach: float, options: Options) -> DataFrame:
-    """Ends move to the nearest perpendicular line within half a bay, and then onto a column near it."""
+def _in_wall(points: DataFrame, keys: list[str], x: str, y: str, walls: DataFrame, size: float) -> DataFrame:
+    """The keys of points that lie in a core wall: walls on every tile that their box touches, then the ray."""
+    box = walls.select(F.col("job_id"), F.col("points").alias("_points"), F.array_min("points.x").alias("_x0"), F.array_max("points.x").alias("_x1"), F.array_min("points.y").alias("_y0"), F.array_max("points.y").alias("_y1"))
+    box = box.withColumn("_tx", F.explode(F.sequence(tile(F.col("_x0"), size), tile(F.col("_x1"), size))))
+    box = box.withColumn("_ty", F.explode(F.sequence(tile(F.col("_y0"), size), tile(F.col("_y1"), size))))
+    own = points.select(*keys, F.col(x).alias("_px"), F.col(y).alias("_py")).withColumns({"_tx": tile(F.col("_px"), size), "_ty": tile(F.col("_py"), size)})
+    return own.join(box, ["job_id", "_tx", "_ty"]).where(in_polygon(F.col("_px"), F.col("_py"), F.col("_points"))).select(*keys).distinct()
+
+
+def _rectangles(rectangles: DataFrame, options: Options) -> DataFrame:
+    """Centres of the rectangles that are sized like columns."""
+    sized = [F.abs(F.col(b) - F.col(a)).between(options.rect_min_mm, options.rect_max_mm) for a, b in (("x0", "x1"), ("y0", "y1"))]
+    zero = F.lit(0.0)
+    return rectangles.where(sized[0] & sized[1]).select("job_id", F.col("rect_ord").alias("k_ord"), ((F.col("x0") + F.col("x1")) / 2).alias("k_x"), ((F.col("y0") + F.col("y1")) / 2).alias("k_y"), zero.alias("k_hw"), zero.alias("k_hd"))
+
+
+def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, reach: float, options: Options) -> DataFrame:
+    """Ends in a core wall stay; others move to the nearest perpendicular line within half a bay, and there stay in a core wall or go onto a column near it."""
     x = F.col("axis") == "x"
     line = F.when(x, nearest(F.col("gy"), F.col("py"))).otherwise(nearest(F.col("gx"), F.col("px")))
     bay = F.when(x, F.col("bay_y")).otherwise(F.col("bay_x"))
@@ -39,7 +55,15 @@ def _pass_a(ends: DataFrame, columns: DataFrame, reach: float, options: Options)
     near = within(ends.where("on_line"), _columns(columns), ["job_id"], "ax", "ay", "c_x", "c_y", reach)
     near = near.where((F.abs(F.col("ax") - F.col("c_x")) <= rx) & (F.abs(F.col("ay") - F.col("c_y")) <= ry)).withColumn("_d", distance(F.col("ax"), F.col("ay"), F.col("c_x"), F.col("c_y")))
     best = first_by(near, ["job_id", "ord", "which"], [F.col("_d"), F.col("col_ord")], ["c_x", "c_y", "hw", "hd"])
-    return ends.join(best, ["job_id", "ord", "which"], "left").withColumns({"ax": F.coalesce("c_x", "ax"), "ay": F.coalesce("c_y", "ay")})
+    out = ends.join(best, ["job_id", "ord", "which"], "left")
+    if walls is not None:
+        keys = ["job_id", "ord", "which"]
+        out = out.join(_in_wall(ends, keys, "px", "py", walls, reach).withColumn("_still", F.lit(True)), keys, "left")
+        out = out.join(_in_wall(ends.where("on_line"), keys, "ax", "ay", walls, reach).withColumn("_there", F.lit(True)), keys, "left")
+        still, wall = F.col("_still").isNotNull(), F.col("_still").isNotNull() | F.col("_there").isNotNull()
+        at = {c: F.when(still, F.col(f"p{c}")).when(wall, F.col(f"a{c}")).otherwise(F.col(f"c_{c}")) for c in "xy"}
+        out = out.withColumns({"c_x": at["x"], "c_y": at["y"], "hw": F.when(wall, 0.0).otherwise(F.col("hw")), "hd": F.when(wall, 0.0).otherwise(F.col("hd"))}).drop("_still", "_there")
+    return out.withColumns({"ax": F.coalesce("c_x", "ax"), "ay": F.coalesce("c_y", "ay")})
 
 
 def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -53,27 +77,39 @@ def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS) ->
     return hit.where(F.col("_long").between(F.col("lo") - slack, F.col("hi") + slack)).select("job_id", "ord").distinct()
 
 
-def _pass_b(ends: DataFrame, columns: DataFrame, dashes: DataFrame, reach: float, options: Options) -> DataFrame:
-    """(job_id, ord, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column is met."""
+def _pass_b(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, rectangles: DataFrame | None, dashes: DataFrame, reach: float, options: Options) -> DataFrame:
+    """(job_id, ord, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column, core wall or rectangle is met, tried in this order at each step."""
     dashed = on_dash(ends, dashes, options).withColumn("_dash", F.lit(True))
     steps = ends.join(dashed, ["job_id", "ord"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("budget"))))
     x = F.col("axis") == "x"
     steps = steps.withColumns({"_x": F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0), "_y": F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))})
-    near = within(steps, _columns(columns).toDF("job_id", "k_ord", "k_x", "k_y", "k_hw", "k_hd"), ["job_id"], "_x", "_y", "k_x", "k_y", reach)
-    near = near.where((F.abs(F.col("_x") - F.col("k_x")) <= F.col("bay_x") * options.step_anchor) & (F.abs(F.col("_y") - F.col("k_y")) <= F.col("bay_y") * options.step_anchor))
-    near = near.withColumn("_d", distance(F.col("_x"), F.col("_y"), F.col("k_x"), F.col("k_y")))
-    best = first_by(near, ["job_id", "ord"], [F.col("n"), F.col("_d"), F.col("k_ord")], ["k_x", "k_y", "k_hw", "k_hd"])
+    columns_of = ["job_id", "ord", "n", "_rank", "_d", "k_ord", "k_x", "k_y", "k_hw", "k_hd"]
+
+    def close(anchors: DataFrame, rank: int) -> DataFrame:
+        near = within(steps, anchors, ["job_id"], "_x", "_y", "k_x", "k_y", reach)
+        near = near.where((F.abs(F.col("_x") - F.col("k_x")) <= F.col("bay_x") * options.step_anchor) & (F.abs(F.col("_y") - F.col("k_y")) <= F.col("bay_y") * options.step_anchor))
+        return near.withColumns({"_d": distance(F.col("_x"), F.col("_y"), F.col("k_x"), F.col("k_y")), "_rank": F.lit(rank)}).select(*columns_of)
+
+    near = close(_columns(columns).toDF("job_id", "k_ord", "k_x", "k_y", "k_hw", "k_hd"), 0)
+    if walls is not None:
+        hit = steps.join(_in_wall(steps, ["job_id", "ord", "n"], "_x", "_y", walls, reach), ["job_id", "ord", "n"])
+        zero = F.lit(0.0)
+        near = near.unionByName(hit.withColumns({"_rank": F.lit(1), "_d": zero, "k_ord": F.lit(0), "k_x": F.col("_x"), "k_y": F.col("_y"), "k_hw": zero, "k_hd": zero}).select(*columns_of))
+    if rectangles is not None:
+        near = near.unionByName(close(_rectangles(rectangles, options), 2))
+    best = first_by(near, ["job_id", "ord"], [F.col("n"), F.col("_rank"), F.col("_d"), F.col("k_ord")], ["k_x", "k_y", "k_hw", "k_hd"])
     out = ends.select("job_id", "ord").join(dashed, ["job_id", "ord"], "left").join(best, ["job_id", "ord"], "left")
     tag = F.when(F.col("_dash").isNull(), "no_dashline").when(F.col("k_x").isNull(), "dashline_no_anchor")
     return out.select("job_id", "ord", tag.alias("tag"), F.col("k_x").alias("b_x"), F.col("k_y").alias("b_y"), F.col("k_hw").alias("b_hw"), F.col("k_hd").alias("b_hd"))
 
 
-def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: DataFrame, options: Options = DEFAULTS, core_walls: DataFrame | None = None, rectangles: DataFrame | None = None) -> DataFrame:
     """(job_id, ord, tag, sx, sy, ex, ey): every beam, ``tag`` null where it stays, with its trimmed ends.
 
     Tags in the order they are tried: no_endpoints, out_of_grid, no_dashline or dashline_no_anchor,
     same_column, duplicate_span, diagonal, too_short. A beam rejected after duplicate_span still shadows
-    later ones of its span.
+    later ones of its span. ``core_walls(job_id, points)`` are polygons and ``rectangles(job_id, rect_ord, x0, y0, x1, y1)``
+    boxes, of which those sized like columns count, all in millimetres; beams are not trimmed at them.
     """
     bays = gaps.agg(F.max("spacing_mm")).first()[0] or 1.0
     reach_a, reach_b = bays * max(options.along_anchor, options.across_anchor), bays * options.step_anchor
@@ -83,13 +119,13 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
     rows = whole.withColumn("axis", axis(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))).withColumn("width", F.coalesce(F.nullif("width", F.lit(0.0)), F.lit(options.default_beam_mm))).crossJoin(grid)
     both = F.array(F.struct(F.lit("s").alias("which"), F.col("sx").alias("px"), F.col("sy").alias("py")), F.struct(F.lit("e").alias("which"), F.col("ex").alias("px"), F.col("ey").alias("py")))
     ends = rows.select("job_id", "ord", "axis", "gx", "gy", "bay_x", "bay_y", F.explode(both).alias("p")).select("job_id", "ord", "axis", "gx", "gy", "bay_x", "bay_y", "p.*")
-    a = _pass_a(ends, columns, reach_a, options)
+    a = _pass_a(ends, columns, core_walls, reach_a, options)
     keep = ["ax", "ay", "c_x", "c_y", "hw", "hd"]
     a = a.groupBy("job_id", "ord").agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in "se" for c in keep])
     # Each later step joins back to the rows before it: kept in memory or on disk, they are computed once.
     rows = rows.join(a, ["job_id", "ord"]).persist(StorageLevel.MEMORY_AND_DISK)
     along: Column = F.when(F.col("axis") == "x", F.col("s_c_x")).otherwise(F.col("s_c_y"))
-    same = F.coalesce((F.col("s_c_x") == F.col("e_c_x")) & (F.col("s_c_y") == F.col("e_c_y")) & (F.col("s_hw") > 0), F.lit(False))
+    same = F.coalesce((F.col("s_c_x") == F.col("e_c_x")) & (F.col("s_c_y") == F.col("e_c_y")) & (F.col("s_hw") > 0) & (F.col("e_hw") > 0), F.lit(False))
     d = lambda p: distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col("s_c_x"), F.col("s_c_y"))
     loose = F.when(same, F.when(d("s") >= d("e"), "s").otherwise("e"))
     rows = rows.withColumn("loose", loose).withColumn("loose_sign", F.when(F.when(F.col("axis") == "x", F.when(F.col("loose") == "s", F.col("sx")).otherwise(F.col("ex"))).otherwise(F.when(F.col("loose") == "s", F.col("sy")).otherwise(F.col("ey"))) >= along, 1.0).otherwise(-1.0))
@@ -101,7 +137,7 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
         other = F.when(F.col("axis") == "x", F.col(f"{o}_ax")).otherwise(F.col(f"{o}_ay"))
         sign = F.when(F.col("loose") == w, F.col("loose_sign")).when(mine >= other, 1.0).otherwise(-1.0)
         free = rows.where(f"{w}_free").select("job_id", "ord", "axis", "bay_x", "bay_y", "width", "budget", F.col(f"{w}_ax").alias("qx"), F.col(f"{w}_ay").alias("qy"), sign.alias("sign"))
-        found = _pass_b(free, columns, dashes, reach_b, options).withColumnRenamed("tag", f"{w}_tag")
+        found = _pass_b(free, columns, core_walls, rectangles, dashes, reach_b, options).withColumnRenamed("tag", f"{w}_tag")
         rows = rows.join(found, ["job_id", "ord"], "left")
         met = F.col("b_x").isNotNull()
         # The second end sees the first one where it has come to lie.

@@ -40,6 +40,8 @@ class Options:
     across_anchor: float = 0.25
     dash_perp_mm: float = 150.0
     dash_long: float = 0.5
+    rect_min_mm: float = 200.0
+    rect_max_mm: float = 1500.0
     steps_one: int = 4
     steps_both: int = 2
     # annotation

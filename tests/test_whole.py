@@ -4,7 +4,7 @@ import duckdb
 from test_oracles import DATA, TABLES, rows_of
 
 from planframe import catalog
-from planframe.operators import alerts, annotate, boxes
+from planframe.operators import alerts, annotate, boxes, sanitize
 
 
 def rows_in(duck, sql):
@@ -42,3 +42,22 @@ def test_a_wide_column_meets_every_label_in_its_reach(spark):
     spans = spark.createDataFrame([(j, 0, 5000.0 + 100 * j + (1490.0 if j < 8 else 1510.0) * (-1) ** j, 5000.0, "900x700") for j in range(12)], "job_id long, ord long, sx double, sy double, text string")
     got = {r.ord: (r.width_mm, r.source) for r in annotate.annotate_columns(cols, spans).collect()}
     assert got == {j: (900.0, "proximity") if j < 8 else (800.0, "default") for j in range(12)}
+
+
+def test_beams_end_in_core_walls_and_on_rectangles(spark):
+    gaps = spark.createDataFrame([(a, i, 8000.0) for a in "xy" for i in range(3)], "axis string, idx long, spacing_mm double")
+    cols = spark.createDataFrame([(j, 0, 16000.0, 24000.0, 400.0, 400.0) for j in range(1, 9)], "job_id long, col_ord long, cx double, cy double, hw double, hd double")
+    dashes = spark.createDataFrame([(j, "x", 17000.0, 30000.0, 24000.0) for j in range(1, 9)], "job_id long, axis string, lo double, hi double, perp double")
+    y = {3: 23000.0}  # only the line that this beam snaps to leads into the wall
+    beams = spark.createDataFrame([(j, 0, 17000.0, y.get(j, 24000.0), 23000.0, y.get(j, 24000.0), 300.0) for j in range(1, 9)], "job_id long, ord long, sx double, sy double, ex double, ey double, width double")
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    walls = [(2, box(22000.0, 23000.0, 23500.0, 25000.0)), (3, box(22000.0, 23800.0, 23500.0, 24200.0)), (4, box(30900.0, 23000.0, 32000.0, 25000.0)), (7, [(31000.0, 24000.0)]), (8, box(16500.0, 23900.0, 23500.0, 24100.0))]
+    walls = spark.createDataFrame(walls, "job_id long, points array<struct<x double, y double>>")
+    rects = [(1, 0, 30200.0, 23720.0, 30800.0, 24320.0), (1, 1, 29900.0, 23720.0, 30500.0, 24320.0), (4, 0, 30200.0, 23720.0, 30800.0, 24320.0), (6, 0, 30000.0, 23000.0, 32000.0, 25000.0)]
+    rects = spark.createDataFrame(rects, "job_id long, rect_ord long, x0 double, y0 double, x1 double, y1 double")
+    got = {r.job_id: (r.tag, r.sx, r.sy, r.ex, r.ey) for r in sanitize.sanitize(beams, cols, dashes, gaps, core_walls=walls, rectangles=rects).collect()}
+    assert got[1] == (None, 16400.0, 24000.0, 30500.0, 24020.0)
+    assert got[2] == got[3] == (None, 16400.0, 24000.0, 23000.0, 24000.0)
+    assert got[4] == (None, 16400.0, 24000.0, 31000.0, 24000.0)
+    assert got[5][0] == got[6][0] == got[7][0] == "dashline_no_anchor"
+    assert got[8] == (None, 17000.0, 24000.0, 23000.0, 24000.0)
