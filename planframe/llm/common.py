@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Most rows that a caller may mark for broadcast by hand (ids of 8 bytes).
 BROADCAST_ROWS = 200_000
 
+#: A key with more than one row in this many counts as hot; so at most this many keys are hot, whatever the data.
+HOT_KEYS = 2_000
+
 #: Most bits of a broadcast membership filter (8 MB). A full filter lets more rows pass and changes no result.
 FILTER_BITS = 1 << 26
 
@@ -38,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; only where that is unset, one of its own."""
+    """A folder of this application below ``spark.checkpoint.dir``; only a local session may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="planframe-")
         root = _OWN_DIRS[app]
@@ -104,6 +109,20 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], salts: int, ou
     return local.join(counts, [*keys, "_salt"]).withColumn(out, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_salt", "_rn", "_before")
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins ``left`` with ``right``, which has unique keys and in ``count`` how many rows of ``left`` each has (at most ``total`` in all).
+
+    Keys that hold more than one row in HOT_KEYS of all are few by that measure: their rows of ``right`` are
+    broadcast, and their rows of ``left`` stay where they are. The others are shuffled. Both sides are read twice.
+    For a left join ``right`` has to list every hot key. ``count`` is not in the result; null keys join with nothing.
+    """
+    hot = F.col(count) > max(1, total // HOT_KEYS)
+    many = F.broadcast(right.where(hot).drop(count))
+    out = left.join(many, keys, "inner")
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return out.unionByName(rest.join(right.where(~hot).drop(count), keys, how))
+
+
 class IdFilter:
     """A one-hash membership filter of 64-bit values for executors: no false negatives."""
 
