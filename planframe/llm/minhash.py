@@ -6,7 +6,8 @@
 3. Classes that share a band bucket are compared by signature. A bucket of any size is cut into blocks,
    pairs of blocks are dealt out, and each pair of blocks gives a row per member, not a row per pair.
 4. Candidate components are the reach of those links. The full shingle sets of their members are dealt
-   out in blocks again and every candidate pair of a component is settled on full sets.
+   out in blocks again, those of a large component by size first (sets of too unequal sizes can't link),
+   and every candidate pair is settled on full sets.
 5. Components of the verified links, by alternating large-star and small-star.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import block_components, id_filter, only_ids, runs, settle, spread
+from planframe.llm.common import block_components, hot_join, id_filter, only_ids, runs, settle, spread
 from planframe.llm.components import components
 from planframe.llm.words import Words, chunks
 
@@ -78,13 +79,17 @@ def features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FEATURES)
 
 
-def _blocks(df: DataFrame, key: str, size: str, per_block: int) -> DataFrame:
-    """Deals members of each key to groups (key, ba, bb) of two blocks at most; a member of a large key goes to every pair that its block is in."""
+def _deal(df: DataFrame, size: str, per_block: int) -> DataFrame:
+    """Gives each member of a key of ``size`` members the pairs (ba, bb) of blocks that its own block is in; one pair up to two blocks."""
     n = F.greatest(F.lit(1), F.ceil(F.col(size) / per_block)).cast("int")
     df = df.withColumn("_blocks", F.when(F.col(size) <= 2 * per_block, 1).otherwise(n))
     df = df.withColumn("_own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("_blocks")).cast("int"))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    df = df.withColumns({"ba": F.least("_own", "_other"), "bb": F.greatest("_own", "_other")})
+    return df.withColumns({"ba": F.least("_own", "_other"), "bb": F.greatest("_own", "_other")})
+
+
+def _gather(df: DataFrame, key: str) -> DataFrame:
+    """Brings the members of each key and pair of blocks together, in order."""
     return df.repartition(key, "ba", "bb").sortWithinPartitions(key, "ba", "bb", "id")
 
 
@@ -100,14 +105,16 @@ def _emit(pairs):
 
 
 def candidate_links(classes: DataFrame, similarity: float, hashes: int) -> DataFrame:
-    """Spanning links (u, v) of the classes that share a band bucket and whose signatures agree well enough.
+    """Spanning links (u, v) of the classes ``(row, bands, minima)`` that share a band bucket and whose signatures agree well enough.
 
     The bar lies 4.5 standard deviations below the similarity asked for.
     """
     bar = hashes * (similarity - 4.5 * (similarity * (1 - similarity) / hashes) ** 0.5)
-    bands = classes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = bands.join(full, "band").join(classes.select(F.col("doc_id").alias("id"), "minima"), "id")
+    bands = classes.select(F.col("row").alias("id"), F.explode("bands").alias("band"))
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("_n", F.col("n"))
+    full = settle(full, "buckets")
+    total = full.agg(F.sum("n")).first()[0] or 0
+    members = hot_join(bands, full, ["band"], "_n", total).join(classes.select(F.col("row").alias("id"), "minima"), "id")
 
     def run(batches):
         out = []
@@ -127,11 +134,27 @@ def candidate_links(classes: DataFrame, similarity: float, hashes: int) -> DataF
                 out = []
         yield from _emit(out)
 
-    return _blocks(members, "band", "n", BLOCK).select("band", "ba", "bb", "id", "minima").mapInArrow(run, "u long, v long").distinct()
+    return _gather(_deal(members, "n", BLOCK), "band").select("band", "ba", "bb", "id", "minima").mapInArrow(run, "u long, v long").distinct()
+
+
+def _groups(candidates: DataFrame, count: int, percent: int, per_block: int) -> DataFrame:
+    """(id, place, n): the groups of candidates ``(id, component, n_shingles)`` that have to be compared, with their sizes.
+
+    Members of a component that is more than two blocks go by size: class c holds sizes within a factor of
+    100 / percent, so members of sets that may link are in one class or in neighbouring ones, and meet in the
+    group of the lower class.
+    """
+    size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("_n", F.col("n"))
+    members = hot_join(candidates, size, ["component"], "_n", count)
+    step = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    lower = F.when(F.col("n") <= 2 * per_block, F.array(F.lit(-1))).otherwise(F.array(step - 1, step))
+    split = members.withColumn("_class", F.explode(lower)).withColumn("place", F.xxhash64("component", "_class")).select("id", "place").distinct()
+    again = split.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("_n", F.col("n"))
+    return hot_join(split, again, ["place"], "_n", 2 * count)
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, count: int, shingle: int, percent: int) -> DataFrame:
-    """Spanning links of the members (id, component) of candidate components, settled on full shingle sets."""
+    """Spanning links of the members (id, component, n_shingles) of candidate components, settled on full shingle sets."""
     maybe = docs.sparkSession.sparkContext.broadcast(id_filter(candidates, "id", count))
 
     def sets(batches):
@@ -145,8 +168,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, count: int, shingle:
                 row += len(some)
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(sets, "doc_id long, grams binary")
-    size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = candidates.join(size, "component").join(found.withColumnRenamed("doc_id", "id"), "id")
+    members = _deal(_groups(candidates, count, percent, BLOCK // 2), "n", BLOCK // 2).join(found.withColumnRenamed("doc_id", "id"), "id")
 
     def run(batches):
         out = []
@@ -161,7 +183,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, count: int, shingle:
                 out = []
         yield from _emit(out)
 
-    return _blocks(members, "component", "n", BLOCK // 2).select("component", "ba", "bb", "id", "grams").mapInArrow(run, "u long, v long").distinct()
+    return _gather(members, "place").select("place", "ba", "bb", "id", "grams").mapInArrow(run, "u long, v long").distinct()
 
 
 def similar(grams: list[np.ndarray], percent: int) -> np.ndarray:
@@ -191,20 +213,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     than space and \\t \\n \\v \\f \\r of the text with A-Z lower-cased. Documents link if
     ``100 * |A & B| >= percent * |A | B|`` over their sets of ``shingle``-word shingles. A null or empty
     text, or one of white space, has an empty set and links with nothing. Rows that repeat a doc_id each
-    give a row; a null doc_id gives a row with a null component and ``kept`` true.
-    With 40 bands of 5 rows a pair at 0.80 is missed with probability 1e-7, one at 0.85 with 1e-10.
+    give a row; such a document links by any of its texts. A null doc_id gives a row with a null component
+    and ``kept`` true. With 40 bands of 5 rows a pair at 0.80 meets in no bucket with probability 1e-7, one
+    at 0.85 with 1e-10; the comparison of signatures then passes over one in 1e5 at the similarity asked for.
     """
-    all_rows = settle(features(docs, shingle, bands, rows), "minhash")
+    all_rows = settle(features(docs, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()), "minhash")
+    count = all_rows.count()
     slim = all_rows.select("doc_id", "n_shingles", "k1", "k2")
     key = ["n_shingles", "k1", "k2"]
-    reps = slim.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classes = all_rows.where("n_shingles > 0").join(reps, key).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "bands", "minima")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    reps = slim.where(some).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
+    classes = all_rows.where(some).join(reps.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     links = candidate_links(classes, percent / 100, bands * rows)
-    candidates = settle(components(links), "candidates")
-    count = candidates.count()
-    found = components(verified_links(docs, candidates, count, shingle, percent)) if count else candidates
-    group = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = slim.join(group, key, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    candidates = components(links).join(classes.select(F.col("row").alias("id"), "doc_id", "n_shingles"), "id")
+    candidates = settle(candidates.select(F.col("doc_id").alias("id"), "component", "n_shingles"), "candidates")
+    n = candidates.count()
+    found = components(verified_links(docs, candidates, n, shingle, percent)) if n else candidates.select("id", "component")
+    group = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "_n")
+    linked = hot_join(slim.where(some), group, key, "_n", count).select("doc_id", "n_shingles", "component_id")
+    out = linked.unionByName(slim.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
