@@ -114,7 +114,7 @@ FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a
     "op2_urls": rf"""
 WITH u AS (
     SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
-        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
     FROM pages
 ), r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (
@@ -131,11 +131,9 @@ f AS (
     SELECT row_number() OVER () AS i, tokens, quality = 0 OR toxic = 1 AS bad FROM t
     JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:\.html|/)?$', 1), '') AS BIGINT)
     WHERE len(tokens) > 0 AND (quality = 0 OR toxic = 1) IS NOT NULL
-), e AS (SELECT i, bad, unnest(tokens) AS x FROM b),
+), q AS (SELECT i, bad, list_sort(tokens) AS x, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS m FROM b),
 s AS (
-    SELECT [x] AS a, count(*) AS n, count(*) FILTER (WHERE bad) AS nb FROM e GROUP BY x
-    UNION ALL
-    SELECT [e.x, g.x], count(*), count(*) FILTER (WHERE e.bad) FROM e JOIN e g ON e.i = g.i AND e.x < g.x GROUP BY e.x, g.x
+    SELECT list_filter(x, lambda v, k: (m >> (k - 1)) & 1 = 1) AS a, count(*) AS n, count(*) FILTER (WHERE bad) AS nb FROM q GROUP BY 1
 ), k AS (
     SELECT a, array_to_string(a, ' ') AS id, CAST(nb AS DOUBLE) / CAST(n AS DOUBLE) AS c FROM s
     WHERE nb >= greatest(1, ceil(0.005 * (SELECT count(*) FROM b))) AND CAST(nb AS DOUBLE) / CAST(n AS DOUBLE) >= 0.5

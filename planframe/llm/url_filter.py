@@ -9,7 +9,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import settle
+from planframe.llm.common import hot_join, settle
 
 #: Fixed rules of the contract: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -41,24 +41,24 @@ def tokens(host: str, path: str) -> Column:
     return F.when(F.col(host) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(parts, lambda t: t.isNotNull())))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float, most: int) -> DataFrame:
+def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     """(rule_id, tokens, rarest, confidence): token sets whose URLs are bad.
 
-    ``labelled(tokens, bad)``: all labelled URLs. A rule has up to ``most`` tokens; the sets that FP-growth keeps
+    ``labelled(tokens, bad)``: all labelled URLs. A rule has any number of tokens; the sets that FP-growth keeps
     are bounded by the support asked for and the few tokens of a URL.
     """
     items = F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens"))
     baskets = labelled.select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("token_freq"))
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= most))
+    rules = model.associationRules.where(F.array_contains("consequent", BAD))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule_id", F.concat_ws(" ", "tokens"))
     rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(single, "token")
     rare = rare.groupBy("rule_id").agg(F.min(F.struct("token_freq", "token")).alias("r")).select("rule_id", F.col("r.token").alias("rarest"))
     return settle(rules.join(rare, "rule_id"), "url-rules")
 
 
-def judge(urls: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.5, most: int = 2) -> DataFrame:
+def judge(urls: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined) of every row of ``urls(page_id, url)``.
 
     The longest fixed rule that fits decides: its host equals the URL's or is a parent domain of it, and the
@@ -76,13 +76,16 @@ def judge(urls: DataFrame, labels: DataFrame, support: float = 0.005, confidence
     best = F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull()))
     parsed = parsed.withColumn("_best", best).withColumn("tokens", tokens("host", "path"))
     labelled = labels.where("bad is not null").select(F.col("page_id").cast("long").alias("page_id"), "bad").join(parsed.select("page_id", "tokens"), "page_id").where(F.size("tokens") > 0).select("tokens", "bad")
-    rules = mine(labelled, support, confidence, most)
+    rules = mine(labelled, support, confidence)
     # Mined rules are told by the tokens of a URL, so each distinct token set is matched once.
-    sets = parsed.where("_best is null").select("tokens").distinct()
+    open_ = parsed.where("_best is null")
+    sets = settle(open_.groupBy("tokens").agg(F.count(F.lit(1)).alias("_n")), "url-tokens")
     hits = sets.select("tokens", F.explode("tokens").alias("rarest")).join(rules.select(F.col("tokens").alias("_rule"), "rarest", "confidence", "rule_id"), "rarest")
     hits = hits.where(F.size(F.array_except("_rule", "tokens")) == 0)
-    hits = hits.groupBy("tokens").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rule_id")).alias("r")).select(F.col("tokens").alias("_tokens"), F.col("r.rule_id").alias("mined"))
-    out = parsed.join(hits, F.col("_best").isNull() & (F.col("tokens") == F.col("_tokens")), "left")
+    hits = hits.groupBy("tokens").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rule_id")).alias("r")).select("tokens", F.col("r.rule_id").alias("mined"))
+    told = hot_join(open_, sets.join(hits, "tokens", "left"), ["tokens"], "_n", sets.agg(F.sum("_n")).first()[0] or 0)
+    columns = ["page_id", "host", "path", "_best", "mined"]
+    out = told.select(*columns).unionByName(parsed.where("_best is not null").withColumn("mined", F.lit(None).cast("string")).select(*columns))
     verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), "mined")
 
