@@ -19,7 +19,7 @@ from planframe.llm.words import SEP, Spans, Words, chunks, powers
 #: Words of no account that every text is taken to have besides its own, so that a text of a few words is hardly judged.
 PLAIN = 8
 
-#: Documents that the scorer is fitted on, those with the least hashes of their ids.
+#: Distinct documents that the scorer is fitted on, those with the least hashes of id and text.
 SAMPLE = 4_000
 
 #: Buckets of hashed features; the last three are of repeated words, repeated word runs and texts.
@@ -184,35 +184,54 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int =
     return w
 
 
+def least_hashes(hashes: DataFrame, n: int) -> int | None:
+    """The ``n``-th least distinct value of a long column, or the greatest of fewer; a task passes on ``n`` values at most."""
+
+    def run(batches):
+        kept = np.zeros(0, np.int64)
+        for batch in batches:
+            kept = np.unique(np.r_[kept, batch.column(0).to_numpy()])[:n]
+        yield pa.RecordBatch.from_arrays([pa.array(kept)], ["h"])
+
+    return hashes.mapInArrow(run, "h long").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, float]]:
-    """The scorer's weights, and the posterior of each vote pattern. Votes are counted over all documents."""
-    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
-    # The sample is the documents whose hash is at most the sample-th least one.
-    least = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    """The scorer's weights, and the posterior of each vote pattern. Votes are counted over all documents.
+
+    The scorer sees ``sample`` distinct documents: rows of one id and one text are drawn together and count once.
+    """
+    order = F.xxhash64(F.lit(5), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    least = least_hashes(docs.select(order), sample)
+    if least is None:
+        return np.zeros(BUCKETS), {}
 
     def run(batches):
+        told = np.zeros(0, np.int64)
         for batch in batches:
-            drawn = batch.column(1).to_numpy(zero_copy_only=False)
+            order = batch.column(1).to_numpy()
             for row, data, at in chunks(batch.column(0)):
                 t = Texts(data, at)
                 pattern = t.votes()
                 value, n = np.unique(pattern, return_counts=True)
-                rows = np.flatnonzero(drawn[row : row + len(pattern)])
+                own = order[row : row + len(pattern)]
+                drawn, rows = np.unique(own, return_index=True)
+                new = (drawn <= least) & ~np.isin(drawn, told)
+                drawn, rows = drawn[new], rows[new]
+                told = np.union1d(told, drawn)
                 dense = [t.features(r).astype(np.float32).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[value, pattern[rows]]), pa.array(np.r_[n, np.zeros(len(rows), np.int64)]), pa.array([None] * len(value) + dense, pa.binary())],
-                    ["pattern", "n", "features"],
+                    [pa.array(np.r_[value, pattern[rows]]), pa.array(np.r_[n, np.zeros(len(rows), np.int64)]), pa.array([None] * len(value) + drawn.tolist(), pa.int64()), pa.array([None] * len(value) + dense, pa.binary())],
+                    ["pattern", "n", "drawn", "features"],
                 )
 
-    seen = docs.select(F.col("text").cast("string"), (order <= F.lit(least)).alias("drawn")) if least is not None else docs.select(F.col("text").cast("string"), F.lit(False).alias("drawn"))
-    seen = settle(seen.mapInArrow(run, "pattern long, n long, features binary"), "votes")
-    counts = seen.groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    seen = settle(docs.select(F.col("text").cast("string"), order).mapInArrow(run, "pattern long, n long, drawn long, features binary"), "votes")
+    counts = seen.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     pattern, n = counts["pattern"].to_numpy(), counts["n"].to_numpy().astype(float)
-    if not len(pattern):
-        return np.zeros(BUCKETS), {}
     good, _ = expectation_maximisation(digits(pattern), n)
     posterior = dict(zip(pattern.tolist(), good.tolist(), strict=True))
-    rows = seen.where("features is not null").select("pattern", "features").limit(2 * sample).toArrow()
+    # A row for each hash drawn, so ``sample`` at most; in the order of the hashes, so that sums come out alike.
+    rows = seen.where("drawn is not null").dropDuplicates(["drawn"]).orderBy("drawn").select("pattern", "features").toArrow()
     x = np.stack([np.frombuffer(f, np.float32) for f in rows["features"].to_pylist()])
     y = np.array([posterior[p] for p in rows["pattern"].to_pylist()])
     return fit_linear(x, y), posterior
