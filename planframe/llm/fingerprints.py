@@ -1,7 +1,8 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
-The lexicon is the set of terms whose document frequency lies in a band; its size is at most the mean number
-of distinct terms of a document over the band's lower share, whatever the corpus. Lexicon k keeps a random
+The lexicon is the set of terms whose share of documents lies in a band. It holds at most the mean number of distinct
+terms of a document over the band's lower end, whatever the size of the corpus, and the lower end is the share asked
+for or, for documents with many terms, that mean over LEXICON: so LEXICON terms at most. Lexicon k keeps a random
 share of it, halved from one set of lexicons to the next, so that for a text of any length some lexicons meet only a term or
 two of it. A fingerprint has a hash of the sorted distinct terms of the text in each lexicon.
 """
@@ -22,7 +23,7 @@ LEXICONS = (1, 1, 1, 2, 2, 4, 4, 8, 8, 8, 8, 8)
 #: Distinct terms that a task holds before it passes their counts on.
 HELD = 400_000
 
-#: Most terms of the broadcast lexicon (16 MB); past it the band's lower end is raised.
+#: The mean number of distinct terms of a document over this is the least lower end of the band; it bounds the broadcast lexicon (16 MB).
 LEXICON = 2_000_000
 
 
@@ -53,16 +54,15 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, least: float, most: float) -> np.ndarray:
-    """The sorted hashes of the terms whose share of documents lies in [least, most]; at least in two documents."""
+    """The sorted hashes of the terms whose share of documents lies in [least, most]; at least in two documents.
+
+    ``least`` is taken as the mean number of distinct terms of a document over LEXICON where that is more, at any corpus size.
+    """
     n = docs.count()
-    low, high = max(2, int(np.ceil(least * n))), max(2, int(most * n))
-    terms = settle(document_frequencies(docs).where(F.col("df").between(low, high)), "terms")
-    size = terms.count()
-    while size > LEXICON and low < high:
-        low *= 2
-        terms = terms.where(F.col("df") >= low)
-        size = terms.count()
-    return np.sort(terms.select("term").toArrow()["term"].to_numpy().view(np.uint64))
+    terms = settle(document_frequencies(docs), "terms")
+    mean = (terms.agg(F.sum("df")).first()[0] or 0) / max(n, 1)
+    low, high = max(2, int(np.ceil(max(least, mean / LEXICON) * n))), max(2, int(most * n))
+    return np.sort(terms.where(F.col("df").between(low, high)).select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 _SHARE = np.repeat(np.arange(len(LEXICONS)), LEXICONS)
@@ -109,6 +109,7 @@ def edited(text: str, following: str) -> str:
 def compare(docs: DataFrame, least: float = 1e-4, most: float = 0.1) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every text.
 
+    Lexicon terms lie in ``least`` to ``most`` of the documents (see ``lexicon`` for texts of very many terms).
     The next document is that of the next smaller doc_id, for the smallest the largest; a single document is
     its own. A null text is empty. Rows are dealt to ranges of doc_id and run through in order; the first
     row of a range is also sent to the range before, so no order over all rows is made in one place. Rows
