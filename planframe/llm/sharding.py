@@ -9,7 +9,7 @@ the driver. Sorted by size they enter the tightest bin that holds them, found in
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import numbered, settle
+from planframe.llm.common import hot_join, numbered, settle
 
 
 class Tree:
@@ -168,8 +168,8 @@ def shard(docs: DataFrame, shards: int = 40, grains: int = 1000, overhead: int =
         F.md5(text.cast("binary")).alias("_group"),
     )
     rows = settle(rows, "sizes")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("_n"))
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     grain = max(1, total // (shards * grains))
     bundles = max(1, shards * grains)
     own = F.col("bytes") >= grain
@@ -181,7 +181,7 @@ def shard(docs: DataFrame, shards: int = 40, grains: int = 1000, overhead: int =
     spark = docs.sparkSession
     # At most 2 * shards * grains rows.
     plan = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in placed.items()], "_item string, shard int"))
-    dealt = groups.join(plan, "_item").select("_group", "shard")
-    out = rows.join(dealt, "_group").select("doc_id", "size", "text_crc32", "shard")
-    salts = max(1, min(100_000, rows.count() // 20_000 + 1))
+    dealt = groups.join(plan, "_item").select("_group", "shard", "_n")
+    out = hot_join(rows, dealt, ["_group"], "_n", count).select("doc_id", "size", "text_crc32", "shard")
+    salts = max(1, min(100_000, count // 20_000 + 1))
     return numbered(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], salts, "slot")
