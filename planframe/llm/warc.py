@@ -4,19 +4,20 @@ Records go through Spark's text sink and come back through its binaryFile source
 in any store that Spark reaches. A payload is sent in HTTP chunked framing; a block over ``segment``
 characters is cut into a first record and continuation records. Reading groups continuations by the origin's
 record id, orders them by segment number, checks the total length, and undoes the chunked framing. A record is
-named by its page_id and, where rows repeat that, by a number of its own.
+named by its page_id and, where rows repeat that or it is null, by a number of its own.
 """
 
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import BROADCAST_ROWS, settle, shared_dir
+from planframe.llm.common import BROADCAST_ROWS, hot_join, settle, shared_dir
 
 #: Characters of a block in one record; a longer block is continued.
 SEGMENT = 32_768
@@ -24,11 +25,14 @@ SEGMENT = 32_768
 #: Characters in a chunk of the chunked framing.
 CHUNK = 8_192
 
-#: Most records in an archive file; with SEGMENT it bounds what a reading task holds.
+#: Most records in an archive file; with SEGMENT it bounds the compressed bytes that a reading task holds.
 ARCHIVE = 3_000
 
 _DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:planframe:page:"
+
+#: Stands in a record's name for a page_id that is null.
+NAMELESS = "none"
 _RECORD_SCHEMA = (
     "page_id long, kind string, refers_to long, digest string, segment int, origin string, total long, declared long, block binary"
 )
@@ -93,8 +97,8 @@ def records(name: str, url: str | None, payload: str | None, refers_to: str | No
 
 
 def record_name(page_id: str, copy: str) -> Column:
-    """What names a record: the page_id, with the row's own number where rows repeat the page_id."""
-    return F.concat_ws(".", F.col(page_id).cast("string"), F.col(copy).cast("string"))
+    """What names a record: the page_id, with the row's own number where rows repeat the page_id or it is null."""
+    return F.concat_ws(".", F.coalesce(F.col(page_id).cast("string"), F.lit(NAMELESS)), F.col(copy).cast("string"))
 
 
 def write(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
@@ -102,33 +106,38 @@ def write(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
 
     Of pages with one payload of at least ``least_revisit`` bytes, that with the largest page_id is written
     as response, the others as revisits of it; pages with smaller payloads are responses. A null html is an
-    empty payload, a null url an empty one. Rows with a null page_id can't be named and are left out; rows
-    that repeat a page_id are records of their own, responses where they hold their payload's largest page_id.
+    empty payload, a null url an empty one. Rows that repeat a page_id are records of their own, responses
+    where they hold their payload's largest page_id. Rows with a null page_id are records of their own too:
+    revisits where a page with an id has their payload, else responses, as nothing can refer to them.
     """
-    pages = pages.where("page_id is not null").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     html = F.coalesce("html", F.lit(""))
     seen = pages.select("page_id", "url", F.sha1(html.cast("binary")).alias("_sha"), F.octet_length(html).cast("long").alias("_length"))
     seen = settle(seen, "payloads")
-    again = settle(seen.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("page_id"), "again")
+    total = seen.count()
+    again = settle(seen.where("page_id is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("page_id"), "again")
     n_again = again.count()
     again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
     nothing = F.lit(None)
     keys = seen.withColumn("_copy", nothing.cast("long"))
-    if n_again:
-        # Only rows that repeat a page_id are written out with their payloads, to have numbers that stay.
-        copies = pages.join(again, "page_id", "left_semi").withColumns({"_sha": F.sha1(html.cast("binary")), "_length": F.octet_length(html).cast("long"), "_copy": F.monotonically_increasing_id()})
-        copies = settle(copies, "copies")
-        keys = keys.join(again, "page_id", "left_anti").unionByName(copies.drop("html"))
-    last = keys.where(F.col("_length") >= least_revisit).groupBy("_sha", "_length").agg(F.max(F.struct("page_id", "_copy")).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    last = last.select("_sha", "_length", F.col("_last.page_id").alias("_last"), record_name("_last.page_id", "_last._copy").alias("_name"))
-    told = settle(keys.join(last, ["_sha", "_length"], "left").withColumn("refers_to", F.when(F.col("_last") > F.col("page_id"), F.col("_name"))), "told")
+    copied = bool(n_again) or bool(seen.where("page_id is null").limit(1).count())
+    if copied:
+        # Only rows without an id of their own are written out with their payloads, to have numbers that stay.
+        copies = pages.join(again, "page_id", "left_semi").unionByName(pages.where("page_id is null"))
+        copies = settle(copies.withColumns({"_sha": F.sha1(html.cast("binary")), "_length": F.octet_length(html).cast("long"), "_copy": F.monotonically_increasing_id()}), "copies")
+        keys = keys.where("page_id is not null").join(again, "page_id", "left_anti").unionByName(copies.drop("html"))
+    last = keys.where(F.col("_length") >= least_revisit).groupBy("_sha", "_length").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "_copy"))).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    last = settle(last.select("_sha", "_length", F.col("_last.page_id").alias("_last"), record_name("_last.page_id", "_last._copy").alias("_name"), "_n").where("_n > 1"), "repeated")
+    # Payloads that no other row has join with nothing, and those that many rows have are not dealt by their digest.
+    told = hot_join(keys, last, ["_sha", "_length"], "_n", total, "left")
+    told = settle(told.withColumn("refers_to", F.when(F.coalesce(F.col("_last") > F.col("page_id"), F.col("_last").isNotNull()), F.col("_name"))), "told")
     revisits = told.where("refers_to is not null")
     gone = revisits.where("_copy is null").select(F.col("page_id").alias("_gone")).unionByName(again.select(F.col("page_id").alias("_gone")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     columns = [record_name("page_id", "_copy").alias("name"), "url", "html", "refers_to", "_sha", "_length"]
     fresh = {"refers_to": nothing.cast("string"), "_sha": nothing.cast("string"), "_length": nothing.cast("long")}
-    responses = pages.join(gone, F.col("page_id") == F.col("_gone"), "left_anti").withColumns(fresh | {"_copy": nothing.cast("long")}).select(*columns)
-    if n_again:
+    responses = pages.where("page_id is not null").join(gone, F.col("page_id") == F.col("_gone"), "left_anti").withColumns(fresh | {"_copy": nothing.cast("long")}).select(*columns)
+    if copied:
         kept = copies.join(revisits.where("_copy is not null").select("_copy"), "_copy", "left_anti")
         responses = responses.unionByName(kept.withColumns(fresh).select(*columns))
     revisits = revisits.withColumn("html", nothing.cast("string")).select(*columns)
@@ -162,23 +171,29 @@ def _name(record_id: str | None) -> str | None:
 
 
 def _page(record_id: str | None) -> int | None:
-    return int(_name(record_id).split(".")[0]) if record_id else None
+    own = _name(record_id).split(".")[0] if record_id else NAMELESS
+    return None if own == NAMELESS else int(own)
+
 
+def parse(data: bytes | io.BufferedIOBase):
+    """The records of an archive: (fields, block). Raises ValueError where one does not start or end as it says.
 
-def parse(data: bytes):
-    """The records of an archive: (fields, block). Raises ValueError where one does not start or end as it says."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at {at}")
-        end = data.index(b"\r\n\r\n", at)
-        fields = _fields(data[at:end])
+    An archive that is a stream is read a record at a time.
+    """
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := source.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no record where one should start")
+        head = line
+        while (line := source.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a record's head ends early")
+            head += line
+        fields = _fields(head)
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if len(block) != size or data[at : at + 4] != b"\r\n\r\n":
+        block = source.read(size)
+        if len(block) != size or source.read(4) != b"\r\n\r\n":
             raise ValueError("a record ends early")
-        at += 4
         yield fields, block
 
 
@@ -188,8 +203,8 @@ def read_records(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for f, block in parse(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for f, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
                     length = None
                     if f["warc-type"] == "revisit":
                         length = int(_fields(block.split(b"\r\n\r\n")[0])["content-length"])
@@ -197,9 +212,10 @@ def read_records(spark, path: str) -> DataFrame:
                     total = f.get("warc-segment-total-length")
                     own = f["warc-record-id"]
                     rows.append((_page(own), f["warc-type"], _page(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), int(f.get("warc-segment-number", 0)), _name(f.get("warc-segment-origin-id") or own), int(total) if total else None, length, block))
-                    if sum(len(r[-1]) for r in rows[-64:]) > 4_000_000 or len(rows) >= 2000:
+                    held += len(block)
+                    if held > 4_000_000 or len(rows) >= 2000:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 

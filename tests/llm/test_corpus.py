@@ -278,10 +278,11 @@ def test_warc_round_trip(spark):
 
 def test_warc_rows_that_repeat_a_page_id(spark):
     long, other = "é" * 50_000, "x" * 40_000
-    pages = [(1, "a", long), (1, "a", long), (2, "b", "p"), (2, "b", "q"), (3, "c", "p"), (4, "d", other), (4, "d", long[1:]), (5, "e", "r"), (5, "f", "r"), (6, "g", other), (6, "g", other), (None, "h", "p")]
+    pages = [(1, "a", long), (1, "a", long), (2, "b", "p"), (2, "b", "q"), (3, "c", "p"), (4, "d", other), (4, "d", long[1:]), (5, "e", "r"), (5, "f", "r"), (6, "g", other), (6, "g", other), (None, "h", "p"), (None, "i", None), (None, "i", None), (None, "j", long + "y")]
     got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     told = lambda text: base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
-    want = [(p, told(h), len(h.encode()), {(2, "p"): 3, (4, other): 6}.get((p, h))) for p, _, h in pages if p]
+    refers = {(2, "p"): 3, (None, "p"): 3, (4, other): 6}
+    want = [(p, told(h or ""), len((h or "").encode()), refers.get((p, h))) for p, _, h in pages]
     assert sorted(map(str, want)) == sorted(str((x.page_id, x.payload_digest, x.payload_bytes, x.refers_to)) for x in got)
     assert all(x.complete and (x.record_type == "revisit") == (x.refers_to is not None) for x in got)
     assert all(x.payload is None if x.refers_to else told(bytes(x.payload).decode()) == x.payload_digest for x in got)
