@@ -20,6 +20,8 @@ _random = np.random.default_rng(20_240_229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [int(x) | 1 for x in _random.integers(1 << 40, 2**63, 2, dtype=np.uint64)]
 _MIX = _random.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_AGAIN = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES += [int(x) | 1 for x in _random.integers(1 << 40, 2**63, 2, dtype=np.uint64)]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -89,6 +91,10 @@ class Words:
         self.first = np.searchsorted(self.starts, at)
         self.hashes = Spans(_BYTE[data], 0)(self.starts, self.ends) if n else np.zeros(0, np.uint64)
 
+    def again(self) -> np.ndarray:
+        """Second hashes of the words, by other values of the bytes and another base."""
+        return Spans(_BYTE_AGAIN[self.data], 2)(self.starts, self.ends) if len(self.data) else np.zeros(0, np.uint64)
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of runs of k words, and where each text's begin; a text of 1 to k-1 words has one, of all its words."""
         count = np.diff(self.first)
