@@ -109,7 +109,8 @@ def chat_sessions(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     "box_filter",
     """SELECT job_id, ord, 2 * x1 AS x1, 2 * y1 AS y1, 2 * x2 AS x2, 2 * y2 AS y2, x1 + x2 AS cx, y1 + y2 AS cy FROM detections_v
-    WHERE least(x2 - x1, y2 - y1) >= 10 AND greatest(x2 - x1, y2 - y1) <= 80 AND least(x2 - x1, y2 - y1) / greatest(x2 - x1, y2 - y1) >= 0.5""",
+    WHERE least(x2 - x1, y2 - y1) >= 10 AND greatest(x2 - x1, y2 - y1) <= CASE type WHEN 'structural_framing' THEN 300 ELSE 80 END
+    AND least(x2 - x1, y2 - y1) / greatest(x2 - x1, y2 - y1) >= CASE type WHEN 'column' THEN 0.75 WHEN 'structural_framing' THEN 0 ELSE 0.5 END""",
     "detections",
 )
 def box_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -126,14 +127,14 @@ def type_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return boxes.dispatch(view(spark, d, "detections")).select("job_id", "ord", "kind", "id", "flat", "thickness")
 
 
-_LINES_SQL = "g AS (SELECT list(px ORDER BY px) FILTER (WHERE axis = 'x') AS xs, list(px ORDER BY px) FILTER (WHERE axis = 'y') AS ys FROM grid_lines_v)"
+_LINES_SQL = "g AS (SELECT job_id, list(px ORDER BY px) FILTER (WHERE axis = 'x') AS xs, list(px ORDER BY px) FILTER (WHERE axis = 'y') AS ys FROM grid_lines_v GROUP BY job_id)"
 _C_SQL = "c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM detections_v)"
 _IOU_SQL = """CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) THEN
     (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
     - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) ELSE 0.0 END"""
 
 
-@_query("outside_grid", f", {_LINES_SQL}, {_C_SQL} SELECT job_id, ord, cx BETWEEN xs[1] - 50 AND xs[-1] + 50 AND cy BETWEEN ys[1] - 50 AND ys[-1] + 50 AS kept FROM c, g", "detections", "grid_lines")
+@_query("outside_grid", f", {_LINES_SQL}, {_C_SQL} SELECT job_id, ord, cx BETWEEN xs[1] - 50 AND xs[-1] + 50 AND cy BETWEEN ys[1] - 50 AND ys[-1] + 50 AS kept FROM c JOIN g USING (job_id)", "detections", "grid_lines")
 def outside_grid(spark: SparkSession, d: str) -> DataFrame:
     return boxes.outside_grid(view(spark, d, "detections"), view(spark, d, "grid_lines")).select("job_id", "ord", "kept")
 
@@ -153,7 +154,7 @@ def isolated(spark: SparkSession, d: str) -> DataFrame:
     return boxes.isolated(view(spark, d, "detections"))
 
 
-_OFF_SQL = "o AS (SELECT job_id, ord, list_min(list_transform(xs, lambda v: abs(v - cx))) AS dx, list_min(list_transform(ys, lambda v: abs(v - cy))) AS dy FROM c, g)"
+_OFF_SQL = "o AS (SELECT job_id, ord, list_min(list_transform(xs, lambda v: abs(v - cx))) AS dx, list_min(list_transform(ys, lambda v: abs(v - cy))) AS dy FROM c JOIN g USING (job_id))"
 
 
 @_query("off_grid", f", {_LINES_SQL}, {_C_SQL}, {_OFF_SQL} SELECT job_id, ord, dx, dy, dx > 80 AND dy > 80 AS off_grid FROM o", "detections", "grid_lines")
@@ -173,30 +174,39 @@ def validate_all(spark: SparkSession, d: str) -> DataFrame:
     return boxes.validate(view(spark, d, "detections"), view(spark, d, "grid_lines"))
 
 
-@_query("bay_rules", "SELECT axis, idx, CASE WHEN spacing_mm < 3000 THEN 'bay_too_narrow_' ELSE 'bay_too_wide_' END || CAST(CAST(round_even(spacing_mm, 0) AS BIGINT) AS VARCHAR) || 'mm' AS violation FROM grid_gaps_v WHERE spacing_mm < 3000 OR spacing_mm > 12000", "grid_gaps")
+@_query("bay_rules", "SELECT job_id, axis, idx, CASE WHEN spacing_mm < 3000 THEN 'bay_too_narrow_' ELSE 'bay_too_wide_' END || CAST(CAST(round_even(spacing_mm, 0) AS BIGINT) AS VARCHAR) || 'mm' AS violation FROM grid_gaps_v WHERE spacing_mm < 3000 OR spacing_mm > 12000", "grid_gaps")
 def bay_rules(spark: SparkSession, d: str) -> DataFrame:
     return boxes.bay_rules(view(spark, d, "grid_gaps"))
 
 
-@_query("nms")
+@_query(
+    "nms",
+    f""", br AS (SELECT *, row_number() OVER (PARTITION BY job_id, type ORDER BY confidence DESC, ord) AS rn FROM detections_v),
+    bt AS (SELECT b.job_id, b.type, b.ord, b.confidence, b.rn, list(a.ord) FILTER (WHERE a.ord IS NOT NULL) AS better FROM br b LEFT JOIN br a ON a.job_id = b.job_id AND a.type = b.type AND a.rn < b.rn AND {_IOU_SQL} > 0.45 GROUP BY ALL),
+    kp AS (SELECT DISTINCT job_id, type, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM bt
+        UNION ALL SELECT kp.job_id, kp.type, bt.rn, CASE WHEN list_has_any(kept, coalesce(better, [])) THEN kept ELSE list_append(kept, bt.ord) END FROM kp JOIN bt ON bt.job_id = kp.job_id AND bt.type = kp.type AND bt.rn = kp.rn + 1),
+    kl AS (SELECT job_id, type, unnest(arg_max(kept, rn)) AS ord FROM kp GROUP BY job_id, type) SELECT job_id, type, ord, confidence FROM kl JOIN bt USING (job_id, type, ord)""",
+    "detections",
+)
 def nms(spark: SparkSession, d: str) -> DataFrame:
     return boxes.suppress(view(spark, d, "detections")).select("job_id", "type", "ord", "confidence")
 
 
-_PREFIX_SQL = """w AS (SELECT axis, idx, coalesce(sum(spacing_mm) OVER (PARTITION BY axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_mm FROM grid_gaps_v
-    UNION ALL SELECT axis, max(idx) + 1, sum(spacing_mm) FROM grid_gaps_v GROUP BY axis)"""
+_PREFIX_SQL = """w AS (SELECT job_id, axis, idx, coalesce(sum(spacing_mm) OVER (PARTITION BY job_id, axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_mm FROM grid_gaps_v
+    UNION ALL SELECT job_id, axis, max(idx) + 1, sum(spacing_mm) FROM grid_gaps_v GROUP BY job_id, axis)"""
 
 
-@_query("grid_prefix_sum", f", {_PREFIX_SQL} SELECT axis, idx, start_mm FROM w", "grid_gaps")
+@_query("grid_prefix_sum", f", {_PREFIX_SQL} SELECT job_id, axis, idx, start_mm FROM w", "grid_gaps")
 def grid_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
     return grid.prefix_mm(view(spark, d, "grid_gaps"))
 
 
-_WORLD_SQL = f"""{_PREFIX_SQL}, {_C_SQL}, l AS (SELECT axis, idx, px, start_mm AS mm, lead(px) OVER (PARTITION BY axis ORDER BY idx) AS npx, lead(start_mm) OVER (PARTITION BY axis ORDER BY idx) AS nmm,
-    min(px) OVER (PARTITION BY axis) AS p0, max(px) OVER (PARTITION BY axis) AS p1, max(start_mm) OVER (PARTITION BY axis) AS m1 FROM grid_lines_v JOIN w USING (axis, idx)),
+_WORLD_SQL = f"""{_PREFIX_SQL}, {_C_SQL}, l AS (SELECT job_id, axis, idx, px, start_mm AS mm, lead(px) OVER v AS npx, lead(start_mm) OVER v AS nmm,
+    min(px) OVER (PARTITION BY job_id, axis) AS p0, max(px) OVER (PARTITION BY job_id, axis) AS p1, max(start_mm) OVER (PARTITION BY job_id, axis) AS m1 FROM grid_lines_v JOIN w USING (job_id, axis, idx) WINDOW v AS (PARTITION BY job_id, axis ORDER BY idx)),
+    h AS (SELECT job_id, max(start_mm) AS h FROM w WHERE axis = 'y' GROUP BY job_id),
     u AS (SELECT job_id, ord, 'x' AS axis, cx AS v FROM c UNION ALL SELECT job_id, ord, 'y', cy FROM c),
-    m AS (SELECT job_id, ord, u.axis, CASE WHEN v >= p1 THEN m1 ELSE mm + (v - px) / (npx - px) * (nmm - mm) END AS mm FROM u JOIN l ON u.axis = l.axis AND npx IS NOT NULL AND ((v >= px AND v < npx) OR (v >= p1 AND npx = p1) OR (v < p0 AND px = p0))),
-    k AS (SELECT job_id, ord, max(mm) FILTER (WHERE axis = 'x') AS wx, (SELECT max(start_mm) FROM w WHERE axis = 'y') - max(mm) FILTER (WHERE axis = 'y') AS wy FROM m GROUP BY job_id, ord)"""
+    m AS (SELECT u.job_id, ord, u.axis, CASE WHEN v >= p1 THEN m1 ELSE mm + (v - px) / (npx - px) * (nmm - mm) END AS mm FROM u JOIN l ON u.job_id = l.job_id AND u.axis = l.axis AND npx IS NOT NULL AND ((v >= px AND v < npx) OR (v >= p1 AND npx = p1) OR (v < p0 AND px = p0))),
+    k AS (SELECT job_id, ord, max(mm) FILTER (WHERE axis = 'x') AS wx, max(h) - max(mm) FILTER (WHERE axis = 'y') AS wy FROM m JOIN h USING (job_id) GROUP BY job_id, ord)"""
 
 
 @_query("px_to_mm", f", {_WORLD_SQL} SELECT job_id, ord, round(wx, 6) AS wx, round(wy, 6) AS wy FROM k", "detections", "grid_lines", "grid_gaps")
@@ -207,11 +217,11 @@ def px_to_mm(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "grid_snap",
-    f""", {_WORLD_SQL}, b AS (SELECT min(spacing_mm) AS bay FROM grid_gaps_v), h AS (SELECT max(start_mm) AS h FROM w WHERE axis = 'y'),
-    sx AS (SELECT job_id, ord, arg_min(start_mm, (abs(start_mm - wx), idx)) AS lx FROM k JOIN w ON w.axis = 'x' GROUP BY job_id, ord),
-    sy AS (SELECT job_id, ord, arg_min(h - start_mm, (abs(h - start_mm - wy), idx)) AS ly FROM k JOIN w ON w.axis = 'y' CROSS JOIN h GROUP BY job_id, ord)
+    f""", {_WORLD_SQL}, b AS (SELECT job_id, min(spacing_mm) AS bay FROM grid_gaps_v GROUP BY job_id),
+    sx AS (SELECT job_id, ord, arg_min(start_mm, (abs(start_mm - wx), idx)) AS lx FROM k JOIN w USING (job_id) WHERE axis = 'x' GROUP BY job_id, ord),
+    sy AS (SELECT job_id, ord, arg_min(h - start_mm, (abs(h - start_mm - wy), idx)) AS ly FROM k JOIN w USING (job_id) JOIN h USING (job_id) WHERE axis = 'y' GROUP BY job_id, ord)
     SELECT job_id, ord, round(CASE WHEN abs(lx - wx) <= bay / 2 THEN lx ELSE wx END, 6) AS snap_x, round(CASE WHEN abs(ly - wy) <= bay / 2 THEN ly ELSE wy END, 6) AS snap_y
-    FROM k JOIN sx USING (job_id, ord) JOIN sy USING (job_id, ord) CROSS JOIN b""",
+    FROM k JOIN sx USING (job_id, ord) JOIN sy USING (job_id, ord) JOIN b USING (job_id)""",
     "detections",
     "grid_lines",
     "grid_gaps",
@@ -227,8 +237,8 @@ def label_upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TEXTS_SQL = "t AS (SELECT job_id, ord, CASE WHEN ord % 12 = 5 THEN 'x' ELSE 'y' END AS axis, CASE WHEN ord % 12 = 5 THEN sx ELSE sy END AS pos, CAST(text AS DOUBLE) AS mm FROM spans_v WHERE ord % 6 = 5)"
-_GAPS_SQL = "b AS (SELECT axis, idx AS gap, px AS lo, lead(px) OVER (PARTITION BY axis ORDER BY idx) AS hi FROM grid_lines_v), n AS (SELECT axis, gap, lo, hi, hi - lo AS width FROM b WHERE hi IS NOT NULL)"
-_ASSIGN_SQL = f"{_TEXTS_SQL}, {_GAPS_SQL}, a AS (SELECT job_id, t.axis, ord, mm, min(gap) AS gap, arg_min(width, gap) AS width FROM t JOIN n ON t.axis = n.axis AND abs(pos - (lo + hi) / 2) < greatest(width / 2, 1) GROUP BY ALL)"
+_GAPS_SQL = "b AS (SELECT job_id, axis, idx AS gap, px AS lo, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS hi FROM grid_lines_v), n AS (SELECT job_id, axis, gap, lo, hi, hi - lo AS width FROM b WHERE hi IS NOT NULL)"
+_ASSIGN_SQL = f"{_TEXTS_SQL}, {_GAPS_SQL}, a AS (SELECT t.job_id, t.axis, ord, mm, min(gap) AS gap, arg_min(width, gap) AS width FROM t JOIN n ON t.job_id = n.job_id AND t.axis = n.axis AND abs(pos - (lo + hi) / 2) < greatest(width / 2, 1) GROUP BY ALL)"
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -250,11 +260,11 @@ def gap_assign(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     "spacing_infer",
     f""", {_ASSIGN_SQL}, c AS (SELECT job_id, axis, mm, count(*) AS n, min((gap, ord)) AS f FROM a GROUP BY ALL), md AS (SELECT job_id, axis, arg_min(mm, (-n, f)) AS modal FROM c GROUP BY job_id, axis),
-    wd AS (SELECT axis, list_sort(list(width))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM n GROUP BY axis),
-    s AS (SELECT a.*, abs(mm - modal * width / greatest(median, 1)) AS off, modal * width / greatest(median, 1) AS e FROM a JOIN md USING (job_id, axis) JOIN wd USING (axis)),
+    wd AS (SELECT job_id, axis, list_sort(list(width))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM n GROUP BY job_id, axis),
+    s AS (SELECT a.*, abs(mm - modal * width / greatest(median, 1)) AS off, modal * width / greatest(median, 1) AS e FROM a JOIN md USING (job_id, axis) JOIN wd USING (job_id, axis)),
     an AS (SELECT job_id, axis, gap, arg_min(mm, (off, ord)) AS mm, arg_min(width, (off, ord)) AS width FROM s WHERE off / greatest(e, 1) <= 0.30 GROUP BY job_id, axis, gap),
     ra AS (SELECT job_id, axis, sum(width / mm) / count(*) AS ratio FROM an GROUP BY job_id, axis),
-    ev AS (SELECT job_id, axis, gap, width FROM (SELECT DISTINCT job_id, axis FROM t) JOIN n USING (axis)),
+    ev AS (SELECT job_id, axis, gap, width FROM (SELECT DISTINCT job_id, axis FROM t) JOIN n USING (job_id, axis)),
     mi AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.job_id = ev.job_id AND an.axis = ev.axis AND an.gap = ev.gap)),
     tr AS (SELECT mi.job_id, mi.axis, mi.gap, an.mm, an.gap AS g, mi.width / (an.mm * ratio) AS share FROM mi JOIN an USING (job_id, axis) JOIN ra USING (job_id, axis) WHERE an.mm * ratio > 0),
     inf AS (SELECT job_id, axis, gap, arg_min(mm, (abs(share - 1), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap)
@@ -267,10 +277,10 @@ def spacing_infer(spark: SparkSession, d: str) -> DataFrame:
     return grid.infer_spacings(_texts(spark, d), view(spark, d, "grid_lines"))
 
 
-@_query("dedup_first_seen", f", {_C_SQL} SELECT job_id, type, ord, cx, cy FROM c QUALIFY row_number() OVER (PARTITION BY type, round_even(cx / 40, 1), round_even(cy / 40, 1) ORDER BY ord) = 1", "detections")
+@_query("dedup_first_seen", f", {_C_SQL} SELECT job_id, type, ord, cx, cy FROM c QUALIFY row_number() OVER (PARTITION BY job_id, type, round_even(cx / 40, 1), round_even(cy / 40, 1) ORDER BY ord) = 1", "detections")
 def dedup_first_seen(spark: SparkSession, d: str) -> DataFrame:
     rows = boxes.centred(view(spark, d, "detections")).withColumns({"_x": F.col("cx") / 40, "_y": F.col("cy") / 40})
-    return boxes.first_seen(rows, ["type"], "_x", "_y").select("job_id", "type", "ord", "cx", "cy")
+    return boxes.first_seen(rows, ["job_id", "type"], "_x", "_y").select("job_id", "type", "ord", "cx", "cy")
 
 
 @_query(
@@ -352,7 +362,7 @@ def nearest_column(spark: SparkSession, d: str) -> DataFrame:
 )
 def dashline_near(spark: SparkSession, d: str) -> DataFrame:
     ends = view(spark, d, "beams").select("job_id", "ord", F.col("dir").alias("axis"), F.col("sx").alias("qx"), F.col("sy").alias("qy"), "width")
-    return sanitize.on_dash(ends, view(spark, d, "all_dashes"))
+    return sanitize.on_dash(ends, view(spark, d, "dashes"))
 
 
 _ZONE_SQL = "z AS (SELECT *, CASE WHEN regexp_matches(code, '^\\d{3}CIS$') THEN CAST(code[1:3] AS DOUBLE) WHEN code IN ('NSP1', 'NSP2', 'NSP5') THEN 100.0 + 50 * CAST(code[4:] AS INT) END AS t FROM zones_v)"
@@ -404,44 +414,136 @@ def normalize_dims(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("job_id", "ord", "n.width", "n.depth", "n.suffix")
 
 
+_STYLE_SQL = """tb AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty FROM detections_v), tp AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty, dashes IN ('[3 2] 0', '[5] 1') AS dashed FROM strokes_v),
+    ns AS (SELECT b.job_id, b.ord, count(*) FILTER (WHERE dashed) AS d, count(*) FILTER (WHERE NOT dashed) AS s FROM tb b JOIN tp p ON b.job_id = p.job_id AND abs(b.tx - p.tx) <= 1 AND abs(b.ty - p.ty) <= 1 AND p.x1 <= b.x2 AND p.x2 >= b.x1 AND p.y1 <= b.y2 AND p.y2 >= b.y1 GROUP BY b.job_id, b.ord),
+    st AS (SELECT job_id, ord, CASE WHEN d >= greatest(2, s) THEN 'dashed' WHEN s > d THEN 'solid' ELSE 'unknown' END AS style FROM tb LEFT JOIN ns USING (job_id, ord))"""
+
+_FRAMING_SQL = f"""{_LINES_SQL}, {_C_SQL}, {_TAG_SQL.replace("dist <= {}", "dist <= 120").replace("g AS (SELECT job_id, ord AS t_ord", "gt AS (SELECT job_id, ord AS t_ord").replace("JOIN g USING", "JOIN gt USING")}, {_NEAR_SQL}, {_STYLE_SQL},
+    fb AS (SELECT c.*, x2 - x1 >= y2 - y1 AS flat, least(x2 - x1, y2 - y1) AS short FROM c WHERE type = 'structural_framing'),
+    fl AS (SELECT *, CASE WHEN flat THEN x1 ELSE y1 END AS lo, CASE WHEN flat THEN x2 ELSE y2 END AS hi, CASE WHEN flat THEN cx ELSE cy END AS mid, CASE WHEN flat THEN cy ELSE cx END AS across, CASE WHEN flat THEN y2 - y1 ELSE x2 - x1 END AS wide FROM fb),
+    sn AS (SELECT fl.job_id, fl.ord, max(CASE WHEN flat THEN c.cx ELSE c.cy END) FILTER (WHERE CASE WHEN flat THEN c.cx ELSE c.cy END < mid) AS n_lo, min(CASE WHEN flat THEN c.cx ELSE c.cy END) FILTER (WHERE CASE WHEN flat THEN c.cx ELSE c.cy END >= mid) AS n_hi
+        FROM fl JOIN c ON c.type = 'column' AND c.job_id = fl.job_id AND abs(CASE WHEN flat THEN c.cy ELSE c.cx END - across) <= CASE WHEN flat THEN c.y2 - c.y1 ELSE c.x2 - c.x1 END * 0.5 + wide GROUP BY fl.job_id, fl.ord),
+    fa AS (SELECT fl.*, tag, legend_v.material AS lm, nc.dist AS col_dist, style, coalesce(n_lo, lo) AS nl, coalesce(n_hi, hi) AS nh,
+        coalesce(CASE WHEN flat THEN list_min(list_transform(ys, lambda v: abs(v - cy))) <= 30 ELSE list_min(list_transform(xs, lambda v: abs(v - cx))) <= 30 END, FALSE) AS aligned
+        FROM fl LEFT JOIN g USING (job_id) LEFT JOIN tg USING (job_id, ord) LEFT JOIN nc USING (job_id, ord) LEFT JOIN st USING (job_id, ord) LEFT JOIN sn USING (job_id, ord) LEFT JOIN legend_v USING (job_id, tag)),
+    fs AS (SELECT *, coalesce(lm, CASE WHEN contains(tag, 'RC') THEN 'rc' WHEN starts_with(tag, 'SB') OR starts_with(tag, 'S-') THEN 'steel' END, CASE style WHEN 'dashed' THEN 'steel' WHEN 'solid' THEN 'rc' END) AS material,
+        NOT (nh - nl < wide OR (hi > lo AND nh - nl > 3 * (hi - lo))) AND (nl <> lo OR nh <> hi) AS moved, coalesce(col_dist < 1.5 * short, FALSE) AS conflict,
+        CASE WHEN lm IS NOT NULL THEN 3 WHEN tag IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN aligned THEN 2 ELSE 0 END + CASE WHEN style <> 'unknown' THEN 1 ELSE 0 END + CASE WHEN col_dist > 0.5 * short THEN 1 ELSE 0 END AS score FROM fa),
+    fr AS (SELECT *, CASE WHEN NOT conflict THEN CASE WHEN moved THEN 'snap_to_columns' ELSE 'no_conflict' END WHEN score >= 3 THEN 'join_conflict_resolved' WHEN score = 2 THEN 'join_conflict_borderline_admitted' ELSE 'join_conflict_unsupported' END AS reason FROM fs),
+    fx AS (SELECT *, reason IN ('snap_to_columns', 'join_conflict_resolved') AND moved AS fix FROM fr),
+    fd AS (SELECT job_id, ord, type, CASE WHEN reason IN ('snap_to_columns', 'join_conflict_resolved') THEN 'admit_with_fix' WHEN reason = 'join_conflict_unsupported' THEN 'reject' ELSE 'admit' END AS action, reason,
+        CASE WHEN fix AND flat THEN nl ELSE x1 END AS x1, CASE WHEN fix AND NOT flat THEN nl ELSE y1 END AS y1, CASE WHEN fix AND flat THEN nh ELSE x2 END AS x2, CASE WHEN fix AND NOT flat THEN nh ELSE y2 END AS y2,
+        tag, material, aligned, round(col_dist, 6) AS col_dist, score FROM fx)"""
+_FRAMING_VIEWS = ("detections", "spans", "grid_lines", "legend", "strokes")
+
+
+def _framing(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return view(spark, d, "detections"), _tags(spark, d), view(spark, d, "grid_lines"), view(spark, d, "legend"), view(spark, d, "strokes")
+
+
+@_query("framing_score", f", {_FRAMING_SQL} SELECT * FROM fd", *_FRAMING_VIEWS)
+def framing_score(spark: SparkSession, d: str) -> DataFrame:
+    return admit.framing(*_framing(spark, d))
+
+
+_JUDGE_SQL = f"""{_FRAMING_SQL}, {_OFF_SQL}, jd AS (SELECT job_id, ord, type, action, reason, x1, y1, x2, y2 FROM fd UNION ALL
+    SELECT job_id, ord, type, CASE WHEN dx > 80 AND dy > 80 THEN 'reject' ELSE 'admit' END, CASE WHEN dx > 80 AND dy > 80 THEN 'off_grid' ELSE 'on_grid' END, x1, y1, x2, y2 FROM c JOIN o USING (job_id, ord) WHERE type = 'column'
+    UNION ALL SELECT job_id, ord, type, 'admit', 'no_rule_for_type', x1, y1, x2, y2 FROM c WHERE type NOT IN ('structural_framing', 'column'))"""
+
+
+@_query("admit_all", f", {_JUDGE_SQL} SELECT * FROM jd", *_FRAMING_VIEWS)
+def admit_all(spark: SparkSession, d: str) -> DataFrame:
+    return admit.judge(*_framing(spark, d))
+
+
+@_query("admit_counts", f", {_JUDGE_SQL} SELECT CASE WHEN reason = 'no_rule_for_type' THEN 'skipped' ELSE action END AS action, count(*) AS n FROM jd GROUP BY 1", *_FRAMING_VIEWS)
+def admit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return admit.counts(admit.judge(*_framing(spark, d)))
+
+
 @_query(
-    "framing_score",
-    f""", {_LINES_SQL.replace("g AS", "ln AS")}, {_C_SQL}, {_TAG_SQL.replace("dist <= {}", "dist <= 120")}, {_NEAR_SQL},
-    f AS (SELECT c.job_id, c.ord, tag, nc.dist AS col_dist, least(x2 - x1, y2 - y1) AS short, CASE WHEN x2 - x1 >= y2 - y1 THEN list_min(list_transform(ys, lambda v: abs(v - cy))) <= 30 ELSE list_min(list_transform(xs, lambda v: abs(v - cx))) <= 30 END AS aligned
-        FROM c CROSS JOIN ln LEFT JOIN tg USING (job_id, ord) LEFT JOIN nc USING (job_id, ord) WHERE type = 'structural_framing'),
-    s AS (SELECT *, CASE WHEN tag IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN aligned THEN 2 ELSE 0 END + CASE WHEN col_dist > 0.5 * short THEN 1 ELSE 0 END AS score FROM f)
-    SELECT job_id, ord, tag, aligned, round(col_dist, 6) AS col_dist, score, CASE WHEN NOT coalesce(col_dist < 1.5 * short, FALSE) THEN 'admit' WHEN score >= 3 THEN 'admit_with_fix' WHEN score = 2 THEN 'admit' ELSE 'reject' END AS action FROM s""",
+    "enforce_rules",
+    f""", {_LINES_SQL}, {_C_SQL}, {_OFF_SQL}, i AS (SELECT * FROM {_ALONE_SQL}),
+    bv AS (SELECT job_id, string_agg(CASE WHEN spacing_mm < 3000 THEN 'bay_too_narrow_' ELSE 'bay_too_wide_' END || CAST(CAST(round_even(spacing_mm, 0) AS BIGINT) AS VARCHAR) || 'mm', ',' ORDER BY axis, idx) AS v FROM grid_gaps_v WHERE spacing_mm < 3000 OR spacing_mm > 12000 GROUP BY job_id)
+    SELECT job_id, ord, coalesce(v, '') AS violations, dx > 80 AND dy > 80 AND i.ord IS NOT NULL AS is_orphan, v IS NULL AS is_compliant FROM o LEFT JOIN i USING (job_id, ord) LEFT JOIN bv USING (job_id)""",
     "detections",
-    "spans",
     "grid_lines",
+    "grid_gaps",
 )
-def framing_score(spark: SparkSession, d: str) -> DataFrame:
-    return admit.framing_scores(view(spark, d, "detections"), _tags(spark, d), view(spark, d, "grid_lines"))
+def enforce_rules(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.enforce_rules(view(spark, d, "detections"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps"))
 
 
 @_query(
     "slab_dup",
-    f""", r AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM (SELECT job_id, ord, x1, y1, x2 + 10 * (ord % 30) AS x2, y2 + 8 * (ord % 20) - CASE WHEN ord % 9 = 0 THEN 690 ELSE 0 END AS y2 FROM slabs_v)),
-    p AS (SELECT a.job_id, a.ord, min(b.ord) AS of_ord FROM r a JOIN r b ON a.job_id = b.job_id AND b.area > a.area WHERE {_IOU_SQL} >= 0.5 GROUP BY a.job_id, a.ord)
-    SELECT job_id, ord, area, CASE WHEN area < 90000 THEN 'too_small' WHEN of_ord IS NOT NULL THEN 'duplicate_of_larger' END AS reason, CASE WHEN area >= 90000 THEN of_ord END AS of_ord FROM r LEFT JOIN p USING (job_id, ord)""",
+    f""", {_LINES_SQL}, r AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM (SELECT job_id, ord, x1, y1, x2 + 10 * (ord % 30) AS x2, y2 + 8 * (ord % 20) - CASE WHEN ord % 9 = 0 THEN 690 ELSE 0 END AS y2 FROM slabs_v)),
+    p AS (SELECT a.job_id, a.ord, min(b.ord) AS of_ord FROM r a JOIN r b ON a.job_id = b.job_id AND b.area > a.area WHERE {_IOU_SQL} >= 0.5 GROUP BY a.job_id, a.ord),
+    z AS (SELECT job_id, ord, area, of_ord, CASE WHEN area < 90000 THEN 'too_small' WHEN NOT ((x1 + x2) / 2 BETWEEN xs[1] AND xs[-1] AND (y1 + y2) / 2 BETWEEN ys[1] AND ys[-1]) THEN 'outside_grid_envelope' WHEN of_ord IS NOT NULL THEN 'duplicate_of_larger' END AS reason
+        FROM r LEFT JOIN p USING (job_id, ord) JOIN g USING (job_id))
+    SELECT job_id, ord, area, reason, CASE WHEN reason = 'duplicate_of_larger' THEN of_ord END AS of_ord FROM z""",
     "slabs",
+    "grid_lines",
 )
 def slab_dup(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("ord")
     rows = view(spark, d, "slabs").withColumns({"x2": F.col("x2") + 10 * (o % 30), "y2": F.col("y2") + 8 * (o % 20) - F.when(o % 9 == 0, 690).otherwise(0)})
-    return admit.slab_duplicates(rows)
+    return admit.slab_rule(rows, view(spark, d, "grid_lines"))
+
+
+def _float_sql(w: str, o: str, name: str, rows: str) -> str:
+    """The floating ends ``w`` of ``rows`` by ``_pass_b``: what each meets, and the rows after it."""
+    return f"""q{name} AS (SELECT job_id, ord, axis, bx, "by", width, budget, {w}_ax AS qx, {w}_ay AS qy, CASE WHEN loose = '{w}' THEN loose_sign WHEN CASE WHEN axis = 'x' THEN {w}_ax >= {o}_ax ELSE {w}_ay >= {o}_ay END THEN 1.0 ELSE -1.0 END AS sign FROM {rows} WHERE {w}_free),
+    d{name} AS (SELECT * FROM q{name} q WHERE EXISTS (SELECT 1 FROM dashes_v d WHERE d.job_id = q.job_id AND d.axis = q.axis AND abs(CASE WHEN q.axis = 'x' THEN qy ELSE qx END - perp) <= 150 AND CASE WHEN q.axis = 'x' THEN qx ELSE qy END BETWEEN lo - width * 0.5 AND hi + width * 0.5)),
+    s{name} AS (SELECT job_id, ord, n, bx, "by", qx + CASE WHEN axis = 'x' THEN bx * sign * n ELSE 0 END AS x, qy + CASE WHEN axis = 'x' THEN 0 ELSE "by" * sign * n END AS y FROM (SELECT *, unnest(range(1, budget + 1)) AS n FROM d{name})),
+    k{name} AS (SELECT s.job_id, ord, n, 0 AS rank, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d, col_ord AS k, cx AS kx, cy AS ky, hw, hd FROM s{name} s JOIN columns_v c ON s.job_id = c.job_id AND abs(x - cx) <= bx * 0.25 AND abs(y - cy) <= "by" * 0.25
+        UNION ALL SELECT s.job_id, ord, n, 1, 0.0, 0, x, y, 0.0, 0.0 FROM s{name} s JOIN core_walls_v c ON s.job_id = c.job_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1
+        UNION ALL SELECT s.job_id, ord, n, 2, sqrt((x - (x0 + x1) / 2) * (x - (x0 + x1) / 2) + (y - (y0 + y1) / 2) * (y - (y0 + y1) / 2)), rect_ord, (x0 + x1) / 2, (y0 + y1) / 2, 0.0, 0.0
+        FROM s{name} s JOIN rectangles_v c ON s.job_id = c.job_id AND abs(x - (x0 + x1) / 2) <= bx * 0.25 AND abs(y - (y0 + y1) / 2) <= "by" * 0.25 AND x1 - x0 BETWEEN 200 AND 1500 AND y1 - y0 BETWEEN 200 AND 1500),
+    b{name} AS (SELECT job_id, ord, arg_min({{'x': kx, 'y': ky, 'hw': hw, 'hd': hd}}, (n, rank, d, k)) AS b FROM k{name} GROUP BY job_id, ord),
+    r{name} AS (SELECT r.* EXCLUDE ({w}_ax, {w}_ay, {w}_cx, {w}_cy, {w}_hw, {w}_hd), coalesce(b.x, {w}_ax) AS {w}_ax, coalesce(b.y, {w}_ay) AS {w}_ay, CASE WHEN {w}_free THEN b.x ELSE {w}_cx END AS {w}_cx, CASE WHEN {w}_free THEN b.y ELSE {w}_cy END AS {w}_cy,
+        coalesce(b.hw, {w}_hw) AS {w}_hw, coalesce(b.hd, {w}_hd) AS {w}_hd, CASE WHEN q.ord IS NULL THEN NULL WHEN d.ord IS NULL THEN 'no_dashline' WHEN b IS NULL THEN 'dashline_no_anchor' END AS {w}_tag
+        FROM {rows} r LEFT JOIN q{name} q USING (job_id, ord) LEFT JOIN d{name} d USING (job_id, ord) LEFT JOIN b{name} USING (job_id, ord))"""
+
+
+_SANITIZE_SQL = f"""{_PREFIX_SQL}, gl AS (SELECT job_id, list(start_mm ORDER BY start_mm) FILTER (WHERE axis = 'x') AS gx, list(start_mm ORDER BY start_mm) FILTER (WHERE axis = 'y') AS gy FROM w GROUP BY job_id),
+    ba AS (SELECT job_id, avg(spacing_mm) FILTER (WHERE axis = 'x') AS bx, avg(spacing_mm) FILTER (WHERE axis = 'y') AS "by" FROM grid_gaps_v GROUP BY job_id),
+    e0 AS (SELECT job_id, ord, CASE WHEN abs(ex - sx) >= abs(ey - sy) THEN 'x' ELSE 'y' END AS axis, coalesce(nullif(width, 0), 800) AS width, unnest([{{'w': 's', 'px': sx, 'py': sy}}, {{'w': 'e', 'px': ex, 'py': ey}}], recursive := true) FROM beams_v),
+    e1 AS (SELECT e0.*, bx, "by", px BETWEEN gx[1] - bx AND gx[-1] + bx AND py BETWEEN gy[1] - "by" AND gy[-1] + "by" AS inside,
+        CASE WHEN axis = 'x' THEN list_min(list_transform(gy, lambda v, i: (abs(v - py), i, v)))[3] ELSE list_min(list_transform(gx, lambda v, i: (abs(v - px), i, v)))[3] END AS line FROM e0 JOIN gl USING (job_id) JOIN ba USING (job_id)),
+    e2 AS (SELECT *, CASE WHEN axis = 'x' THEN abs(py - line) <= "by" * 0.5 ELSE abs(px - line) <= bx * 0.5 END AS on_line FROM e1),
+    e3 AS (SELECT *, CASE WHEN on_line AND axis = 'y' THEN line ELSE px END AS ax, CASE WHEN on_line AND axis = 'x' THEN line ELSE py END AS ay FROM e2),
+    nr AS (SELECT e.job_id, e.ord, w, arg_min({{'x': cx, 'y': cy, 'hw': hw, 'hd': hd}}, (sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy)), col_ord)) AS c FROM e3 e JOIN columns_v k ON e.job_id = k.job_id AND on_line
+        AND abs(ax - cx) <= CASE WHEN axis = 'x' THEN greatest(bx, "by") * 0.5 ELSE bx * 0.25 END AND abs(ay - cy) <= CASE WHEN axis = 'x' THEN "by" * 0.25 ELSE greatest(bx, "by") * 0.5 END GROUP BY e.job_id, e.ord, w),
+    e4 AS (SELECT e.*, c, EXISTS (SELECT 1 FROM core_walls_v v WHERE v.job_id = e.job_id AND px >= x0 AND px < x1 AND py >= y0 AND py < y1) AS still,
+        on_line AND EXISTS (SELECT 1 FROM core_walls_v v WHERE v.job_id = e.job_id AND ax >= x0 AND ax < x1 AND ay >= y0 AND ay < y1) AS there FROM e3 e LEFT JOIN nr USING (job_id, ord, w)),
+    e5 AS (SELECT *, CASE WHEN still THEN px WHEN there THEN ax ELSE c.x END AS kx, CASE WHEN still THEN py WHEN there THEN ay ELSE c.y END AS ky, CASE WHEN still OR there THEN 0 ELSE c.hw END AS hw, CASE WHEN still OR there THEN 0 ELSE c.hd END AS hd FROM e4),
+    r0 AS (SELECT s.job_id, s.ord, s.axis, s.width, s.bx, s."by", s.px AS sx, s.py AS sy, e.px AS ex, e.py AS ey, s.inside AND e.inside AS inside, coalesce(s.kx, s.ax) AS s_ax, coalesce(s.ky, s.ay) AS s_ay, s.kx AS s_cx, s.ky AS s_cy, s.hw AS s_hw, s.hd AS s_hd,
+        coalesce(e.kx, e.ax) AS e_ax, coalesce(e.ky, e.ay) AS e_ay, e.kx AS e_cx, e.ky AS e_cy, e.hw AS e_hw, e.hd AS e_hd FROM e5 s JOIN e5 e ON s.job_id = e.job_id AND s.ord = e.ord AND s.w = 's' AND e.w = 'e'),
+    r1 AS (SELECT *, CASE WHEN s_cx = e_cx AND s_cy = e_cy AND s_hw > 0 AND e_hw > 0 THEN CASE WHEN sqrt((sx - s_cx) * (sx - s_cx) + (sy - s_cy) * (sy - s_cy)) >= sqrt((ex - s_cx) * (ex - s_cx) + (ey - s_cy) * (ey - s_cy)) THEN 's' ELSE 'e' END END AS loose FROM r0),
+    r2 AS (SELECT *, CASE WHEN CASE WHEN axis = 'x' THEN CASE WHEN loose = 's' THEN sx ELSE ex END >= s_cx ELSE CASE WHEN loose = 's' THEN sy ELSE ey END >= s_cy END THEN 1.0 ELSE -1.0 END AS loose_sign,
+        s_cx IS NULL OR coalesce(loose = 's', FALSE) AS s_free, e_cx IS NULL OR coalesce(loose = 'e', FALSE) AS e_free FROM r1),
+    r3 AS (SELECT *, CASE WHEN s_free AND e_free THEN 2 ELSE 4 END AS budget FROM r2),
+    {_float_sql("s", "e", "s", "r3")}, {_float_sql("e", "s", "e", "rs")},
+    t0 AS (SELECT *, CASE WHEN NOT inside THEN 'out_of_grid' WHEN s_cx IS NULL THEN coalesce(s_tag, 'no_dashline') WHEN e_cx IS NULL THEN coalesce(e_tag, 'no_dashline') WHEN s_cx = e_cx AND s_cy = e_cy THEN 'same_column' END AS tag,
+        list_sort([(round_even(s_cx, 1), round_even(s_cy, 1)), (round_even(e_cx, 1), round_even(e_cy, 1))]) AS span FROM re),
+    t1 AS (SELECT * EXCLUDE (tag), coalesce(tag, CASE WHEN row_number() OVER (PARTITION BY job_id, span, tag ORDER BY ord) > 1 THEN 'duplicate_span' END) AS tag, abs(e_ax - s_ax) >= abs(e_ay - s_ay) AS flat FROM t0),
+    t2 AS (SELECT *, CASE WHEN CASE WHEN flat THEN e_ax - s_ax ELSE e_ay - s_ay END > 0 THEN 1.0 ELSE -1.0 END AS way FROM t1),
+    t3 AS (SELECT *, CASE WHEN flat THEN s_ax + way * s_hw ELSE s_ax END AS tsx, CASE WHEN flat THEN e_ax - way * e_hw ELSE e_ax END AS tex, CASE WHEN flat THEN s_ay ELSE s_ay + way * s_hd END AS tsy, CASE WHEN flat THEN e_ay ELSE e_ay - way * e_hd END AS tey FROM t2),
+    t4 AS (SELECT * EXCLUDE (tag), coalesce(tag, CASE WHEN least(abs(e_ax - s_ax), abs(e_ay - s_ay)) > 50 THEN 'diagonal' WHEN sqrt((tex - tsx) * (tex - tsx) + (tey - tsy) * (tey - tsy)) < 500 THEN 'too_short' END) AS tag FROM t3)"""
+_SANITIZE_VIEWS = ("beams", "columns", "dashes", "grid_gaps", "core_walls", "rectangles")
 
 
 def _sanitized(spark: SparkSession, d: str) -> DataFrame:
-    return sanitize.sanitize(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "all_dashes"), view(spark, d, "grid_gaps").withColumn("spacing_mm", F.lit(8400.0)))
+    walls = annotate.box_points(view(spark, d, "core_walls").selectExpr("job_id", "x0 AS x1", "y0 AS y1", "x1 AS x2", "y1 AS y2"))
+    return sanitize.sanitize(view(spark, d, "beams"), view(spark, d, "columns"), view(spark, d, "dashes"), view(spark, d, "grid_gaps"), core_walls=walls, rectangles=view(spark, d, "rectangles"))
 
 
-@_query("sanitize_kept")
+@_query("sanitize_kept", f", {_SANITIZE_SQL} SELECT job_id, ord, round(tsx, 6) AS sx, round(tsy, 6) AS sy, round(tex, 6) AS ex, round(tey, 6) AS ey FROM t4 WHERE tag IS NULL", *_SANITIZE_VIEWS)
 def sanitize_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _sanitized(spark, d).where("tag is null").drop("tag")
+    return _r(_sanitized(spark, d).where("tag is null").drop("tag"), "sx", "sy", "ex", "ey")
 
 
-@_query("sanitize_rejects")
+@_query("sanitize_rejects", f", {_SANITIZE_SQL} SELECT tag, count(*) AS n FROM t4 WHERE tag IS NOT NULL GROUP BY tag", *_SANITIZE_VIEWS)
 def sanitize_rejects(spark: SparkSession, d: str) -> DataFrame:
     return sanitize.reject_counts(_sanitized(spark, d))
 
@@ -456,7 +558,7 @@ def warning_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "worst_beam",
-    f""", k AS (SELECT job_id, count(*) AS k FROM warnings_v WHERE {_WARN_SQL} = 'join_error' AND ord < 200 GROUP BY job_id), e AS (SELECT job_id, ord, sx AS px, sy AS py FROM beams_v UNION ALL SELECT job_id, ord, ex, ey FROM beams_v),
+    f""", k AS (SELECT job_id, count(*) AS k FROM warnings_v WHERE {_WARN_SQL} = 'join_error' GROUP BY job_id), e AS (SELECT job_id, ord, sx AS px, sy AS py FROM beams_v UNION ALL SELECT job_id, ord, ex, ey FROM beams_v),
     w AS (SELECT e.job_id, e.ord, max(least(hw - abs(px - cx), hd - abs(py - cy))) AS depth_mm FROM e JOIN columns_v c ON e.job_id = c.job_id AND abs(px - cx) < hw AND abs(py - cy) < hd GROUP BY e.job_id, e.ord)
     SELECT job_id, ord, depth_mm FROM w JOIN k USING (job_id) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY depth_mm DESC, ord) <= max(k) OVER (PARTITION BY job_id)""",
     "warnings",

@@ -1,47 +1,111 @@
-"""Admission rules of detections: framing scores and slab duplicates."""
+"""Admission of detections: a rule for each type says admit, admit with a fixed box, or reject, and why."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planframe.binning import first_by
-from planframe.operators.boxes import centred, lines, nearest_other, nearest_tag, overlapping
+from planframe.binning import first_by, tile
 from planframe.functions.geometry import iou
+from planframe.operators.boxes import BOX, centred, extent, lines, nearest_other, nearest_tag, off_grid, overlapping, tag_material
+from planframe.operators.strokes import stroke_style
 from planframe.options import DEFAULTS, Options
 
+#: Columns of a decision.
+DECISION = ["job_id", "ord", "type", "action", "reason", *BOX]
 
-def framing_scores(boxes: DataFrame, spans: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """(job_id, ord, tag, aligned, col_dist, score, action) of framing boxes.
 
-    In conflict, that is nearer than the clearance to a column: 2 for a tag, 2 for alignment with a grid line,
-    1 for standing off the column; three admit with a fix, two admit, fewer reject. Without conflict: admit.
+def snapped(beams: DataFrame, columns: DataFrame, options: Options = DEFAULTS, size: float = 256.0) -> DataFrame:
+    """(job_id, ord, n_lo, n_hi) of framing boxes: the centres of the nearest columns before and after the beam's middle.
+
+    Columns count whose middle across the beam is within half their own side and the beam's. Both sides are put on
+    the tiles across the beam that they reach, so a pair meets at least once, and a minimum does not mind how often.
+    Null where there is no such column on that side.
+    """
+    flat = (F.col("x2") - F.col("x1")) >= (F.col("y2") - F.col("y1"))
+
+    def turned(df: DataFrame, p: str, flat: Column) -> DataFrame:
+        pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
+        lo, hi, low, high = pick("x1", "y1"), pick("x2", "y2"), pick("y1", "x1"), pick("y2", "x2")
+        return df.select("job_id", "flat", *([F.col("ord")] if p == "b" else []), ((lo + hi) / 2).alias(f"{p}_mid"), ((low + high) / 2).alias(f"{p}_across"), F.abs(high - low).alias(f"{p}_wide"))
+
+    b = turned(beams.withColumn("flat", flat), "b", F.col("flat"))
+    c = turned(columns.withColumn("flat", F.explode(F.array(F.lit(True), F.lit(False)))), "c", F.col("flat"))
+    on = lambda df, p, half: df.withColumn("_t", F.explode(F.sequence(tile(F.col(f"{p}_across") - half, size), tile(F.col(f"{p}_across") + half, size))))
+    near = on(b, "b", F.col("b_wide")).join(on(c, "c", F.col("c_wide") / 2), ["job_id", "flat", "_t"])
+    near = near.where(F.abs(F.col("c_across") - F.col("b_across")) <= F.col("c_wide") * 0.5 + F.col("b_wide"))
+    before = F.col("c_mid") < F.col("b_mid")
+    return near.groupBy("job_id", "ord").agg(F.max(F.when(before, F.col("c_mid"))).alias("n_lo"), F.min(F.when(~before, F.col("c_mid"))).alias("n_hi"))
+
+
+def framing(boxes: DataFrame, spans: DataFrame, grid: DataFrame, legend: DataFrame, paths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """(job_id, ord, type, action, reason, x1 .. y2, tag, material, aligned, col_dist, score) of framing boxes.
+
+    A box whose nearest column is nearer than the clearance is in conflict. Then 3 points for a tag that the
+    ``legend(job_id, tag, material)`` knows or else 2 for any tag, 2 for alignment with a grid line, 1 for a stroke
+    that is known to be dashed or solid, and 1 for standing off the column; three admit with a fix, two admit, fewer
+    reject. Without conflict a box whose ends reach columns is admitted with that fix, any other as it is. A fix moves
+    the ends along the beam onto the centres of the columns, unless it turns the box inside out or makes it more than
+    ``max_growth`` times as long.
     """
     beams = boxes.where("type = 'structural_framing'")
-    short = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    near = nearest_other(centred(beams), centred(boxes.where("type = 'column'")), 128.0).select("job_id", "ord", F.col("dist").alias("col_dist"))
-    tags = nearest_tag(beams, spans, options.framing_tag_radius_px).select("job_id", "ord", "tag")
+    columns = boxes.where("type = 'column'")
+    near = nearest_other(centred(beams), centred(columns), 128.0).select("job_id", "ord", F.col("dist").alias("col_dist"))
+    tags = nearest_tag(beams, spans, options.framing_tag_radius_px).select("job_id", "ord", "tag").join(legend, ["job_id", "tag"], "left").select("job_id", "ord", "tag", F.col("material").alias("_legend"))
     flat = (F.col("x2") - F.col("x1")) >= (F.col("y2") - F.col("y1"))
     close = lambda ls, c: F.exists(ls, lambda v: F.abs(v - F.col(c)) <= options.grid_align_px)
-    rows = centred(beams).crossJoin(F.broadcast(lines(grid))).withColumns({"aligned": F.when(flat, close("ys", "cy")).otherwise(close("xs", "cx")), "short": short})
-    rows = rows.select("job_id", "ord", "aligned", "short").join(near, ["job_id", "ord"]).join(tags, ["job_id", "ord"])
-    score = F.when(F.col("tag").isNotNull(), 2).otherwise(0) + F.when(F.col("aligned"), 2).otherwise(0) + F.when(F.col("col_dist") > 0.5 * F.col("short"), 1).otherwise(0)
+    rows = centred(beams).join(lines(grid), "job_id", "left").withColumn("aligned", F.coalesce(F.when(flat, close("ys", "cy")).otherwise(close("xs", "cx")), F.lit(False)))
+    rows = rows.select("job_id", "ord", "type", *BOX, "aligned").withColumn("short", F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    for more in (near, tags, stroke_style(beams, paths), snapped(beams, columns, options)):
+        rows = rows.join(more, ["job_id", "ord"], "left")
+    drawn = F.when(F.col("style") == "dashed", "steel").when(F.col("style") == "solid", "rc")
+    material = F.coalesce(F.when(F.col("tag").isNotNull(), tag_material(F.col("tag"), F.col("_legend"))), drawn)
+    lo, hi = F.when(flat, F.col("x1")).otherwise(F.col("y1")), F.when(flat, F.col("x2")).otherwise(F.col("y2"))
+    across = F.when(flat, F.col("y2") - F.col("y1")).otherwise(F.col("x2") - F.col("x1"))
+    n_lo, n_hi = F.coalesce("n_lo", lo), F.coalesce("n_hi", hi)
+    good = (n_hi - n_lo >= across) & ~((hi - lo > 0) & (n_hi - n_lo > (hi - lo) * options.max_growth))
+    rows = rows.withColumns({"material": material, "_lo": F.when(good, n_lo).otherwise(lo), "_hi": F.when(good, n_hi).otherwise(hi)})
+    moved = (F.col("_lo") != lo) | (F.col("_hi") != hi)
+    point = lambda c, n: F.when(c, n).otherwise(0)
+    score = F.when(F.col("_legend").isNotNull(), 3).otherwise(point(F.col("tag").isNotNull(), 2)) + point(F.col("aligned"), 2) + point(F.col("style").isin("dashed", "solid"), 1) + point(F.col("col_dist") > 0.5 * F.col("short"), 1)
     conflict = F.coalesce(F.col("col_dist") < options.clearance * F.col("short"), F.lit(False))
     rows = rows.withColumn("score", score)
-    action = F.when(~conflict, "admit").when(F.col("score") >= 3, "admit_with_fix").when(F.col("score") == 2, "admit").otherwise("reject")
-    return rows.select("job_id", "ord", "tag", "aligned", F.round("col_dist", 6).alias("col_dist"), "score", action.alias("action"))
+    rows = rows.withColumn("reason", F.when(~conflict, F.when(moved, "snap_to_columns").otherwise("no_conflict")).when(F.col("score") >= 3, "join_conflict_resolved").when(F.col("score") == 2, "join_conflict_borderline_admitted").otherwise("join_conflict_unsupported"))
+    fix = F.col("reason").isin("snap_to_columns", "join_conflict_resolved")
+    action = F.when(fix, "admit_with_fix").when(F.col("reason") == "join_conflict_unsupported", "reject").otherwise("admit")
+    new = {"x1": F.when(fix & flat, F.col("_lo")).otherwise(F.col("x1")), "x2": F.when(fix & flat, F.col("_hi")).otherwise(F.col("x2")), "y1": F.when(fix & ~flat, F.col("_lo")).otherwise(F.col("y1")), "y2": F.when(fix & ~flat, F.col("_hi")).otherwise(F.col("y2"))}
+    return rows.select("job_id", "ord", "type", action.alias("action"), "reason", *[new[c].alias(c) for c in BOX], "tag", "material", "aligned", F.round("col_dist", 6).alias("col_dist"), "score")
+
+
+def column_rule(boxes: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Decisions on columns: one that is off the grid is rejected."""
+    rows = off_grid(boxes.where("type = 'column'"), grid, options)
+    return rows.select("job_id", "ord", "type", F.when(F.col("off_grid"), "reject").otherwise("admit").alias("action"), F.when(F.col("off_grid"), "off_grid").otherwise("on_grid").alias("reason"), *BOX)
 
 
-def slab_duplicates(slabs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """(job_id, ord, area, reason, of_ord): too_small, duplicate_of_larger (of the first larger sibling), or null."""
+def judge(boxes: DataFrame, spans: DataFrame, grid: DataFrame, legend: DataFrame, paths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Decisions on all boxes by the rule of their type; a type without a rule is admitted. Fixed boxes have their fixed sides."""
+    other = boxes.where("type is null or type not in ('structural_framing', 'column')").select("job_id", "ord", "type", F.lit("admit").alias("action"), F.lit("no_rule_for_type").alias("reason"), *BOX)
+    return framing(boxes, spans, grid, legend, paths, options).select(*DECISION).unionByName(column_rule(boxes, grid, options)).unionByName(other)
+
+
+def counts(decisions: DataFrame) -> DataFrame:
+    """(action, n): how many boxes each action took; those without a rule count as skipped."""
+    action = F.when(F.col("reason") == "no_rule_for_type", "skipped").otherwise(F.col("action"))
+    return decisions.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slab_rule(slabs: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """(job_id, ord, area, reason, of_ord): no_bbox, too_small, outside_grid_envelope, duplicate_of_larger (of the first larger sibling), or null.
+
+    The envelope is that of the drawing's lines; under two lines on an axis there is none.
+    """
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     rows = slabs.withColumn("area", area)
-    side = lambda p: rows.select("job_id", F.col("ord").alias(f"{p}ord"), F.col("area").alias(f"{p}area"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
+    side = lambda p: rows.where("area is not null").select("job_id", F.col("ord").alias(f"{p}ord"), F.col("area").alias(f"{p}area"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
     pairs = overlapping(side("a_"), side("b_"), ["job_id"], "a_", "b_", 1024.0).where((F.col("b_area") > F.col("a_area")) & (iou("a_", "b_") >= options.slab_dup_iou))
     first = first_by(pairs, ["job_id", "a_ord"], [F.col("b_ord")], ["b_ord"]).select("job_id", F.col("a_ord").alias("ord"), F.col("b_ord").alias("of_ord"))
-    small = F.col("area") < options.slab_min_area_px
-    out = rows.select("job_id", "ord", "area").join(first, ["job_id", "ord"], "left")
-    reason = F.when(small, "too_small").when(F.col("of_ord").isNotNull(), "duplicate_of_larger")
-    return out.select("job_id", "ord", "area", reason.alias("reason"), F.when(~small, F.col("of_ord")).alias("of_ord"))
-
-
-def counts(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    out = centred(rows).join(extent(grid), "job_id", "left").join(first, ["job_id", "ord"], "left")
+    inside = F.col("cx").between(F.col("gx0"), F.col("gx1")) & F.col("cy").between(F.col("gy0"), F.col("gy1"))
+    free = F.coalesce((F.col("nx") < 2) | (F.col("ny") < 2), F.lit(True))
+    reason = F.when(F.col("area").isNull(), "no_bbox").when(F.col("area") < options.slab_min_area_px, "too_small").when(~free & ~inside, "outside_grid_envelope").when(F.col("of_ord").isNotNull(), "duplicate_of_larger")
+    out = out.withColumn("reason", reason)
+    return out.select("job_id", "ord", "area", "reason", F.when(F.col("reason") == "duplicate_of_larger", F.col("of_ord")).alias("of_ord"))

@@ -1,12 +1,12 @@
 """Detections: filtering, typing, suppression, culling and the checks between them."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planframe.binning import first_by, overlapping, within
 from planframe.functions.geometry import distance, iou
 from planframe.options import DEFAULTS, Options
+from planframe.session import cut
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -35,56 +35,44 @@ def dispatch(boxes: DataFrame) -> DataFrame:
     return known.withColumns({"id": F.when(F.col("kind") == "structural_framing", 0).otherwise(rn), "flat": w >= h, "thickness": F.least(w, h)})
 
 
-def suppress(boxes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def suppress(boxes: DataFrame, options: Options = DEFAULTS, rounds: int = 200) -> DataFrame:
     """Greedy suppression of overlapping boxes of a job and type, most confident first, the first of equals.
 
-    The overlaps are found by a tiled join; only their edges, not the boxes, go to the one sequential step,
-    which takes a job and type at a time: one drawing's overlaps.
+    The overlaps are found by a tiled join. A box with no better box among its overlaps that is still open stays and
+    takes out the boxes that it overlaps; that repeats over the edges still open until there are none, so all drawings
+    and all clusters are settled at once, in as many rounds as the longest chain of overlaps has links.
     """
-    ordered = boxes.select("job_id", "type", "ord", *BOX, "confidence")
-    a = ordered.select("job_id", "type", F.col("ord").alias("a_ord"), F.col("confidence").alias("a_conf"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = ordered.select("job_id", "type", F.col("ord").alias("b_ord"), F.col("confidence").alias("b_conf"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    pairs = overlapping(a, b, ["job_id", "type"], "a_", "b_", 256.0).where(iou("a_", "b_") > options.nms_iou)
+    kind = ["job_id", "type"]
+    a = boxes.select(*kind, F.col("ord").alias("a_ord"), F.col("confidence").alias("a_conf"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+    b = boxes.select(*kind, F.col("ord").alias("b_ord"), F.col("confidence").alias("b_conf"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+    pairs = overlapping(a, b, kind, "a_", "b_", 256.0).where(iou("a_", "b_") > options.nms_iou)
     better = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_ord") < F.col("b_ord")))
-    edges = pairs.where(better).select("job_id", "type", "a_ord", "b_ord")
-
-    rank = F.row_number().over(Window.partitionBy("job_id", "type").orderBy(F.desc("confidence"), "ord"))
-    ranks = ordered.select("job_id", "type", F.col("ord"), rank.alias("a_rank"))
-    touched = edges.select("job_id", "type", F.col("a_ord").alias("ord")).union(edges.select("job_id", "type", F.col("b_ord").alias("ord"))).distinct().join(ranks, ["job_id", "type", "ord"])
-    known = edges.join(touched.withColumnRenamed("ord", "a_ord"), ["job_id", "type", "a_ord"])
-    # Every suppressed box needs its own rank as well; a row to itself carries it.
-    own = touched.select("job_id", "type", F.col("ord").alias("a_ord"), F.lit(-1).cast("long").alias("b_ord"), "a_rank")
-    rows = known.select("job_id", "type", "a_ord", "b_ord", "a_rank").unionByName(own)
-    gone = rows.groupBy("job_id", "type").applyInPandas(greedy_rows, f"job_id {dict(boxes.dtypes)['job_id']}, type string, ord long")
-    return boxes.join(gone, ["job_id", "type", "ord"], "left_anti")
-
-
-def greedy_rows(group: pd.DataFrame) -> pd.DataFrame:
-    """Runs the suppression of a group over its overlap edges, in the order of rank."""
-    rank = group[["a_ord", "a_rank"]].drop_duplicates().set_index("a_ord")["a_rank"].to_dict()
-    edges = group[group["b_ord"] >= 0]
-    by: dict[int, list[int]] = {}
-    for a, b in zip(edges["a_ord"], edges["b_ord"], strict=True):
-        by.setdefault(b, []).append(a)
-    gone: set[int] = set()
-    for o in sorted(by, key=rank.__getitem__):
-        if any(x not in gone for x in by[o]):
-            gone.add(o)
-    return pd.DataFrame({"job_id": [group["job_id"].iloc[0]] * len(gone), "type": [group["type"].iloc[0]] * len(gone), "ord": sorted(gone)}).astype({"ord": "int64"})
+    edges = cut(pairs.where(better).select(*kind, "a_ord", "b_ord"))
+    gone = edges.select(*kind, F.col("b_ord").alias("ord")).limit(0)
+    for _ in range(rounds):
+        if edges.isEmpty():
+            return boxes.join(gone, [*kind, "ord"], "left_anti")
+        worse = edges.select(*kind, F.col("b_ord").alias("a_ord")).distinct()
+        out = edges.join(worse, [*kind, "a_ord"], "left_anti").select(*kind, "b_ord").distinct()
+        out = cut(out)
+        gone = gone.unionByName(out.withColumnRenamed("b_ord", "ord"))
+        edges = edges.join(out, [*kind, "b_ord"], "left_anti").join(out.withColumnRenamed("b_ord", "a_ord"), [*kind, "a_ord"], "left_anti")
+        edges = cut(edges)
+    raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
 
 
 def extent(grid: DataFrame) -> DataFrame:
-    """One row: the least and greatest line of each axis and how many there are."""
+    """A row for each job: the least and greatest line of each axis and how many there are."""
     pick = lambda f, a: f(F.when(F.col("axis") == a, F.col("px")))
-    return grid.agg(pick(F.min, "x").alias("gx0"), pick(F.max, "x").alias("gx1"), pick(F.min, "y").alias("gy0"), pick(F.max, "y").alias("gy1"), F.count_if(F.col("axis") == "x").alias("nx"), F.count_if(F.col("axis") == "y").alias("ny"))
+    return grid.groupBy("job_id").agg(pick(F.min, "x").alias("gx0"), pick(F.max, "x").alias("gx1"), pick(F.min, "y").alias("gy0"), pick(F.max, "y").alias("gy1"), F.count_if(F.col("axis") == "x").alias("nx"), F.count_if(F.col("axis") == "y").alias("ny"))
 
 
 def outside_grid(boxes: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Rows with ``kept``: inside the grid's rectangle with a margin; nothing is culled with under two lines on an axis."""
     t = options.outside_tol_px
-    joined = centred(boxes).crossJoin(F.broadcast(extent(grid)))
+    joined = centred(boxes).join(extent(grid), "job_id", "left")
     inside = F.col("cx").between(F.col("gx0") - t, F.col("gx1") + t) & F.col("cy").between(F.col("gy0") - t, F.col("gy1") + t)
-    return joined.withColumn("kept", (F.col("nx") < 2) | (F.col("ny") < 2) | inside).drop("gx0", "gx1", "gy0", "gy1", "nx", "ny")
+    return joined.withColumn("kept", F.coalesce((F.col("nx") < 2) | (F.col("ny") < 2), F.lit(True)) | inside).drop("gx0", "gx1", "gy0", "gy1", "nx", "ny")
 
 
 def overlap_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -105,14 +93,14 @@ def isolated(boxes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
 
 
 def lines(grid: DataFrame) -> DataFrame:
-    """One row: the ascending lines of both axes, for a broadcast."""
+    """A row for each job: the ascending lines of both axes."""
     pick = lambda a: F.sort_array(F.collect_list(F.when(F.col("axis") == a, F.col("px"))))
-    return grid.agg(pick("x").alias("xs"), pick("y").alias("ys"))
+    return grid.groupBy("job_id").agg(pick("x").alias("xs"), pick("y").alias("ys"))
 
 
 def off_grid(boxes: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Rows with ``dx``, ``dy`` to the nearest lines and ``off_grid``: both exceed the bound; an axis without lines counts as 0."""
-    joined = centred(boxes).crossJoin(F.broadcast(lines(grid)))
+    joined = centred(boxes).join(lines(grid), "job_id", "left")
     gap = lambda ls, c: F.coalesce(F.array_min(F.transform(ls, lambda v: F.abs(v - F.col(c)))), F.lit(0.0))
     joined = joined.withColumns({"dx": gap("xs", "cx"), "dy": gap("ys", "cy")}).drop("xs", "ys")
     return joined.withColumn("off_grid", (F.col("dx") > options.off_grid_px) & (F.col("dy") > options.off_grid_px))
@@ -130,10 +118,27 @@ def validate(boxes: DataFrame, grid: DataFrame, options: Options = DEFAULTS) ->
 
 
 def bay_rules(gaps: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """(axis, idx, violation) of bays narrower or wider than allowed; they hold for every detection of the grid."""
+    """(job_id, axis, idx, violation) of bays narrower or wider than allowed."""
     text = lambda s: F.concat(F.lit(s), F.bround("spacing_mm").cast("long").cast("string"), F.lit("mm"))
     bad = F.when(F.col("spacing_mm") < options.min_bay_mm, text("bay_too_narrow_")).when(F.col("spacing_mm") > options.max_bay_mm, text("bay_too_wide_"))
-    return gaps.select("axis", "idx", bad.alias("violation")).where("violation is not null")
+    return gaps.select("job_id", "axis", "idx", bad.alias("violation")).where("violation is not null")
+
+
+def enforce_rules(boxes: DataFrame, grid: DataFrame, gaps: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """(job_id, ord, violations, is_orphan, is_compliant): a drawing's bay violations hold for each of its boxes, x bays before y bays.
+
+    A box off the grid that is also isolated is an orphan.
+    """
+    bays = bay_rules(gaps, options).groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("axis", "idx", "violation"))), lambda v: v["violation"]), ",").alias("violations"))
+    flags = validate(boxes, grid, options)
+    orphan = F.col("flags").contains("off_grid") & F.col("flags").contains("isolated")
+    out = flags.join(bays, "job_id", "left")
+    return out.select("job_id", "ord", F.coalesce("violations", F.lit("")).alias("violations"), orphan.alias("is_orphan"), F.col("violations").isNull().alias("is_compliant"))
+
+
+def drop_by_id(elements: DataFrame, gone: DataFrame) -> DataFrame:
+    """The elements whose (job_id, ord) is not among those of ``gone``."""
+    return elements.join(gone.select("job_id", "ord"), ["job_id", "ord"], "left_anti")
 
 
 def first_seen(rows: DataFrame, keys: list[str], x: str = "cx", y: str = "cy") -> DataFrame:
@@ -159,20 +164,22 @@ def tag_material(tag: Column, legend: Column) -> Column:
 def nearest_other(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     """(job_id, ord, near_ord, dist) of the nearest target, at any distance; the first of equals.
 
-    Rings of doubling reach: each join only takes the points that the ring before left without a target, and
+    Rings of doubling reach: each join only takes the points that the rings before left without a target, and
     within a reach r every target up to r is met, so the nearest found within r is the nearest of all. The
-    last ring is a whole job, which is one drawing.
+    rings go on until one covers the widest drawing.
     """
+    keys = ["job_id", "ord"]
     t = targets.select("job_id", F.col("ord").alias("near_ord"), F.col("cx").alias("_ox"), F.col("cy").alias("_oy"))
-    left, found, r = points.select("job_id", "ord", "cx", "cy"), None, reach
-    for _ in range(3):
+    span = targets.select("cx", "cy").unionByName(points.select("cx", "cy"))
+    low_x, high_x, low_y, high_y = span.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    widest = ((high_x or 0) - (low_x or 0)) + ((high_y or 0) - (low_y or 0))
+    left, found, r = points.select(*keys, "cx", "cy"), None, reach
+    while True:
         near = within(left, t, ["job_id"], "cx", "cy", "_ox", "_oy", r)
         near = near.withColumn("dist", distance(F.col("cx"), F.col("cy"), F.col("_ox"), F.col("_oy"))).where(F.col("dist") <= r)
-        best = first_by(near, ["job_id", "ord"], [F.col("dist"), F.col("near_ord")], ["near_ord", "dist"])
+        best = first_by(near, keys, [F.col("dist"), F.col("near_ord")], ["near_ord", "dist"])
         found = best if found is None else found.unionByName(best)
-        left = left.join(best, ["job_id", "ord"], "left_anti")
-        r *= 2
-    rest = left.join(t, "job_id").withColumn("dist", distance(F.col("cx"), F.col("cy"), F.col("_ox"), F.col("_oy")))
-    found = found.unionByName(first_by(rest, ["job_id", "ord"], [F.col("dist"), F.col("near_ord")], ["near_ord", "dist"]))
-    return points.select("job_id", "ord").join(found, ["job_id", "ord"], "left")
-
+        if r > widest:
+            return points.select(*keys).join(found, keys, "left")
+        left = left.join(best, keys, "left_anti")
+        r *= 4

@@ -3,33 +3,33 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe.binning import first_by
+from planframe.binning import first_by, tile
 from planframe.functions.geometry import cell_world, nearest
 from planframe.options import DEFAULTS, Options
 
 
 def prefix_mm(gaps: DataFrame) -> DataFrame:
-    """(axis, idx, start_mm): each line's millimetres, the sum of the bays before it; the last line is there too."""
-    before = Window.partitionBy("axis").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    starts = gaps.select("axis", "idx", F.coalesce(F.sum("spacing_mm").over(before), F.lit(0.0)).alias("start_mm"))
-    last = gaps.groupBy("axis").agg((F.max("idx") + 1).alias("idx"), F.sum("spacing_mm").alias("start_mm"))
+    """(job_id, axis, idx, start_mm): each line's millimetres, the sum of the bays before it; the last line is there too."""
+    before = Window.partitionBy("job_id", "axis").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    starts = gaps.select("job_id", "axis", "idx", F.coalesce(F.sum("spacing_mm").over(before), F.lit(0.0)).alias("start_mm"))
+    last = gaps.groupBy("job_id", "axis").agg((F.max("idx") + 1).alias("idx"), F.sum("spacing_mm").alias("start_mm"))
     return starts.unionByName(last)
 
 
 def frame(grid: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row for a broadcast: pixels and millimetres of both axes in order, total height and smallest bay."""
-    joined = grid.join(prefix_mm(gaps), ["axis", "idx"])
+    """A row for each job: pixels and millimetres of both axes in order, total height and smallest bay."""
+    joined = grid.join(prefix_mm(gaps), ["job_id", "axis", "idx"])
     pick = lambda a: F.array_sort(F.collect_list(F.when(F.col("axis") == a, F.struct("idx", "px", "start_mm"))))
-    rows = joined.agg(pick("x").alias("x"), pick("y").alias("y"))
-    bays = gaps.agg(F.min("spacing_mm").alias("min_bay"))
-    return rows.crossJoin(bays).select(
-        F.col("x.px").alias("x_px"), F.col("x.start_mm").alias("x_mm"), F.col("y.px").alias("y_px"), F.col("y.start_mm").alias("y_mm"), F.element_at("y.start_mm", -1).alias("height"), "min_bay"
+    rows = joined.groupBy("job_id").agg(pick("x").alias("x"), pick("y").alias("y"))
+    bays = gaps.groupBy("job_id").agg(F.min("spacing_mm").alias("min_bay"))
+    return rows.join(bays, "job_id").select(
+        "job_id", F.col("x.px").alias("x_px"), F.col("x.start_mm").alias("x_mm"), F.col("y.px").alias("y_px"), F.col("y.start_mm").alias("y_mm"), F.element_at("y.start_mm", -1).alias("height"), "min_bay"
     )
 
 
 def to_world(points: DataFrame, grid: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``points(cx, cy)`` with ``wx``, ``wy`` in millimetres, y upwards."""
-    joined = points.crossJoin(F.broadcast(frame(grid, gaps)))
+    """``points(job_id, cx, cy)`` of drawings with a grid, with ``wx``, ``wy`` in millimetres, y upwards."""
+    joined = points.join(frame(grid, gaps), "job_id")
     out = joined.withColumns({"wx": cell_world(F.col("x_px"), F.col("x_mm"), F.col("cx")), "wy": F.col("height") - cell_world(F.col("y_px"), F.col("y_mm"), F.col("cy"))})
     return out.drop("x_px", "y_px")
 
@@ -60,16 +60,20 @@ def mode_first(df: DataFrame, keys: list[str], value: str, order: str, out: str)
 
 
 def gap_bounds(grid: DataFrame) -> DataFrame:
-    """(axis, gap, lo, hi, width) between neighbouring lines."""
-    nxt = F.lead("px").over(Window.partitionBy("axis").orderBy("idx"))
-    return grid.withColumn("_next", nxt).where("_next is not null").select("axis", F.col("idx").alias("gap"), F.least("px", "_next").alias("lo"), F.greatest("px", "_next").alias("hi"), F.abs(F.col("_next") - F.col("px")).alias("width"))
+    """(job_id, axis, gap, lo, hi, width) between neighbouring lines."""
+    nxt = F.lead("px").over(Window.partitionBy("job_id", "axis").orderBy("idx"))
+    return grid.withColumn("_next", nxt).where("_next is not null").select("job_id", "axis", F.col("idx").alias("gap"), F.least("px", "_next").alias("lo"), F.greatest("px", "_next").alias("hi"), F.abs(F.col("_next") - F.col("px")).alias("width"))
 
 
-def assign_gaps(texts: DataFrame, grid: DataFrame) -> DataFrame:
-    """Dimension texts (job_id, ord, axis, pos, mm) with the first gap whose midpoint is nearer than half its width (at least 1)."""
-    gaps = F.broadcast(gap_bounds(grid))
+def assign_gaps(texts: DataFrame, grid: DataFrame, size: float = 256.0) -> DataFrame:
+    """Dimension texts (job_id, ord, axis, pos, mm) with the first gap whose midpoint is nearer than half its width (at least 1).
+
+    A gap lies on every tile of the axis that it touches, so a text meets the gaps on its own tile alone.
+    """
+    gaps = gap_bounds(grid).withColumn("_t", F.explode(F.sequence(tile(F.col("lo") - 1, size), tile(F.col("hi") + 1, size))))
     hit = F.abs(F.col("pos") - (F.col("lo") + F.col("hi")) / 2) < F.greatest(F.col("width") / 2, F.lit(1.0))
-    return first_by(texts.join(gaps, "axis").where(hit), ["job_id", "axis", "ord", "mm"], [F.col("gap")], ["gap", "width"])
+    joined = texts.withColumn("_t", tile(F.col("pos"), size)).join(gaps, ["job_id", "axis", "_t"])
+    return first_by(joined.where(hit), ["job_id", "axis", "ord", "mm"], [F.col("gap")], ["gap", "width"])
 
 
 def infer_spacings(texts: DataFrame, grid: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -78,25 +82,26 @@ def infer_spacings(texts: DataFrame, grid: DataFrame, options: Options = DEFAULT
     annotated: the candidate nearest to what the commonest value and the gap's width let expect, within the
     tolerance; inferred: the annotated bay whose width ratio is nearest to 1, within 0.5 to 1.5; else fallback.
     """
+    axis = ["job_id", "axis"]
     candidates = assign_gaps(texts, grid).withColumn("_seq", F.struct("gap", "ord"))
-    modal = mode_first(candidates, ["job_id", "axis"], "mm", "_seq", "modal")
+    modal = mode_first(candidates, axis, "mm", "_seq", "modal")
     gaps = gap_bounds(grid)
-    median = upper_median(gaps, ["axis"], "width", "median")
+    median = upper_median(gaps, axis, "width", "median")
     expected = F.col("modal") * F.col("width") / F.greatest(F.col("median"), F.lit(1.0))
-    scored = candidates.join(modal, ["job_id", "axis"]).join(F.broadcast(median), "axis").withColumn("_e", expected)
+    scored = candidates.join(modal.join(median, axis), axis).withColumn("_e", expected)
     off = F.abs(F.col("mm") - F.col("_e"))
     plausible = scored.withColumn("_off", off).where(F.col("_off") / F.greatest(F.col("_e"), F.lit(1.0)) <= options.plausible)
-    annotated = first_by(plausible, ["job_id", "axis", "gap"], [F.col("_off"), F.col("ord")], ["mm", "width"])
-    ratio = annotated.groupBy("job_id", "axis").agg((F.sum(F.when(F.col("mm") > 0, F.col("width") / F.col("mm"))) / F.count(F.lit(1))).alias("ratio"))
-    every = texts.select("job_id", "axis").distinct().join(F.broadcast(gaps), "axis")
-    missing = every.join(annotated, ["job_id", "axis", "gap"], "left_anti")
-    known = annotated.select("job_id", "axis", F.col("gap").alias("_g"), F.col("mm").alias("_mm")).join(ratio, ["job_id", "axis"])
+    annotated = first_by(plausible, [*axis, "gap"], [F.col("_off"), F.col("ord")], ["mm", "width"])
+    ratio = annotated.groupBy(*axis).agg((F.sum(F.when(F.col("mm") > 0, F.col("width") / F.col("mm"))) / F.count(F.lit(1))).alias("ratio"))
+    every = texts.select(*axis).distinct().join(gaps, axis)
+    missing = every.join(annotated, [*axis, "gap"], "left_anti")
+    known = annotated.select(*axis, F.col("gap").alias("_g"), F.col("mm").alias("_mm")).join(ratio, axis)
     share = F.col("width") / (F.col("_mm") * F.col("ratio"))
-    tried = missing.join(known, ["job_id", "axis"]).where(F.col("_mm") * F.col("ratio") > 0).withColumn("_share", share).where(F.col("_share").between(0.5, 1.5))
-    inferred = first_by(tried, ["job_id", "axis", "gap"], [F.abs(F.col("_share") - 1), F.col("_g")], ["_mm"])
-    done = annotated.select("job_id", "axis", "gap", "mm", F.lit("annotated").alias("source")).unionByName(inferred.select("job_id", "axis", "gap", F.col("_mm").alias("mm"), F.lit("inferred").alias("source")))
-    out = every.join(done, ["job_id", "axis", "gap"], "left")
-    return out.select("job_id", "axis", "gap", F.coalesce("mm", F.lit(options.fallback_bay_mm)).alias("mm"), F.coalesce("source", F.lit("fallback")).alias("source"))
+    tried = missing.join(known, axis).where(F.col("_mm") * F.col("ratio") > 0).withColumn("_share", share).where(F.col("_share").between(0.5, 1.5))
+    inferred = first_by(tried, [*axis, "gap"], [F.abs(F.col("_share") - 1), F.col("_g")], ["_mm"])
+    done = annotated.select(*axis, "gap", "mm", F.lit("annotated").alias("source")).unionByName(inferred.select(*axis, "gap", F.col("_mm").alias("mm"), F.lit("inferred").alias("source")))
+    out = every.join(done, [*axis, "gap"], "left")
+    return out.select(*axis, "gap", F.coalesce("mm", F.lit(options.fallback_bay_mm)).alias("mm"), F.coalesce("source", F.lit("fallback")).alias("source"))
 
 
 def fallback_lines(spark: SparkSession, x: int = 42, y: int = 30, pitch_px: float = 100.0) -> DataFrame:
@@ -108,6 +113,6 @@ def fallback_lines(spark: SparkSession, x: int = 42, y: int = 30, pitch_px: floa
 
 def level_above(levels: DataFrame, bases: DataFrame) -> DataFrame:
     """(job_id, ord, level, elevation): the lowest level above a base elevation; nulls without one."""
-    hit = bases.join(F.broadcast(levels), "job_id").where(F.col("elevation") > F.col("base") + 1e-6)
+    hit = bases.join(levels, "job_id").where(F.col("elevation") > F.col("base") + 1e-6)
     best = first_by(hit, ["job_id", "ord"], [F.col("elevation")], ["level", "elevation"])
     return bases.select("job_id", "ord").join(best, ["job_id", "ord"], "left")

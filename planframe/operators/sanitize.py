@@ -1,29 +1,38 @@
 """Beam clean-up before export: endpoints snap to columns and core walls, float outwards along confirmed lines, or the beam goes.
 
 Beams do not depend on each other but for repeated spans, so each step is a join or a projection over all
-beams of all drawings at once.
+ends of all beams of all drawings at once.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from planframe.binning import first_by, tile, within
 from planframe.functions.geometry import axis, distance, in_polygon, nearest
 from planframe.operators.grid import prefix_mm
 from planframe.options import DEFAULTS, Options
+from planframe.session import cut
 
 
 def world_grid(gaps: DataFrame) -> DataFrame:
-    """One row: lines of both axes in millimetres and the mean bay of each."""
+    """A row for each job: the lines of both axes in millimetres and the mean bay of each."""
     pick = lambda a: F.sort_array(F.collect_list(F.when(F.col("axis") == a, F.col("start_mm"))))
-    rows = prefix_mm(gaps).agg(pick("x").alias("gx"), pick("y").alias("gy"))
-    bays = gaps.agg(F.avg(F.when(F.col("axis") == "x", F.col("spacing_mm"))).alias("bay_x"), F.avg(F.when(F.col("axis") == "y", F.col("spacing_mm"))).alias("bay_y"))
-    return rows.crossJoin(bays)
+    rows = prefix_mm(gaps).groupBy("job_id").agg(pick("x").alias("gx"), pick("y").alias("gy"))
+    bays = gaps.groupBy("job_id").agg(F.avg(F.when(F.col("axis") == "x", F.col("spacing_mm"))).alias("bay_x"), F.avg(F.when(F.col("axis") == "y", F.col("spacing_mm"))).alias("bay_y"))
+    return rows.join(bays, "job_id")
 
 
-def _columns(columns: DataFrame) -> DataFrame:
-    return columns.select("job_id", "col_ord", F.col("cx").alias("c_x"), F.col("cy").alias("c_y"), "hw", "hd")
+def footprints(columns: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """(job_id, col_ord, c_x, c_y, hw, hd) of columns: a missing centre is 0, a missing half side that of the least column."""
+    half = options.min_column_mm / 2
+    default = lambda c, v: F.coalesce(F.col(c), F.lit(v))
+    return columns.select("job_id", "col_ord", default("cx", 0.0).alias("c_x"), default("cy", 0.0).alias("c_y"), default("hw", half).alias("hw"), default("hd", half).alias("hd"))
+
+
+def core_wall_polygons(walls: DataFrame) -> DataFrame:
+    """(job_id, points) of walls ``(job_id, outline, polygon, points)``: the first of the three that is there, if it has three points."""
+    points = F.coalesce("outline", "polygon", "points")
+    return walls.select("job_id", points.alias("points")).where("size(points) >= 3")
 
 
 def _in_wall(points: DataFrame, keys: list[str], x: str, y: str, walls: DataFrame, size: float) -> DataFrame:
@@ -42,22 +51,34 @@ def _rectangles(rectangles: DataFrame, options: Options) -> DataFrame:
     return rectangles.where(sized[0] & sized[1]).select("job_id", F.col("rect_ord").alias("k_ord"), ((F.col("x0") + F.col("x1")) / 2).alias("k_x"), ((F.col("y0") + F.col("y1")) / 2).alias("k_y"), zero.alias("k_hw"), zero.alias("k_hd"))
 
 
+def _ends(beams: DataFrame, gaps: DataFrame, options: Options) -> DataFrame:
+    """Both ends of each beam with the nearest perpendicular line and the bays of its drawing; the lines themselves are left behind."""
+    point = lambda w: F.struct(F.lit(w).alias("which"), F.col(f"{w}x").alias("px"), F.col(f"{w}y").alias("py"))
+    rows = beams.select("job_id", "ord", axis(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")).alias("axis"), F.coalesce(F.nullif("width", F.lit(0.0)), F.lit(options.default_beam_mm)).alias("width"), F.explode(F.array(point("s"), point("e"))).alias("p"))
+    rows = rows.select("job_id", "ord", "axis", "width", "p.*").join(world_grid(gaps), "job_id")
+    x = F.col("axis") == "x"
+    out = rows.withColumns({
+        "line": F.when(x, nearest(F.col("gy"), F.col("py"))).otherwise(nearest(F.col("gx"), F.col("px"))),
+        "inside": F.col("px").between(F.array_min("gx") - F.col("bay_x"), F.array_max("gx") + F.col("bay_x")) & F.col("py").between(F.array_min("gy") - F.col("bay_y"), F.array_max("gy") + F.col("bay_y")),
+    })
+    return out.drop("gx", "gy")
+
+
 def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, reach: float, options: Options) -> DataFrame:
     """Ends in a core wall stay; others move to the nearest perpendicular line within half a bay, and there stay in a core wall or go onto a column near it."""
+    keys = ["job_id", "ord", "which"]
     x = F.col("axis") == "x"
-    line = F.when(x, nearest(F.col("gy"), F.col("py"))).otherwise(nearest(F.col("gx"), F.col("px")))
     bay = F.when(x, F.col("bay_y")).otherwise(F.col("bay_x"))
-    ends = ends.withColumn("_line", line).withColumn("on_line", F.abs(F.when(x, F.col("py")).otherwise(F.col("px")) - F.col("_line")) <= bay * options.perp_snap)
-    ends = ends.withColumns({"ax": F.when(F.col("on_line") & ~x, F.col("_line")).otherwise(F.col("px")), "ay": F.when(F.col("on_line") & x, F.col("_line")).otherwise(F.col("py"))})
+    ends = ends.withColumn("on_line", F.abs(F.when(x, F.col("py")).otherwise(F.col("px")) - F.col("line")) <= bay * options.perp_snap)
+    ends = ends.withColumns({"ax": F.when(F.col("on_line") & ~x, F.col("line")).otherwise(F.col("px")), "ay": F.when(F.col("on_line") & x, F.col("line")).otherwise(F.col("py"))})
     along = F.greatest("bay_x", "bay_y") * options.along_anchor
     rx = F.when(x, along).otherwise(F.col("bay_x") * options.across_anchor)
     ry = F.when(x, F.col("bay_y") * options.across_anchor).otherwise(along)
-    near = within(ends.where("on_line"), _columns(columns), ["job_id"], "ax", "ay", "c_x", "c_y", reach)
+    near = within(ends.where("on_line").select(*keys, "axis", "bay_x", "bay_y", "ax", "ay"), footprints(columns, options), ["job_id"], "ax", "ay", "c_x", "c_y", reach)
     near = near.where((F.abs(F.col("ax") - F.col("c_x")) <= rx) & (F.abs(F.col("ay") - F.col("c_y")) <= ry)).withColumn("_d", distance(F.col("ax"), F.col("ay"), F.col("c_x"), F.col("c_y")))
-    best = first_by(near, ["job_id", "ord", "which"], [F.col("_d"), F.col("col_ord")], ["c_x", "c_y", "hw", "hd"])
-    out = ends.join(best, ["job_id", "ord", "which"], "left")
+    best = first_by(near, keys, [F.col("_d"), F.col("col_ord")], ["c_x", "c_y", "hw", "hd"])
+    out = ends.join(best, keys, "left")
     if walls is not None:
-        keys = ["job_id", "ord", "which"]
         out = out.join(_in_wall(ends, keys, "px", "py", walls, reach).withColumn("_still", F.lit(True)), keys, "left")
         out = out.join(_in_wall(ends.where("on_line"), keys, "ax", "ay", walls, reach).withColumn("_there", F.lit(True)), keys, "left")
         still, wall = F.col("_still").isNotNull(), F.col("_still").isNotNull() | F.col("_there").isNotNull()
@@ -66,105 +87,110 @@ def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, reach:
     return out.withColumns({"ax": F.coalesce("c_x", "ax"), "ay": F.coalesce("c_y", "ay")})
 
 
-def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """(job_id, ord) of ends that lie on a dashed line of their axis."""
+def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS, keys: tuple[str, ...] = ("job_id", "ord"), size: float = 4096.0) -> DataFrame:
+    """The keys of ends that lie on a dashed line of their axis."""
     x = F.col("axis") == "x"
     a = ends.withColumns({"_perp": F.when(x, F.col("qy")).otherwise(F.col("qx")), "_long": F.when(x, F.col("qx")).otherwise(F.col("qy"))})
-    a = a.withColumn("_t", tile(F.col("_perp"), options.dash_perp_mm))
-    d = dashes.withColumn("_u", tile(F.col("perp"), options.dash_perp_mm)).withColumn("_t", F.explode(F.sequence(F.col("_u") - 1, F.col("_u") + 1))).drop("_u")
-    hit = a.join(d, ["job_id", "axis", "_t"]).where(F.abs(F.col("_perp") - F.col("perp")) <= options.dash_perp_mm)
     slack = F.col("width") * options.dash_long
-    return hit.where(F.col("_long").between(F.col("lo") - slack, F.col("hi") + slack)).select("job_id", "ord").distinct()
+    # An end reaches over the tiles that its slack touches along the line; a dash lies on those that it covers.
+    a = a.withColumns({"_t": tile(F.col("_perp"), options.dash_perp_mm), "_s": slack}).withColumn("_l", F.explode(F.sequence(tile(F.col("_long") - F.col("_s"), size), tile(F.col("_long") + F.col("_s"), size))))
+    d = dashes.withColumn("_u", tile(F.col("perp"), options.dash_perp_mm)).withColumn("_t", F.explode(F.sequence(F.col("_u") - 1, F.col("_u") + 1))).drop("_u")
+    d = d.withColumn("_l", F.explode(F.sequence(tile(F.col("lo"), size), tile(F.col("hi"), size))))
+    hit = a.join(d, ["job_id", "axis", "_t", "_l"]).where(F.abs(F.col("_perp") - F.col("perp")) <= options.dash_perp_mm)
+    return hit.where(F.col("_long").between(F.col("lo") - F.col("_s"), F.col("hi") + F.col("_s"))).select(*keys).distinct()
 
 
 def _pass_b(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, rectangles: DataFrame | None, dashes: DataFrame, reach: float, options: Options) -> DataFrame:
-    """(job_id, ord, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column, core wall or rectangle is met, tried in this order at each step."""
-    dashed = on_dash(ends, dashes, options).withColumn("_dash", F.lit(True))
-    steps = ends.join(dashed, ["job_id", "ord"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("budget"))))
+    """(job_id, ord, which, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column, core wall or rectangle is met, tried in this order at each step."""
+    keys = ["job_id", "ord", "which"]
+    dashed = on_dash(ends, dashes, options, tuple(keys)).withColumn("_dash", F.lit(True))
+    ends = cut(ends.join(dashed, keys, "left"))
+    steps = ends.where("_dash").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("budget"))))
     x = F.col("axis") == "x"
-    steps = steps.withColumns({"_x": F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0), "_y": F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))})
-    columns_of = ["job_id", "ord", "n", "_rank", "_d", "k_ord", "k_x", "k_y", "k_hw", "k_hd"]
+    steps = steps.select(*keys, "n", "bay_x", "bay_y", (F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0)).alias("_x"), (F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))).alias("_y"))
+    columns_of = [*keys, "n", "_rank", "_d", "k_ord", "k_x", "k_y", "k_hw", "k_hd"]
 
     def close(anchors: DataFrame, rank: int) -> DataFrame:
         near = within(steps, anchors, ["job_id"], "_x", "_y", "k_x", "k_y", reach)
         near = near.where((F.abs(F.col("_x") - F.col("k_x")) <= F.col("bay_x") * options.step_anchor) & (F.abs(F.col("_y") - F.col("k_y")) <= F.col("bay_y") * options.step_anchor))
         return near.withColumns({"_d": distance(F.col("_x"), F.col("_y"), F.col("k_x"), F.col("k_y")), "_rank": F.lit(rank)}).select(*columns_of)
 
-    near = close(_columns(columns).toDF("job_id", "k_ord", "k_x", "k_y", "k_hw", "k_hd"), 0)
+    near = close(footprints(columns, options).toDF("job_id", "k_ord", "k_x", "k_y", "k_hw", "k_hd"), 0)
     if walls is not None:
-        hit = steps.join(_in_wall(steps, ["job_id", "ord", "n"], "_x", "_y", walls, reach), ["job_id", "ord", "n"])
+        hit = steps.join(_in_wall(steps, [*keys, "n"], "_x", "_y", walls, reach), [*keys, "n"])
         zero = F.lit(0.0)
-        near = near.unionByName(hit.withColumns({"_rank": F.lit(1), "_d": zero, "k_ord": F.lit(0), "k_x": F.col("_x"), "k_y": F.col("_y"), "k_hw": zero, "k_hd": zero}).select(*columns_of))
+        near = near.unionByName(hit.withColumns({"_rank": F.lit(1), "_d": zero, "k_ord": F.lit(0).cast("long"), "k_x": F.col("_x"), "k_y": F.col("_y"), "k_hw": zero, "k_hd": zero}).select(*columns_of))
     if rectangles is not None:
         near = near.unionByName(close(_rectangles(rectangles, options), 2))
-    best = first_by(near, ["job_id", "ord"], [F.col("n"), F.col("_rank"), F.col("_d"), F.col("k_ord")], ["k_x", "k_y", "k_hw", "k_hd"])
-    out = ends.select("job_id", "ord").join(dashed, ["job_id", "ord"], "left").join(best, ["job_id", "ord"], "left")
+    best = first_by(near, keys, [F.col("n"), F.col("_rank"), F.col("_d"), F.col("k_ord")], ["k_x", "k_y", "k_hw", "k_hd"])
+    out = ends.select(*keys, "_dash").join(best, keys, "left")
     tag = F.when(F.col("_dash").isNull(), "no_dashline").when(F.col("k_x").isNull(), "dashline_no_anchor")
-    return out.select("job_id", "ord", tag.alias("tag"), F.col("k_x").alias("b_x"), F.col("k_y").alias("b_y"), F.col("k_hw").alias("b_hw"), F.col("k_hd").alias("b_hd"))
+    return out.select(*keys, tag.alias("tag"), F.col("k_x").alias("b_x"), F.col("k_y").alias("b_y"), F.col("k_hw").alias("b_hw"), F.col("k_hd").alias("b_hd"))
 
 
 def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: DataFrame, options: Options = DEFAULTS, core_walls: DataFrame | None = None, rectangles: DataFrame | None = None) -> DataFrame:
-    """(job_id, ord, tag, sx, sy, ex, ey): every beam, ``tag`` null where it stays, with its trimmed ends.
+    """(job_id, ord, tag, sx, sy, ex, ey): every beam of a drawing with a grid, ``tag`` null where it stays, with its trimmed ends.
 
     Tags in the order they are tried: no_endpoints, out_of_grid, no_dashline or dashline_no_anchor,
     same_column, duplicate_span, diagonal, too_short. A beam rejected after duplicate_span still shadows
     later ones of its span. ``core_walls(job_id, points)`` are polygons and ``rectangles(job_id, rect_ord, x0, y0, x1, y1)``
     boxes, of which those sized like columns count, all in millimetres; beams are not trimmed at them.
     """
-    bays = gaps.agg(F.max("spacing_mm")).first()[0] or 1.0
-    reach_a, reach_b = bays * max(options.along_anchor, options.across_anchor), bays * options.step_anchor
-    grid = F.broadcast(world_grid(gaps))
+    widest = gaps.agg(F.max("spacing_mm")).first()[0] or 1.0
+    reach_a, reach_b = widest * max(options.along_anchor, options.across_anchor), widest * options.step_anchor
     whole = beams.where("sx is not null and sy is not null and ex is not null and ey is not null")
-    broken = beams.join(whole.select("job_id", "ord"), ["job_id", "ord"], "left_anti").select("job_id", "ord", F.lit("no_endpoints").alias("tag"), "sx", "sy", "ex", "ey")
-    rows = whole.withColumn("axis", axis(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))).withColumn("width", F.coalesce(F.nullif("width", F.lit(0.0)), F.lit(options.default_beam_mm))).crossJoin(grid)
-    both = F.array(F.struct(F.lit("s").alias("which"), F.col("sx").alias("px"), F.col("sy").alias("py")), F.struct(F.lit("e").alias("which"), F.col("ex").alias("px"), F.col("ey").alias("py")))
-    ends = rows.select("job_id", "ord", "axis", "gx", "gy", "bay_x", "bay_y", F.explode(both).alias("p")).select("job_id", "ord", "axis", "gx", "gy", "bay_x", "bay_y", "p.*")
-    a = _pass_a(ends, columns, core_walls, reach_a, options)
-    keep = ["ax", "ay", "c_x", "c_y", "hw", "hd"]
-    a = a.groupBy("job_id", "ord").agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in "se" for c in keep])
-    # Each later step joins back to the rows before it: kept in memory or on disk, they are computed once.
-    rows = rows.join(a, ["job_id", "ord"]).persist(StorageLevel.MEMORY_AND_DISK)
-    along: Column = F.when(F.col("axis") == "x", F.col("s_c_x")).otherwise(F.col("s_c_y"))
+    broken = beams.where("sx is null or sy is null or ex is null or ey is null").select("job_id", "ord", F.lit("no_endpoints").alias("tag"), "sx", "sy", "ex", "ey")
+    # The joins of each pass start from the same ends or steps, which are written once.
+    a = _pass_a(cut(_ends(whole, gaps, options)), columns, core_walls, reach_a, options)
+    keep = ["px", "py", "ax", "ay", "c_x", "c_y", "hw", "hd", "inside"]
+    once = ["axis", "width", "bay_x", "bay_y"]
+    rows = a.groupBy("job_id", "ord").agg(*[F.first(c).alias(c) for c in once], *[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in "se" for c in keep])
+    x = F.col("axis") == "x"
+    along = F.when(x, F.col("s_c_x")).otherwise(F.col("s_c_y"))
     same = F.coalesce((F.col("s_c_x") == F.col("e_c_x")) & (F.col("s_c_y") == F.col("e_c_y")) & (F.col("s_hw") > 0) & (F.col("e_hw") > 0), F.lit(False))
-    d = lambda p: distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col("s_c_x"), F.col("s_c_y"))
+    d = lambda w: distance(F.col(f"{w}_px"), F.col(f"{w}_py"), F.col("s_c_x"), F.col("s_c_y"))
+    at = lambda w, p: F.when(x, F.col(f"{w}_{p}x")).otherwise(F.col(f"{w}_{p}y"))
     loose = F.when(same, F.when(d("s") >= d("e"), "s").otherwise("e"))
-    rows = rows.withColumn("loose", loose).withColumn("loose_sign", F.when(F.when(F.col("axis") == "x", F.when(F.col("loose") == "s", F.col("sx")).otherwise(F.col("ex"))).otherwise(F.when(F.col("loose") == "s", F.col("sy")).otherwise(F.col("ey"))) >= along, 1.0).otherwise(-1.0))
-    for w in "se":
-        rows = rows.withColumn(f"{w}_free", F.col(f"{w}_c_x").isNull() | F.coalesce(F.col("loose") == w, F.lit(False)))
+    rows = rows.withColumn("loose", loose)
+    rows = rows.withColumn("loose_sign", F.when(F.when(F.col("loose") == "s", at("s", "p")).otherwise(at("e", "p")) >= along, 1.0).otherwise(-1.0))
+    rows = rows.withColumns({f"{w}_free": F.col(f"{w}_c_x").isNull() | F.coalesce(F.col("loose") == w, F.lit(False)) for w in "se"})
     rows = rows.withColumn("budget", F.when(F.col("s_free") & F.col("e_free"), options.steps_both).otherwise(options.steps_one))
-    for w, o in (("s", "e"), ("e", "s")):
-        mine = F.when(F.col("axis") == "x", F.col(f"{w}_ax")).otherwise(F.col(f"{w}_ay"))
-        other = F.when(F.col("axis") == "x", F.col(f"{o}_ax")).otherwise(F.col(f"{o}_ay"))
-        sign = F.when(F.col("loose") == w, F.col("loose_sign")).when(mine >= other, 1.0).otherwise(-1.0)
-        free = rows.where(f"{w}_free").select("job_id", "ord", "axis", "bay_x", "bay_y", "width", "budget", F.col(f"{w}_ax").alias("qx"), F.col(f"{w}_ay").alias("qy"), sign.alias("sign"))
-        found = _pass_b(free, columns, core_walls, rectangles, dashes, reach_b, options).withColumnRenamed("tag", f"{w}_tag")
-        rows = rows.join(found, ["job_id", "ord"], "left")
-        met = F.col("b_x").isNotNull()
-        # The second end sees the first one where it has come to lie.
-        rows = rows.withColumns({
-            f"{w}_ax": F.coalesce("b_x", f"{w}_ax"), f"{w}_ay": F.coalesce("b_y", f"{w}_ay"),
-            f"{w}_c_x": F.when(F.col(f"{w}_free"), F.col("b_x")).otherwise(F.col(f"{w}_c_x")), f"{w}_c_y": F.when(F.col(f"{w}_free"), F.col("b_y")).otherwise(F.col(f"{w}_c_y")),
-            f"{w}_hw": F.when(met, F.col("b_hw")).otherwise(F.col(f"{w}_hw")), f"{w}_hd": F.when(met, F.col("b_hd")).otherwise(F.col(f"{w}_hd")),
-        }).drop("b_x", "b_y", "b_hw", "b_hd").persist(StorageLevel.MEMORY_AND_DISK)
-    inside = lambda p: F.col(f"{p}x").between(F.array_min("gx") - F.col("bay_x"), F.array_max("gx") + F.col("bay_x")) & F.col(f"{p}y").between(F.array_min("gy") - F.col("bay_y"), F.array_max("gy") + F.col("bay_y"))
+    rows = cut(rows)
+    # An end floats away from the other. The second end sees the first one where it has come to lie, which tells only
+    # where both lie alike along the beam: then "t" is the second end, sent the other way, for a first end that has moved.
+    loosed = lambda w: F.coalesce(F.col("loose") == w, F.lit(False))
+    tie = F.col("s_free") & F.col("e_free") & ~loosed("e") & (at("s", "a") == at("e", "a"))
+    one = lambda w, end, free, sign: F.when(free, F.struct(F.lit(w).alias("which"), F.col(f"{end}_ax").alias("qx"), F.col(f"{end}_ay").alias("qy"), sign.alias("sign")))
+    out = lambda w, o: F.when(loosed(w), F.col("loose_sign")).when(at(w, "a") >= at(o, "a"), 1.0).otherwise(-1.0)
+    floating = F.array(one("s", "s", F.col("s_free"), out("s", "e")), one("e", "e", F.col("e_free"), out("e", "s")), one("t", "e", tie, F.lit(-1.0)))
+    free = rows.select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "budget", F.explode(F.filter(floating, lambda v: v.isNotNull())).alias("q")).select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "budget", "q.*")
+    found = _pass_b(free, columns, core_walls, rectangles, dashes, reach_b, options)
+    met = F.struct("tag", "b_x", "b_y", "b_hw", "b_hd")
+    found = found.groupBy("job_id", "ord").agg(*[F.max(F.when(F.col("which") == w, met)).alias(f"{w}_b") for w in "set"])
+    rows = rows.join(found, ["job_id", "ord"], "left")
+    rows = rows.withColumn("e_b", F.when(F.col("t_b").isNotNull() & F.col("s_b.b_x").isNotNull(), F.col("t_b")).otherwise(F.col("e_b")))
+    for w in "se":
+        hit, b = F.col(f"{w}_b.b_x").isNotNull(), f"{w}_b.b_"
+        rows = rows.withColumns({f"{w}_{k}": F.when(F.col(f"{w}_free"), F.col(f"{b}{v}")).otherwise(F.col(f"{w}_{k}")) for k, v in (("c_x", "x"), ("c_y", "y"))} | {f"{w}_{k}": F.when(hit, F.col(f"{b}{v}")).otherwise(F.col(f"{w}_{k}")) for k, v in (("ax", "x"), ("ay", "y"), ("hw", "hw"), ("hd", "hd"))})
     tag = (
-        F.when(~(inside("s") & inside("e")), "out_of_grid")
-        .when(F.col("s_c_x").isNull(), F.coalesce("s_tag", F.lit("no_dashline")))
-        .when(F.col("e_c_x").isNull(), F.coalesce("e_tag", F.lit("no_dashline")))
+        F.when(~(F.col("s_inside") & F.col("e_inside")), "out_of_grid")
+        .when(F.col("s_c_x").isNull(), F.coalesce("s_b.tag", F.lit("no_dashline")))
+        .when(F.col("e_c_x").isNull(), F.coalesce("e_b.tag", F.lit("no_dashline")))
         .when((F.col("s_c_x") == F.col("e_c_x")) & (F.col("s_c_y") == F.col("e_c_y")), "same_column")
     )
     point = lambda w: F.struct(F.bround(f"{w}_c_x", 1).alias("x"), F.bround(f"{w}_c_y", 1).alias("y"))
     rows = rows.withColumn("tag", tag).withColumn("span", F.array_sort(F.array(point("s"), point("e"))))
-    rn = F.row_number().over(Window.partitionBy("job_id", "span", F.col("tag").isNull()).orderBy("ord"))
-    rows = rows.withColumn("_rn", F.when(F.col("tag").isNull(), rn)).withColumn("tag", F.coalesce("tag", F.when(F.col("_rn") > 1, "duplicate_span")))
+    # Rejected beams are told apart by their own number, so that they are not dealt to one task for want of a span.
+    rn = F.row_number().over(Window.partitionBy("job_id", "span", F.when(F.col("tag").isNotNull(), F.col("ord"))).orderBy("ord"))
+    rows = rows.withColumn("tag", F.coalesce("tag", F.when(rn > 1, "duplicate_span")))
     dx, dy = F.col("e_ax") - F.col("s_ax"), F.col("e_ay") - F.col("s_ay")
     flat = F.abs(dx) >= F.abs(dy)
     way = F.when(F.when(flat, dx).otherwise(dy) > 0, 1.0).otherwise(-1.0)
     rows = rows.withColumns({"_diag": F.least(F.abs(dx), F.abs(dy)) > options.axis_tol_mm, "_sx": F.when(flat, F.col("s_ax") + way * F.col("s_hw")).otherwise(F.col("s_ax")), "_ex": F.when(flat, F.col("e_ax") - way * F.col("e_hw")).otherwise(F.col("e_ax")), "_sy": F.when(flat, F.col("s_ay")).otherwise(F.col("s_ay") + way * F.col("s_hd")), "_ey": F.when(flat, F.col("e_ay")).otherwise(F.col("e_ay") - way * F.col("e_hd"))})
     short = F.hypot(F.col("_ex") - F.col("_sx"), F.col("_ey") - F.col("_sy")) < options.min_beam_mm
     rows = rows.withColumn("tag", F.coalesce("tag", F.when(F.col("_diag"), "diagonal").when(short, "too_short")))
-    out = lambda n: F.when(F.col("tag").isNull(), F.col(f"_{n}")).otherwise(F.col(n)).alias(n)
-    return rows.select("job_id", "ord", "tag", out("sx"), out("sy"), out("ex"), out("ey")).unionByName(broken)
+    final: dict[str, Column] = {n: F.when(F.col("tag").isNull(), F.col(f"_{n}")).otherwise(F.col(f"{n[0]}_p{n[1]}")) for n in ("sx", "sy", "ex", "ey")}
+    return rows.select("job_id", "ord", "tag", *[c.alias(n) for n, c in final.items()]).unionByName(broken)
 
 
 def reject_counts(sanitized: DataFrame) -> DataFrame:
@@ -176,3 +202,9 @@ def clamp_columns(columns: DataFrame, least_mm: float = 200.0) -> DataFrame:
     """Columns with sides of at least ``least_mm`` and how many of the sides were raised."""
     raised = F.when(F.col("width_mm") < least_mm, 1).otherwise(0) + F.when(F.col("depth_mm") < least_mm, 1).otherwise(0)
     return columns.withColumns({"raised": raised, "width_mm": F.greatest("width_mm", F.lit(least_mm)), "depth_mm": F.greatest("depth_mm", F.lit(least_mm))})
+
+
+def clamp_actions(columns: DataFrame, least_mm: float = 200.0) -> DataFrame:
+    """(job_id, ord, field, old, new): a row for each side that ``clamp_columns`` raises."""
+    sides = columns.unpivot(["job_id", "ord"], ["width_mm", "depth_mm"], "field", "old")
+    return sides.where(F.col("old") < least_mm).withColumn("new", F.lit(least_mm))

@@ -52,6 +52,7 @@ class Options:
     grid_align_px: float = 30.0
     # admittance
     clearance: float = 1.5
+    max_growth: float = 3.0
     slab_min_area_px: float = 90_000.0
     slab_dup_iou: float = 0.5
     # stores and sessions

@@ -4,6 +4,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TABLES = ("part", "nation", "region", "orders", "lineitem", "supplier", "events", "conversations")
 
+_JOBS = "(SELECT DISTINCT p_partkey % 16 AS job_id FROM {part}) j"
+
+_GAPS = f"""SELECT j.job_id, 'x' AS axis, CAST(n_nationkey AS BIGINT) AS idx, CAST(CASE WHEN (n_nationkey + j.job_id) % 11 = 10 THEN 12600 WHEN (n_nationkey + 2 * j.job_id) % 7 = 6 THEN 2400 ELSE 8400 END AS DOUBLE) AS spacing_mm
+        FROM {{nation}} CROSS JOIN {_JOBS} WHERE n_nationkey < 24 UNION ALL SELECT j.job_id, 'y', CAST(r_regionkey AS BIGINT), CAST(8400 - 600 * ((r_regionkey + j.job_id) % 2) AS DOUBLE) FROM {{region}} CROSS JOIN {_JOBS} WHERE r_regionkey < 4"""
+
+#: Where each job's lines lie, in millimetres.
+_MM = f"""(SELECT job_id, axis, idx, coalesce(sum(spacing_mm) OVER (PARTITION BY job_id, axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mm, spacing_mm AS bay FROM ({_GAPS}) g
+        UNION ALL SELECT job_id, axis, max(idx) + 1, sum(spacing_mm), 8400 FROM ({_GAPS}) g GROUP BY job_id, axis)"""
+
 #: name -> (SQL with {table} placeholders).
 VIEWS = {
     "corrections": """SELECT event_id AS id, ts, user_id AS job_id, event_type AS element_type, CAST(event_id % 50 AS INT) AS element_index,
@@ -12,36 +21,42 @@ VIEWS = {
         WHEN 'view' THEN 'get' WHEN 'purchase' THEN 'update' ELSE 'contains' END AS op FROM {events}""",
     "chat": """SELECT conv_id AS user_id, turn AS ord, role, concat(CASE (conv_id * 7 + turn) % 6 WHEN 0 THEN 'Why did it fail: ' WHEN 1 THEN 'current status? '
         WHEN 2 THEN 'explain ' WHEN 3 THEN 'how many in the queue ' WHEN 4 THEN 'hello ' ELSE 'what is the dpi ' END, text) AS content FROM {conversations}""",
+    # Every seventh box lies on an earlier one of its job and type; every eleventh is larger than 200 px.
     "detections": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'structural_framing' ELSE 'slab' END AS type,
-        CAST((p_partkey * 97) % 4000 AS DOUBLE) AS x1, CAST((p_partkey * 61) % 3000 AS DOUBLE) AS y1,
-        CAST((p_partkey * 97) % 4000 + 10 + p_size AS DOUBLE) AS x2, CAST((p_partkey * 61) % 3000 + 10 + (p_partkey * 7) % 50 AS DOUBLE) AS y2,
-        CAST((p_partkey * 31) % 100 AS DOUBLE) / 100 AS confidence FROM {part}""",
-    "grid_lines": """SELECT 'x' AS axis, CAST(n_nationkey AS BIGINT) AS idx, CAST(170 * n_nationkey AS DOUBLE) AS px FROM {nation}
-        UNION ALL SELECT 'y', CAST(r_regionkey AS BIGINT), CAST(700 * r_regionkey AS DOUBLE) FROM {region}""",
-    "grid_gaps": """SELECT 'x' AS axis, CAST(n_nationkey AS BIGINT) AS idx, CAST(CASE WHEN n_nationkey % 11 = 10 THEN 12600 WHEN n_nationkey % 7 = 6 THEN 2400 ELSE 8400 END AS DOUBLE) AS spacing_mm
-        FROM {nation} WHERE n_nationkey < 24 UNION ALL SELECT 'y', CAST(r_regionkey AS BIGINT), CAST(8400 AS DOUBLE) FROM {region} WHERE r_regionkey < 4""",
+        CAST((q * 97) % 4000 AS DOUBLE) AS x1, CAST((q * 61) % 3000 AS DOUBLE) AS y1,
+        CAST((q * 97) % 4000 + 10 + p_size + big AS DOUBLE) AS x2, CAST((q * 61) % 3000 + 10 + (q * 7) % 50 AS DOUBLE) AS y2,
+        CAST((p_partkey * 31) % 100 AS DOUBLE) / 100 AS confidence
+        FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 7 = 0 AND p_partkey > 48 THEN p_partkey - 48 ELSE p_partkey END AS q, CASE WHEN p_partkey % 11 = 0 THEN 220 ELSE 0 END AS big FROM {part}) p""",
+    "grid_lines": f"""SELECT j.job_id, 'x' AS axis, CAST(n_nationkey AS BIGINT) AS idx, CAST((155 + 2 * j.job_id) * n_nationkey + 3 * j.job_id AS DOUBLE) AS px FROM {{nation}} CROSS JOIN {_JOBS}
+        UNION ALL SELECT j.job_id, 'y', CAST(r_regionkey AS BIGINT), CAST((640 + 8 * j.job_id) * r_regionkey + 5 * j.job_id AS DOUBLE) FROM {{region}} CROSS JOIN {_JOBS}""",
+    "grid_gaps": _GAPS,
     "spans": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CAST((p_partkey * 89) % 4000 AS DOUBLE) AS sx, CAST((p_partkey * 53) % 3000 AS DOUBLE) AS sy,
         CASE p_partkey % 6 WHEN 0 THEN concat('C', CAST(p_partkey % 40 AS STRING), ' ', CAST(200 + 50 * (p_partkey % 17) AS STRING), 'x', CAST(200 + 50 * (p_partkey % 13) AS STRING))
         WHEN 1 THEN concat(CAST(300 + 50 * (p_partkey % 11) AS STRING), 'Ø') WHEN 2 THEN concat('Ø', CAST(300 + 50 * (p_partkey % 7) AS STRING))
         WHEN 3 THEN concat('C', CAST(p_partkey % 60 AS STRING)) WHEN 4 THEN concat('RCB', CAST(p_partkey % 30 AS STRING)) ELSE CAST(2400 + 600 * (p_partkey % 20) AS STRING) END AS text FROM {part}""",
-    "beams": """SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS dir,
-        CAST(8400 * ((o_orderkey * 7) % 24) + (o_orderkey * 13) % 1900 - 900 AS DOUBLE) AS sx, CAST(8400 * ((o_orderkey * 11) % 5) + (o_orderkey * 17) % 1500 - 700 AS DOUBLE) AS sy,
-        CAST(8400 * ((o_orderkey * 7) % 24) + CASE WHEN o_orderkey % 2 = 0 THEN 8400 + (o_orderkey * 19) % 1400 - 700 ELSE (o_orderkey * 23) % 90 END AS DOUBLE) AS ex,
-        CAST(8400 * ((o_orderkey * 11) % 5) + CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey * 29) % 90 ELSE 8400 + (o_orderkey * 31) % 1400 - 700 END AS DOUBLE) AS ey,
-        CAST(300 + 100 * (o_orderkey % 6) AS DOUBLE) AS width FROM {orders}""",
-    "columns": """SELECT j.job_id, n_nationkey * 5 + r_regionkey AS col_ord, CAST(8400 * n_nationkey AS DOUBLE) AS cx, CAST(8400 * r_regionkey AS DOUBLE) AS cy,
-        CAST(400 AS DOUBLE) AS hw, CAST(300 AS DOUBLE) AS hd FROM {nation} CROSS JOIN {region} CROSS JOIN (SELECT DISTINCT o_orderkey % 16 AS job_id FROM {orders}) j
-        WHERE (n_nationkey * 3 + r_regionkey * 5 + j.job_id) % 4 <> 0""",
-    "dashes": """SELECT DISTINCT l_orderkey % 16 AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
-        CAST(8400 * (l_orderkey % 24) AS DOUBLE) AS lo, CAST(8400 * (l_orderkey % 24) + 6000 AS DOUBLE) AS hi, CAST(8400 * (l_partkey % 5) + l_linenumber * 40 AS DOUBLE) AS perp
-        FROM {lineitem} WHERE l_orderkey % 5 = 0""",
-    "all_dashes": """SELECT DISTINCT l_orderkey % 16 AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
-        CAST(8400 * (l_orderkey % 24) AS DOUBLE) AS lo, CAST(8400 * (l_orderkey % 24) + 6000 AS DOUBLE) AS hi, CAST(8400 * (l_partkey % 5) + l_linenumber * 40 AS DOUBLE) AS perp
-        FROM {lineitem}""",
+    # A beam from one line to the next of its job, off by up to a metre; every fifth lies on the lines.
+    "beams": f"""SELECT o.job_id, o.ord, o.dir, x0.mm + o.off * (o.ord * 13 % 1900 - 900) AS sx, y0.mm + o.off * (o.ord * 17 % 1500 - 700) AS sy,
+        x0.mm + CASE WHEN o.dir = 'x' THEN x0.bay + o.off * (o.ord * 19 % 1400 - 700) ELSE o.off * (o.ord * 23 % 90) END AS ex,
+        y0.mm + CASE WHEN o.dir = 'x' THEN o.off * (o.ord * 29 % 90) ELSE y0.bay + o.off * (o.ord * 31 % 1400 - 700) END AS ey, o.width
+        FROM (SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS dir, (o_orderkey * 7) % 24 AS i, (o_orderkey * 11) % 5 AS j,
+        CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS off, CAST(300 + 100 * (o_orderkey % 6) AS DOUBLE) AS width FROM {{orders}}) o
+        JOIN {_MM} x0 ON x0.job_id = o.job_id AND x0.axis = 'x' AND x0.idx = o.i JOIN {_MM} y0 ON y0.job_id = o.job_id AND y0.axis = 'y' AND y0.idx = o.j""",
+    "columns": f"""SELECT x.job_id, x.idx * 5 + y.idx AS col_ord, x.mm AS cx, y.mm AS cy, CAST(400 AS DOUBLE) AS hw, CAST(300 AS DOUBLE) AS hd FROM {_MM} x JOIN {_MM} y ON x.job_id = y.job_id
+        WHERE x.axis = 'x' AND y.axis = 'y' AND (x.idx * 3 + y.idx * 5 + x.job_id) % 4 <> 0""",
+    "dashes": f"""SELECT l.job_id, l.axis, x.mm AS lo, x.mm + 6000 AS hi, y.mm + l.off AS perp FROM (SELECT DISTINCT l_orderkey % 16 AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
+        l_orderkey % CASE WHEN l_linenumber % 2 = 0 THEN 24 ELSE 5 END AS i, l_partkey % CASE WHEN l_linenumber % 2 = 0 THEN 5 ELSE 25 END AS j, CAST(l_linenumber * 40 AS DOUBLE) AS off FROM {{lineitem}}) l
+        JOIN {_MM} x ON x.job_id = l.job_id AND x.axis = l.axis AND x.idx = l.i JOIN {_MM} y ON y.job_id = l.job_id AND y.axis <> l.axis AND y.idx = l.j""",
+    # Core walls in one bay of every third job, and drawn rectangles sized like columns on lines that have none.
+    "core_walls": f"""SELECT x.job_id, x.idx AS wall_ord, x.mm - 600 AS x0, y.mm - 500 AS y0, x.mm + 900 AS x1, y.mm + 700 AS y1 FROM {_MM} x JOIN {_MM} y ON x.job_id = y.job_id
+        WHERE x.axis = 'x' AND y.axis = 'y' AND x.job_id % 3 = 0 AND x.idx % 6 = 3 AND y.idx = 2""",
+    "rectangles": f"""SELECT x.job_id, x.idx * 5 + y.idx AS rect_ord, x.mm - 300 AS x0, y.mm - 250 AS y0, x.mm + 350 + 300 * (x.idx % 5) AS x1, y.mm + 250 AS y1 FROM {_MM} x JOIN {_MM} y ON x.job_id = y.job_id
+        WHERE x.axis = 'x' AND y.axis = 'y' AND (x.idx * 3 + y.idx * 5 + x.job_id) % 4 = 0 AND x.idx % 2 = 0""",
     "slabs": """SELECT s_suppkey % 4 AS job_id, s_suppkey AS ord, CAST((s_suppkey * 131) % 9000 AS DOUBLE) AS x1, CAST((s_suppkey * 71) % 7000 AS DOUBLE) AS y1,
         CAST((s_suppkey * 131) % 9000 + 900 AS DOUBLE) AS x2, CAST((s_suppkey * 71) % 7000 + 700 AS DOUBLE) AS y2 FROM {supplier}""",
     "zones": """SELECT s_suppkey % 4 AS job_id, s_suppkey AS zone_ord, CAST((s_suppkey * 113) % 9500 AS DOUBLE) AS zx, CAST((s_suppkey * 67) % 7500 AS DOUBLE) AS zy,
         CASE WHEN s_suppkey % 3 = 0 THEN concat(CAST(150 + 50 * (s_suppkey % 4) AS STRING), 'CIS') ELSE concat('NSP', CAST(s_suppkey % 7 AS STRING)) END AS code FROM {supplier}""",
+    "legend": """SELECT DISTINCT p_partkey % 16 AS job_id, concat('RCB', CAST(p_partkey % 30 AS STRING)) AS tag, CASE WHEN (p_partkey % 30 + p_partkey % 16) % 3 = 0 THEN 'steel' ELSE 'rc' END AS material
+        FROM {part} WHERE p_partkey % 6 = 4 AND (p_partkey % 30 + p_partkey % 16) % 3 < 2""",
     "warnings": """SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE o_orderkey % 6 WHEN 0 THEN 'Cannot keep elements joined.' WHEN 1 THEN 'There are identical instances in the same place.'
         WHEN 2 THEN 'ExternalEvent request pending' WHEN 3 THEN 'Missing structural framing family' WHEN 4 THEN 'The column is too short' ELSE concat('Note ', o_orderpriority) END AS text FROM {orders}""",
     "strokes": """SELECT p_partkey % 16 AS job_id, p_partkey AS path_ord, CAST((p_partkey * 83) % 4000 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 3000 AS DOUBLE) AS y1,
@@ -73,4 +88,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the named views as common table expressions before it."""
     ctes = ", ".join(f"{n}_v AS ({text(n, False)})" for n in names)
-    return f"WITH {ctes} {sql}" if not sql.lstrip().startswith(",") else f"WITH {ctes}{sql}"
+    return f"WITH RECURSIVE {ctes} {sql}" if not sql.lstrip().startswith(",") else f"WITH RECURSIVE {ctes}{sql}"

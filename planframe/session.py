@@ -5,7 +5,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,6 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: a reliable checkpoint in the folder that the session names; a local session without one has its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="planframe-checkpoints-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def local(cpus: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (

@@ -85,7 +85,7 @@ def test_tiled_joins_equal_brute_force(spark):
 
 def test_empty_tables_give_empty_results(spark):
     none = spark.createDataFrame([], BOXES)
-    lines = spark.createDataFrame([], "axis string, idx long, px double")
+    lines = spark.createDataFrame([], "job_id long, axis string, idx long, px double")
     assert boxes.validate(none, lines).count() == 0
     assert boxes.suppress(none).count() == 0
     log = spark.createDataFrame([], "id long, ts timestamp_ntz, job_id long, element_type string, element_index int, changes string, is_delete boolean")
@@ -125,7 +125,7 @@ def test_fallback_labels(spark):
 
 @pytest.fixture(scope="module")
 def plan(spark):
-    gaps = spark.createDataFrame([(a, i, 8000.0) for a in "xy" for i in range(3)], "axis string, idx long, spacing_mm double")
+    gaps = spark.createDataFrame([(1, a, i, 8000.0) for a in "xy" for i in range(3)], "job_id long, axis string, idx long, spacing_mm double")
     cols = spark.createDataFrame([(1, 4 * i + j, 8000.0 * i, 8000.0 * j, 400.0, 400.0) for i in range(4) for j in range(4) if (i, j) != (3, 3)], "job_id long, col_ord long, cx double, cy double, hw double, hd double")
     dashes = spark.createDataFrame([(1, "x", 0.0, 20000.0, 8000.0), (1, "x", 17000.0, 30000.0, 24000.0)], "job_id long, axis string, lo double, hi double, perp double")
     beams = [

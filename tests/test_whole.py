@@ -1,26 +1,19 @@
 """The whole job: every row of the inputs counts, whatever its id or size."""
 
-import duckdb
-from test_oracles import DATA, TABLES, rows_of
+from planframe.operators import alerts, annotate, boxes, grid, sanitize
 
-from planframe import catalog
-from planframe.operators import alerts, annotate, boxes, sanitize
 
-
-def rows_in(duck, sql):
-    cursor = duck.execute(sql)
-    names = [x[0] for x in cursor.description]
-    return sorted(names), [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
-
-
-def test_all_warnings_and_all_dashes_count(spark):
-    duck = duckdb.connect()
-    for t in TABLES:
-        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    for name, cut in (("worst_beam", " AND ord < 200"), ("dashline_near", " WHERE l_orderkey % 5 = 0")):
-        columns, want = rows_in(duck, catalog.SQL[name].replace(cut, ""))
-        got = catalog.QUERIES[name](spark, DATA)
-        assert rows_of(columns, [r.asDict() for r in got.collect()]) == rows_of(columns, want)
+def test_two_drawings_have_two_grids(spark):
+    lines = spark.createDataFrame([(j, a, i, 100.0 * j * i) for j in (1, 5) for a in "xy" for i in range(4)], "job_id long, axis string, idx long, px double")
+    gaps = spark.createDataFrame([(j, a, i, 8000.0 if j == 1 else 2000.0) for j in (1, 5) for a in "xy" for i in range(3)], "job_id long, axis string, idx long, spacing_mm double")
+    box = lambda j, o, x: (j, o, "column", x - 10.0, 190.0, x + 10.0, 210.0, 0.9)
+    df = spark.createDataFrame([box(1, 0, 150.0), box(1, 1, 900.0), box(5, 0, 900.0), box(5, 1, 2500.0), box(7, 0, 900.0)], "job_id long, ord long, type string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    kept = {(r.job_id, r.ord): r.kept for r in boxes.outside_grid(df, lines).collect()}
+    assert kept == {(1, 0): True, (1, 1): False, (5, 0): True, (5, 1): False, (7, 0): True}
+    at = {(r.job_id, r.ord): (r.wx, r.wy) for r in grid.to_world(boxes.centred(df), lines, gaps).collect()}
+    assert at[1, 0] == (12000.0, 8000.0) and at[5, 0] == (3600.0, 5200.0)
+    told = {(r.job_id, r.ord): (r.violations, r.is_compliant) for r in boxes.enforce_rules(df, lines, gaps).collect()}
+    assert told[1, 0] == told[7, 0] == ("", True) and told[5, 0] == (",".join(["bay_too_narrow_2000mm"] * 6), False)
 
 
 def test_a_beam_far_inside_a_wide_column(spark):
@@ -45,7 +38,7 @@ def test_a_wide_column_meets_every_label_in_its_reach(spark):
 
 
 def test_beams_end_in_core_walls_and_on_rectangles(spark):
-    gaps = spark.createDataFrame([(a, i, 8000.0) for a in "xy" for i in range(3)], "axis string, idx long, spacing_mm double")
+    gaps = spark.createDataFrame([(j, a, i, 8000.0) for j in range(1, 9) for a in "xy" for i in range(3)], "job_id long, axis string, idx long, spacing_mm double")
     cols = spark.createDataFrame([(j, 0, 16000.0, 24000.0, 400.0, 400.0) for j in range(1, 9)], "job_id long, col_ord long, cx double, cy double, hw double, hd double")
     dashes = spark.createDataFrame([(j, "x", 17000.0, 30000.0, 24000.0) for j in range(1, 9)], "job_id long, axis string, lo double, hi double, perp double")
     y = {3: 23000.0}  # only the line that this beam snaps to leads into the wall
