@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planframe.functions.text import ROUTES, TAG, WARNINGS, code_thickness, first_match, normal_dims
-from planframe.operators import admit, alerts, annotate, boxes, corrections, grid, jobs, library, recipe, sanitize, strokes
+from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, strokes
 from planframe.options import DEFAULTS, ROUND_SIZES, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
 
@@ -238,7 +238,8 @@ def label_upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 _TEXTS_SQL = "t AS (SELECT job_id, ord, CASE WHEN ord % 12 = 5 THEN 'x' ELSE 'y' END AS axis, CASE WHEN ord % 12 = 5 THEN sx ELSE sy END AS pos, CAST(text AS DOUBLE) AS mm FROM spans_v WHERE ord % 6 = 5)"
 _GAPS_SQL = "b AS (SELECT job_id, axis, idx AS gap, px AS lo, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS hi FROM grid_lines_v), n AS (SELECT job_id, axis, gap, lo, hi, hi - lo AS width FROM b WHERE hi IS NOT NULL)"
-_ASSIGN_SQL = f"{_TEXTS_SQL}, {_GAPS_SQL}, a AS (SELECT t.job_id, t.axis, ord, mm, min(gap) AS gap, arg_min(width, gap) AS width FROM t JOIN n ON t.job_id = n.job_id AND t.axis = n.axis AND abs(pos - (lo + hi) / 2) < greatest(width / 2, 1) GROUP BY ALL)"
+_GIVEN_SQL = "a AS (SELECT t.job_id, t.axis, ord, mm, min(gap) AS gap, arg_min(width, gap) AS width FROM t JOIN n ON t.job_id = n.job_id AND t.axis = n.axis AND abs(pos - (lo + hi) / 2) < greatest(width / 2, 1) GROUP BY ALL)"
+_ASSIGN_SQL = f"{_TEXTS_SQL}, {_GAPS_SQL}, {_GIVEN_SQL}"
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -257,9 +258,7 @@ def gap_assign(spark: SparkSession, d: str) -> DataFrame:
     return grid.assign_gaps(_texts(spark, d), view(spark, d, "grid_lines"))
 
 
-@_query(
-    "spacing_infer",
-    f""", {_ASSIGN_SQL}, c AS (SELECT job_id, axis, mm, count(*) AS n, min((gap, ord)) AS f FROM a GROUP BY ALL), md AS (SELECT job_id, axis, arg_min(mm, (-n, f)) AS modal FROM c GROUP BY job_id, axis),
+_INFER_SQL = """c AS (SELECT job_id, axis, mm, count(*) AS n, min((gap, ord)) AS f FROM a GROUP BY ALL), md AS (SELECT job_id, axis, arg_min(mm, (-n, f)) AS modal FROM c GROUP BY job_id, axis),
     wd AS (SELECT job_id, axis, list_sort(list(width))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM n GROUP BY job_id, axis),
     s AS (SELECT a.*, abs(mm - modal * width / greatest(median, 1)) AS off, modal * width / greatest(median, 1) AS e FROM a JOIN md USING (job_id, axis) JOIN wd USING (job_id, axis)),
     an AS (SELECT job_id, axis, gap, arg_min(mm, (off, ord)) AS mm, arg_min(width, (off, ord)) AS width FROM s WHERE off / greatest(e, 1) <= 0.30 GROUP BY job_id, axis, gap),
@@ -267,9 +266,14 @@ def gap_assign(spark: SparkSession, d: str) -> DataFrame:
     ev AS (SELECT job_id, axis, gap, width FROM (SELECT DISTINCT job_id, axis FROM t) JOIN n USING (job_id, axis)),
     mi AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.job_id = ev.job_id AND an.axis = ev.axis AND an.gap = ev.gap)),
     tr AS (SELECT mi.job_id, mi.axis, mi.gap, an.mm, an.gap AS g, mi.width / (an.mm * ratio) AS share FROM mi JOIN an USING (job_id, axis) JOIN ra USING (job_id, axis) WHERE an.mm * ratio > 0),
-    inf AS (SELECT job_id, axis, gap, arg_min(mm, (abs(share - 1), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap)
-    SELECT ev.job_id, ev.axis, ev.gap, coalesce(an.mm, inf.mm, 8400) AS mm, CASE WHEN an.mm IS NOT NULL THEN 'annotated' WHEN inf.mm IS NOT NULL THEN 'inferred' ELSE 'fallback' END AS source
-    FROM ev LEFT JOIN an USING (job_id, axis, gap) LEFT JOIN inf USING (job_id, axis, gap)""",
+    inf AS (SELECT job_id, axis, gap, arg_min(mm, (abs(share - 1), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap),
+    z AS (SELECT ev.job_id, ev.axis, ev.gap, coalesce(an.mm, inf.mm, 8400) AS mm, CASE WHEN an.mm IS NOT NULL THEN 'annotated' WHEN inf.mm IS NOT NULL THEN 'inferred' ELSE 'fallback' END AS source
+    FROM ev LEFT JOIN an USING (job_id, axis, gap) LEFT JOIN inf USING (job_id, axis, gap))"""
+
+
+@_query(
+    "spacing_infer",
+    f", {_ASSIGN_SQL}, {_INFER_SQL} SELECT * FROM z",
     "spans",
     "grid_lines",
 )
@@ -667,3 +671,41 @@ def straight_runs(spark: SparkSession, d: str) -> DataFrame:
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     spans = view(spark, d, "spans").withColumns({"x0": F.col("sx"), "y0": F.col("sy"), "y1": F.col("sy") + 10})
     return strokes.text_lines(spans).select("job_id", "ord", F.col("line").cast("long").alias("line"))
+
+
+def _med(v: str, keys: str, source: str) -> str:
+    return f"SELECT {keys}, list_sort(list({v}))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM {source} GROUP BY {keys}"
+
+
+_DETECT_SQL = f"""tx AS (SELECT job_id, ord, trim(text) AS text, 2.0 * CASE rotation WHEN 90 THEN w_pt - (y0 + y1) / 2 WHEN 180 THEN w_pt - (x0 + x1) / 2 WHEN 270 THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END AS ix,
+        2.0 * CASE rotation WHEN 90 THEN (x0 + x1) / 2 WHEN 180 THEN h_pt - (y0 + y1) / 2 WHEN 270 THEN h_pt - (x0 + x1) / 2 ELSE (y0 + y1) / 2 END AS iy FROM page_texts_v JOIN pages_v USING (job_id)),
+    lt AS (SELECT *, ix < 1700 AS lf FROM tx WHERE regexp_full_match(text, '[A-Za-z]{{1,2}}') AND ix > 0 AND ix < 3400 AND iy > 0 AND iy < 2400),
+    lm AS ({_med("ix", "job_id, lf", "lt")}), lk AS (SELECT lt.* FROM lt JOIN lm USING (job_id, lf) WHERE abs(ix - m) <= 80), ls AS ({_med("ix", "job_id, lf", "lk")}),
+    b0 AS (SELECT job_id, coalesce(CAST(trunc((SELECT m FROM ls WHERE ls.job_id = p.job_id AND lf)) AS BIGINT), 272) AS bx0, coalesce(CAST(trunc((SELECT m FROM ls WHERE ls.job_id = p.job_id AND NOT lf)) AS BIGINT), 2992) AS bx1,
+        coalesce(CAST(trunc((SELECT min(iy) FROM lk WHERE lk.job_id = p.job_id)) AS BIGINT), 360) AS by0, coalesce(CAST(trunc((SELECT max(iy) FROM lk WHERE lk.job_id = p.job_id)) AS BIGINT), 2208) AS by1 FROM pages_v p),
+    nu AS (SELECT tx.*, iy < 1200 AS up FROM tx JOIN b0 USING (job_id) WHERE regexp_full_match(text, '[0-9]{{1,2}}') AND CAST(text AS INT) > 0 AND ix > bx0 - 200 AND ix < bx1 + 200),
+    um AS ({_med("iy", "job_id, up", "nu")}), uk AS (SELECT nu.* FROM nu JOIN um USING (job_id, up) WHERE abs(iy - m) <= 50), us AS ({_med("iy", "job_id, up", "uk")}),
+    mg AS (SELECT *, coalesce(CAST(trunc((SELECT m FROM us WHERE us.job_id = b0.job_id AND up)) AS BIGINT), by0 - 50) AS top, coalesce(CAST(trunc((SELECT m FROM us WHERE us.job_id = b0.job_id AND NOT up)) AS BIGINT), by1 + 50) AS bottom FROM b0),
+    fo AS (SELECT tx.job_id, 'x' AS axis, text, ix AS v, ord FROM tx JOIN mg USING (job_id) WHERE regexp_full_match(text, '[0-9]{{1,2}}') AND CAST(text AS INT) > 0 AND ix BETWEEN bx0 AND bx1 AND (abs(iy - top) <= 50 OR abs(iy - bottom) <= 50)
+        UNION ALL SELECT tx.job_id, 'y', text, iy, ord FROM tx JOIN mg USING (job_id) WHERE regexp_full_match(text, '[A-Za-z]{{1,2}}') AND iy BETWEEN top AND bottom AND (abs(ix - bx0) <= 80 OR abs(ix - bx1) <= 80)),
+    l0 AS (SELECT job_id, axis, text AS label, min(ord) AS f, list_sort(list(v))[CAST(floor(count(*) / 2) AS INT) + 1] AS px FROM fo GROUP BY job_id, axis, text),
+    l1 AS (SELECT *, coalesce(px < lag(px) OVER (PARTITION BY job_id, axis ORDER BY try_cast(label AS INT), px, f), FALSE) AS dn FROM l0),
+    l2 AS (SELECT *, NOT bool_or(dn) OVER (PARTITION BY job_id, axis) AND axis = 'x' AS num FROM l1),
+    l3 AS (SELECT job_id, axis, CAST(row_number() OVER (PARTITION BY job_id, axis ORDER BY px, CASE WHEN num THEN CAST(label AS INT) END, f) - 1 AS BIGINT) AS idx, px, label FROM l2),
+    ok AS (SELECT job_id FROM l3 GROUP BY job_id HAVING count(*) FILTER (WHERE axis = 'x') >= 2 AND count(*) FILTER (WHERE axis = 'y') >= 2), li AS (SELECT * FROM l3 WHERE job_id IN (SELECT job_id FROM ok)),
+    t AS (SELECT job_id, ord, CAST(text AS DOUBLE) AS mm, unnest([{{'axis': 'x', 'pos': ix}}, {{'axis': 'y', 'pos': iy}}], recursive := true) FROM tx WHERE regexp_full_match(text, '[0-9]{{3,5}}') AND CAST(text AS INT) BETWEEN 300 AND 30000),
+    n AS (SELECT job_id, axis, idx AS gap, px AS lo, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS hi, hi - lo AS width FROM li QUALIFY hi IS NOT NULL),
+    {_GIVEN_SQL}, {_INFER_SQL},
+    dt AS (SELECT li.*, CASE WHEN n.gap IS NOT NULL THEN coalesce(z.mm, 8400) END AS spacing_mm, CASE WHEN n.gap IS NOT NULL THEN coalesce(z.source, 'fallback') END AS source FROM li LEFT JOIN n ON n.job_id = li.job_id AND n.axis = li.axis AND n.gap = li.idx LEFT JOIN z ON z.job_id = li.job_id AND z.axis = li.axis AND z.gap = li.idx
+        UNION ALL SELECT job_id, 'x', i, round_even(3400 * i / 41, 0), CAST(i + 1 AS VARCHAR), CASE WHEN i < 41 THEN 6000 END, CASE WHEN i < 41 THEN 'default' END FROM pages_v, range(42) r(i) WHERE job_id NOT IN (SELECT job_id FROM ok)
+        UNION ALL SELECT job_id, 'y', i, round_even(2400 * i / 29, 0), CASE WHEN i < 26 THEN chr(CAST(65 + i AS INT)) ELSE repeat(chr(CAST(39 + i AS INT)), 2) END, CASE WHEN i < 29 THEN 6000 END, CASE WHEN i < 29 THEN 'default' END FROM pages_v, range(30) r(i) WHERE job_id NOT IN (SELECT job_id FROM ok))"""
+
+
+@_query("grid_detect", f", {_DETECT_SQL} SELECT job_id, axis, idx, round(px, 6) AS px, label, spacing_mm, source FROM dt", "page_texts", "pages")
+def grid_detect(spark: SparkSession, d: str) -> DataFrame:
+    return _r(detect.detect(view(spark, d, "page_texts"), view(spark, d, "pages")), "px")
+
+
+@_query("grid_px_per_mm", f", {_DETECT_SQL}, g AS (SELECT *, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS nx FROM dt) SELECT job_id, axis, round(avg(abs(nx - px) / spacing_mm), 9) AS px_per_mm FROM g GROUP BY job_id, axis", "page_texts", "pages")
+def grid_px_per_mm(spark: SparkSession, d: str) -> DataFrame:
+    return detect.px_per_mm(detect.detect(view(spark, d, "page_texts"), view(spark, d, "pages"))).withColumn("px_per_mm", F.round("px_per_mm", 9))

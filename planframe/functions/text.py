@@ -13,6 +13,9 @@ ROUND_LAST = r"(\d{2,4})\s*[Ø⌀∅]"
 MARK = r"\b([A-Z]{1,3}\d{1,3})\b"
 BEAM_MARK = r"(?i)^(RCB|GB|SB|TB|FB|RB|SL|LB|L|B)\d"
 TAG = r"^[A-Z]{1,3}[-]?[A-Z]{0,3}\d{1,3}[A-Z]?$"
+ROW_LABEL = r"^[A-Za-z]{1,2}$"
+COLUMN_LABEL = r"^\d{1,2}$"
+DIMENSION = r"^\d{3,5}$"
 ROUTES = (
     ("troubleshoot", r"(?i)\b(fail|error|wrong|broken|issue|problem|crash|why did|can't|cannot|not working|retry)\b"),
     ("status", r"(?i)\b(status|progress|how.*going|how.*long|eta|done|finish|complete|stage|current)\b"),

@@ -25,7 +25,17 @@ class Options:
     max_bay_mm: float = 12000.0
     # grid
     fallback_bay_mm: float = 8400.0
+    default_bay_mm: float = 6000.0
     plausible: float = 0.30
+    least_dim_mm: float = 300.0
+    most_dim_mm: float = 30_000.0
+    margin_pt: float = 40.0
+    margin_reach_px: float = 200.0
+    label_band_px: float = 50.0
+    fallback_x: int = 42
+    fallback_y: int = 30
+    sheet_w_pt: float = 3370.0
+    sheet_h_pt: float = 2384.0
     # sizes
     min_column_mm: float = 800.0
     square_aspect: float = 0.20

@@ -55,6 +55,18 @@ VIEWS = {
         CAST((s_suppkey * 131) % 9000 + 900 AS DOUBLE) AS x2, CAST((s_suppkey * 71) % 7000 + 700 AS DOUBLE) AS y2 FROM {supplier}""",
     "zones": """SELECT s_suppkey % 4 AS job_id, s_suppkey AS zone_ord, CAST((s_suppkey * 113) % 9500 AS DOUBLE) AS zx, CAST((s_suppkey * 67) % 7500 AS DOUBLE) AS zy,
         CASE WHEN s_suppkey % 3 = 0 THEN concat(CAST(150 + 50 * (s_suppkey % 4) AS STRING), 'CIS') ELSE concat('NSP', CAST(s_suppkey % 7 AS STRING)) END AS code FROM {supplier}""",
+    # Sheets of all four rotations; every eighth has no letters, so no grid.
+    "pages": f"""SELECT j.job_id, 90 * (j.job_id % 4) AS rotation, CAST(144 AS DOUBLE) AS dpi, 3400 AS width_px, 2400 AS height_px, CAST(1700 AS DOUBLE) AS w_pt, CAST(1200 AS DOUBLE) AS h_pt FROM {_JOBS}""",
+    "page_texts": f"""SELECT job_id, ord, text, cx - 4 AS x0, cy - 3 AS y0, cx + 4 AS x1, cy + 3 AS y1 FROM (
+        SELECT job_id, ord, text, CASE job_id % 4 WHEN 1 THEN dy WHEN 2 THEN 1700 - dx WHEN 3 THEN 1200 - dy ELSE dx END AS cx, CASE job_id % 4 WHEN 1 THEN 1700 - dx WHEN 2 THEN 1200 - dy WHEN 3 THEN dx ELSE dy END AS cy FROM (
+        SELECT j.job_id, CAST(n_nationkey AS BIGINT) AS ord, CAST(n_nationkey + 1 AS STRING) AS text, CAST(150 + 55 * n_nationkey + j.job_id AS DOUBLE) AS dx, CAST(50 AS DOUBLE) AS dy FROM {{nation}} CROSS JOIN {_JOBS}
+        UNION ALL SELECT j.job_id, 100 + n_nationkey, concat(' ', CAST(n_nationkey + 1 AS STRING)), 151 + 55 * n_nationkey + j.job_id, 1150 FROM {{nation}} CROSS JOIN {_JOBS} WHERE n_nationkey % 3 <> 0
+        UNION ALL SELECT j.job_id, 200 + n_nationkey, CASE WHEN n_nationkey % 7 = 3 THEN '16800' WHEN n_nationkey % 6 = 1 THEN '2400' ELSE '8400' END, 177 + 55 * n_nationkey + j.job_id, 30 FROM {{nation}} CROSS JOIN {_JOBS} WHERE n_nationkey < 24 AND (n_nationkey + j.job_id) % 5 <> 4
+        UNION ALL SELECT j.job_id, 300 + r_regionkey, char(65 + CAST(r_regionkey AS INT)), 70, 140 + 220 * r_regionkey + j.job_id FROM {{region}} CROSS JOIN {_JOBS} WHERE j.job_id % 8 <> 7
+        UNION ALL SELECT j.job_id, 310 + r_regionkey, char(65 + CAST(r_regionkey AS INT)), 1640, 141 + 220 * r_regionkey + j.job_id FROM {{region}} CROSS JOIN {_JOBS} WHERE j.job_id % 8 <> 7 AND r_regionkey % 2 = 0
+        UNION ALL SELECT j.job_id, 320 + r_regionkey, CAST(6000 + 300 * r_regionkey AS STRING), 30, 250 + 220 * r_regionkey + j.job_id FROM {{region}} CROSS JOIN {_JOBS} WHERE r_regionkey < 3
+        UNION ALL SELECT p_partkey % 16, 1000 + p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey % 120 AS STRING) WHEN 1 THEN char(65 + CAST(p_partkey % 20 AS INT)) WHEN 2 THEN CAST(100 * (p_partkey % 320) AS STRING) ELSE concat('N', CAST(p_partkey AS STRING)) END,
+            CAST(100 + (p_partkey * 89) % 1500 AS DOUBLE), CAST(100 + (p_partkey * 53) % 1000 AS DOUBLE) FROM {{part}}) t) u""",
     "legend": """SELECT DISTINCT p_partkey % 16 AS job_id, concat('RCB', CAST(p_partkey % 30 AS STRING)) AS tag, CASE WHEN (p_partkey % 30 + p_partkey % 16) % 3 = 0 THEN 'steel' ELSE 'rc' END AS material
         FROM {part} WHERE p_partkey % 6 = 4 AND (p_partkey % 30 + p_partkey % 16) % 3 < 2""",
     "warnings": """SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE o_orderkey % 6 WHEN 0 THEN 'Cannot keep elements joined.' WHEN 1 THEN 'There are identical instances in the same place.'
@@ -76,7 +88,7 @@ def text(name: str, spark: bool) -> str:
         return sql
     for t in _TABLES:
         sql = sql.replace("{" + t + "}", t)
-    return sql.replace(" AS STRING)", " AS VARCHAR)")
+    return sql.replace(" AS STRING)", " AS VARCHAR)").replace("char(65", "chr(65")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
