@@ -55,6 +55,15 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: s
     return joined.where(own).drop("_tx", "_ty")
 
 
+def containing(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, box: tuple[str, str, str, str], size: float) -> DataFrame:
+    """Pairs of points (x, y) and boxes (least x, least y, greatest x, greatest y) of equal keys where the point lies in the closed box; each pair once."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    b = boxes.withColumn("_tx", F.explode(F.sequence(tile(x0, size), F.greatest(tile(x0, size), tile(x1, size)))))
+    b = b.withColumn("_ty", F.explode(F.sequence(tile(y0, size), F.greatest(tile(y0, size), tile(y1, size)))))
+    p = points.withColumns({"_tx": tile(F.col(x), size), "_ty": tile(F.col(y), size)})
+    return p.join(b, [*keys, "_tx", "_ty"]).where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1)).drop("_tx", "_ty")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """For each key the columns of the row with the least order: a minimum that combines before the shuffle."""
     best = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns)).alias("_best")

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe.functions.text import ROUTES, TAG, WARNINGS, code_thickness, first_match, normal_dims
+from planframe.functions.text import CONCRETE, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, first_match, normal_dims
 from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, strokes
-from planframe.options import DEFAULTS, ROUND_SIZES, SQUARE_SIZES
+from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
 
 QUERIES: dict = {}
@@ -215,17 +215,14 @@ def px_to_mm(spark: SparkSession, d: str) -> DataFrame:
     return _r(grid.to_world(points, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")).select("job_id", "ord", "wx", "wy"), "wx", "wy")
 
 
-@_query(
-    "grid_snap",
-    f""", {_WORLD_SQL}, b AS (SELECT job_id, min(spacing_mm) AS bay FROM grid_gaps_v GROUP BY job_id),
+_SNAP_SQL = f"""{_WORLD_SQL}, b AS (SELECT job_id, min(spacing_mm) AS bay FROM grid_gaps_v GROUP BY job_id),
     sx AS (SELECT job_id, ord, arg_min(start_mm, (abs(start_mm - wx), idx)) AS lx FROM k JOIN w USING (job_id) WHERE axis = 'x' GROUP BY job_id, ord),
-    sy AS (SELECT job_id, ord, arg_min(h - start_mm, (abs(h - start_mm - wy), idx)) AS ly FROM k JOIN w USING (job_id) JOIN h USING (job_id) WHERE axis = 'y' GROUP BY job_id, ord)
-    SELECT job_id, ord, round(CASE WHEN abs(lx - wx) <= bay / 2 THEN lx ELSE wx END, 6) AS snap_x, round(CASE WHEN abs(ly - wy) <= bay / 2 THEN ly ELSE wy END, 6) AS snap_y
-    FROM k JOIN sx USING (job_id, ord) JOIN sy USING (job_id, ord) JOIN b USING (job_id)""",
-    "detections",
-    "grid_lines",
-    "grid_gaps",
-)
+    sy AS (SELECT job_id, ord, arg_min(h - start_mm, (abs(h - start_mm - wy), idx)) AS ly FROM k JOIN w USING (job_id) JOIN h USING (job_id) WHERE axis = 'y' GROUP BY job_id, ord),
+    sp AS (SELECT job_id, ord, round(CASE WHEN abs(lx - wx) <= bay / 2 THEN lx ELSE wx END, 6) AS snap_x, round(CASE WHEN abs(ly - wy) <= bay / 2 THEN ly ELSE wy END, 6) AS snap_y
+        FROM k JOIN sx USING (job_id, ord) JOIN sy USING (job_id, ord) JOIN b USING (job_id))"""
+
+
+@_query("grid_snap", f", {_SNAP_SQL} SELECT job_id, ord, snap_x, snap_y FROM sp", "detections", "grid_lines", "grid_gaps")
 def grid_snap(spark: SparkSession, d: str) -> DataFrame:
     points = boxes.centred(view(spark, d, "detections"))
     return _r(grid.snap(points, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")).select("job_id", "ord", "snap_x", "snap_y"), "snap_x", "snap_y")
@@ -632,13 +629,134 @@ def mesh_params(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     "beam_params",
     """SELECT job_id, ord, CASE WHEN x2 - x1 >= y2 - y1 THEN x1 ELSE (x1 + x2) / 2 END AS sx, CASE WHEN x2 - x1 >= y2 - y1 THEN (y1 + y2) / 2 ELSE y1 END AS sy, CASE WHEN x2 - x1 >= y2 - y1 THEN x2 ELSE (x1 + x2) / 2 END AS ex,
-    CASE WHEN x2 - x1 >= y2 - y1 THEN (y1 + y2) / 2 ELSE y2 END AS ey, 800.0::DOUBLE AS width, 800.0::DOUBLE AS depth FROM detections_v WHERE type = 'structural_framing' AND greatest(x2 - x1, y2 - y1) >= 10""",
+    CASE WHEN x2 - x1 >= y2 - y1 THEN (y1 + y2) / 2 ELSE y2 END AS ey, 800.0::DOUBLE AS width, 800.0::DOUBLE AS depth, 'RCBeam800x800mm' AS family_type, 'rc' AS material FROM detections_v WHERE type = 'structural_framing' AND greatest(x2 - x1, y2 - y1) >= 10""",
     "detections",
 )
 def beam_params(spark: SparkSession, d: str) -> DataFrame:
     return recipe.beam_params(view(spark, d, "detections").where("type = 'structural_framing'"))
 
 
+def _world_sql(points: str) -> str:
+    """The CTEs of ``_WORLD_SQL`` for other points (job_id, ord, cx, cy)."""
+    return _WORLD_SQL.replace(_C_SQL, f"c AS ({points})")
+
+
+_SIZED_SQL = """SELECT job_id, ord, ord % 4 = 0 AS is_circular, CASE WHEN ord % 8 = 0 THEN CAST(300 + 50 * (ord % 27) AS DOUBLE) END AS diameter_mm, CASE WHEN ord % 4 IN (1, 2) THEN CAST(500 + 25 * (ord % 40) AS DOUBLE) END AS width_mm,
+    CASE WHEN ord % 4 = 1 THEN CAST(600 + 25 * (ord * 7 % 40) AS DOUBLE) END AS depth_mm"""
+
+
+@_query(
+    "recipe_columns",
+    f""", {_SNAP_SQL}, r AS ({_SIZED_SQL}, type FROM detections_v WHERE type = 'column'),
+    q AS (SELECT *, is_circular AND diameter_mm IS NOT NULL AS ci, width_mm IS NOT NULL AND depth_mm IS NOT NULL AND NOT (is_circular AND diameter_mm IS NOT NULL) AS re FROM r),
+    v AS (SELECT *, greatest(CASE WHEN ci THEN diameter_mm WHEN re THEN width_mm ELSE 800 END, 800) AS rw, greatest(CASE WHEN ci THEN diameter_mm WHEN re THEN depth_mm ELSE 800 END, 800) AS rd FROM q),
+    y AS (SELECT *, CASE WHEN is_circular THEN {_near_sql("greatest(rw, rd)", ROUND_SIZES)} WHEN NOT re OR abs(rw - rd) <= 100 THEN {_near_sql("(rw + rd) / 2", SQUARE_SIZES)} END AS one FROM v),
+    x AS (SELECT *, coalesce(one, round_even(rw / 50, 0) * 50) AS width, coalesce(one, round_even(rd / 50, 0) * 50) AS depth FROM y)
+    SELECT job_id, ord, snap_x AS wx, snap_y AS wy, width, depth, CASE WHEN is_circular THEN 'circular' ELSE 'rectangular' END AS shape, CASE WHEN is_circular THEN '{ROUND_FAMILY}' ELSE '{SQUARE_FAMILY}' END AS family_name,
+    CASE WHEN is_circular THEN 'Φ' || CAST(CAST(width AS BIGINT) AS VARCHAR) ELSE CAST(CAST(greatest(width, depth) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(least(width, depth) AS BIGINT) AS VARCHAR) || 'mm' END AS symbol,
+    CASE WHEN is_circular AND NOT re THEN 'CIRC' || CAST(CAST(width AS BIGINT) AS VARCHAR) ELSE 'RECT' || CAST(CAST(least(width, depth) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(greatest(width, depth) AS BIGINT) AS VARCHAR) || 'mm' END AS family
+    FROM x JOIN sp USING (job_id, ord)""",
+    "detections",
+    "grid_lines",
+    "grid_gaps",
+)
+def recipe_columns(spark: SparkSession, d: str) -> DataFrame:
+    points = boxes.centred(view(spark, d, "detections").where("type = 'column'"))
+    at = grid.snap(points, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps"))
+    o = F.col("ord")
+    given = lambda when, value: F.when(when, value.cast("double"))
+    sized = at.select("job_id", "ord", F.col("snap_x").alias("wx"), F.col("snap_y").alias("wy"), (o % 4 == 0).alias("is_circular"), given(o % 8 == 0, 300 + 50 * (o % 27)).alias("diameter_mm"), given((o % 4).isin(1, 2), 500 + 25 * (o % 40)).alias("width_mm"), given(o % 4 == 1, 600 + 25 * (o * 7 % 40)).alias("depth_mm"))
+    return _r(recipe.column_params(sized), "wx", "wy")
+
+
+_MM_BOXES_SQL = """mb AS (SELECT a.job_id, a.ord // 2 AS ord, a.wx AS x1, a.wy AS y1, b.wx AS x2, b.wy AS y2 FROM k a JOIN k b ON a.job_id = b.job_id AND a.ord % 2 = 0 AND b.ord = a.ord + 1)"""
+_SLABS_SQL = f"""{_ZONE_SQL}, sh AS (SELECT s.job_id, s.ord, arg_min(t, zone_ord) AS t FROM slabs_v s JOIN z ON s.job_id = z.job_id AND t IS NOT NULL AND zx >= x1 AND zx < x2 AND zy >= y1 AND zy < y2 GROUP BY s.job_id, s.ord),
+    sl AS (SELECT s.*, coalesce(t, 200) AS thickness_mm FROM slabs_v s LEFT JOIN sh USING (job_id, ord))"""
+
+
+@_query(
+    "recipe_beams",
+    ", " + _world_sql("SELECT job_id, 2 * ord AS ord, x1 AS cx, y1 AS cy FROM detections_v WHERE type = 'structural_framing' UNION ALL SELECT job_id, 2 * ord + 1, x2, y2 FROM detections_v WHERE type = 'structural_framing'")
+    + f""", {_MM_BOXES_SQL}, {_SLABS_SQL}, be AS (SELECT job_id, ord, abs(x2 - x1) >= abs(y2 - y1) AS flat, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my,
+        CASE WHEN ord % 5 = 0 THEN 300.0 ELSE 800.0 END AS width, CASE WHEN ord % 5 = 0 THEN 600.0 ELSE 800.0 END AS depth, CASE WHEN ord % 4 = 0 THEN 'steel' ELSE 'rc' END AS material FROM mb WHERE ord % 13 <> 0),
+    bs AS (SELECT be.job_id, be.ord, arg_min(thickness_mm, sl.ord) AS t FROM be JOIN sl ON be.job_id = sl.job_id AND mx >= sl.x1 AND mx < sl.x2 AND my >= sl.y1 AND my < sl.y2 GROUP BY be.job_id, be.ord)
+    SELECT job_id, ord, round(CASE WHEN flat THEN x1 ELSE mx END, 6) AS sx, round(CASE WHEN flat THEN my ELSE y1 END, 6) AS sy, round(CASE WHEN flat THEN x2 ELSE mx END, 6) AS ex, round(CASE WHEN flat THEN my ELSE y2 END, 6) AS ey, CAST(width AS DOUBLE) AS width, CAST(depth AS DOUBLE) AS depth,
+    CASE material WHEN 'steel' THEN 'SteelBeam' ELSE 'RCBeam' END || CAST(CAST(greatest(width, depth) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(least(width, depth) AS BIGINT) AS VARCHAR) || 'mm' AS family_type, material, coalesce(t, 200) AS slab_thickness
+    FROM be LEFT JOIN bs USING (job_id, ord) WHERE CASE WHEN flat THEN x2 - x1 ELSE y2 - y1 END >= 10""",
+    "detections",
+    "grid_lines",
+    "grid_gaps",
+    "slabs",
+    "zones",
+)
+def recipe_beams(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ord")
+    beams = grid.world_boxes(view(spark, d, "detections").where("type = 'structural_framing'"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps"))
+    beams = beams.select("job_id", "ord", *[F.col(f"w{c}").alias(c) for c in boxes.BOX], F.when(o % 13 == 0, "reject").alias("action"), F.when(o % 5 == 0, 300.0).alias("section_width_mm"), F.when(o % 5 == 0, 600.0).alias("section_depth_mm"), F.when(o % 4 == 0, "steel").alias("material"))
+    slabs = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark))
+    return _r(recipe.beam_slabs(recipe.beam_params(beams), slabs), "sx", "sy", "ex", "ey")
+
+
+@_query(
+    "recipe_slabs",
+    f", {_SLABS_SQL} SELECT job_id, ord, x1 AS first_x, y1 AS first_y, x2 AS third_x, y2 AS third_y, thickness_mm FROM sl",
+    "slabs",
+    "zones",
+)
+def recipe_slabs(spark: SparkSession, d: str) -> DataFrame:
+    rows = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark))
+    p = F.col("points")
+    return rows.select("job_id", "ord", p[0]["x"].alias("first_x"), p[0]["y"].alias("first_y"), p[2]["x"].alias("third_x"), p[2]["y"].alias("third_y"), "thickness_mm")
+
+
+@_query(
+    "recipe_grids",
+    f""", {_PREFIX_SQL}, tt AS (SELECT job_id, sum(spacing_mm) FILTER (WHERE axis = 'x') AS tx, sum(spacing_mm) FILTER (WHERE axis = 'y') AS ty FROM grid_gaps_v GROUP BY job_id)
+    SELECT job_id, axis, idx, CASE axis WHEN 'x' THEN CAST(idx + 1 AS VARCHAR) ELSE chr(CAST(65 + idx AS INT)) END AS name, CASE axis WHEN 'x' THEN start_mm ELSE -10000 END AS sx, CASE axis WHEN 'x' THEN -10000 ELSE ty - start_mm END AS sy,
+    CASE axis WHEN 'x' THEN start_mm ELSE tx END AS ex, CASE axis WHEN 'x' THEN ty + 10000 ELSE ty - start_mm END AS ey FROM grid_lines_v JOIN w USING (job_id, axis, idx) JOIN tt USING (job_id)""",
+    "grid_lines",
+    "grid_gaps",
+)
+def recipe_grids(spark: SparkSession, d: str) -> DataFrame:
+    return recipe.grid_commands(view(spark, d, "grid_lines"), view(spark, d, "grid_gaps"))
+
+
+_SCALE_SQL = "sc AS (SELECT job_id, avg(r) AS px_per_mm FROM (SELECT job_id, avg((npx - px) / spacing_mm) AS r FROM (SELECT *, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS npx FROM grid_lines_v) JOIN grid_gaps_v USING (job_id, axis, idx) GROUP BY job_id, axis) GROUP BY job_id)"
+
+
+def _scale(spark: SparkSession, d: str) -> DataFrame:
+    lines = view(spark, d, "grid_lines").join(view(spark, d, "grid_gaps"), ["job_id", "axis", "idx"], "left")
+    return detect.px_per_mm(lines).groupBy("job_id").agg(F.avg("px_per_mm").alias("px_per_mm"))
+
+
+@_query(
+    "recipe_walls",
+    f", {_SCALE_SQL} SELECT job_id, ord, round(round_even(CASE WHEN ord % 6 = 0 THEN 200 ELSE least(x2 - x1, y2 - y1) / px_per_mm END, 1), 6) AS thickness_mm, CASE WHEN ord % 4 = 0 THEN 3300.0 ELSE 2800.0 END AS height FROM detections_v JOIN sc USING (job_id) WHERE type = 'slab'",
+    "detections",
+    "grid_lines",
+    "grid_gaps",
+)
+def recipe_walls(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ord")
+    walls = view(spark, d, "detections").where("type = 'slab'").select("job_id", "ord", F.when(o % 6 != 0, F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("thickness"), F.when(o % 4 == 0, 3300.0).alias("height"))
+    return recipe.wall_params(walls, _scale(spark, d)).select("job_id", "ord", F.round("thickness_mm", 6).alias("thickness_mm"), "height")
+
+
+@_query(
+    "recipe_openings",
+    ", " + _world_sql("SELECT job_id, ord, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM detections_v WHERE type = 'slab'")
+    + f""", {_SCALE_SQL} SELECT job_id, ord, CASE WHEN ord % 2 = 0 THEN 'door' ELSE 'window' END AS kind, round(wx, 6) AS wx, round(wy, 6) AS wy, CASE WHEN ord % 2 = 0 THEN 0.0 ELSE 900.0 END AS z,
+    round_even(greatest((x2 - x1) / px_per_mm, 200), 1) AS width, round_even(greatest((y2 - y1) / px_per_mm, 400), 1) AS height FROM detections_v JOIN k USING (job_id, ord) JOIN sc USING (job_id)""",
+    "detections",
+    "grid_lines",
+    "grid_gaps",
+)
+def recipe_openings(spark: SparkSession, d: str) -> DataFrame:
+    rows = boxes.centred(view(spark, d, "detections").where("type = 'slab'"))
+    rows = grid.to_world(rows, view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")).withColumn("kind", F.when(F.col("ord") % 2 == 0, "door").otherwise("window"))
+    return _r(recipe.opening_params(rows, _scale(spark, d)), "wx", "wy")
+
+
 @_query(
     "stroke_style",
     """, b AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty FROM detections_v), p AS (SELECT *, floor((x1 + x2) / 2 / 256) AS tx, floor((y1 + y2) / 2 / 256) AS ty, dashes IN ('[3 2] 0', '[5] 1') AS dashed FROM strokes_v),
@@ -664,7 +782,7 @@ def straight_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "text_lines",
-    """, r AS (SELECT job_id, ord, sx, sy, CASE WHEN abs(sy - lag(sy) OVER w) <= 6 THEN 0 ELSE 1 END AS b FROM spans_v WINDOW w AS (PARTITION BY job_id ORDER BY sy, sx, ord))
+    """, r AS (SELECT job_id, ord, sx, sy, CASE WHEN abs(sy - lag(sy) OVER w) < 6 THEN 0 ELSE 1 END AS b FROM spans_v WINDOW w AS (PARTITION BY job_id ORDER BY sy, sx, ord))
     SELECT job_id, ord, CAST(sum(b) OVER (PARTITION BY job_id ORDER BY sy, sx, ord) - 1 AS BIGINT) AS line FROM r""",
     "spans",
 )
@@ -709,3 +827,89 @@ def grid_detect(spark: SparkSession, d: str) -> DataFrame:
 @_query("grid_px_per_mm", f", {_DETECT_SQL}, g AS (SELECT *, lead(px) OVER (PARTITION BY job_id, axis ORDER BY idx) AS nx FROM dt) SELECT job_id, axis, round(avg(abs(nx - px) / spacing_mm), 9) AS px_per_mm FROM g GROUP BY job_id, axis", "page_texts", "pages")
 def grid_px_per_mm(spark: SparkSession, d: str) -> DataFrame:
     return detect.px_per_mm(detect.detect(view(spark, d, "page_texts"), view(spark, d, "pages"))).withColumn("px_per_mm", F.round("px_per_mm", 9))
+
+
+_MM_SQL = f"""{_PREFIX_SQL}, fr AS (SELECT job_id, list(px ORDER BY idx) FILTER (WHERE axis = 'x') AS xp, list(start_mm ORDER BY idx) FILTER (WHERE axis = 'x') AS xm, list(px ORDER BY idx) FILTER (WHERE axis = 'y') AS yp, list(start_mm ORDER BY idx) FILTER (WHERE axis = 'y') AS ym
+        FROM grid_lines_v JOIN w USING (job_id, axis, idx) GROUP BY job_id)"""
+
+
+def _mm_sql(source: str) -> str:
+    """CTEs that bring both points of ``source`` from the sheet to millimetres: mx1, my1, mx2, my2."""
+    at = lambda p, m, v: f"{m}[{v}i] + ({m}[{v}i + 1] - {m}[{v}i]) * ({v} - {p}[{v}i]) / ({p}[{v}i + 1] - {p}[{v}i])"
+    cell = lambda p, v: f"len(list_filter({p}[2:len({p}) - 1], lambda v: v <= {v})) + 1 AS {v}i"
+    turned = lambda n: f"2.0 * CASE rotation WHEN 90 THEN w_pt - y{n} WHEN 180 THEN w_pt - x{n} WHEN 270 THEN y{n} ELSE x{n} END AS u{n}, 2.0 * CASE rotation WHEN 90 THEN x{n} WHEN 180 THEN h_pt - y{n} WHEN 270 THEN h_pt - x{n} ELSE y{n} END AS v{n}"
+    return f"""{_MM_SQL}, m0 AS (SELECT s.*, xp, xm, yp, ym, {turned(1)}, {turned(2)} FROM {source} s JOIN pages_v USING (job_id) JOIN fr USING (job_id)),
+    m1 AS (SELECT *, {cell("xp", "u1")}, {cell("xp", "u2")}, {cell("yp", "v1")}, {cell("yp", "v2")} FROM m0),
+    m2 AS (SELECT * EXCLUDE (xp, xm, yp, ym), {at("xp", "xm", "u1")} AS mx1, {at("xp", "xm", "u2")} AS mx2, ym[-1] - ({at("yp", "ym", "v1")}) AS my1, ym[-1] - ({at("yp", "ym", "v2")}) AS my2 FROM m1)"""
+
+
+@_query(
+    "dashed_segments",
+    f""", {_mm_sql("(SELECT * FROM segments_v WHERE dashes <> '[] 0')")}, m3 AS (SELECT *, (mx2 - mx1) * (mx2 - mx1) AS a, (my2 - my1) * (my2 - my1) AS b FROM m2), m4 AS (SELECT *, CASE WHEN a >= 0.81 * (a + b) THEN 'x' WHEN b >= 0.81 * (a + b) THEN 'y' END AS axis FROM m3 WHERE a + b >= 1)
+    SELECT job_id, ord, axis, round(CASE axis WHEN 'x' THEN least(mx1, mx2) ELSE least(my1, my2) END, 6) AS lo, round(CASE axis WHEN 'x' THEN greatest(mx1, mx2) ELSE greatest(my1, my2) END, 6) AS hi, round(CASE axis WHEN 'x' THEN (my1 + my2) / 2 ELSE (mx1 + mx2) / 2 END, 6) AS perp FROM m4 WHERE axis IS NOT NULL""",
+    "segments",
+    "pages",
+    "grid_lines",
+    "grid_gaps",
+)
+def dashed_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _r(strokes.dashed_segments(view(spark, d, "segments"), view(spark, d, "pages"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")), "lo", "hi", "perp")
+
+
+@_query(
+    "column_rectangles",
+    f""", {_mm_sql("(SELECT * FROM rects_v WHERE x2 > x1 AND y2 > y1)")} SELECT job_id, ord AS rect_ord, round(least(mx1, mx2), 6) AS x0, round(least(my1, my2), 6) AS y0, round(greatest(mx1, mx2), 6) AS x1, round(greatest(my1, my2), 6) AS y1 FROM m2
+    WHERE abs(mx2 - mx1) BETWEEN 200 AND 1500 AND abs(my2 - my1) BETWEEN 200 AND 1500""",
+    "rects",
+    "pages",
+    "grid_lines",
+    "grid_gaps",
+)
+def column_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    return _r(strokes.column_rectangles(view(spark, d, "rects"), view(spark, d, "pages"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")), "x0", "y0", "x1", "y1")
+
+
+_NOTES_SQL = """hd AS (SELECT job_id, word_ord AS block, x0 AS hx, y0 AS hy FROM words_v WHERE regexp_matches(trim(text), '(?i)^NOTES:?$')),
+    wn AS (SELECT w.*, block, y0 - coalesce(max(y0) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hy) > 100 AS far FROM words_v w JOIN hd USING (job_id) WHERE abs(x0 - hx) < 300 AND y0 > hy),
+    nb AS (SELECT * EXCLUDE (stop) FROM (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord) AS stop FROM wn) WHERE stop = 0)"""
+
+
+@_query(
+    "notes_legend",
+    f""", {_NOTES_SQL}, c0 AS (SELECT *, upper(trim(text)) AS t, sum(CASE WHEN upper(trim(text)) = 'ALL' OR coalesce(ends_with(p, ','), FALSE) THEN 1 ELSE 0 END) OVER v AS run, bool_or(upper(trim(text)) = 'ALL') OVER (PARTITION BY job_id, block) AS has
+        FROM (SELECT *, lag(trim(text)) OVER v AS p FROM nb WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)) WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)),
+    c1 AS (SELECT *, CASE WHEN has THEN (run, 0) ELSE (CAST(block_no AS HUGEINT), line_no) END AS clause, CASE WHEN regexp_matches(t, '^[0-9]{{3}}[.,]?$') THEN CAST(t[1:3] AS DOUBLE) END AS num FROM c0),
+    c2 AS (SELECT job_id, block, clause, sum(num) FILTER (WHERE num BETWEEN 100 AND 600) AS total FROM c1 GROUP BY ALL),
+    c3 AS (SELECT DISTINCT job_id, block, clause, regexp_extract(t, '^(NSP[0-9]+)[.,]?$', 1) AS code FROM c1 WHERE regexp_matches(t, '^(NSP[0-9]+)[.,]?$'))
+    SELECT job_id, code, arg_max(total, (block, clause)) AS thickness_mm FROM c3 JOIN c2 USING (job_id, block, clause) WHERE total IS NOT NULL GROUP BY job_id, code
+    UNION ALL SELECT DISTINCT job_id, t, CAST(t[1:3] AS DOUBLE) FROM c1 WHERE regexp_matches(t, '^[0-9]{{3}}CIS$')""",
+    "words",
+)
+def notes_legend(spark: SparkSession, d: str) -> DataFrame:
+    return strokes.clause_totals(strokes.notes_block(view(spark, d, "words")))
+
+
+@_query(
+    "zone_labels",
+    f""", {_NOTES_SQL}, br AS (SELECT job_id, block, min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM nb GROUP BY job_id, block)
+    SELECT job_id, word_ord AS zone_ord, upper(trim(text)) AS code, (x0 + x1) / 2 AS zx, (y0 + y1) / 2 AS zy FROM words_v w WHERE regexp_matches(trim(text), '(?i)^(NSP[0-9]+|[0-9]{{3}}CIS)$')
+    AND NOT EXISTS (SELECT 1 FROM br WHERE br.job_id = w.job_id AND x0 BETWEEN bx0 AND bx1 AND y0 BETWEEN by0 AND by1)""",
+    "words",
+)
+def zone_labels(spark: SparkSession, d: str) -> DataFrame:
+    return strokes.zone_labels(view(spark, d, "words"))
+
+
+_RE = lambda p: p.replace("(?i)", "").replace("'", "''")
+
+
+@_query(
+    "legend_tags",
+    f""", ln AS (SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY y0, x0, ord) AS line FROM (SELECT *, CASE WHEN abs((y0 + y1) / 2 - lag((y0 + y1) / 2) OVER (PARTITION BY job_id ORDER BY y0, x0, ord)) < 6 THEN 0 ELSE 1 END AS b FROM legend_spans_v)),
+    lx AS (SELECT job_id, line, string_agg(trim(text), ' ' ORDER BY y0, x0, ord) AS text FROM ln GROUP BY job_id, line),
+    ly AS (SELECT job_id, line, CASE WHEN regexp_matches(text, '{_RE(CONCRETE)}', 'i') THEN 'rc' WHEN regexp_matches(text, '{_RE(STEEL)}', 'i') THEN 'steel' END AS material, unnest(regexp_extract_all(upper(text), '{TAGS}', 1)) AS tag FROM lx)
+    SELECT job_id, tag, arg_min(material, line) AS material FROM ly WHERE material IS NOT NULL AND length(tag) >= 3 GROUP BY job_id, tag""",
+    "legend_spans",
+)
+def legend_tags(spark: SparkSession, d: str) -> DataFrame:
+    return strokes.legend(strokes.text_lines(view(spark, d, "legend_spans")))

@@ -53,3 +53,12 @@ def cell_world(lines: Column, world: Column, x: Column) -> Column:
     w0, w1 = F.element_at(world, i), F.element_at(world, i + 1)
     inside = w0 + (x - p0) / F.when(p1 == p0, 1.0).otherwise(p1 - p0) * (w1 - w0)
     return F.when(n < 2, F.lit(0.0)).when(x >= F.element_at(lines, -1), F.element_at(world, -1)).otherwise(inside)
+
+
+def interpolate(lines: Column, world: Column, x: Column) -> Column:
+    """Piecewise linear map through (lines, world), extrapolated at both ends; 0 without lines, the one value of a single line."""
+    n = F.size(lines)
+    i = F.size(F.filter(F.slice(lines, 2, F.greatest(n - 2, F.lit(0))), lambda v: v <= x)) + 1
+    at = lambda a, k: F.try_element_at(a, k)
+    p0, p1, w0, w1 = at(lines, i), at(lines, i + 1), at(world, i), at(world, i + 1)
+    return F.when(n == 0, 0.0).when(n == 1, at(world, F.lit(1))).when(p1 == p0, w0).otherwise(w0 + (w1 - w0) * (x - p0) / F.nullif(p1 - p0, F.lit(0.0)))

@@ -13,6 +13,12 @@ ROUND_LAST = r"(\d{2,4})\s*[Ø⌀∅]"
 MARK = r"\b([A-Z]{1,3}\d{1,3})\b"
 BEAM_MARK = r"(?i)^(RCB|GB|SB|TB|FB|RB|SL|LB|L|B)\d"
 TAG = r"^[A-Z]{1,3}[-]?[A-Z]{0,3}\d{1,3}[A-Z]?$"
+# What names a material on a line of the legend, the tags on it, and slab zone codes.
+CONCRETE = r"(?i)\b(RC|R\.?C\.?|REINFORCED[\s-]?CONCRETE|CONCRETE)\b"
+STEEL = r"(?i)\b(STEEL|S\.?S\.?|UB|UC|H-?BEAM|UNIVERSAL)\b"
+TAGS = r"\b([A-Z]{1,3}-?[A-Z]{0,3}\d{1,3}[A-Z]?)\b"
+ZONE_CODE = r"(?i)^NSP\d+$"
+SELF_CODE = r"(?i)^(\d{3})CIS$"
 ROW_LABEL = r"^[A-Za-z]{1,2}$"
 COLUMN_LABEL = r"^\d{1,2}$"
 DIMENSION = r"^\d{3,5}$"

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planframe.binning import first_by, reaching
+from planframe.binning import containing, first_by, reaching
 from planframe.functions.geometry import distance, in_polygon
 from planframe.functions.text import BEAM_MARK, code_thickness, dims, is_beam_label, mark
 from planframe.operators.boxes import centred
@@ -55,13 +55,19 @@ def zone_thickness(slabs: DataFrame, zones: DataFrame, legend: DataFrame, option
 
     ``slabs(job_id, ord, points)`` hold polygons; a label must lie in the polygon's box before the ray is cast.
     """
-    coded = zones.join(F.broadcast(legend), "code", "left").withColumn("t", code_thickness(F.col("code"), F.col("thickness"))).where("t is not null")
+    coded = zones.join(legend, "code", "left").withColumn("t", code_thickness(F.col("code"), F.col("thickness"))).where("t is not null")
     p = slabs.withColumns({"_x0": F.array_min("points.x"), "_x1": F.array_max("points.x"), "_y0": F.array_min("points.y"), "_y1": F.array_max("points.y")})
-    hit = p.join(coded, "job_id").where("zx between _x0 and _x1 and zy between _y0 and _y1").where(in_polygon(F.col("zx"), F.col("zy"), F.col("points")))
+    hit = containing(coded.select("job_id", "zone_ord", "zx", "zy", "t"), p, ["job_id"], "zx", "zy", ("_x0", "_y0", "_x1", "_y1"), options.slab_tile)
+    hit = hit.where(in_polygon(F.col("zx"), F.col("zy"), F.col("points")))
     best = first_by(hit, ["job_id", "ord"], [F.col("zone_ord")], ["t"])
     return slabs.select("job_id", "ord").join(best, ["job_id", "ord"], "left").select("job_id", "ord", F.coalesce("t", F.lit(options.default_slab_mm)).alias("thickness_mm"))
 
 
+def provenance(annotated: DataFrame) -> DataFrame:
+    """(source, n): how many columns took their size from each source."""
+    return annotated.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def box_points(boxes: DataFrame) -> DataFrame:
     """Boxes with their corners as a polygon, ``points``."""
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))

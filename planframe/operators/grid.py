@@ -34,6 +34,13 @@ def to_world(points: DataFrame, grid: DataFrame, gaps: DataFrame) -> DataFrame:
     return out.drop("x_px", "y_px")
 
 
+def world_boxes(boxes: DataFrame, grid: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``boxes(job_id, x1 .. y2)`` of drawings with a grid, with both corners in millimetres, ``wx1 .. wy2``, y upwards."""
+    joined = boxes.join(frame(grid, gaps), "job_id")
+    at = lambda n: cell_world(F.col("x_px"), F.col("x_mm"), F.col(n)) if n[0] == "x" else F.col("height") - cell_world(F.col("y_px"), F.col("y_mm"), F.col(n))
+    return joined.withColumns({f"w{n}": at(n) for n in ("x1", "y1", "x2", "y2")}).drop("x_px", "y_px", "x_mm", "y_mm", "height", "min_bay")
+
+
 def snap(points: DataFrame, grid: DataFrame, gaps: DataFrame) -> DataFrame:
     """Points in millimetres moved to the nearest line of each axis, if it is within half the smallest bay."""
     world = to_world(points, grid, gaps)

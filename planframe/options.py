@@ -40,6 +40,13 @@ class Options:
     min_column_mm: float = 800.0
     square_aspect: float = 0.20
     default_slab_mm: float = 200.0
+    slab_tile: float = 4096.0
+    default_storey_mm: float = 5000.0
+    default_wall_mm: float = 200.0
+    wall_height_mm: float = 2800.0
+    sill_mm: float = 900.0
+    grid_run_mm: float = 10_000.0
+    default_px_per_mm: float = 1.0
     default_beam_mm: float = 800.0
     # sanitizer
     min_beam_mm: float = 500.0
@@ -50,6 +57,7 @@ class Options:
     across_anchor: float = 0.25
     dash_perp_mm: float = 150.0
     dash_long: float = 0.5
+    aligned_cos: float = 0.9
     rect_min_mm: float = 200.0
     rect_max_mm: float = 1500.0
     steps_one: int = 4
@@ -80,3 +88,7 @@ DEFAULTS = Options()
 #: Standard sides of square columns and standard diameters of round ones, in mm.
 SQUARE_SIZES = [200, 250, 300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1200]
 ROUND_SIZES = [300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1200]
+
+#: Names of the column families that the modelling program holds.
+ROUND_FAMILY = "CJY_RC Round Column"
+SQUARE_FAMILY = "CJY_Concrete-Rectangular-Column"

@@ -67,6 +67,21 @@ VIEWS = {
         UNION ALL SELECT j.job_id, 320 + r_regionkey, CAST(6000 + 300 * r_regionkey AS STRING), 30, 250 + 220 * r_regionkey + j.job_id FROM {{region}} CROSS JOIN {_JOBS} WHERE r_regionkey < 3
         UNION ALL SELECT p_partkey % 16, 1000 + p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey % 120 AS STRING) WHEN 1 THEN char(65 + CAST(p_partkey % 20 AS INT)) WHEN 2 THEN CAST(100 * (p_partkey % 320) AS STRING) ELSE concat('N', CAST(p_partkey AS STRING)) END,
             CAST(100 + (p_partkey * 89) % 1500 AS DOUBLE), CAST(100 + (p_partkey * 53) % 1000 AS DOUBLE) FROM {{part}}) t) u""",
+    "segments": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CASE p_partkey % 4 WHEN 3 THEN '[] 0' WHEN 1 THEN '[5] 1' ELSE '[3 2] 0' END AS dashes, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
+        CAST((p_partkey * 83) % 1600 + CASE p_partkey % 3 WHEN 0 THEN 60 + p_partkey % 50 WHEN 1 THEN p_partkey % 5 ELSE 40 END AS DOUBLE) AS x2, CAST((p_partkey * 59) % 1100 + CASE p_partkey % 3 WHEN 1 THEN 60 + p_partkey % 50 WHEN 0 THEN p_partkey % 7 ELSE 25 END AS DOUBLE) AS y2 FROM {part}""",
+    "rects": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
+        CAST((p_partkey * 83) % 1600 + p_partkey % 20 AS DOUBLE) AS x2, CAST((p_partkey * 59) % 1100 + 3 + p_partkey % 50 AS DOUBLE) AS y2 FROM {part}""",
+    # A NOTES block of three lines for each job, of clauses or (odd jobs) of plain lines, and zone codes inside and outside of it.
+    "words": f"""SELECT job_id, word_ord, text, x0, y0, x0 + 20 AS x1, y0 + 10 AS y1, block_no, line_no FROM (
+        SELECT j.job_id, CAST(0 AS BIGINT) AS word_ord, CASE j.job_id % 3 WHEN 0 THEN 'Notes' ELSE 'NOTES:' END AS text, CAST(2000 AS DOUBLE) AS x0, CAST(100 AS DOUBLE) AS y0, 1 AS block_no, 0 AS line_no FROM {_JOBS}
+        UNION ALL SELECT j.job_id, 1 + n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN CASE j.job_id % 2 WHEN 0 THEN 'ALL' ELSE 'ZONE' END WHEN 1 THEN concat('NSP', CAST(n_nationkey % 5 + 1 AS STRING)) WHEN 2 THEN CAST(100 + 10 * (n_nationkey + j.job_id) AS STRING) WHEN 3 THEN 'THK'
+            WHEN 4 THEN '+' WHEN 5 THEN CAST(90 + 10 * (n_nationkey % 7) AS STRING) WHEN 6 THEN CASE n_nationkey WHEN 14 THEN 'THK,' ELSE 'THK' END ELSE CAST(700 + n_nationkey AS STRING) END,
+            CAST(2000 + 30 * (n_nationkey % 8) AS DOUBLE), CAST(120 + 15 * floor(n_nationkey / 8) AS DOUBLE), 1, CAST(floor(n_nationkey / 8) AS INT) FROM {{nation}} CROSS JOIN {_JOBS} WHERE n_nationkey < 24
+        UNION ALL SELECT p_partkey % 16, 1000 + p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(CAST(150 + 50 * (p_partkey % 4) AS STRING), 'cis') WHEN 1 THEN concat('NSP', CAST(p_partkey % 9 AS STRING)) ELSE concat('W', CAST(p_partkey AS STRING)) END,
+            CAST(1500 + (p_partkey * 37) % 1400 AS DOUBLE), CAST(CASE WHEN p_partkey % 5 = 0 THEN 130 ELSE 400 + (p_partkey * 53) % 900 END AS DOUBLE), 2, CAST(p_partkey AS INT) FROM {{part}} WHERE NOT (p_partkey % 3 = 2 AND p_partkey % 5 = 0)) w""",
+    "legend_spans": """SELECT job_id, ord, CAST(100 + 40 * k AS DOUBLE) AS x0, CAST(12 * line + k % 3 AS DOUBLE) AS y0, CAST(12 * line + k % 3 + 8 AS DOUBLE) AS y1,
+        CASE k WHEN 0 THEN concat('rcb', CAST(ord % 20 AS STRING)) WHEN 1 THEN CASE line % 3 WHEN 0 THEN 'R.C. beam ' WHEN 1 THEN 'h-beam' ELSE 'plain' END WHEN 2 THEN concat('SB', CAST(ord % 9 AS STRING)) WHEN 3 THEN CASE line % 2 WHEN 0 THEN 'universal' ELSE 'typical' END WHEN 4 THEN concat('H-RCB', CAST(ord % 30 AS STRING)) ELSE 'as shown' END AS text
+        FROM (SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CAST(floor(p_partkey / 16) AS BIGINT) % 6 AS k, CAST(floor(p_partkey / 96) AS BIGINT) AS line FROM {part}) p""",
     "legend": """SELECT DISTINCT p_partkey % 16 AS job_id, concat('RCB', CAST(p_partkey % 30 AS STRING)) AS tag, CASE WHEN (p_partkey % 30 + p_partkey % 16) % 3 = 0 THEN 'steel' ELSE 'rc' END AS material
         FROM {part} WHERE p_partkey % 6 = 4 AND (p_partkey % 30 + p_partkey % 16) % 3 < 2""",
     "warnings": """SELECT o_orderkey % 16 AS job_id, o_orderkey AS ord, CASE o_orderkey % 6 WHEN 0 THEN 'Cannot keep elements joined.' WHEN 1 THEN 'There are identical instances in the same place.'
