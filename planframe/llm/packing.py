@@ -335,7 +335,7 @@ def place(pieces: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows[at, 2] + n - rows[at, 1]), pa.array(rows[at, 3])], [*names, "sequence_id", "offset"])
 
     total = sum(histogram.values())
-    n = numbered(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], max(1, min(100_000, total // 20_000 + 1)), "_number")
+    n = numbered(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], max(1, min(100_000, total // 2_000 + 1)), "_number")
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return n.select(*pieces.columns, "_number").mapInArrow(run, schema)
 
