@@ -183,5 +183,5 @@ def shard(docs: DataFrame, shards: int = 40, grains: int = 1000, overhead: int =
     plan = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in placed.items()], "_item string, shard int"))
     dealt = groups.join(plan, "_item").select("_group", "shard", "_n")
     out = hot_join(rows, dealt, ["_group"], "_n", count).select("doc_id", "size", "text_crc32", "shard")
-    salts = max(1, min(100_000, count // 20_000 + 1))
+    salts = max(1, min(100_000, count // 2_000 + 1))
     return numbered(out, ["shard"], [F.col("doc_id"), F.col("text_crc32")], salts, "slot")
