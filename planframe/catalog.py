@@ -913,3 +913,87 @@ _RE = lambda p: p.replace("(?i)", "").replace("'", "''")
 )
 def legend_tags(spark: SparkSession, d: str) -> DataFrame:
     return strokes.legend(strokes.text_lines(view(spark, d, "legend_spans")))
+
+
+def _first_sql(column: str, cases, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{_RE(p)}', 'i') THEN '{n}'" for n, p in cases) + f" ELSE '{default}' END"
+
+
+def _holds_sql(column: str, words, how: str = "contains") -> str:
+    return "(" + " OR ".join(f"{how}({column}, '{w}')" for w in words) + ")"
+
+
+_FOLDER_SQL = "(VALUES " + ", ".join(f"('{k}', '{c}', '{p}', {list(t)}::VARCHAR[])" for k, (c, p, t) in library.FOLDERS.items()) + ") fo(fk, fc, fp, ft)"
+
+
+@_query(
+    "family_records",
+    f""", n0 AS (SELECT *, {_first_sql("name", library.SHAPES, "rectangular")} AS shape, {_first_sql("name", library.MATERIALS, "concrete")} AS material, {_first_sql("name", library.CATEGORIES, "OST_GenericModel")} AS named,
+        coalesce(nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 1, 'i'), ''), nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 2, 'i'), '')) AS dia, nullif(regexp_extract(name, '{_RE(library.HOLLOW)}', 1, 'i'), '') AS chs FROM family_files_v)
+    SELECT ord, name, coalesce(fc, named) AS category, coalesce(fp, 'point') AS placement, shape, material, array_to_string(list_sort(list_distinct(coalesce(ft, []) || [material, shape])), ',') AS tags,
+    CASE WHEN dia IS NOT NULL THEN 'Ø' || CAST(CAST(dia AS INT) AS VARCHAR) WHEN chs IS NOT NULL THEN 'CHS ' || CAST(CAST(chs AS INT) AS VARCHAR) || '×' || CAST(CAST(regexp_extract(name, '{_RE(library.HOLLOW)}', 2, 'i') AS INT) AS VARCHAR)
+    ELSE array_to_string(list_transform(regexp_extract_all(name, '{library.SIDES}', 0), lambda x: CAST(CAST(regexp_extract(x, '{library.SIDES}', 1) AS INT) AS VARCHAR) || '×' || CAST(CAST(regexp_extract(x, '{library.SIDES}', 2) AS INT) AS VARCHAR) || 'mm'), ';') END AS types
+    FROM n0 LEFT JOIN {_FOLDER_SQL} ON fk = lower(folder)""",
+    "family_files",
+)
+def family_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = library.records(view(spark, d, "family_files"))
+    return rows.select("ord", "name", "category", "placement", "shape", "material", F.array_join("tags", ",").alias("tags"), F.array_join("types.type_name", ";").alias("types"))
+
+
+@_query(
+    "family_kinds",
+    f"""SELECT ord, (contains(upper(name), 'UNIVERSAL') AND contains(upper(name), 'COLUMN')) OR {_holds_sql("upper(name)", ("UC-", "UC_"), "starts_with")} AS steel_column,
+    NOT {_holds_sql("upper(name)", ("UC-", "UB-", "UNIVERSAL", "I-BEAM", "WIDE FLANGE", "W-SHAPE"))} AND {_holds_sql("upper(name)", ("CONCRETE", "RC ", "CJY", "CAST-IN-PLACE"))} AND {_holds_sql("upper(name)", ("COLUMN", "RECTANGULAR", "ROUND", "CIRCULAR"))} AS concrete_column,
+    {_holds_sql("upper(name)", ("STEEL", "I BEAM", "I-BEAM", "W-SHAPE", "WIDE FLANGE", "UB-", "UC-", "PURLIN", "L-ANGLE", "L ANGLE"))} OR {_holds_sql("upper(name)", ("UB ", "UC "), "starts_with")} AS steel_beam FROM family_files_v""",
+    "family_files",
+)
+def family_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "family_files").select("ord", library.family_kind(F.col("name")).alias("k")).select("ord", "k.*")
+
+
+@_query(
+    "family_files_match",
+    "SELECT ord, name AS family_name, 'C:\\lib\\' || folder || '\\' || name || '.RFA' AS path FROM family_files_v WHERE (contains(lower(name), 'column') OR contains(lower(name), 'col')) AND contains(lower(name), 'un') ORDER BY ord LIMIT 15".replace("\\\\", "\\"),
+    "family_files",
+)
+def family_files_match(spark: SparkSession, d: str) -> DataFrame:
+    paths = view(spark, d, "family_files").select("ord", F.concat(F.lit("C:\\lib\\"), "folder", F.lit("\\"), "name", F.lit(".RFA")).alias("path"))
+    return library.match_files(paths, "OST_StructuralColumns", "Un")
+
+
+def _replay_sql(rounds: int = 3) -> str:
+    kinds = ("structural_framing", "columns", "walls")
+    ctes = [
+        f"""wa AS (SELECT *, {_WARN_SQL} AS handler FROM build_warnings_v),
+    wk AS (SELECT *, CASE WHEN handler = 'missing_family' THEN CASE WHEN contains(lower(text), 'framing') OR contains(lower(text), 'structural_framing') THEN 'structural_framing' WHEN contains(lower(text), 'column') THEN 'columns' WHEN contains(lower(text), 'wall') THEN 'walls' END END AS kind FROM wa),
+    wn AS (SELECT job_id, attempt, count(*) AS n, count(*) FILTER (WHERE handler = 'join_error') AS joins, count(*) FILTER (WHERE handler = 'unresolved') AS unknown, count(*) FILTER (WHERE handler IN ('identical', 'transient')) AS logged, count(*) FILTER (WHERE handler = 'short_column') AS short,
+        {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS c_{k}" for k in kinds)} FROM wk GROUP BY job_id, attempt),
+    en AS (SELECT job_id, ord, sx AS px, sy AS py FROM beams_v UNION ALL SELECT job_id, ord, ex, ey FROM beams_v),
+    dp AS (SELECT DISTINCT e.job_id, e.ord FROM en e JOIN columns_v c ON e.job_id = c.job_id AND abs(px - cx) < hw AND abs(py - cy) < hd),
+    s0 AS (SELECT job_id, (SELECT count(*) FROM beams_v b WHERE b.job_id = j.job_id) AS n_structural_framing, (SELECT count(*) FROM columns_v b WHERE b.job_id = j.job_id) AS n_columns, (SELECT count(*) FROM core_walls_v b WHERE b.job_id = j.job_id) AS n_walls,
+        (SELECT count(*) FROM dp b WHERE b.job_id = j.job_id) AS deep, (SELECT count(*) FROM columns_v b WHERE b.job_id = j.job_id AND col_ord % 7 = 0) AS low, CAST(NULL AS VARCHAR) AS status, 0 AS rounds, 0 AS removed, 0 AS raised, CAST([] AS VARCHAR[]) AS cleared
+        FROM (SELECT job_id FROM beams_v UNION SELECT job_id FROM columns_v UNION SELECT job_id FROM core_walls_v) j)"""
+    ]
+    for a in range(rounds):
+        acts = f"(status IS NULL AND coalesce(n, 0) > 0 AND {a < rounds - 1})"
+        has = lambda k: f"(NOT list_contains(cleared, '{k}') AND n_{k} > 0)"
+        clear = ", ".join(f"CASE WHEN {acts} AND c_{k} > 0 AND {has(k)} THEN '{k}' END" for k in kinds)
+        ctes.append(f"""a{a} AS (SELECT s.*, n, unknown, logged, CASE WHEN {acts} AND {has("structural_framing")} THEN least(joins, deep - removed) ELSE 0 END AS j, CASE WHEN {acts} AND short > 0 AND {has("columns")} THEN low - raised ELSE 0 END AS r,
+        list_filter([{clear}], lambda x: x IS NOT NULL) AS k FROM s{a} s LEFT JOIN wn ON wn.job_id = s.job_id AND attempt = {a}),
+    s{a + 1} AS (SELECT * EXCLUDE (n, unknown, logged, j, r, k) REPLACE (coalesce(status, CASE WHEN coalesce(n, 0) = 0 THEN 'success' WHEN {a == rounds - 1} OR unknown > 0 OR (j = 0 AND r = 0 AND len(k) = 0 AND coalesce(logged, 0) = 0) THEN 'warnings_accepted' END) AS status,
+        CASE WHEN status IS NULL THEN {a + 1} ELSE rounds END AS rounds, removed + j AS removed, raised + r AS raised, cleared || k AS cleared) FROM a{a})""")
+    return ", ".join(ctes)
+
+
+@_query(
+    "warning_replay",
+    f", {_replay_sql()} SELECT job_id, status, CAST(rounds AS BIGINT) AS rounds, CAST(CASE WHEN list_contains(cleared, 'structural_framing') THEN n_structural_framing ELSE removed END AS BIGINT) AS beams_removed, CAST(raised AS BIGINT) AS columns_raised, array_to_string(list_sort(cleared), ',') AS cleared FROM s3",
+    "build_warnings",
+    "beams",
+    "columns",
+    "core_walls",
+)
+def warning_replay(spark: SparkSession, d: str) -> DataFrame:
+    columns = view(spark, d, "columns").withColumn("height", F.when(F.col("col_ord") % 7 == 0, 900.0).otherwise(3000.0))
+    return alerts.replay(view(spark, d, "beams"), columns, view(spark, d, "core_walls"), view(spark, d, "build_warnings"))

@@ -98,3 +98,45 @@ def normal_dims(width: Column, depth: Column, shape: Column, ann_w: Column, ann_
     rect = F.concat(F.lit("RECT"), size(F.least(w, d)), F.lit("x"), size(F.greatest(w, d)), F.lit("mm"))
     suffix = F.when(~annotated & (shape == "circular"), F.concat(F.lit("CIRC"), size(w))).otherwise(rect)
     return F.struct(w.alias("width"), d.alias("depth"), suffix.alias("suffix"))
+
+
+def sized_type(width_mm: Column, depth_mm: Column) -> Column:
+    """The name of a type by its sides to the nearest 50 mm."""
+    side = lambda v: (F.bround(v / 50) * 50).cast("long").cast("string")
+    return F.concat(side(width_mm), F.lit("x"), side(depth_mm), F.lit("mm"))
+
+
+def feet(mm: Column) -> Column:
+    return mm / 304.8
+
+
+def millimetres(ft: Column) -> Column:
+    """Feet in millimetres, to one decimal."""
+    return F.bround(ft * 304.8, 1)
+
+
+def parameter(value: Column, kind: Column) -> Column:
+    """struct(number, text): a parameter's value as its kind asks for: mm in feet, raw, int and id as numbers, string as text; null for another kind."""
+    number = value.try_cast("double")
+    n = F.when(kind == "mm", feet(number)).when(kind == "raw", number).when(kind.isin("int", "id"), F.floor(number).cast("double"))
+    return F.struct(n.alias("number"), F.when(kind == "string", value).alias("text"))
+
+
+def is_join_error(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.contains("cannot keep") | (low.contains("element") & low.contains("join"))
+
+
+def tag_join(text: Column, element_ids: Column) -> Column:
+    """A join message with the elements that were taken apart; other messages as they are."""
+    return F.when(is_join_error(text), F.concat(F.lit("[JOIN-RESOLVED:"), F.array_join(element_ids.cast("array<string>"), ","), F.lit("] "), text)).otherwise(text)
+
+
+def crop(cx: Column, cy: Column, width: Column, height: Column, img_w: Column, img_h: Column) -> Column:
+    """struct(x0, y0, x1, y1): a window around a box, two and a half of its sides (50 px at least) beyond it, cut to the image; null under 20 px."""
+    w, h = F.greatest(F.abs(width), F.lit(50.0)), F.greatest(F.abs(height), F.lit(50.0))
+    pad = F.greatest(w, h) * 2.5
+    low = lambda c, s: F.greatest(F.lit(0), (c - s / 2 - pad).cast("int"))
+    high = lambda c, s, m: F.least(m.cast("int"), (c + s / 2 + pad).cast("int"))
+    x0, y0, x1, y1 = low(cx, w), low(cy, h), high(cx, w, img_w), high(cy, h, img_h)
+    return F.when((x1 - x0 >= 20) & (y1 - y0 >= 20), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))

@@ -67,6 +67,12 @@ VIEWS = {
         UNION ALL SELECT j.job_id, 320 + r_regionkey, CAST(6000 + 300 * r_regionkey AS STRING), 30, 250 + 220 * r_regionkey + j.job_id FROM {{region}} CROSS JOIN {_JOBS} WHERE r_regionkey < 3
         UNION ALL SELECT p_partkey % 16, 1000 + p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey % 120 AS STRING) WHEN 1 THEN char(65 + CAST(p_partkey % 20 AS INT)) WHEN 2 THEN CAST(100 * (p_partkey % 320) AS STRING) ELSE concat('N', CAST(p_partkey AS STRING)) END,
             CAST(100 + (p_partkey * 89) % 1500 AS DOUBLE), CAST(100 + (p_partkey * 53) % 1000 AS DOUBLE) FROM {{part}}) t) u""",
+    # What three attempts at a build gave: jobs with unknown messages, with known ones only, with missing families, and without any.
+    "build_warnings": f"""SELECT j.job_id, a.attempt, CAST(n_nationkey AS BIGINT) AS ord, CASE WHEN j.job_id % 4 = 0 AND n_nationkey = 2 THEN 'Highlighted in red' WHEN a.attempt = 1 AND j.job_id % 4 = 2 THEN 'ExternalEvent still Pending'
+        WHEN j.job_id % 4 = 2 AND n_nationkey = 1 THEN CASE j.job_id WHEN 2 THEN 'Missing wall family' WHEN 6 THEN 'framing: unresolved reference' ELSE 'column family not loaded' END WHEN n_nationkey % 3 = 0 THEN 'Cannot keep elements joined.'
+        WHEN n_nationkey % 3 = 1 THEN 'There are identical instances in the same place.' ELSE 'The column is too short' END AS text
+        FROM {{nation}} CROSS JOIN {_JOBS} CROSS JOIN (SELECT r_regionkey AS attempt FROM {{region}} WHERE r_regionkey < 3) a
+        WHERE j.job_id % 4 <> 3 AND n_nationkey < 2 + j.job_id % 5 * 4 AND (a.attempt = 0 OR j.job_id % 4 = 2 OR (j.job_id % 4 = 1 AND a.attempt <= j.job_id % 3))""",
     "segments": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CASE p_partkey % 4 WHEN 3 THEN '[] 0' WHEN 1 THEN '[5] 1' ELSE '[3 2] 0' END AS dashes, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
         CAST((p_partkey * 83) % 1600 + CASE p_partkey % 3 WHEN 0 THEN 60 + p_partkey % 50 WHEN 1 THEN p_partkey % 5 ELSE 40 END AS DOUBLE) AS x2, CAST((p_partkey * 59) % 1100 + CASE p_partkey % 3 WHEN 1 THEN 60 + p_partkey % 50 WHEN 0 THEN p_partkey % 7 ELSE 25 END AS DOUBLE) AS y2 FROM {part}""",
     "rects": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
@@ -91,6 +97,10 @@ VIEWS = {
         CASE p_partkey % 4 WHEN 0 THEN '[3 2] 0' WHEN 1 THEN '[] 0' WHEN 2 THEN '[5] 1' ELSE '' END AS dashes FROM {part}""",
     "items": """SELECT l_orderkey % 16 AS job_id, l_orderkey AS path_ord, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS item_ord, CASE WHEN l_linenumber = 1 THEN 'm' WHEN l_partkey % 7 = 0 THEN 'c' WHEN l_partkey % 11 = 0 THEN 'm' ELSE 'l' END AS op,
         CAST((l_linenumber * 40) % 200 + l_suppkey % 3 AS DOUBLE) AS x, CAST((l_orderkey * 7 + CASE WHEN l_linenumber % 3 = 0 THEN 90 ELSE 0 END) % 500 AS DOUBLE) AS y FROM {lineitem}""",
+    "family_files": """SELECT p_partkey AS ord, CASE p_partkey % 7 WHEN 0 THEN 'Structural_Columns' WHEN 1 THEN 'structural_framing' WHEN 2 THEN 'doors' WHEN 3 THEN 'ceilings' ELSE 'other' END AS folder,
+        CASE p_partkey % 11 WHEN 0 THEN 'UC 152x152' WHEN 1 THEN concat('Round Column dia ', CAST(300 + p_partkey % 500 AS STRING)) WHEN 2 THEN concat('CHS_', CAST(100 + p_partkey % 200 AS STRING), 'x', CAST(4 + p_partkey % 9 AS STRING))
+        WHEN 3 THEN concat('RC beam ', CAST(200 + p_partkey % 400 AS STRING), 'x', CAST(300 + p_partkey % 300 AS STRING), ' 450X600') WHEN 4 THEN 'timber post' WHEN 5 THEN concat('RHS-', CAST(p_partkey % 9 AS STRING)) WHEN 6 THEN 'Steel door 900x2100'
+        WHEN 7 THEN 'Universal Column UC-254' WHEN 8 THEN 'Concrete-Rectangular-Column' WHEN 9 THEN 'W-Shape I-Beam' ELSE p_name END AS name FROM {part}""",
     "families": """SELECT p_partkey AS ord, p_name AS family_name, p_type AS category, p_brand AS type_name, CAST(10 * p_size AS DOUBLE) AS width_mm, CAST(10 * (p_size % 37) AS DOUBLE) AS depth_mm,
         p_partkey % 4 <> 0 AS has_path FROM {part}""",
 }
