@@ -5,9 +5,11 @@ that its reach touches and the left side on its own tile, so a pair meets on exa
 near the reach keeps the copies to nine at most.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planframe.session import cut
+
 
 def tile(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -68,3 +70,16 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], columns: list[
     """For each key the columns of the row with the least order: a minimum that combines before the shuffle."""
     best = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}") for c in columns])
+
+
+def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... by a column, without one task that holds all rows.
+
+    Rows are dealt to ranges of the column and written once, so that their ranges stay; each is numbered from what the
+    ranges before it hold, of which there is a row each.
+    """
+    dealt = cut(df.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return dealt.withColumn("_own", own).join(counts, "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

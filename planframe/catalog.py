@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe.functions.text import CONCRETE, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, first_match, normal_dims
-from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, strokes
+from planframe.functions.text import CONCRETE, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, crop, feet, first_match, millimetres, normal_dims, sized_type
+from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
+from planframe.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,7 @@ def _query(name: str, sql: str | None = None, *views: str):
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = with_views(sql, *views)
+            SQL[name] = with_views(sql, *views) if views else sql
         return f
 
     return keep
@@ -997,3 +998,89 @@ def _replay_sql(rounds: int = 3) -> str:
 def warning_replay(spark: SparkSession, d: str) -> DataFrame:
     columns = view(spark, d, "columns").withColumn("height", F.when(F.col("col_ord") % 7 == 0, 900.0).otherwise(3000.0))
     return alerts.replay(view(spark, d, "beams"), columns, view(spark, d, "core_walls"), view(spark, d, "build_warnings"))
+
+
+@_query(
+    "train_labels",
+    """, j AS (SELECT job_id, row_number() OVER (ORDER BY job_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT job_id FROM edits_v)), sp AS (SELECT job_id, CASE WHEN rn <= greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'train' END AS split FROM j),
+    b AS (SELECT d.*, CASE d.type WHEN 'column' THEN 0 WHEN 'slabs' THEN 4 END AS cl FROM (SELECT * REPLACE (CASE type WHEN 'slab' THEN 'slabs' ELSE type END AS type) FROM detections_v) d
+        WHERE NOT EXISTS (SELECT 1 FROM edits_v e WHERE e.is_delete AND e.job_id = d.job_id AND e.element_index = d.ord AND e.element_type IN (d.type, regexp_replace(d.type, 's+$', '')))),
+    x AS (SELECT *, (x1 + x2) / 2 / 3400 AS cx, (y1 + y2) / 2 / 2400 AS cy, (x2 - x1) / 3400 AS w, (y2 - y1) / 2400 AS h FROM b JOIN sp USING (job_id) WHERE cl IS NOT NULL AND job_id % 5 <> 4)
+    SELECT job_id, split, type, ord, printf('%d %.6f %.6f %.6f %.6f', cl, cx, cy, w, h) AS line FROM x WHERE w > 0 AND w <= 1 AND h > 0 AND h <= 1 AND cx BETWEEN 0 AND 1 AND cy BETWEEN 0 AND 1""",
+    "detections",
+    "edits",
+)
+def train_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "detections").withColumn("type", F.when(F.col("type") == "slab", "slabs").otherwise(F.col("type")))
+    renders = view(spark, d, "pages").where("job_id % 5 <> 4")
+    return corrections.train_labels(rows, view(spark, d, "edits"), renders, {"column": 0, "slabs": 4})
+
+
+@_query("detection_counts", "SELECT job_id, type, count(*) AS n FROM detections_v GROUP BY job_id, type", "detections")
+def detection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return session.detection_counts(view(spark, d, "detections"))
+
+
+@_query("annotation_sources", "SELECT source, count(*) AS n FROM (" + SQL["annotate_columns"] + ") GROUP BY source")
+def annotation_sources(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.provenance(annotate_columns(spark, d))
+
+
+@_query(
+    "review_gate",
+    """, e AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE confidence < 0.6) AS unsure FROM detections_v GROUP BY job_id), p AS (SELECT job_id, count(*) AS np FROM strokes_v WHERE job_id % 4 <> 2 GROUP BY job_id)
+    SELECT job_id, n, unsure, coalesce(np, 0) AS n_paths, concat_ws(',', CASE WHEN job_id % 8 = 7 THEN 'fallback_grid' END, CASE WHEN coalesce(np, 0) < 50 THEN 'scanned' END, CASE WHEN unsure / n > 0.3 THEN 'unsure' END) AS reasons FROM e LEFT JOIN p USING (job_id)""",
+    "detections",
+    "strokes",
+)
+def review_gate(spark: SparkSession, d: str) -> DataFrame:
+    return session.review_gate(view(spark, d, "detections").withColumn("has_grid", F.col("job_id") % 8 != 7), view(spark, d, "strokes").where("job_id % 4 <> 2"))
+
+
+@_query(
+    "snapshot_merge",
+    "SELECT job_id AS user_id, 'k' AS key, arg_max(json_extract_string(payload, '$.k'), ord) AS value FROM job_ops_v WHERE json_extract_string(payload, '$.k') IS NOT NULL GROUP BY job_id",
+    "job_ops",
+)
+def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
+    return session.merge_snapshots(view(spark, d, "job_ops").select(F.col("job_id").alias("user_id"), "ord", F.col("payload").alias("patch")))
+
+
+@_query(
+    "reject_examples",
+    f", {_JUDGE_SQL} SELECT job_id, ord, reason FROM jd WHERE action = 'reject' QUALIFY row_number() OVER (PARTITION BY reason ORDER BY ord) <= 5",
+    *_FRAMING_VIEWS,
+)
+def reject_examples(spark: SparkSession, d: str) -> DataFrame:
+    return session.examples(admit.judge(*_framing(spark, d)).where("action = 'reject'"), ["reason"], 5).select("job_id", "ord", "reason")
+
+
+_SHEETS = "SELECT p_partkey AS ord, 5.0 + p_partkey % 70 AS width_in, 4.0 + p_partkey * 7 % 59 AS height_in, 1.0 * (p_partkey * 13 % 110) AS file_mb, p_partkey * 3 % 230 AS objects FROM part"
+
+
+@_query(
+    "render_plan",
+    f"""WITH s AS ({_SHEETS}), l AS (SELECT *, list_filter([300, 250, 200, 150, 125, 100, 72], lambda r: width_in * r * height_in * r <= 100000000 AND width_in * r * height_in * r * 4.5 / 1048576 <= 600)[1] AS d,
+    CASE WHEN file_mb > 100 THEN 'too_large' WHEN greatest(width_in, height_in) > 60 THEN 'too_wide' WHEN greatest(width_in, height_in) / least(width_in, height_in) > 4 THEN 'too_long' END AS error FROM s)
+    SELECT ord, error, CASE WHEN error IS NULL THEN CASE WHEN d IS NULL OR objects > 200 THEN 'tiled' ELSE 'direct' END END AS method, CASE WHEN error IS NULL THEN coalesce(d, 72) END AS dpi,
+    CASE WHEN width_in * 150 * height_in * 150 > 100000000 THEN greatest(72, CAST(floor(sqrt(100000000 / (width_in * height_in))) AS INT)) ELSE 150 END AS capped FROM l""",
+)
+def render_plan(spark: SparkSession, d: str) -> DataFrame:
+    sheets = spark.sql(_SHEETS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+    w, h = F.col("width_in").cast("double"), F.col("height_in").cast("double")
+    sheets = sheets.withColumns({"width_in": w, "height_in": h, "capped": readers.capped_dpi(w, h)})
+    return readers.render_plan(sheets).select("ord", "error", "method", "dpi", "capped")
+
+
+@_query(
+    "type_parameters",
+    """SELECT ord, CAST(CAST(round_even((x2 - x1) * 20 / 50, 0) * 50 AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(round_even((y2 - y1) * 20 / 50, 0) * 50 AS BIGINT) AS VARCHAR) || 'mm' AS sized, round((x2 - x1) / 304.8, 9) AS feet, round_even((y2 - y1) / 3 * 304.8, 1) AS mm,
+    greatest(0, CAST(trunc(cx - w / 2 - p) AS INT)) AS x0, greatest(0, CAST(trunc(cy - h / 2 - p) AS INT)) AS y0, least(3400, CAST(trunc(cx + w / 2 + p) AS INT)) AS cx1, least(2400, CAST(trunc(cy + h / 2 + p) AS INT)) AS cy1
+    FROM (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(x2 - x1, 50) AS w, greatest(y2 - y1, 50) AS h, greatest(x2 - x1, y2 - y1, 50) * 2.5 AS p FROM detections_v WHERE x1 < 3200 AND y1 < 2200)""",
+    "detections",
+)
+def type_parameters(spark: SparkSession, d: str) -> DataFrame:
+    rows = boxes.centred(view(spark, d, "detections").where("x1 < 3200 and y1 < 2200"))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = rows.select("ord", sized_type(w * 20, h * 20).alias("sized"), F.round(feet(w), 9).alias("feet"), millimetres(h / 3).alias("mm"), crop(F.col("cx"), F.col("cy"), w, h, F.lit(3400), F.lit(2400)).alias("c"))
+    return rows.select("ord", "sized", "feet", "mm", F.col("c.x0").alias("x0"), F.col("c.y0").alias("y0"), F.col("c.x1").alias("cx1"), F.col("c.y1").alias("cy1"))

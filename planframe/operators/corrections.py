@@ -3,9 +3,12 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planframe.binning import first_by
+from planframe.binning import first_by, ranked
 from planframe.options import DEFAULTS, Options
 
+#: Fields that no edit may change.
+BLOCKED = ("id", "level", "top_level")
+
 
 def stats(corrections: DataFrame) -> DataFrame:
     """One row: total, deletes, edits and the latest time (null without corrections)."""
@@ -56,7 +59,43 @@ def apply_patches(elements: DataFrame, patches: DataFrame, fields: list[str]) ->
 
 def train_split(corrections: DataFrame, share: float = 0.2) -> DataFrame:
     """(job_id, split): sorted jobs, the first max(1, n * share) of them for validation."""
-    jobs = corrections.select("job_id").distinct()
-    n = jobs.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = jobs.withColumn("_rn", F.row_number().over(Window.orderBy("job_id")))
-    return ranked.crossJoin(F.broadcast(n)).select("job_id", F.when(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "val").otherwise("train").alias("split"))
+    jobs = ranked(corrections.select("job_id").distinct(), "job_id", "_rn")
+    n = jobs.agg(F.max("_rn").alias("_n"))  # one row
+    return jobs.crossJoin(F.broadcast(n)).select("job_id", F.when(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), "val").otherwise("train").alias("split"))
+
+
+def undeleted(detections: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Detections whose type, or its singular, and number no correction of their job deletes."""
+    gone = corrections.where("is_delete").select("job_id", F.col("element_type").alias("_kind"), F.col("element_index").cast("long").alias("ord")).distinct()
+    either = F.array_distinct(F.array("type", F.regexp_replace("type", "s+$", "")))
+    hit = detections.select("job_id", "type", "ord", F.explode(either).alias("_kind")).join(gone, ["job_id", "_kind", "ord"]).select("job_id", "type", "ord").distinct()
+    return detections.join(hit, ["job_id", "type", "ord"], "left_anti")
+
+
+def train_labels(detections: DataFrame, corrections: DataFrame, renders: DataFrame, classes: dict[str, int]) -> DataFrame:
+    """(job_id, split, type, ord, line): a line of a detector's training set for each box that stands.
+
+    Jobs are those with corrections and a render. Deleted boxes, types without a class and boxes that are empty or leave the
+    picture go; a line is the class and the box's centre and sides as shares of the picture.
+    """
+    known = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
+    rows = undeleted(detections, corrections).withColumn("_class", F.try_element_at(known, F.col("type"))).where("_class is not null")
+    rows = rows.join(train_split(corrections), "job_id").join(renders.select("job_id", "width_px", "height_px"), "job_id")
+    cx, cy = (F.col("x1") + F.col("x2")) / 2 / F.col("width_px"), (F.col("y1") + F.col("y2")) / 2 / F.col("height_px")
+    w, h = (F.col("x2") - F.col("x1")) / F.col("width_px"), (F.col("y2") - F.col("y1")) / F.col("height_px")
+    good = (w > 0) & (w <= 1) & (h > 0) & (h <= 1) & cx.between(0, 1) & cy.between(0, 1)
+    return rows.where(good).select("job_id", "split", "type", "ord", F.format_string("%d %.6f %.6f %.6f %.6f", "_class", cx, cy, w, h).alias("line"))
+
+
+def check_patches(patches: DataFrame, fields: dict[str, list[str]], elements: DataFrame) -> DataFrame:
+    """Patches ``(job_id, patch_ord, element_type, ord, field, is_delete)`` with ``error``, null where they can be applied.
+
+    unknown_type, blocked_field or unknown_field (not among the type's ``fields``), no_element (no such number).
+    """
+    named = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]).cast("array<string>"))])
+    allowed = F.try_element_at(named, F.col("element_type"))
+    there = elements.select("job_id", "element_type", "ord", F.lit(True).alias("_there"))
+    rows = patches.join(there, ["job_id", "element_type", "ord"], "left")
+    field = F.coalesce("is_delete", F.lit(False)) | F.array_contains(allowed, F.col("field"))
+    error = F.when(allowed.isNull(), "unknown_type").when(F.col("field").isin(*BLOCKED), "blocked_field").when(~F.coalesce(field, F.lit(False)), "unknown_field").when(F.col("_there").isNull(), "no_element")
+    return rows.withColumn("error", error).drop("_there")

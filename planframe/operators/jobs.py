@@ -21,14 +21,28 @@ def fold(ops: DataFrame) -> DataFrame:
     return latest.join(puts.drop("_put"), "job_id").join(touched, "job_id")
 
 
+def set_nested(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """(job_id, key, subkey, value): ``state(job_id, key, subkey, value)`` of jobs that are there, after ``changes(job_id, ord, key, subkey, value)``, the latest of each subkey."""
+    known = changes.join(state.select("job_id").distinct(), "job_id", "left_semi")
+    new = known.groupBy("job_id", "key", "subkey").agg(F.max_by("value", "ord").alias("value"))
+    return state.join(new, ["job_id", "key", "subkey"], "left_anti").select("job_id", "key", "subkey", "value").unionByName(new)
+
+
+def completed(jobs: DataFrame) -> DataFrame:
+    """Jobs ``(job_id, status)`` with ``error``: not_completed where they are not."""
+    return jobs.withColumn("error", F.when(F.coalesce(F.col("status") != "completed", F.lit(True)), "not_completed"))
+
+
 def survivors(jobs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(job_id, accessed_ord) that stay: over the limit, the least recently used n - max + 1 go (one more than needed).
 
-    The rows kept are a top-k, which Spark takes from each partition before it orders them.
+    One row more than the limit is taken, a top-k that Spark takes from each partition before it orders them; whether it is
+    there tells how many of those few rows stay.
     """
-    n = jobs.count()
-    keep = n if n <= options.max_jobs else options.max_jobs - 1
-    return jobs.orderBy(F.desc("accessed_ord"), F.desc("job_id")).limit(keep).select("job_id", "accessed_ord")
+    some = jobs.select("job_id", "accessed_ord").orderBy(F.desc("accessed_ord"), F.desc("job_id")).limit(options.max_jobs + 1)
+    order = Window.orderBy(F.desc("accessed_ord"), F.desc("job_id"))
+    some = some.withColumns({"_rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return some.where((F.col("_n") <= options.max_jobs) | (F.col("_rn") < options.max_jobs)).select("job_id", "accessed_ord")
 
 
 def routed_events(events: DataFrame, links: DataFrame) -> DataFrame:

@@ -73,6 +73,8 @@ VIEWS = {
         WHEN n_nationkey % 3 = 1 THEN 'There are identical instances in the same place.' ELSE 'The column is too short' END AS text
         FROM {{nation}} CROSS JOIN {_JOBS} CROSS JOIN (SELECT r_regionkey AS attempt FROM {{region}} WHERE r_regionkey < 3) a
         WHERE j.job_id % 4 <> 3 AND n_nationkey < 2 + j.job_id % 5 * 4 AND (a.attempt = 0 OR j.job_id % 4 = 2 OR (j.job_id % 4 = 1 AND a.attempt <= j.job_id % 3))""",
+    "edits": """SELECT p_partkey AS id, p_partkey % 16 AS job_id, CASE p_partkey % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'structural_framing' ELSE 'slabs' END AS element_type, CAST(p_partkey - CASE WHEN p_partkey % 5 = 0 THEN 16 ELSE 0 END AS INT) AS element_index,
+        p_partkey % 4 = 0 AS is_delete FROM {part}""",
     "segments": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CASE p_partkey % 4 WHEN 3 THEN '[] 0' WHEN 1 THEN '[5] 1' ELSE '[3 2] 0' END AS dashes, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
         CAST((p_partkey * 83) % 1600 + CASE p_partkey % 3 WHEN 0 THEN 60 + p_partkey % 50 WHEN 1 THEN p_partkey % 5 ELSE 40 END AS DOUBLE) AS x2, CAST((p_partkey * 59) % 1100 + CASE p_partkey % 3 WHEN 1 THEN 60 + p_partkey % 50 WHEN 0 THEN p_partkey % 7 ELSE 25 END AS DOUBLE) AS y2 FROM {part}""",
     "rects": """SELECT p_partkey % 16 AS job_id, p_partkey AS ord, CAST((p_partkey * 83) % 1600 AS DOUBLE) AS x1, CAST((p_partkey * 59) % 1100 AS DOUBLE) AS y1,
