@@ -10,7 +10,7 @@ import pyarrow as pa
 from planframe.llm.common import spread
 
 #: Bytes of text handled at once; a longer document is a piece by itself.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 
 SEP = np.zeros(256, bool)
 SEP[[9, 10, 11, 12, 13, 32]] = True
