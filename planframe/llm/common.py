@@ -23,7 +23,7 @@ _USED: set[tuple[str, str]] = set()
 
 
 #: Rows in a batch that Spark hands to Python: texts may be long, and a worker holds a few batches.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> SparkSession:

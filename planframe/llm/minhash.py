@@ -24,7 +24,7 @@ from planframe.llm.words import Words, chunks
 BLOCK = 256
 
 #: Cells of a dense block matrix of members by shared shingles (float32).
-DENSE = 1 << 25
+DENSE = 1 << 23
 
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, minima binary"
 
