@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe.functions.text import CONCRETE, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, crop, feet, first_match, millimetres, normal_dims, sized_type
+from planframe.functions.text import BEAM_MARK, CONCRETE, MARK, RECT, ROUND_FIRST, ROUND_LAST, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, crop, feet, first_match, millimetres, normal_dims, sized_type
 from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
 from planframe.plans.adapters import view, with_views
@@ -298,10 +298,15 @@ def dup_span(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("_rn", rn).where("_rn > 1").select("job_id", "ord")
 
 
-_DIMS_SQL = r"""q AS (SELECT *, nullif(regexp_extract(text, '\b([A-Z]{1,3}\d{1,3})\b', 1), '') AS mark, CAST(nullif(regexp_extract(text, '(\d{2,4})\s*[xX×*]\s*(\d{2,4})', 1), '') AS DOUBLE) AS rw,
-    CAST(nullif(regexp_extract(text, '(\d{2,4})\s*[xX×*]\s*(\d{2,4})', 2), '') AS DOUBLE) AS rd, CAST(coalesce(nullif(regexp_extract(text, '(?i)(?:Ø|⌀|∅|dia\.?\s*|phi\s*)(\d{2,4})', 1), ''), nullif(regexp_extract(text, '(\d{2,4})\s*[Ø⌀∅]', 1), '')) AS DOUBLE) AS rc FROM spans_v),
+def _RE(pattern: str) -> str:  # noqa: N802
+    """A pattern of ``functions`` as DuckDB takes it inside a string; its case flag is given apart."""
+    return pattern.replace("'", "''")
+
+
+_DIMS_SQL = f"""q AS (SELECT *, nullif(regexp_extract(text, '{_RE(MARK)}', 1), '') AS mark, CAST(nullif(regexp_extract(text, '{_RE(RECT)}', 1), '') AS DOUBLE) AS rw,
+    CAST(nullif(regexp_extract(text, '{_RE(RECT)}', 2), '') AS DOUBLE) AS rd, CAST(coalesce(nullif(regexp_extract(text, '{_RE(ROUND_FIRST)}', 1), ''), nullif(regexp_extract(text, '{_RE(ROUND_LAST)}', 1), '')) AS DOUBLE) AS rc FROM spans_v),
     l AS (SELECT job_id, ord, sx, sy, text, mark, coalesce(rw, rc) AS width_mm, coalesce(rd, rc) AS depth_mm, CASE WHEN rw IS NOT NULL THEN FALSE WHEN rc IS NOT NULL THEN TRUE END AS is_circular,
-    coalesce(regexp_matches(mark, '(?i)^(RCB|GB|SB|TB|FB|RB|SL|LB|L|B)\d'), FALSE) AS is_beam FROM q)"""
+    coalesce(regexp_matches(mark, '{_RE(BEAM_MARK)}'), FALSE) AS is_beam FROM q)"""
 _SCHED_SQL = "s AS (SELECT job_id, mark, arg_min(width_mm, ord) AS width_mm, arg_min(depth_mm, ord) AS depth_mm, arg_min(is_circular, ord) AS is_circular FROM l WHERE mark IS NOT NULL AND width_mm IS NOT NULL AND NOT is_beam GROUP BY job_id, mark)"
 
 
@@ -332,9 +337,9 @@ def annotate_columns(spark: SparkSession, d: str) -> DataFrame:
     return annotate.annotate_columns(view(spark, d, "detections").where("type = 'column'"), view(spark, d, "spans"))
 
 
-_TAG_SQL = r"""g AS (SELECT job_id, ord AS t_ord, sx, sy, upper(text) AS tag FROM spans_v WHERE length(text) <= 10 AND regexp_matches(upper(text), '^[A-Z]{1,3}[-]?[A-Z]{0,3}\d{1,3}[A-Z]?$')),
+_TAG_SQL = f"""g AS (SELECT job_id, ord AS t_ord, sx, sy, upper(text) AS tag FROM spans_v WHERE length(text) <= 10 AND regexp_matches(upper(text), '{_RE(TAG)}')),
     n AS (SELECT c.job_id, c.ord, tag, t_ord, sqrt((cx - sx) * (cx - sx) + (cy - sy) * (cy - sy)) AS dist FROM c JOIN g USING (job_id)),
-    tg AS (SELECT job_id, ord, arg_min(tag, (dist, t_ord)) AS tag, min(dist) AS dist FROM n WHERE dist <= {} GROUP BY job_id, ord)"""
+    tg AS (SELECT job_id, ord, arg_min(tag, (dist, t_ord)) AS tag, min(dist) AS dist FROM n WHERE dist <= {{}} GROUP BY job_id, ord)"""
 
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
@@ -901,14 +906,11 @@ def zone_labels(spark: SparkSession, d: str) -> DataFrame:
     return strokes.zone_labels(view(spark, d, "words"))
 
 
-_RE = lambda p: p.replace("(?i)", "").replace("'", "''")
-
-
 @_query(
     "legend_tags",
     f""", ln AS (SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY y0, x0, ord) AS line FROM (SELECT *, CASE WHEN abs((y0 + y1) / 2 - lag((y0 + y1) / 2) OVER (PARTITION BY job_id ORDER BY y0, x0, ord)) < 6 THEN 0 ELSE 1 END AS b FROM legend_spans_v)),
     lx AS (SELECT job_id, line, string_agg(trim(text), ' ' ORDER BY y0, x0, ord) AS text FROM ln GROUP BY job_id, line),
-    ly AS (SELECT job_id, line, CASE WHEN regexp_matches(text, '{_RE(CONCRETE)}', 'i') THEN 'rc' WHEN regexp_matches(text, '{_RE(STEEL)}', 'i') THEN 'steel' END AS material, unnest(regexp_extract_all(upper(text), '{TAGS}', 1)) AS tag FROM lx)
+    ly AS (SELECT job_id, line, CASE WHEN regexp_matches(text, '{_RE(CONCRETE)}') THEN 'rc' WHEN regexp_matches(text, '{_RE(STEEL)}') THEN 'steel' END AS material, unnest(regexp_extract_all(upper(text), '{TAGS}', 1)) AS tag FROM lx)
     SELECT job_id, tag, arg_min(material, line) AS material FROM ly WHERE material IS NOT NULL AND length(tag) >= 3 GROUP BY job_id, tag""",
     "legend_spans",
 )
@@ -917,7 +919,7 @@ def legend_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_sql(column: str, cases, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{_RE(p)}', 'i') THEN '{n}'" for n, p in cases) + f" ELSE '{default}' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{_RE(p)}') THEN '{n}'" for n, p in cases) + f" ELSE '{default}' END"
 
 
 def _holds_sql(column: str, words, how: str = "contains") -> str:
@@ -930,9 +932,9 @@ _FOLDER_SQL = "(VALUES " + ", ".join(f"('{k}', '{c}', '{p}', {list(t)}::VARCHAR[
 @_query(
     "family_records",
     f""", n0 AS (SELECT *, {_first_sql("name", library.SHAPES, "rectangular")} AS shape, {_first_sql("name", library.MATERIALS, "concrete")} AS material, {_first_sql("name", library.CATEGORIES, "OST_GenericModel")} AS named,
-        coalesce(nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 1, 'i'), ''), nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 2, 'i'), '')) AS dia, nullif(regexp_extract(name, '{_RE(library.HOLLOW)}', 1, 'i'), '') AS chs FROM family_files_v)
+        coalesce(nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 1), ''), nullif(regexp_extract(name, '{_RE(library.DIAMETER)}', 2), '')) AS dia, nullif(regexp_extract(name, '{_RE(library.HOLLOW)}', 1), '') AS chs FROM family_files_v)
     SELECT ord, name, coalesce(fc, named) AS category, coalesce(fp, 'point') AS placement, shape, material, array_to_string(list_sort(list_distinct(coalesce(ft, []) || [material, shape])), ',') AS tags,
-    CASE WHEN dia IS NOT NULL THEN 'Ø' || CAST(CAST(dia AS INT) AS VARCHAR) WHEN chs IS NOT NULL THEN 'CHS ' || CAST(CAST(chs AS INT) AS VARCHAR) || '×' || CAST(CAST(regexp_extract(name, '{_RE(library.HOLLOW)}', 2, 'i') AS INT) AS VARCHAR)
+    CASE WHEN dia IS NOT NULL THEN 'Ø' || CAST(CAST(dia AS INT) AS VARCHAR) WHEN chs IS NOT NULL THEN 'CHS ' || CAST(CAST(chs AS INT) AS VARCHAR) || '×' || CAST(CAST(regexp_extract(name, '{_RE(library.HOLLOW)}', 2) AS INT) AS VARCHAR)
     ELSE array_to_string(list_transform(regexp_extract_all(name, '{library.SIDES}', 0), lambda x: CAST(CAST(regexp_extract(x, '{library.SIDES}', 1) AS INT) AS VARCHAR) || '×' || CAST(CAST(regexp_extract(x, '{library.SIDES}', 2) AS INT) AS VARCHAR) || 'mm'), ';') END AS types
     FROM n0 LEFT JOIN {_FOLDER_SQL} ON fk = lower(folder)""",
     "family_files",

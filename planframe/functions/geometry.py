@@ -62,3 +62,11 @@ def interpolate(lines: Column, world: Column, x: Column) -> Column:
     at = lambda a, k: F.try_element_at(a, k)
     p0, p1, w0, w1 = at(lines, i), at(lines, i + 1), at(world, i), at(world, i + 1)
     return F.when(n == 0, 0.0).when(n == 1, at(world, F.lit(1))).when(p1 == p0, w0).otherwise(w0 + (w1 - w0) * (x - p0) / F.nullif(p1 - p0, F.lit(0.0)))
+
+
+def to_px(points: Column, dpi: Column) -> Column:
+    return points * dpi / 72.0
+
+
+def to_pt(pixels: Column, dpi: Column) -> Column:
+    return pixels * 72.0 / dpi

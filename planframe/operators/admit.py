@@ -109,3 +109,14 @@ def slab_rule(slabs: DataFrame, grid: DataFrame, options: Options = DEFAULTS) ->
     reason = F.when(F.col("area").isNull(), "no_bbox").when(F.col("area") < options.slab_min_area_px, "too_small").when(~free & ~inside, "outside_grid_envelope").when(F.col("of_ord").isNotNull(), "duplicate_of_larger")
     out = out.withColumn("reason", reason)
     return out.select("job_id", "ord", "area", "reason", F.when(F.col("reason") == "duplicate_of_larger", F.col("of_ord")).alias("of_ord"))
+
+
+#: The colour of a decision on an overlay, blue, green, red.
+COLOURS = {"admit_with_fix": (0, 200, 0), "reject": (0, 0, 255)}
+
+
+def overlay(decisions: DataFrame) -> DataFrame:
+    """(job_id, ord, x1 .. y2, blue, green, red, label): the boxes of conflicts to draw over a drawing, those fixed and those rejected."""
+    hit = decisions.where(F.col("action").isin(*COLOURS) & F.col("reason").startswith("join_conflict"))
+    part = lambda i: F.create_map(*[F.lit(x) for k, v in COLOURS.items() for x in (k, v[i])])[F.col("action")]
+    return hit.select("job_id", "ord", *BOX, part(0).alias("blue"), part(1).alias("green"), part(2).alias("red"), F.col("reason").alias("label"))

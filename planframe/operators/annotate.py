@@ -1,6 +1,6 @@
 """Sizes from drawing labels: schedules, nearby labels, slab zones."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planframe.binning import containing, first_by, reaching
@@ -22,6 +22,13 @@ def schedule(spans: DataFrame) -> DataFrame:
     return first_by(defined, ["job_id", "mark"], [F.col("ord")], ["width_mm", "depth_mm", "is_circular"])
 
 
+def schedule_texts(first: DataFrame, pages: DataFrame, flags: DataFrame) -> DataFrame:
+    """Spans for the schedule of each job, in order: those of the first page, then those of the pages ``(job_id, page_idx)`` that ``flags(is_schedule)`` names as schedules."""
+    some = pages.join(flags.where("is_schedule").select("job_id", "page_idx"), ["job_id", "page_idx"], "left_semi")
+    rows = first.withColumn("page_idx", F.lit(-1)).unionByName(some, allowMissingColumns=True)
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("job_id").orderBy("page_idx", "ord")).cast("long") - 1)
+
+
 def annotate_columns(boxes: DataFrame, spans: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(job_id, ord, width_mm, depth_mm, is_circular, type_mark, source) of every column.
 

@@ -136,6 +136,15 @@ def enforce_rules(boxes: DataFrame, grid: DataFrame, gaps: DataFrame, options: O
     return out.select("job_id", "ord", F.coalesce("violations", F.lit("")).alias("violations"), orphan.alias("is_orphan"), F.col("violations").isNull().alias("is_compliant"))
 
 
+def stacked(*kinds: DataFrame) -> DataFrame:
+    """The rows of several agents' boxes ``(job_id, ord, ...)`` in the order given, with ``all_ord``: 0, 1, ... within each job over all of them."""
+    out = None
+    for rank, rows in enumerate(kinds):
+        rows = rows.withColumn("_rank", F.lit(rank))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("all_ord", F.row_number().over(Window.partitionBy("job_id").orderBy("_rank", "ord")) - 1).drop("_rank")
+
+
 def drop_by_id(elements: DataFrame, gone: DataFrame) -> DataFrame:
     """The elements whose (job_id, ord) is not among those of ``gone``."""
     return elements.join(gone.select("job_id", "ord"), ["job_id", "ord"], "left_anti")
@@ -164,9 +173,9 @@ def tag_material(tag: Column, legend: Column) -> Column:
 def nearest_other(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     """(job_id, ord, near_ord, dist) of the nearest target, at any distance; the first of equals.
 
-    Rings of doubling reach: each join only takes the points that the rings before left without a target, and
+    Rings of growing reach: each join only takes the points that the rings before left without a target, and
     within a reach r every target up to r is met, so the nearest found within r is the nearest of all. The
-    rings go on until one covers the widest drawing.
+    rings go on until one covers the widest drawing; what a ring found is written once, as the next start from it.
     """
     keys = ["job_id", "ord"]
     t = targets.select("job_id", F.col("ord").alias("near_ord"), F.col("cx").alias("_ox"), F.col("cy").alias("_oy"))
@@ -178,8 +187,10 @@ def nearest_other(points: DataFrame, targets: DataFrame, reach: float) -> DataFr
         near = within(left, t, ["job_id"], "cx", "cy", "_ox", "_oy", r)
         near = near.withColumn("dist", distance(F.col("cx"), F.col("cy"), F.col("_ox"), F.col("_oy"))).where(F.col("dist") <= r)
         best = first_by(near, keys, [F.col("dist"), F.col("near_ord")], ["near_ord", "dist"])
+        last = r > widest
+        best = best if last else cut(best)
         found = best if found is None else found.unionByName(best)
-        if r > widest:
+        if last:
             return points.select(*keys).join(found, keys, "left")
         left = left.join(best, keys, "left_anti")
-        r *= 4
+        r *= 8

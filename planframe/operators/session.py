@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from planframe.functions.text import millimetres
+
 
 def query_elements(elements: DataFrame, category: str | None = None, ids: list[int] | None = None, scanned: int = 5000) -> DataFrame:
     """Elements with a box among the first ``scanned`` that match; ``truncated`` tells if more matched.
@@ -25,6 +27,22 @@ def families(symbols: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.size("types")).where("n > 0")
 
 
+#: The size parameters of a type that are listed, in feet as the program holds them, and the names they are listed under.
+SIZES = {"b": "b_mm", "h": "h_mm", "Width": "width_mm", "Depth": "depth_mm", "Height": "height_mm", "Diameter": "diameter_mm"}
+
+
+def family_types(symbols: DataFrame) -> DataFrame:
+    """(family_name, types): families with their types ``(element_id, type_name, sizes...)``, by element, of ``symbols(family_name, type_name, element_id, parameters map<string,double>)``."""
+    size = lambda name: millimetres(F.try_element_at("parameters", F.lit(name)))
+    kind = F.struct("element_id", "type_name", *[size(n).alias(c) for n, c in SIZES.items()])
+    return symbols.where("type_name is not null").groupBy("family_name").agg(F.array_sort(F.collect_list(kind)).alias("types"))
+
+
+def last_health(beats: DataFrame) -> DataFrame:
+    """(service, healthy, at): what the latest of the heartbeats ``(service, ts, healthy)`` of each service says."""
+    return beats.groupBy("service").agg(F.max_by("healthy", "ts").alias("healthy"), F.max("ts").alias("at"))
+
+
 def manifest(symbols: DataFrame) -> DataFrame:
     """(kind, entry): distinct Family::Type of each kind, sorted."""
     return symbols.select("kind", F.concat_ws("::", "family_name", "type_name").alias("entry")).distinct().orderBy("kind", "entry")

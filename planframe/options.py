@@ -1,6 +1,6 @@
 """All thresholds of the drawing operators, with their defaults, as one immutable record."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,24 @@ class Options:
 
 DEFAULTS = Options()
 
+
+def with_profile(profile: dict, options: Options = DEFAULTS) -> Options:
+    """The options after a project's profile; values of another type or out of their range are passed over.
+
+    Wall height and thickness and sill height have to be above 0, the storey height within 2000 to 8000; a column size only raises the least one.
+    """
+
+    def number(key: str) -> float:
+        v = profile.get(key)
+        return float(v) if isinstance(v, int | float) else 0.0
+
+    new = {name: number(key) for key, name in (("typical_wall_height_mm", "wall_height_mm"), ("typical_wall_thickness_mm", "default_wall_mm"), ("typical_sill_height_mm", "sill_mm")) if number(key) > 0}
+    if 2000 <= number("floor_to_floor_height_mm") <= 8000:
+        new["default_storey_mm"] = number("floor_to_floor_height_mm")
+    if number("typical_column_size_mm") > options.min_column_mm:
+        new["min_column_mm"] = number("typical_column_size_mm")
+    return replace(options, **new)
+
 #: Standard sides of square columns and standard diameters of round ones, in mm.
 SQUARE_SIZES = [200, 250, 300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1200]
 ROUND_SIZES = [300, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1200]

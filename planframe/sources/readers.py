@@ -1,5 +1,7 @@
 """Sources and sinks: typed JSON and Parquet tables of drawings, files by listing, recipes by job."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +138,14 @@ def write_labels(labels: DataFrame, path: str) -> None:
     """Label files of a training set: a folder for each split and job, lines in the order of their boxes."""
     rows = labels.groupBy("split", "job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "ord", "line"))), lambda x: x["line"]), "\n").alias("value"))
     rows.write.mode("overwrite").partitionBy("split", "job_id").text(path)
+
+
+def write_dataset(spark: SparkSession, path: str, data: str, classes: list[str]) -> None:
+    """The YAML that tells a trainer where its pictures lie and what their classes are."""
+    lines = [f"path: {data}", "train: images/train", "val: images/val", f"nc: {len(classes)}", "names:", *[f"  {i}: {name}" for i, name in enumerate(classes)]]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_profile(spark: SparkSession, path: str, profile: dict) -> None:
+    """A project's profile as one JSON record."""
+    spark.createDataFrame([(json.dumps(profile),)], "value string").coalesce(1).write.mode("overwrite").text(path)
