@@ -130,6 +130,7 @@ def append(rows: DataFrame, path: str) -> None:
 
 def write_index(families: DataFrame, path: str) -> None:
     """The family index as one ordered JSON file with its total and version; a library of families bounds it."""
+    families = families.withColumns({c: F.to_json(c) for c, kind in families.dtypes if kind.startswith("map")})  # maps have no order
     rows = families.agg(F.array_sort(F.collect_list(F.struct("category", "family_name", *[c for c in families.columns if c not in ("category", "family_name")]))).alias("families"))
     rows.select(F.lit("1.0").alias("version"), F.size("families").alias("total"), "families").write.mode("overwrite").json(path)
 

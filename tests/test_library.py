@@ -123,4 +123,4 @@ def test_sheets_stacks_and_overlays(spark):
 def test_notes_without_clauses_go_by_line(spark):
     words = [(1, 0, 10.0, 0.0, "NOTES", 0, 0)] + [(1, i, 10.0 + i, 20.0 + 10 * (i // 4), w, 1, i // 4) for i, w in enumerate("NSP2 130 THK and NSP5 150 + 200".split(), 1)]
     df = spark.createDataFrame(words, "job_id long, word_ord long, x0 double, y0 double, text string, block_no int, line_no int")
-    assert {r.code: r.thickness_mm for r in strokes.clause_totals(strokes.notes_block(df)).collect()} == {"NSP2": 130.0, "NSP5": 350.0}
+    assert {r.code: r.thickness_mm for r in strokes.clause_totals(strokes.notes_block(df)).collect()} == {"NSP2": 130.0, "NSP5": 150.0}
