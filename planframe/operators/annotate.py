@@ -41,13 +41,14 @@ def annotate_columns(boxes: DataFrame, spans: DataFrame, options: Options = DEFA
     labels = labels.where("width_mm is not null or mark is not null")
     near = reaching(cols, labels, ["job_id"], "cx", "cy", "reach", "sx", "sy", options.search_floor_px * options.search_factor)
     near = near.withColumn("d", distance(F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy"))).where(F.col("d") < F.col("reach"))
-    sized = near.where("width_mm is not null")
-    a = first_by(sized, ["job_id", "ord"], [F.col("d"), F.col("t_ord")], ["width_mm", "depth_mm", "is_circular", "mark"])
     table = schedule(spans)
-    marks = near.where(F.col("mark").isNotNull()).select("job_id", "ord", "d", "t_ord", "mark").join(table, ["job_id", "mark"])
-    b = first_by(marks, ["job_id", "ord"], [F.col("d"), F.col("t_ord")], ["width_mm", "depth_mm", "is_circular", "mark"])
+    # One pass over the pairs finds both the nearest label with a size and the nearest one that the schedule knows.
+    near = near.join(table.select("job_id", "mark", *[F.col(c).alias(f"s_{c}") for c in ("width_mm", "depth_mm", "is_circular")]), ["job_id", "mark"], "left")
+    nearest = lambda p: F.min(F.when(F.col(f"{p}width_mm").isNotNull(), F.struct("d", "t_ord", *[F.col(f"{p}{c}").alias(c) for c in ("width_mm", "depth_mm", "is_circular")], "mark")))
+    found = near.groupBy("job_id", "ord").agg(nearest("").alias("a"), nearest("s_").alias("b"))
+    found = found.select("job_id", "ord", F.coalesce("a", "b").alias("v"), F.when(F.col("a").isNotNull(), "proximity").when(F.col("b").isNotNull(), "schedule").alias("source"))
+    found = found.select("job_id", "ord", "v.width_mm", "v.depth_mm", "v.is_circular", "v.mark", "source")
     one = table.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("width_mm", "depth_mm", "is_circular")).alias("s")).where("n = 1").select("job_id", "s.*")
-    found = a.withColumn("source", F.lit("proximity")).unionByName(b.join(a, ["job_id", "ord"], "left_anti").withColumn("source", F.lit("schedule")))
     out = cols.select("job_id", "ord").join(found, ["job_id", "ord"], "left")
     out = out.join(one.select("job_id", F.col("width_mm").alias("_w"), F.col("depth_mm").alias("_d"), F.col("is_circular").alias("_c")), "job_id", "left")
     size = F.lit(options.min_column_mm)
