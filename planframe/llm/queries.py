@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.llm import bpe, embeddings, fingerprints, minhash, packing, quality, sharding, substrings, url_filter, warc
+from planframe.llm import bpe, embeddings, fingerprints, line_dedup, minhash, negatives, packing, quality, sharding, spelling, substrings, url_filter, warc
 from planframe.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,24 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.word_runs(table(spark, sf_dir, "documents", "doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    word = F.when(h % 97 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))).otherwise(F.col("run"))
+    return spelling.variants(spelling.vocabulary(runs.select(word.alias("word"))))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_urls": op2_urls,
@@ -65,8 +83,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_embeddings": op10_embeddings,
+    "op11_lines": op11_lines,
+    "op12_spelling": op12_spelling,
+    "op13_negatives": op13_negatives,
 }
 
+#: CRC-32 of ``<doc_id>:<run>`` by bytes; runs hold code points up to U+00FF, so of one or two bytes.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+        ELSE [CAST(192 | (unicode(x) >> 6) AS BIGINT), CAST(128 | (unicode(x) & 63) AS BIGINT)] END)), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295)"""
+
 SQL = {
     "op1_minhash": rf"""
 WITH RECURSIVE w AS (
@@ -143,5 +168,57 @@ s AS (
 )
 SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.rv, CASE WHEN h.mined IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, h.mined
 FROM u LEFT JOIN f USING (page_id) LEFT JOIN h USING (page_id)
+""",
+    "op11_lines": rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS i FROM d),
+k AS (SELECT *, trim(translate(line, '{_UPPER}', '{_LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+m AS (SELECT key, min(doc_id) AS first FROM k WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.doc_id, i, line, coalesce(k.doc_id > first, false) AS gone FROM k LEFT JOIN m ON k.key = m.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
+    "op12_spelling": rf"""
+WITH RECURSIVE c0 AS (
+    SELECT list(x ORDER BY n) AS crc FROM (
+        SELECT n, list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS x
+        FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n))
+), r AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), q AS (SELECT doc_id, run, count(*) AS k FROM r GROUP BY doc_id, run),
+h AS (SELECT run, k, {_CRC} AS h FROM q, c0),
+w AS (
+    SELECT CASE WHEN h % 97 = 0 THEN run[:CAST(h % len(run) AS BIGINT)] || run[CAST(h % len(run) AS BIGINT) + 2:] ELSE run END AS word, sum(k) AS n
+    FROM h GROUP BY 1 HAVING len(word) >= 5 AND sum(k) >= 3
+), v AS (SELECT word, CAST(n AS BIGINT) AS n FROM w),
+g AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v),
+cut AS (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS b FROM g),
+p AS (
+    SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT x.word, v.word, v.n FROM cut x JOIN v ON x.a || x.b = v.word
+    UNION SELECT v.word, x.word, x.n FROM cut x JOIN v ON x.a || x.b = v.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, encode(other))) AS other, max(n) AS m FROM p GROUP BY word),
+f AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+    FROM v LEFT JOIN best ON v.word = best.word
+), up AS (
+    SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, up.root FROM f JOIN up ON f.word = up.word JOIN f t ON t.word = up.root WHERE t.form IS NULL
+""",
+    "op13_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT a, b AS positive_id, score AS positive_score FROM s WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, b) AS INT) AS rank, b AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, b) <= 5
 """,
 }
