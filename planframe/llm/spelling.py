@@ -76,10 +76,7 @@ class Trie:
         return child[ok], found[ok] + self.roots
 
     def active(self):
-        """Yields arrays (a, b, letter) of all node pairs at distance one: b has another letter somewhere (letter None) or lacks one that a has.
-
-        ``letter`` is the one that b lacks if it is a's last, else -1.
-        """
+        """Yields (a, b, kind) with arrays of all node pairs at distance one: b has another letter somewhere (kind 0), lacks a's last letter (1) or one before (2)."""
         parents = np.flatnonzero(np.diff(self.first) > 0)
         fan = np.diff(self.first)[parents]
         share = np.cumsum(fan * (fan + 1) // 2) // PAIRS
@@ -91,11 +88,11 @@ class Trie:
             a = np.repeat(child, later)
             b = a + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
             while len(a):
-                yield a, b, None
+                yield a, b, 0
                 a, b = self.down(a, b)
             a, b, skip = child, parent, self.letter[child - self.roots]
             while len(a):
-                yield a, b, np.full(len(a), -1) if skip is None else skip
+                yield a, b, 2 if skip is None else 1
                 a, b = self.down(a, b, skip)
                 skip = None
 
@@ -106,11 +103,11 @@ def _cuts(share: np.ndarray):
     return [(lo, hi) for lo, hi in zip(at[:-1], at[1:], strict=True) if hi > lo]
 
 
-def distance_one(group: np.ndarray, role: np.ndarray, letters: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distance_one(group: np.ndarray, role: np.ndarray, letters: np.ndarray, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, row) of strings of one group at distance one: equal lengths among roles 1, and longer roles 2 with shorter roles 1.
 
-    ``after`` has the letter that follows each string in its word, or -2. Where it is the letter that the shorter
-    string lacks at its end, the words part further down, and another group has the pair.
+    A shorter string that is ``cut``, so that its word may go on, has no pair that lacks a letter at its end: those
+    words part at the cut or below it, and another group has the pair.
     """
     trie = Trie(group, letters, at)
     same, longer = np.full((2, trie.nodes), -1, np.int64)
@@ -118,40 +115,40 @@ def distance_one(group: np.ndarray, role: np.ndarray, letters: np.ndarray, at: n
     same[trie.end[role & 1 > 0]] = rows[role & 1 > 0]
     longer[trie.end[role & 2 > 0]] = rows[role & 2 > 0]
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b, letter in trie.active():
-        x, y = (same if letter is None else longer)[a], same[b]
+    for a, b, kind in trie.active():
+        x, y = (longer if kind else same)[a], same[b]
         both = (x >= 0) & (y >= 0)
-        if letter is not None:
-            both &= after[y] != letter
+        if kind == 1:
+            both &= ~cut[y]
         left.append(x[both])
         right.append(y[both])
     return np.concatenate(left), np.concatenate(right)
 
 
 def subtries(vocab: DataFrame, leaf: int) -> DataFrame:
-    """(k1, k2, role, part, next, word, n): each word in its subtrie, and between the cuts above it; ``next`` is the letter after the part."""
+    """(k1, k2, role, part, cut, word, n): each word in its subtrie, and between the cuts above it; ``cut`` tells a part that reaches the lower cut."""
 
     def rest(at: int) -> Column:
         return F.expr(f"substring(word, {at + 1})")
 
-    def rows(df: DataFrame, place: list[Column], role: int, part: Column, after: Column) -> DataFrame:
-        return df.select(F.xxhash64(*place).alias("k1"), F.xxhash64(F.lit(1), *place).alias("k2"), F.lit(role).alias("role"), part.alias("part"), after.alias("next"), "word", "n")
+    def rows(df: DataFrame, place: list[Column], role: int, part: Column, cut: Column) -> DataFrame:
+        return df.select(F.xxhash64(*place).alias("k1"), F.xxhash64(F.lit(1), *place).alias("k2"), F.lit(role).alias("role"), part.alias("part"), cut.alias("cut"), "word", "n")
 
     open_, count, depth, out = vocab, vocab.count(), 0, []
     over = count > leaf
     if not over:
-        return rows(vocab, [F.lit(-1), F.lit("")], 3, F.col("word"), F.lit(""))
+        return rows(vocab, [F.lit(-1), F.lit("")], 3, F.col("word"), F.lit(False))
     while over:
         lower = max(2, 2 * depth)
         upper = F.substring("word", 1, depth)
         between = open_.where(F.char_length("word") >= depth)
-        out.append(rows(between, [F.lit(depth), upper, rest(lower)], 1, F.expr(f"substring(word, {depth + 1}, {lower - depth})"), F.expr(f"substring(word, {lower + 1}, 1)")))
-        out.append(rows(between.where(F.char_length("word") > depth), [F.lit(depth), upper, rest(lower + 1)], 2, F.expr(f"substring(word, {depth + 1}, {lower + 1 - depth})"), F.lit("")))
+        out.append(rows(between, [F.lit(depth), upper, rest(lower)], 1, F.expr(f"substring(word, {depth + 1}, {lower - depth})"), F.char_length("word") >= lower))
+        out.append(rows(between.where(F.char_length("word") > depth), [F.lit(depth), upper, rest(lower + 1)], 2, F.expr(f"substring(word, {depth + 1}, {lower + 1 - depth})"), F.lit(False)))
         depth = lower
         head = F.substring("word", 1, depth)
         sizes = open_.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_size"))
         sized = settle(open_.withColumn("_head", head).join(sizes, "_head"), "subtries")
-        out.append(rows(sized.where(F.col("_size") <= leaf), [F.lit(-1), F.col("_head")], 3, rest(depth), F.lit("")))
+        out.append(rows(sized.where(F.col("_size") <= leaf), [F.lit(-1), F.col("_head")], 3, rest(depth), F.lit(False)))
         open_ = sized.where(F.col("_size") > leaf).select("word", "n")
         over = not open_.isEmpty()
     whole = out[0]
@@ -191,8 +188,7 @@ def _pairs_of(tables: list[pa.Table]) -> pa.RecordBatch:
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) // 4 for p in parts], out=at[1:])
     letters = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
-    after = np.array([ord(c) if c else -2 for c in whole["next"].to_pylist()], np.int64)
-    a, b = distance_one(group, whole["role"].to_numpy(), letters, at, after)
+    a, b = distance_one(group, whole["role"].to_numpy(), letters, at, whole["cut"].to_numpy())
     one, other = pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))
     words = whole["word"].combine_chunks()
     return pa.RecordBatch.from_arrays([words.take(one), words.take(other), whole["n"].combine_chunks().take(other)], ["word", "other", "n_other"])
