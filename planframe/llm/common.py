@@ -15,6 +15,9 @@ BROADCAST_ROWS = 200_000
 #: A key with more than one row in this many counts as hot; so at most this many keys are hot, whatever the data.
 HOT_KEYS = 2_000
 
+#: Places that the rows of a hot key are dealt to.
+SPREAD = 4096
+
 #: Most bits of a broadcast membership filter (8 MB). A full filter lets more rows pass and changes no result.
 FILTER_BITS = 1 << 26
 
@@ -113,14 +116,20 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     """Joins ``left`` with ``right``, which has unique keys and in ``count`` how many rows of ``left`` each has (at most ``total`` in all).
 
     Keys that hold more than one row in HOT_KEYS of all are few by that measure: their rows of ``right`` are
-    broadcast, and their rows of ``left`` stay where they are. The others are shuffled. Both sides are read twice.
-    For a left join ``right`` has to list every hot key. ``count`` is not in the result; null keys join with nothing.
+    broadcast, and their rows of ``left``, served already, are dealt anywhere in the shuffled join of the others.
+    ``left`` is read once. For a left join ``right`` has to list every hot key. ``count`` is not in the result;
+    null keys join with nothing.
     """
     hot = F.col(count) > max(1, total // HOT_KEYS)
-    many = F.broadcast(right.where(hot).drop(count))
-    out = left.join(many, keys, "inner")
-    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
-    return out.unionByName(rest.join(right.where(~hot).drop(count), keys, how))
+    told = [c for c in right.columns if c not in (*keys, count)]
+    row = F.struct(*told) if told else F.struct(F.lit(1).alias("_1"))
+    out = left.join(F.broadcast(right.where(hot).select(*keys, row.alias("_hot"))), keys, "left")
+    anywhere = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)) + 1
+    out = out.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(anywhere).cast("int"))
+    out = out.join(right.where(~hot).select(*keys, row.alias("_cold"), F.lit(0).alias("_deal")), [*keys, "_deal"], "left")
+    if how == "inner":
+        out = out.where("_hot is not null or _cold is not null")
+    return out.select(*left.columns, *[F.coalesce("_hot", "_cold")[c].alias(c) for c in told])
 
 
 class IdFilter:

@@ -144,7 +144,9 @@ def _proofs(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     sources = docs.select("doc_id", "row", "text").mapInArrow(prune, "doc_id long, row long, text string")
     sources = sources.join(each, (F.col("doc_id") == F.col("s_doc")) & (F.col("row") == F.col("s_row"))).select("doc_id", "row", "text", "spans")
-    return sources.mapInArrow(run, "s_doc long, s_row long, s_lo int, length int, proof binary").dropDuplicates(["s_doc", "s_row", "s_lo", "length"])
+    proofs = settle(sources.mapInArrow(run, "s_doc long, s_row long, s_lo int, length int, proof binary").dropDuplicates(["s_doc", "s_row", "s_lo", "length"]), "proofs")
+    maybe.destroy()
+    return proofs
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -173,6 +175,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 25, bits: in
     straight = share(id_filter(anchors.where("straight"), "anchor", counts.get(True, 0)))
     branching = share(id_filter(anchors.where("not straight"), "anchor", counts.get(False, 0)))
     found = settle(_occurrences(docs, window, anchor, bits, straight, branching), "occurrences")
+    straight.destroy()
+    branching.destroy()
     key = ["whole", "hash", "check"]
     source = found.groupBy(*key).agg(F.min(F.struct("doc_id", "row", "lo")).alias("s"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("_n"))
     source = source.where("s.doc_id < most").select(*key, F.col("s.doc_id").alias("s_doc"), F.col("s.row").alias("s_row"), F.col("s.lo").alias("s_lo"), "_n")
