@@ -183,7 +183,9 @@ def verified_links(docs: DataFrame, candidates: DataFrame, count: int, shingle:
                 out = []
         yield from _emit(out)
 
-    return _gather(members, "place").select("place", "ba", "bb", "id", "grams").mapInArrow(run, "u long, v long").distinct()
+    links = settle(_gather(members, "place").select("place", "ba", "bb", "id", "grams").mapInArrow(run, "u long, v long").distinct(), "links")
+    maybe.destroy()
+    return links
 
 
 def similar(grams: list[np.ndarray], percent: int) -> np.ndarray:
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     than space and \\t \\n \\v \\f \\r of the text with A-Z lower-cased. Documents link if
     ``100 * |A & B| >= percent * |A | B|`` over their sets of ``shingle``-word shingles. A null or empty
     text, or one of white space, has an empty set and links with nothing. Rows that repeat a doc_id each
-    give a row; such a document links by any of its texts. A null doc_id gives a row with a null component
+    give a row; such a document is one node and links by any of its texts. A null doc_id gives a row with a null component
     and ``kept`` true. With 40 bands of 5 rows a pair at 0.80 meets in no bucket with probability 1e-7, one
     at 0.85 with 1e-10; the comparison of signatures then passes over one in 1e5 at the similarity asked for.
     """
@@ -228,7 +230,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     candidates = components(links).join(classes.select(F.col("row").alias("id"), "doc_id", "n_shingles"), "id")
     candidates = settle(candidates.select(F.col("doc_id").alias("id"), "component", "n_shingles"), "candidates")
     n = candidates.count()
-    found = components(verified_links(docs, candidates, n, shingle, percent)) if n else candidates.select("id", "component")
+    # A document of several sets is one node: it links the classes of its sets.
+    several = slim.where(some).groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b").select("doc_id")
+    edges = slim.where(some).join(several, "doc_id").join(reps, key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    found = components(verified_links(docs, candidates, n, shingle, percent).unionByName(edges) if n else edges)
     group = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "_n")
     linked = hot_join(slim.where(some), group, key, "_n", count).select("doc_id", "n_shingles", "component_id")
     out = linked.unionByName(slim.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
