@@ -21,7 +21,7 @@ from planframe.llm.components import components
 from planframe.llm.minhash import _deal, _gather
 
 #: Members of a block; a bucket of up to two blocks is one group.
-BLOCK = 256
+BLOCK = 1024
 
 #: Expected members of a bucket of evenly spread vectors, at most.
 ROOM = 4096
@@ -65,6 +65,17 @@ def polytope_codes(x: np.ndarray, tables: int, probes: int, rotations: int) -> n
     return np.stack(out, axis=1).astype(np.int64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, also where their squares leave the range of a double."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    wide = ((norm < 1e-140) | (norm > 1e140))[:, 0]
+    if wide.any():
+        x = x.copy()
+        x[wide] /= np.abs(x[wide]).max(axis=1, keepdims=True)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / norm
+
+
 def rotations_for(count: int, dims: int, probes: int) -> int:
     """Rotations that keep the buckets of ``count`` evenly spread vectors at ROOM members or fewer."""
     width = 1 << max(1, (max(dims, probes) - 1).bit_length())
@@ -168,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = 3, rota
                     at = np.flatnonzero(size == d)[lo : lo + 2000]
                     v = flat[start[at][:, None] + np.arange(d)]
                     x = v.astype(np.float64)
-                    codes = polytope_codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes, rotations)
+                    codes = polytope_codes(unit(x), tables, probes, rotations)
                     n, per = len(at), codes.shape[1] * codes.shape[2]
                     where = codes + (np.arange(tables) << 48)[None, :, None] + (np.int64(d % 4096) << 53)
                     take = pa.array(at)
@@ -199,8 +210,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = 3, rota
             at = np.flatnonzero(same)
             if len(at) < 2:
                 continue
-            x = np.stack([vectors_of[k] for k in at]).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(np.stack([vectors_of[k] for k in at]).astype(np.float64))
             got = counted_links(x, codes[at], t["weight"].to_numpy()[at], t["_own"].to_numpy()[at], slot, code, int(t["ba"][0].as_py()), int(t["bb"][0].as_py()), cosine)
             if got:
                 who, links, least = got
@@ -215,7 +225,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = 3, rota
     dealt = _gather(_deal(members, "n", BLOCK), "place").select("place", "ba", "bb", "id", "vec_id", "label", "weight", "codes", "vector", "slot", "code", "_own")
     found = settle(dealt.mapInArrow(run, "id long, links long, u long, v long"), "links")
     direct = found.groupBy("id").agg(F.sum("links").alias("links"))
-    group = components(found.select("u", "v")).select(F.col("id").alias("vec_id"), "component")
+    # Rows of one vec_id are one node: it links the classes of its vectors.
+    several = good.groupBy("vec_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b").select("vec_id")
+    edges = good.select("vec_id", *key).join(several, "vec_id").join(classes.select(*key, F.col("vec_id").alias("v")), key).select(F.col("vec_id").alias("u"), "v")
+    group = components(found.select("u", "v").unionByName(edges)).select(F.col("id").alias("vec_id"), "component")
     judged = reps.select("id", "vec_id", *key, "weight").join(direct, "id", "left").join(group, "vec_id", "left")
     judged = judged.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.col("weight").alias("_n"))
     out = hot_join(good.select("vec_id", *key), judged, key, "_n", total or 0).select("vec_id", "n_links", "component_id")
