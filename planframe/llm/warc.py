@@ -236,26 +236,21 @@ def read(spark, path: str) -> DataFrame:
     are missing, the total length differs, the framing is broken or the digest does not match.
     """
     rows = read_records(spark, path)
-    alone = rows.where("kind <> 'continuation' and segment = 0").select("page_id", F.col("kind").alias("record_type"), "refers_to", "digest", "declared", F.col("block").alias("whole"), F.lit(True).alias("ordered"))
+    none = F.lit(None).cast("long")
+    alone = rows.where("kind <> 'continuation' and segment = 0").select("page_id", F.col("kind").alias("record_type"), "refers_to", "digest", "declared", F.array("block").alias("blocks"), none.alias("total"), F.lit(True).alias("ordered"))
     parts = rows.where("kind = 'continuation' or segment > 0").groupBy("page_id", "origin", "digest")
-    joined = parts.agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("p"),
-        F.max("total").alias("total"),
-        F.max("segment").alias("last"),
-    )
     # A block has as many segments as its length asks for, and its length bounds the group.
-    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    joined = joined.withColumn("whole", whole).select(
-        "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "digest", F.lit(None).cast("long").alias("declared"), "whole",
-        (F.coalesce(F.octet_length("whole") == F.col("total"), F.lit(False)) & (F.size("p") == F.col("last"))).alias("ordered"),
-    )
+    joined = parts.agg(F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("p"), F.max("total").alias("total"), F.max("segment").alias("last"))
+    joined = joined.select("page_id", F.lit("response").alias("record_type"), none.alias("refers_to"), "digest", none.alias("declared"), F.col("p.block").alias("blocks"), F.coalesce("total", F.lit(-1)).alias("total"), (F.size("p") == F.col("last")).alias("ordered"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for page_id, kind, refers_to, sha, declared, block, ordered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, kind, refers_to, sha, declared, blocks, total, ordered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload, length, good = None, declared, True
                 if kind == "response":
+                    block = b"".join(blocks)
+                    ordered = ordered and (total is None or len(block) == total)
                     try:
                         head, _, body = block.partition(b"\r\n\r\n")
                         payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
