@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planframe.llm.common import runs, settle, unsettle
+from planframe.llm.common import hot_join, runs, settle, unsettle
 
 #: Words of a subtrie that is not cut further.
 LEAF = 1024
@@ -146,8 +146,8 @@ def subtries(vocab: DataFrame, leaf: int) -> DataFrame:
         out.append(rows(between.where(F.char_length("word") > depth), [F.lit(depth), upper, rest(lower + 1)], 2, F.expr(f"substring(word, {depth + 1}, {lower + 1 - depth})"), F.lit(False)))
         depth = lower
         head = F.substring("word", 1, depth)
-        sizes = open_.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_size"))
-        sized = settle(open_.withColumn("_head", head).join(sizes, "_head"), "subtries")
+        sizes = open_.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_size")).withColumn("_n", F.col("_size"))
+        sized = settle(hot_join(open_.withColumn("_head", head), sizes, ["_head"], "_n", count), "subtries")
         out.append(rows(sized.where(F.col("_size") <= leaf), [F.lit(-1), F.col("_head")], 3, rest(depth), F.lit(False)))
         open_ = sized.where(F.col("_size") > leaf).select("word", "n")
         over = not open_.isEmpty()
