@@ -3,30 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planframe import catalog_build  # noqa: F401
 from planframe.functions.text import BEAM_MARK, CONCRETE, MARK, RECT, ROUND_FIRST, ROUND_LAST, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, crop, feet, first_match, millimetres, normal_dims, sized_type
 from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
-from planframe.plans.adapters import view, with_views
+from planframe.plans.adapters import view
+from planframe.registry import QUERIES, SQL
+from planframe.registry import query as _query
+from planframe.registry import rounded as _r
 from planframe.sources import readers
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None, *views: str):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return keep
-
-
-def _r(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles at a fixed scale, for a comparison by value."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
+__all__ = ["QUERIES", "SQL"]
 
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 _CORR = "corrections"

@@ -1,14 +1,11 @@
-"""Analytics of human corrections: counts, firm defaults, newest-first export, edits of a recipe."""
+"""Analytics of human corrections: counts, firm defaults, newest-first export, training labels."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planframe.binning import first_by, ranked
 from planframe.options import DEFAULTS, Options
 
-#: Fields that no edit may change.
-BLOCKED = ("id", "level", "top_level")
-
 
 def stats(corrections: DataFrame) -> DataFrame:
     """One row: total, deletes, edits and the latest time (null without corrections)."""
@@ -43,20 +40,6 @@ def export(corrections: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return newest.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "job_id", "element_type", "element_index", "changes", F.col("is_delete").cast("int").alias("is_delete"))
 
 
-def apply_patches(elements: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """``elements(job_id, ord, fields...)`` after ``patches(job_id, patch_ord, ord, field, value, is_delete)``.
-
-    The last value of each field wins; a field outside ``fields`` or an index that is not there is passed over;
-    deleted rows go and the others are numbered anew.
-    """
-    known = patches.where(F.col("is_delete") | F.col("field").isin(fields))
-    last = [F.max_by(F.col("value"), F.when((F.col("field") == f) & ~F.col("is_delete"), F.col("patch_ord"))).alias(f"_{f}") for f in fields]
-    folded = known.groupBy("job_id", "ord").agg(F.bool_or("is_delete").alias("_gone"), *last)
-    joined = elements.join(folded, ["job_id", "ord"], "left").where(~F.coalesce("_gone", F.lit(False)))
-    kept = joined.select("job_id", "ord", *[F.coalesce(f"_{f}", f).alias(f) for f in fields])
-    return kept.withColumn("new_ord", F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1)
-
-
 def train_split(corrections: DataFrame, share: float = 0.2) -> DataFrame:
     """(job_id, split): sorted jobs, the first max(1, n * share) of them for validation."""
     jobs = ranked(corrections.select("job_id").distinct(), "job_id", "_rn")
@@ -85,17 +68,3 @@ def train_labels(detections: DataFrame, corrections: DataFrame, renders: DataFra
     w, h = (F.col("x2") - F.col("x1")) / F.col("width_px"), (F.col("y2") - F.col("y1")) / F.col("height_px")
     good = (w > 0) & (w <= 1) & (h > 0) & (h <= 1) & cx.between(0, 1) & cy.between(0, 1)
     return rows.where(good).select("job_id", "split", "type", "ord", F.format_string("%d %.6f %.6f %.6f %.6f", "_class", cx, cy, w, h).alias("line"))
-
-
-def check_patches(patches: DataFrame, fields: dict[str, list[str]], elements: DataFrame) -> DataFrame:
-    """Patches ``(job_id, patch_ord, element_type, ord, field, is_delete)`` with ``error``, null where they can be applied.
-
-    unknown_type, blocked_field or unknown_field (not among the type's ``fields``), no_element (no such number).
-    """
-    named = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]).cast("array<string>"))])
-    allowed = F.try_element_at(named, F.col("element_type"))
-    there = elements.select("job_id", "element_type", "ord", F.lit(True).alias("_there"))
-    rows = patches.join(there, ["job_id", "element_type", "ord"], "left")
-    field = F.coalesce("is_delete", F.lit(False)) | F.array_contains(allowed, F.col("field"))
-    error = F.when(allowed.isNull(), "unknown_type").when(F.col("field").isin(*BLOCKED), "blocked_field").when(~F.coalesce(field, F.lit(False)), "unknown_field").when(F.col("_there").isNull(), "no_element")
-    return rows.withColumn("error", error).drop("_there")

@@ -116,10 +116,3 @@ def fallback_lines(spark: SparkSession, x: int = 42, y: int = 30, pitch_px: floa
     n = spark.range(x).select(F.lit("x").alias("axis"), F.col("id").alias("idx"), (F.col("id") * pitch_px).alias("px"), (F.col("id") + 1).cast("string").alias("label"))
     letter = F.expr("repeat(char(65 + id % 26), cast(1 + floor(id / 26) as int))")
     return n.unionByName(spark.range(y).select(F.lit("y").alias("axis"), F.col("id").alias("idx"), (F.col("id") * pitch_px).alias("px"), letter.alias("label")))
-
-
-def level_above(levels: DataFrame, bases: DataFrame) -> DataFrame:
-    """(job_id, ord, level, elevation): the lowest level above a base elevation; nulls without one."""
-    hit = bases.join(levels, "job_id").where(F.col("elevation") > F.col("base") + 1e-6)
-    best = first_by(hit, ["job_id", "ord"], [F.col("elevation")], ["level", "elevation"])
-    return bases.select("job_id", "ord").join(best, ["job_id", "ord"], "left")

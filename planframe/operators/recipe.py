@@ -132,13 +132,6 @@ def totals(**kinds: DataFrame) -> DataFrame:
     return out
 
 
-def placement(columns: DataFrame, levels_: DataFrame) -> DataFrame:
-    """(job_id, ord, status, reason) of columns ``(job_id, ord, wx, wy, level)``: placed, or skipped and why."""
-    known = levels_.select("job_id", "level", F.lit(True).alias("_known"))
-    reason = F.when(F.col("wx").isNull() | F.col("wy").isNull(), "no location").when(F.col("_known").isNull(), "no level")
-    return columns.join(known, ["job_id", "level"], "left").select("job_id", "ord", F.when(reason.isNull(), "placed").otherwise("skipped").alias("status"), reason.alias("reason"))
-
-
 def nested(job_ids: DataFrame, **kinds: DataFrame) -> DataFrame:
     """One row for each job with an ordered array of structs for each kind, for a JSON sink; a drawing bounds the arrays."""
     out = job_ids.select("job_id").distinct()

@@ -1,4 +1,4 @@
-"""Queries of a model session: element scans, snapshots, manifests, levels to reconcile, training plans."""
+"""Queries of a model session: element scans, snapshots, manifests, training plans."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,24 +48,6 @@ def manifest(symbols: DataFrame) -> DataFrame:
     return symbols.select("kind", F.concat_ws("::", "family_name", "type_name").alias("entry")).distinct().orderBy("kind", "entry")
 
 
-def reconcile_levels(existing: DataFrame, wanted: DataFrame, tol_mm: float = 1.0) -> DataFrame:
-    """(job_id, level, action, elevation): move a level of the name, else rename one of the elevation, else create; leftovers are deleted from above the rest."""
-    e = existing.select("job_id", F.col("level").alias("e_level"), F.col("elevation").alias("e_elevation"))
-    by_name = wanted.join(e, (wanted["job_id"] == e["job_id"]) & (wanted["level"] == e["e_level"]), "left").select(wanted["job_id"], "level", wanted["elevation"], "e_level", "e_elevation")
-    named = by_name.where("e_level is not null").select("job_id", "level", F.when(F.abs(F.col("elevation") - F.col("e_elevation")) <= tol_mm, "keep").otherwise("move").alias("action"), "elevation", F.col("e_level").alias("used"))
-    left = e.join(named.select("job_id", F.col("used").alias("e_level")), ["job_id", "e_level"], "left_anti")
-    other = by_name.where("e_level is null").select("job_id", "level", "elevation")
-    same = other.join(left, "job_id").where(F.abs(F.col("elevation") - F.col("e_elevation")) <= tol_mm)
-    same = same.groupBy("job_id", "level", "elevation").agg(F.min("e_level").alias("used")).select("job_id", "level", F.lit("rename").alias("action"), "elevation", "used")
-    new = other.join(same.select("job_id", "level"), ["job_id", "level"], "left_anti").select("job_id", "level", F.lit("create").alias("action"), "elevation", F.lit(None).cast("string").alias("used"))
-    used = named.unionByName(same)
-    rest = e.join(used.select("job_id", F.col("used").alias("e_level")), ["job_id", "e_level"], "left_anti")
-    top = existing.groupBy("job_id").agg(F.max("elevation").alias("_top"))
-    k = F.row_number().over(Window.partitionBy("job_id").orderBy("e_elevation", "e_level"))
-    gone = rest.withColumn("_k", k).join(top, "job_id").select("job_id", F.col("e_level").alias("level"), F.lit("delete").alias("action"), (F.col("_top") + 3000 * F.col("_k")).alias("elevation"))
-    return used.unionByName(new).drop("used").unionByName(gone)
-
-
 def training_plan(corrections: DataFrame, renders: DataFrame, classes: dict[str, int]) -> DataFrame:
     """(id, label, status) of corrections ``(id, job_id, element_type, x1 .. y2, is_delete)``: what a detector would be retrained on.
 

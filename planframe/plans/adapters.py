@@ -13,6 +13,10 @@ _GAPS = f"""SELECT j.job_id, 'x' AS axis, CAST(n_nationkey AS BIGINT) AS idx, CA
 _MM = f"""(SELECT job_id, axis, idx, coalesce(sum(spacing_mm) OVER (PARTITION BY job_id, axis ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mm, spacing_mm AS bay FROM ({_GAPS}) g
         UNION ALL SELECT job_id, axis, max(idx) + 1, sum(spacing_mm), 8400 FROM ({_GAPS}) g GROUP BY job_id, axis)"""
 
+#: Drawings of 125 parts each, so that their number grows with the data and their size does not.
+_MODELS = "(SELECT DISTINCT CAST(floor(p_partkey / 125) AS BIGINT) AS job_id FROM {part}) j"
+_PARTS = "(SELECT *, CAST(floor(p_partkey / 125) AS BIGINT) AS job_id FROM {part}) p"
+
 #: name -> (SQL with {table} placeholders).
 VIEWS = {
     "corrections": """SELECT event_id AS id, ts, user_id AS job_id, event_type AS element_type, CAST(event_id % 50 AS INT) AS element_index,
@@ -103,6 +107,28 @@ VIEWS = {
         CASE p_partkey % 11 WHEN 0 THEN 'UC 152x152' WHEN 1 THEN concat('Round Column dia ', CAST(300 + p_partkey % 500 AS STRING)) WHEN 2 THEN concat('CHS_', CAST(100 + p_partkey % 200 AS STRING), 'x', CAST(4 + p_partkey % 9 AS STRING))
         WHEN 3 THEN concat('RC beam ', CAST(200 + p_partkey % 400 AS STRING), 'x', CAST(300 + p_partkey % 300 AS STRING), ' 450X600') WHEN 4 THEN 'timber post' WHEN 5 THEN concat('RHS-', CAST(p_partkey % 9 AS STRING)) WHEN 6 THEN 'Steel door 900x2100'
         WHEN 7 THEN 'Universal Column UC-254' WHEN 8 THEN 'Concrete-Rectangular-Column' WHEN 9 THEN 'W-Shape I-Beam' ELSE p_name END AS name FROM {part}""",
+    # A list of each kind for each drawing, and a log of edits by place: fields that may not change, unknown kinds and places out of range are among them.
+    "listed": f"""SELECT job_id, CASE p_partkey % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'structural_framing' ELSE 'slab' END AS element_type, p_partkey AS ord, CAST(p_size AS STRING) AS width, CAST(p_size + 7 AS STRING) AS depth FROM {_PARTS}""",
+    "edit_log": f"""SELECT job_id, (p_partkey * 37) % 125 AS patch_ord, CASE WHEN p_partkey % 29 = 0 THEN 'stairs' WHEN p_partkey % 3 = 0 THEN 'column' WHEN p_partkey % 3 = 1 THEN 'structural_framing' ELSE 'slab' END AS element_type,
+        CAST((p_size * 3 + p_partkey) % 47 - 1 AS BIGINT) AS ord, CASE p_partkey % 7 WHEN 0 THEN 'depth' WHEN 1 THEN 'level' WHEN 2 THEN 'colour' ELSE 'width' END AS field, CAST(1000 + p_partkey AS STRING) AS value, p_partkey % 4 = 0 AS is_delete FROM {_PARTS}""",
+    "have_levels": f"""SELECT job_id, CAST(r_regionkey AS BIGINT) AS ord, CASE r_regionkey WHEN 0 THEN 'LEVEL 0' WHEN 1 THEN 'Level 2' WHEN 2 THEN 'Roof' WHEN 3 THEN concat('Old ', CAST(job_id % 3 AS STRING)) ELSE 'level 3' END AS level,
+        CAST(CASE r_regionkey WHEN 0 THEN 50 * (job_id % 2) WHEN 1 THEN 3000 WHEN 2 THEN 9000 WHEN 3 THEN 6000.02 ELSE 3000 * (job_id % 5) END AS DOUBLE) AS elevation FROM {{region}} CROSS JOIN {_MODELS} WHERE job_id % 7 <> 3""",
+    "want_levels": f"""SELECT job_id, CAST(n_nationkey AS BIGINT) AS ord, CASE n_nationkey WHEN 0 THEN 'Level 0' WHEN 1 THEN 'Level 1' WHEN 2 THEN 'Level 2' WHEN 3 THEN 'Level 3' WHEN 4 THEN 'level 1' ELSE concat('Roof ', CAST(job_id % 2 AS STRING)) END AS level,
+        CAST(CASE n_nationkey WHEN 1 THEN 3000 WHEN 2 THEN 6000 WHEN 3 THEN 9000 WHEN 4 THEN 3500 WHEN 5 THEN 12000 ELSE 0 END AS DOUBLE) AS elevation FROM {{nation}} CROSS JOIN {_MODELS} WHERE n_nationkey < 6 AND n_nationkey <= job_id % 7""",
+    "site_levels": f"""SELECT job_id, CAST(r_regionkey AS BIGINT) AS ord, CASE r_regionkey WHEN 0 THEN 'Level 0' WHEN 1 THEN 'LEVEL 1' WHEN 2 THEN 'Mezzanine' WHEN 3 THEN 'Level 2' ELSE 'Level 1' END AS level,
+        CAST(CASE r_regionkey WHEN 0 THEN 0 WHEN 1 THEN 3000 WHEN 2 THEN 1500 WHEN 3 THEN 6000 ELSE -500 END AS DOUBLE) AS elevation FROM {{region}} CROSS JOIN {_MODELS} WHERE NOT (job_id % 4 = 0 AND r_regionkey = 1)""",
+    "column_items": f"""SELECT job_id, p_partkey AS ord, CASE WHEN p_partkey % 23 <> 0 THEN CAST((p_partkey * 97) % 40000 AS DOUBLE) END AS x, CAST((p_partkey * 61) % 30000 AS DOUBLE) AS y, CAST(150 + 25 * (p_size % 20) AS DOUBLE) AS width, CAST(180 + 35 * (p_partkey % 9) AS DOUBLE) AS depth,
+        CASE p_partkey % 5 WHEN 0 THEN 'Circular' WHEN 1 THEN 'square' WHEN 2 THEN 'other' END AS shape, CASE p_partkey % 4 WHEN 0 THEN 'RC round' WHEN 1 THEN 'Circ 300' END AS type_mark,
+        CASE p_partkey % 6 WHEN 0 THEN 'level 2' WHEN 1 THEN 'mezzanine' WHEN 2 THEN 'Attic' WHEN 3 THEN 'Level 0' END AS level, CASE p_partkey % 7 WHEN 0 THEN 'Level 0' WHEN 1 THEN 'LEVEL 2' WHEN 2 THEN 'Attic' WHEN 3 THEN 'Mezzanine' END AS top_level FROM {_PARTS}""",
+    "loaded_families": f"""SELECT job_id, CASE WHEN job_id % 5 <> 1 THEN 'RC Rect' END AS rect, CASE WHEN job_id % 5 NOT IN (1, 2) OR job_id % 10 = 1 THEN 'RC Round' END AS round FROM {_MODELS}""",
+    "known_types": f"""SELECT job_id, CASE n_nationkey % 2 WHEN 0 THEN 'RC Rect' ELSE 'RC Round' END AS family, CASE n_nationkey % 3 WHEN 0 THEN concat(CAST(200 + 50 * (n_nationkey % 9) AS STRING), 'X', CAST(200 + 50 * (n_nationkey % 5) AS STRING), 'MM') ELSE concat(CAST(200 + 50 * (n_nationkey % 9) AS STRING), 'x', CAST(200 + 50 * (n_nationkey % 5) AS STRING), 'mm') END AS type_name
+        FROM {{nation}} CROSS JOIN {_MODELS} WHERE job_id % 3 <> 2""",
+    # Elements of all kinds in millimetres, with spans, sides and storeys too small to show; each ninth drawing has no element that shows.
+    "scene_items": f"""SELECT job_id, p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 'wall' WHEN 1 THEN 'column' WHEN 2 THEN 'door' WHEN 3 THEN 'window' WHEN 4 THEN 'slab' ELSE 'beam' END AS kind, CAST((p_partkey * 97) % 40000 AS DOUBLE) AS sx, CAST((p_partkey * 61) % 30000 AS DOUBLE) AS sy,
+        CASE WHEN p_partkey % 4 <> 0 THEN CAST(3000 * (p_size % 3) AS DOUBLE) END AS sz, CAST((p_partkey * 97) % 40000 + CASE WHEN p_partkey % 11 = 0 OR job_id % 9 = 4 THEN 0 ELSE p_size * 90 END AS DOUBLE) AS ex, CAST((p_partkey * 61) % 30000 + CASE WHEN p_partkey % 11 = 0 OR job_id % 9 = 4 THEN 0 ELSE (p_partkey * 13) % 4000 END AS DOUBLE) AS ey,
+        CASE WHEN p_size % 5 <> 0 THEN CAST(200 + 10 * p_size AS DOUBLE) END AS width, CASE WHEN p_size % 7 <> 0 THEN CAST(400 + 10 * p_size AS DOUBLE) END AS depth, CASE WHEN p_size % 3 <> 0 THEN CAST(2000 + 30 * p_size AS DOUBLE) END AS height, CASE WHEN p_partkey % 18 = 1 THEN 'circular' WHEN p_partkey % 18 = 7 THEN 'rectangular' END AS shape,
+        CASE WHEN job_id % 9 = 4 THEN 'Level 2' WHEN p_partkey % 4 = 1 THEN 'Level 0' WHEN p_partkey % 4 = 3 THEN 'Mezzanine' END AS level, CASE WHEN job_id % 9 = 4 THEN 'Level 0' WHEN p_partkey % 8 = 1 THEN 'Attic' WHEN p_partkey % 8 = 3 THEN 'Level 2' WHEN p_partkey % 8 = 5 THEN 'Level 0' END AS top_level
+        FROM {_PARTS} WHERE NOT (job_id % 9 = 4 AND p_partkey % 6 IN (2, 3))""",
     "families": """SELECT p_partkey AS ord, p_name AS family_name, p_type AS category, p_brand AS type_name, CAST(10 * p_size AS DOUBLE) AS width_mm, CAST(10 * (p_size % 37) AS DOUBLE) AS depth_mm,
         p_partkey % 4 <> 0 AS has_path FROM {part}""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planframe.functions.geometry import interpolate, to_pt, to_px
 from planframe.functions.text import is_join_error, parameter, tag_join
-from planframe.operators import admit, annotate, boxes, corrections, detect, jobs, library, recipe, sanitize, session, strokes
+from planframe.operators import admit, annotate, boxes, corrections, detect, edits, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, with_profile
 from planframe.sources import readers
 
@@ -55,7 +55,7 @@ def test_edits_and_labels(spark):
     els = spark.createDataFrame([(1, "column", 0), (1, "column", 1)], "job_id long, element_type string, ord long")
     p = [(1, 0, "column", 0, "width", False), (1, 1, "column", 0, "colour", False), (1, 2, "column", 9, "width", False), (1, 3, "lift", 0, "width", False), (1, 4, "column", 1, None, True), (1, 5, "column", 0, "id", False)]
     p = spark.createDataFrame(p, "job_id long, patch_ord long, element_type string, ord long, field string, is_delete boolean")
-    assert {r.patch_ord: r.error for r in corrections.check_patches(p, {"column": ["width"]}, els).collect()} == {0: None, 1: "unknown_field", 2: "no_element", 3: "unknown_type", 4: None, 5: "blocked_field"}
+    assert {r.patch_ord: r.error for r in edits.judged(els, p.withColumn("value", F.lit("9")), {"column": ["width", "id"]}).collect()} == {0: None, 1: "unknown_field", 2: "no_element", 3: "unknown_type", 4: None, 5: "blocked_field"}
     det = spark.createDataFrame([(1, "columns", 0, 0.0, 0.0, 50.0, 50.0), (1, "columns", 1, 0.0, 0.0, 10.0, 20.0), (1, "walls", 0, 0.0, 0.0, 10.0, 20.0), (2, "columns", 0, 0.0, 0.0, 10.0, 0.0)], "job_id long, type string, ord long, x1 double, y1 double, x2 double, y2 double")
     fix = spark.createDataFrame([(1, "column", 0, True), (2, "column", 7, True)], "job_id long, element_type string, element_index int, is_delete boolean")
     pics = spark.createDataFrame([(1, 100, 100), (2, 100, 100)], "job_id long, width_px int, height_px int")

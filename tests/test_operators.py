@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from planframe.functions.geometry import cell_world, in_polygon, nearest
 from planframe.functions.text import dims, mark
-from planframe.operators import alerts, annotate, boxes, corrections, grid, jobs, library, sanitize
+from planframe.operators import alerts, annotate, boxes, corrections, edits, grid, jobs, library, sanitize
 from planframe.options import Options
 
 
@@ -108,7 +108,7 @@ def test_eviction_leaves_one_less_than_the_limit(spark):
 def test_patches(spark):
     els = spark.createDataFrame([(1, i, 100.0) for i in range(4)], "job_id long, ord long, width double")
     p = spark.createDataFrame([(1, 0, 1, "width", 5.0, False), (1, 1, 1, "width", 7.0, False), (1, 2, 2, None, None, True), (1, 3, 0, "colour", 1.0, False), (1, 4, 9, "width", 1.0, False)], "job_id long, patch_ord long, ord long, field string, value double, is_delete boolean")
-    got = corrections.apply_patches(els, p, ["width"]).orderBy("ord").collect()
+    got = edits.apply_patches(els, p, ["width"]).orderBy("ord").collect()
     assert [(r.ord, r.width, r.new_ord) for r in got] == [(0, 100.0, 0), (1, 7.0, 1), (3, 100.0, 2)]
 
 

@@ -20,13 +20,6 @@ def test_families_and_manifest(spark):
     assert [r.entry for r in session.manifest(df.where("type_name is not null")).collect()] == ["G::z", "F::a", "F::b"]
 
 
-def test_levels(spark):
-    have = spark.createDataFrame([(1, "L1", 0.0), (1, "Old", 3000.0), (1, "Gone", 9000.0)], "job_id long, level string, elevation double")
-    want = spark.createDataFrame([(1, "L1", 100.0), (1, "L2", 3000.0), (1, "L3", 6000.0)], "job_id long, level string, elevation double")
-    got = {(r.level, r.action): r.elevation for r in session.reconcile_levels(have, want).collect()}
-    assert got == {("L1", "move"): 100.0, ("L2", "rename"): 3000.0, ("L3", "create"): 6000.0, ("Gone", "delete"): 12000.0}
-
-
 def test_training_plan(spark):
     c = spark.createDataFrame([(1, 1, "column", -5.0, 0.0, 10.0, 10.0, False), (2, 1, "tree", 0.0, 0.0, 9.0, 9.0, False), (3, 1, "column", 0.0, 0.0, 9.0, 9.0, True), (4, 1, "column", None, 0.0, 9.0, 9.0, False), (5, 2, "column", 0.0, 0.0, 9.0, 9.0, False), (6, 1, "column", 500.0, 0.0, 600.0, 9.0, False)], "id long, job_id long, element_type string, x1 double, y1 double, x2 double, y2 double, is_delete boolean")
     r = spark.createDataFrame([(1, 100.0, 100.0)], "job_id long, width_px double, height_px double")

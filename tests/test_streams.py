@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from planframe.operators import grid, jobs, recipe, strokes
+from planframe.operators import jobs, recipe, strokes
 from planframe.options import Options
 from planframe.sources import readers
 from planframe.streaming import events
@@ -88,11 +88,6 @@ def test_recipe_rows(spark):
     assert {r.job_id: r.storey_mm for r in recipe.levels(rooms).collect()} == {1: 3200.0, 2: 5000.0}
     nested = recipe.nested(cols, columns=recipe.column_params(cols)).first()
     assert [c.ord for c in nested.columns] == [0, 1, 2]
-    lv = spark.createDataFrame([(1, "a", 0.0), (1, "b", 3000.0), (1, "c", 6000.0)], "job_id long, level string, elevation double")
-    bases = spark.createDataFrame([(1, 0, 0.0), (1, 1, 6000.0)], "job_id long, ord long, base double")
-    assert {r.ord: r.level for r in grid.level_above(lv, bases).collect()} == {0: "b", 1: None}
-    placed = recipe.placement(spark.createDataFrame([(1, 0, 1.0, 1.0, "a"), (1, 1, None, 1.0, "a"), (1, 2, 1.0, 1.0, "z")], "job_id long, ord long, wx double, wy double, level string"), lv)
-    assert {r.ord: r.reason for r in placed.collect()} == {0: None, 1: "no location", 2: "no level"}
 
 
 @pytest.mark.parametrize(("w", "h", "want"), [(10, 10, 300), (30, 40, 250), (200, 300, None)])
