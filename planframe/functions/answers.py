@@ -1,43 +1,101 @@
-"""Text of model answers: clean-up, repair, numbers; file stems and warning headers."""
+"""Text of model answers: repair of their JSON, numbers; file stems and warning headers."""
+
+import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: A whole string, one that is cut off, a comment, a fence, a mark, a line's end, blanks, and whatever else stands together.
+_TOKEN = re.compile(r"""(?P<string>"(?:[^"\\]|\\.)*")|(?P<open>"(?:[^"\\]|\\.)*\\?\Z)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<fence>```(?:json)?)|(?P<mark>[{}\[\],:])|(?P<line>\n)|(?P<blank>[^\S\n]+)|(?P<word>[^\s{}\[\],:"#/`]+|[/`])""", re.S)
+
+#: Words that mean no value.
+_NOTHING = ("undefined", "NaN", "Infinity", "-Infinity")
 
-def clean_json(text: Column) -> Column:
-    """JSON text without code fences, line comments and trailing commas, from the first brace to the last."""
-    t = F.regexp_replace(text, r"```(?:json)?", "")
-    t = F.regexp_replace(t, r"(?m)(^|\s)//[^\n]*$", "$1")
-    t = F.regexp_replace(t, r",(\s*[}\]])", "$1")
-    return F.nullif(F.regexp_extract(t, r"(?s)([{\[].*)", 1), F.lit(""))
 
+def repaired(text: str | None) -> str | None:
+    """The JSON of a model's answer without blanks between its parts, or null if nothing whole can be made of it.
 
-def close_brackets(text: str | None) -> str | None:
-    """A cut-off JSON text with its open string and brackets closed."""
+    What stands before the first bracket and after its value is passed over, and so are fences and comments that
+    ``#`` or ``//`` start outside of strings. A comma that is missing between values on two lines is put in, one
+    before a closing bracket left out; a closing bracket that fits none that is open is left out. undefined, NaN and
+    Infinity are null. Where the text ends early, an open string and the open brackets are closed; if that leaves a broken
+    last element, all back to the last whole one beside it goes. A list of one object is that object.
+    """
     if text is None:
         return None
-    stack, inside, skip = [], False, False
-    for c in text:
-        if skip:
-            skip = False
-        elif inside:
-            skip, inside = c == "\\", c != '"'
-        elif c == '"':
-            inside = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack and stack[-1] == c:
+    begin = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
+    if begin < 0:
+        return None
+    out: list[str] = []
+    stack: list[str] = []
+    whole: dict[int, int] = {}  # where the last bracket at each depth closed
+    ended = line = cut = False  # after a value, after a line's end, in a string that is cut off
+    for m in _TOKEN.finditer(text, begin):
+        kind, token = m.lastgroup, m.group()
+        if kind == "line":
+            line = True
+        if kind in ("line", "blank", "comment", "fence"):
+            continue
+        if kind == "mark" and token in "}]":
+            if not stack or stack[-1] != token:
+                continue
+            if out[-1] == ",":
+                out.pop()
             stack.pop()
-    out = text + '"' * inside
-    return out.rstrip().rstrip(",") + "".join(reversed(stack))
+            out.append(token)
+            whole[len(stack)] = len(out)
+            ended = True
+            if not stack:
+                break
+        elif kind == "mark" and token in ",:":
+            out.append(token)
+            ended = False
+        else:
+            if ended and line:
+                out.append(",")
+            if token in _NOTHING:
+                token = "null"
+            if kind == "open":
+                cut = True
+                token += '"' if len(token) - len(token.rstrip("\\")) & 1 == 0 else '\\"'
+            out.append(token)
+            ended = token not in ("{", "[")
+            if not ended:
+                stack.append("}" if token == "{" else "]")
+        line = False
+    return _closed(out, stack, whole, cut)
+
+
+def _closed(out: list[str], stack: list[str], whole: dict[int, int], cut: bool) -> str | None:
+    tries = []
+    if stack:
+        if cut:
+            tries.append(out + stack[::-1])
+        if (at := whole.get(len(stack) - 1)) is not None:
+            tries.append(out[:at] + stack[-2::-1] if len(stack) > 1 else out[:at])
+        bare = out[:-1] if out[-1] == "," else out
+        tries.append(bare + stack[::-1])
+    else:
+        tries.append(out)
+    for parts in tries:
+        made = "".join(parts)
+        try:
+            value = json.loads(made)
+        except ValueError:
+            continue
+        if isinstance(value, list) and len(value) == 1 and isinstance(value[0], dict):
+            return made[1:-1]
+        return made
+    return None
 
 
 @F.pandas_udf(StringType())
 def repair_json(texts: pd.Series) -> pd.Series:
-    """``close_brackets`` over a batch: a stack has no built-in form."""
-    return texts.map(close_brackets)
+    """``repaired`` over a batch: brackets within strings and a stack have no built-in form."""
+    return texts.map(repaired)
 
 
 def number(text: Column) -> Column:

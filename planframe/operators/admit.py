@@ -1,5 +1,8 @@
 """Admission of detections: a rule for each type says admit, admit with a fixed box, or reject, and why."""
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +84,42 @@ def column_rule(boxes: DataFrame, grid: DataFrame, options: Options = DEFAULTS)
     return rows.select("job_id", "ord", "type", F.when(F.col("off_grid"), "reject").otherwise("admit").alias("action"), F.when(F.col("off_grid"), "off_grid").otherwise("on_grid").alias("reason"), *BOX)
 
 
-def judge(boxes: DataFrame, spans: DataFrame, grid: DataFrame, legend: DataFrame, paths: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Decisions on all boxes by the rule of their type; a type without a rule is admitted. Fixed boxes have their fixed sides."""
-    other = boxes.where("type is null or type not in ('structural_framing', 'column')").select("job_id", "ord", "type", F.lit("admit").alias("action"), F.lit("no_rule_for_type").alias("reason"), *BOX)
-    return framing(boxes, spans, grid, legend, paths, options).select(*DECISION).unionByName(column_rule(boxes, grid, options)).unionByName(other)
+@dataclass(frozen=True)
+class Sheet:
+    """What a rule may look at: the boxes of drawings and what lies around them."""
+
+    boxes: DataFrame
+    spans: DataFrame
+    grid: DataFrame
+    legend: DataFrame
+    paths: DataFrame
+    options: Options = DEFAULTS
+
+
+#: The rule of each type: from a sheet to the decisions (``DECISION``) on its boxes of that type.
+RULES: dict[str, Callable[[Sheet], DataFrame]] = {
+    "structural_framing": lambda s: framing(s.boxes, s.spans, s.grid, s.legend, s.paths, s.options),
+    "column": lambda s: column_rule(s.boxes, s.grid, s.options),
+}
+
+
+def slab_decisions(s: Sheet) -> DataFrame:
+    """A rule for slabs, not among RULES: what ``slab_rule`` finds is rejected."""
+    boxes = s.boxes.where("type = 'slab'")
+    found = slab_rule(boxes, s.grid, s.options).select("job_id", "ord", F.col("reason").alias("_why"))
+    why = F.col("_why").isNotNull()
+    return boxes.join(found, ["job_id", "ord"]).select("job_id", "ord", "type", F.when(why, "reject").otherwise("admit").alias("action"), F.coalesce("_why", F.lit("slab_stands")).alias("reason"), *BOX)
+
+
+def judge(boxes: DataFrame, spans: DataFrame, grid: DataFrame, legend: DataFrame, paths: DataFrame, options: Options = DEFAULTS, rules: dict[str, Callable[[Sheet], DataFrame]] | None = None) -> DataFrame:
+    """Decisions on all boxes by the rule of their type among ``rules`` (RULES); a type without one is admitted. Fixed boxes have their fixed sides."""
+    rules = RULES if rules is None else rules
+    sheet = Sheet(boxes, spans, grid, legend, paths, options)
+    known = F.coalesce(F.col("type").isin(*rules), F.lit(False)) if rules else F.lit(False)
+    out = boxes.where(~known).select("job_id", "ord", "type", F.lit("admit").alias("action"), F.lit("no_rule_for_type").alias("reason"), *BOX)
+    for rule in rules.values():
+        out = out.unionByName(rule(sheet).select(*DECISION))
+    return out
 
 
 def counts(decisions: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def store(ops: DataFrame) -> DataFrame:
     """(job_id, data, created_ord, accessed_ord) after each batch of ``ops(job_id, ord, op, payload)``: the job store as keyed state.
 
     put replaces the data, update merges keys and is passed over before the first put, get and update touch,
-    contains does not. Operations of a job are taken in the order of ``ord`` within each batch.
+    contains does not. Operations of a job are taken in the order of ``ord`` within each batch. A job stays for good;
+    ``state.VersionedStore`` is the store that evicts.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,18 +59,3 @@ def store(ops: DataFrame) -> DataFrame:
 def chat_sessions(messages: DataFrame, late: str = "1 hour", options: Options = DEFAULTS) -> DataFrame:
     """(user_id, session, n): sessions that end after the time-to-live without a message."""
     return messages.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{options.session_minutes} minutes").alias("session")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def history(messages: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """(user_id, roles, contents): the last messages of each user, kept as state of bounded size."""
-
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        roles, contents = state.get if state.exists else ([], [])
-        rows = pd.concat(list(parts)).sort_values("ord")
-        roles = [*roles, *rows["role"]][-options.history :]
-        contents = [*contents, *rows["content"]][-options.history :]
-        state.update((roles, contents))
-        yield pd.DataFrame({"user_id": [key[0]], "roles": [roles], "contents": [contents]})
-
-    schema = "roles array<string>, contents array<string>"
-    return messages.groupBy("user_id").applyInPandasWithState(keep, f"user_id long, {schema}", schema, "update", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from planframe.operators import jobs, recipe, strokes
-from planframe.options import Options
 from planframe.sources import readers
 from planframe.streaming import events
 
@@ -38,13 +37,6 @@ def test_job_store_stream_equals_the_fold(spark, tmp_path):
     assert {j: (json.loads(r.data), r.created_ord, r.accessed_ord) for j, r in last.items()} == want
 
 
-def test_history_stream_is_bounded(spark, tmp_path):
-    (tmp_path / "a.json").write_text("\n".join(json.dumps({"user_id": 1, "ord": i, "role": "user", "content": str(i)}) for i in range(9)))
-    stream = spark.readStream.schema("user_id long, ord long, role string, content string").json(str(tmp_path))
-    got = run(events.history(stream, Options(history=4)), "update", "history_out").collect()
-    assert got[-1].contents == ["5", "6", "7", "8"]
-
-
 def test_progress_counts(spark, tmp_path):
     rows = [{"job_id": "j", "event": e, "ts": f"2024-01-01T00:00:{s:02d}Z"} for e, s in (("warning", 1), ("warning", 2), ("nonsense", 3), ("error", 4))]
     (tmp_path / "e.json").write_text("\n".join(map(json.dumps, rows)))
