@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,15 +254,16 @@ def drop_repeats(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataFra
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
             columns = [batch.column(i) for i in range(len(names))]
-            for row, spans in enumerate(batch.column(len(names)).to_pylist()):
-                if spans:
-                    texts[row] = b" ".join(_keep(texts[row], spans, window)[0]).decode()
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            spans = batch.column(len(names))
+            cut = pc.fill_null(pc.greater(pc.list_value_length(spans), 0), False)
+            rows = pc.indices_nonzero(cut)
+            if len(rows):  # only what is cut becomes Python objects, a text at a time
+                texts = [b" ".join(_keep(columns[at][i].as_py(), spans[i].as_py(), window)[0]).decode() for i in rows.to_pylist()]
+                columns[at] = pc.replace_with_mask(columns[at], cut, pa.array(texts, columns[at].type))
             if "n_chars" in names:
                 i = names.index("n_chars")
-                columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
+                columns[i] = pc.utf8_length(columns[at]).cast(columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return _with_spans(docs, window, anchor, 64).mapInArrow(run, schema)
