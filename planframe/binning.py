@@ -15,16 +15,19 @@ def tile(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, rx: str, ry: str, reach: float) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, rx: str, ry: str, reach: float | str) -> DataFrame:
     """Pairs of left points (x, y) and right points (rx, ry) of equal keys whose tiles are within ``reach`` of each other.
 
     Every pair with both |dx| and |dy| up to ``reach`` is there, once; the caller tests the exact condition.
-    Right columns other than the keys must not clash with left ones.
+    Right columns other than the keys must not clash with left ones. A name as ``reach`` is that of a column of both
+    sides, which has one value for equal keys: each key has tiles of its own size.
     """
+    by_key = isinstance(reach, str)
+    reach = F.col(reach) if by_key else reach
     a = left.withColumns({"_tx": tile(F.col(x), reach), "_ty": tile(F.col(y), reach)})
     b = right.withColumns({"_ux": tile(F.col(rx), reach), "_uy": tile(F.col(ry), reach)})
     b = b.withColumn("_tx", F.explode(F.sequence(F.col("_ux") - 1, F.col("_ux") + 1)))
-    b = b.withColumn("_ty", F.explode(F.sequence(F.col("_uy") - 1, F.col("_uy") + 1))).drop("_ux", "_uy")
+    b = b.withColumn("_ty", F.explode(F.sequence(F.col("_uy") - 1, F.col("_uy") + 1))).drop("_ux", "_uy", *([reach] if by_key else []))
     return a.join(b, [*keys, "_tx", "_ty"]).drop("_tx", "_ty")
 
 

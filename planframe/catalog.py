@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planframe import catalog_build  # noqa: F401
-from planframe.functions.text import BEAM_MARK, CONCRETE, MARK, RECT, ROUND_FIRST, ROUND_LAST, ROUTES, STEEL, TAG, TAGS, WARNINGS, code_thickness, crop, feet, first_match, millimetres, normal_dims, sized_type
+from planframe.functions.text import BEAM_MARK, CONCRETE, MARK, RECT, ROUND_FIRST, ROUND_LAST, ROUTES, STEEL, TAG, TAGS, WARNINGS, crop, feet, first_match, millimetres, normal_dims, sized_type
 from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
 from planframe.plans.adapters import view
@@ -247,11 +247,11 @@ _INFER_SQL = """c AS (SELECT job_id, axis, mm, count(*) AS n, min((gap, ord)) AS
     wd AS (SELECT job_id, axis, list_sort(list(width))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM n GROUP BY job_id, axis),
     s AS (SELECT a.*, abs(mm - modal * width / greatest(median, 1)) AS off, modal * width / greatest(median, 1) AS e FROM a JOIN md USING (job_id, axis) JOIN wd USING (job_id, axis)),
     an AS (SELECT job_id, axis, gap, arg_min(mm, (off, ord)) AS mm, arg_min(width, (off, ord)) AS width FROM s WHERE off / greatest(e, 1) <= 0.30 GROUP BY job_id, axis, gap),
-    ra AS (SELECT job_id, axis, sum(width / mm) / count(*) AS ratio FROM an GROUP BY job_id, axis),
+    ra AS (SELECT job_id, axis, list_reduce(list(width / mm ORDER BY gap), lambda a, b: a + b) / count(*) AS ratio FROM an GROUP BY job_id, axis),
     ev AS (SELECT job_id, axis, gap, width FROM (SELECT DISTINCT job_id, axis FROM t) JOIN n USING (job_id, axis)),
     mi AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.job_id = ev.job_id AND an.axis = ev.axis AND an.gap = ev.gap)),
     tr AS (SELECT mi.job_id, mi.axis, mi.gap, an.mm, an.gap AS g, mi.width / (an.mm * ratio) AS share FROM mi JOIN an USING (job_id, axis) JOIN ra USING (job_id, axis) WHERE an.mm * ratio > 0),
-    inf AS (SELECT job_id, axis, gap, arg_min(mm, (abs(share - 1), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap),
+    inf AS (SELECT job_id, axis, gap, arg_min(mm, (round(abs(share - 1), 9), g)) AS mm FROM tr WHERE share BETWEEN 0.5 AND 1.5 GROUP BY job_id, axis, gap),
     z AS (SELECT ev.job_id, ev.axis, ev.gap, coalesce(an.mm, inf.mm, 8400) AS mm, CASE WHEN an.mm IS NOT NULL THEN 'annotated' WHEN inf.mm IS NOT NULL THEN 'inferred' ELSE 'fallback' END AS source
     FROM ev LEFT JOIN an USING (job_id, axis, gap) LEFT JOIN inf USING (job_id, axis, gap))"""
 
@@ -359,17 +359,29 @@ def dashline_near(spark: SparkSession, d: str) -> DataFrame:
     return sanitize.on_dash(ends, view(spark, d, "dashes"))
 
 
-_ZONE_SQL = "z AS (SELECT *, CASE WHEN regexp_matches(code, '^\\d{3}CIS$') THEN CAST(code[1:3] AS DOUBLE) WHEN code IN ('NSP1', 'NSP2', 'NSP5') THEN 100.0 + 50 * CAST(code[4:] AS INT) END AS t FROM zones_v)"
+_NOTES_SQL = """hd AS (SELECT job_id, word_ord AS block, x0 AS hx, y0 AS hy FROM words_v WHERE regexp_matches(trim(text), '(?i)^NOTES:?$')),
+    wn AS (SELECT w.*, block, y0 - coalesce(max(y0) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hy) > 100 AS far FROM words_v w JOIN hd USING (job_id) WHERE abs(x0 - hx) < 300 AND y0 > hy),
+    nb AS (SELECT * EXCLUDE (stop) FROM (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord) AS stop FROM wn) WHERE stop = 0)"""
 
+_LEGEND_SQL = f"""{_NOTES_SQL}, c0 AS (SELECT *, upper(trim(text)) AS t, sum(CASE WHEN upper(trim(text)) = 'ALL' OR coalesce(ends_with(p, ','), FALSE) THEN 1 ELSE 0 END) OVER v AS run, bool_or(upper(trim(text)) = 'ALL') OVER (PARTITION BY job_id, block) AS has
+        FROM (SELECT *, lag(trim(text)) OVER v AS p FROM nb WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)) WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)),
+    c1 AS (SELECT *, CASE WHEN has THEN (run, 0) ELSE (CAST(block_no AS HUGEINT), line_no) END AS clause, CASE WHEN regexp_matches(t, '^[0-9]{{3}}[.,]?$') THEN CAST(t[1:3] AS DOUBLE) END AS num FROM c0),
+    c2 AS (SELECT job_id, block, clause, sum(num) FILTER (WHERE num BETWEEN 100 AND 600) AS total FROM c1 GROUP BY ALL),
+    c3 AS (SELECT DISTINCT job_id, block, clause, regexp_extract(t, '^(NSP[0-9]+)[.,]?$', 1) AS code FROM c1 WHERE regexp_matches(t, '^(NSP[0-9]+)[.,]?$')),
+    lg AS (SELECT job_id, code, arg_max(total, (block, clause)) AS thickness_mm FROM c3 JOIN c2 USING (job_id, block, clause) WHERE total IS NOT NULL GROUP BY job_id, code
+    UNION ALL SELECT DISTINCT job_id, t, CAST(t[1:3] AS DOUBLE) FROM c1 WHERE regexp_matches(t, '^[0-9]{{3}}CIS$'))"""
 
-def _legend(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"NSP{k}", 100.0 + 50 * k) for k in (1, 2, 5)], "code string, thickness double")
+_ZONE_SQL = f"{_LEGEND_SQL}, z AS (SELECT v.*, CASE WHEN regexp_matches(v.code, '^\\d{{3}}CIS$') THEN CAST(v.code[1:3] AS DOUBLE) ELSE lg.thickness_mm END AS t FROM zones_v v LEFT JOIN lg ON v.job_id = lg.job_id AND v.code = lg.code)"
 
 
-@_query("zone_code", f", {_ZONE_SQL} SELECT job_id, zone_ord, code, t AS thickness_mm FROM z", "zones")
+def _legend(spark: SparkSession, d: str) -> DataFrame:
+    """What the notes of each drawing say."""
+    return strokes.clause_totals(strokes.notes_block(view(spark, d, "words")))
+
+
+@_query("zone_code", f", {_ZONE_SQL} SELECT job_id, zone_ord, code, t AS thickness_mm FROM z", "zones", "words")
 def zone_code(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "zones").join(F.broadcast(_legend(spark)), "code", "left")
-    return rows.select("job_id", "zone_ord", "code", code_thickness(F.col("code"), F.col("thickness")).alias("thickness_mm"))
+    return annotate.zone_codes(view(spark, d, "zones"), _legend(spark, d)).select("job_id", "zone_ord", "code", F.col("t").alias("thickness_mm"))
 
 
 @_query(
@@ -378,9 +390,10 @@ def zone_code(spark: SparkSession, d: str) -> DataFrame:
     SELECT job_id, ord, coalesce(t, 200) AS thickness_mm FROM slabs_v LEFT JOIN h USING (job_id, ord)""",
     "slabs",
     "zones",
+    "words",
 )
 def pip_thickness(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.zone_thickness(annotate.box_points(view(spark, d, "slabs")), view(spark, d, "zones"), _legend(spark))
+    return annotate.zone_thickness(annotate.box_points(view(spark, d, "slabs")), view(spark, d, "zones"), _legend(spark, d))
 
 
 def _near_sql(v: str, sizes: list[int]) -> str:
@@ -681,12 +694,13 @@ _SLABS_SQL = f"""{_ZONE_SQL}, sh AS (SELECT s.job_id, s.ord, arg_min(t, zone_ord
     "grid_gaps",
     "slabs",
     "zones",
+    "words",
 )
 def recipe_beams(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("ord")
     beams = grid.world_boxes(view(spark, d, "detections").where("type = 'structural_framing'"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps"))
     beams = beams.select("job_id", "ord", *[F.col(f"w{c}").alias(c) for c in boxes.BOX], F.when(o % 13 == 0, "reject").alias("action"), F.when(o % 5 == 0, 300.0).alias("section_width_mm"), F.when(o % 5 == 0, 600.0).alias("section_depth_mm"), F.when(o % 4 == 0, "steel").alias("material"))
-    slabs = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark))
+    slabs = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark, d))
     return _r(recipe.beam_slabs(recipe.beam_params(beams), slabs), "sx", "sy", "ex", "ey")
 
 
@@ -695,9 +709,10 @@ def recipe_beams(spark: SparkSession, d: str) -> DataFrame:
     f", {_SLABS_SQL} SELECT job_id, ord, x1 AS first_x, y1 AS first_y, x2 AS third_x, y2 AS third_y, thickness_mm FROM sl",
     "slabs",
     "zones",
+    "words",
 )
 def recipe_slabs(spark: SparkSession, d: str) -> DataFrame:
-    rows = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark))
+    rows = recipe.slab_params(view(spark, d, "slabs"), view(spark, d, "zones"), _legend(spark, d))
     p = F.col("points")
     return rows.select("job_id", "ord", p[0]["x"].alias("first_x"), p[0]["y"].alias("first_y"), p[2]["x"].alias("third_x"), p[2]["y"].alias("third_y"), "thickness_mm")
 
@@ -862,24 +877,9 @@ def column_rectangles(spark: SparkSession, d: str) -> DataFrame:
     return _r(strokes.column_rectangles(view(spark, d, "rects"), view(spark, d, "pages"), view(spark, d, "grid_lines"), view(spark, d, "grid_gaps")), "x0", "y0", "x1", "y1")
 
 
-_NOTES_SQL = """hd AS (SELECT job_id, word_ord AS block, x0 AS hx, y0 AS hy FROM words_v WHERE regexp_matches(trim(text), '(?i)^NOTES:?$')),
-    wn AS (SELECT w.*, block, y0 - coalesce(max(y0) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hy) > 100 AS far FROM words_v w JOIN hd USING (job_id) WHERE abs(x0 - hx) < 300 AND y0 > hy),
-    nb AS (SELECT * EXCLUDE (stop) FROM (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, block ORDER BY y0, x0, word_ord) AS stop FROM wn) WHERE stop = 0)"""
-
-
-@_query(
-    "notes_legend",
-    f""", {_NOTES_SQL}, c0 AS (SELECT *, upper(trim(text)) AS t, sum(CASE WHEN upper(trim(text)) = 'ALL' OR coalesce(ends_with(p, ','), FALSE) THEN 1 ELSE 0 END) OVER v AS run, bool_or(upper(trim(text)) = 'ALL') OVER (PARTITION BY job_id, block) AS has
-        FROM (SELECT *, lag(trim(text)) OVER v AS p FROM nb WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)) WINDOW v AS (PARTITION BY job_id, block ORDER BY block_no, line_no, x0, word_ord)),
-    c1 AS (SELECT *, CASE WHEN has THEN (run, 0) ELSE (CAST(block_no AS HUGEINT), line_no) END AS clause, CASE WHEN regexp_matches(t, '^[0-9]{{3}}[.,]?$') THEN CAST(t[1:3] AS DOUBLE) END AS num FROM c0),
-    c2 AS (SELECT job_id, block, clause, sum(num) FILTER (WHERE num BETWEEN 100 AND 600) AS total FROM c1 GROUP BY ALL),
-    c3 AS (SELECT DISTINCT job_id, block, clause, regexp_extract(t, '^(NSP[0-9]+)[.,]?$', 1) AS code FROM c1 WHERE regexp_matches(t, '^(NSP[0-9]+)[.,]?$'))
-    SELECT job_id, code, arg_max(total, (block, clause)) AS thickness_mm FROM c3 JOIN c2 USING (job_id, block, clause) WHERE total IS NOT NULL GROUP BY job_id, code
-    UNION ALL SELECT DISTINCT job_id, t, CAST(t[1:3] AS DOUBLE) FROM c1 WHERE regexp_matches(t, '^[0-9]{{3}}CIS$')""",
-    "words",
-)
+@_query("notes_legend", f", {_LEGEND_SQL} SELECT * FROM lg", "words")
 def notes_legend(spark: SparkSession, d: str) -> DataFrame:
-    return strokes.clause_totals(strokes.notes_block(view(spark, d, "words")))
+    return _legend(spark, d)
 
 
 @_query(
@@ -1064,12 +1064,13 @@ def render_plan(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     "type_parameters",
     """SELECT ord, CAST(CAST(round_even((x2 - x1) * 20 / 50, 0) * 50 AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(round_even((y2 - y1) * 20 / 50, 0) * 50 AS BIGINT) AS VARCHAR) || 'mm' AS sized, round((x2 - x1) / 304.8, 9) AS feet, round_even((y2 - y1) / 3 * 304.8, 1) AS mm,
-    greatest(0, CAST(trunc(cx - w / 2 - p) AS INT)) AS x0, greatest(0, CAST(trunc(cy - h / 2 - p) AS INT)) AS y0, least(3400, CAST(trunc(cx + w / 2 + p) AS INT)) AS cx1, least(2400, CAST(trunc(cy + h / 2 + p) AS INT)) AS cy1
-    FROM (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(x2 - x1, 50) AS w, greatest(y2 - y1, 50) AS h, greatest(x2 - x1, y2 - y1, 50) * 2.5 AS p FROM detections_v WHERE x1 < 3200 AND y1 < 2200)""",
+    CASE WHEN big THEN x0 END AS x0, CASE WHEN big THEN y0 END AS y0, CASE WHEN big THEN cx1 END AS cx1, CASE WHEN big THEN cy1 END AS cy1
+    FROM (SELECT *, cx1 - x0 >= 20 AND cy1 - y0 >= 20 AS big FROM (SELECT *, greatest(0, CAST(trunc(cx - w / 2 - p) AS INT)) AS x0, greatest(0, CAST(trunc(cy - h / 2 - p) AS INT)) AS y0, least(3400, CAST(trunc(cx + w / 2 + p) AS INT)) AS cx1, least(2400, CAST(trunc(cy + h / 2 + p) AS INT)) AS cy1
+    FROM (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(x2 - x1, 50) AS w, greatest(y2 - y1, 50) AS h, greatest(x2 - x1, y2 - y1, 50) * 2.5 AS p FROM detections_v)))""",
     "detections",
 )
 def type_parameters(spark: SparkSession, d: str) -> DataFrame:
-    rows = boxes.centred(view(spark, d, "detections").where("x1 < 3200 and y1 < 2200"))
+    rows = boxes.centred(view(spark, d, "detections"))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     rows = rows.select("ord", sized_type(w * 20, h * 20).alias("sized"), F.round(feet(w), 9).alias("feet"), millimetres(h / 3).alias("mm"), crop(F.col("cx"), F.col("cy"), w, h, F.lit(3400), F.lit(2400)).alias("c"))
     return rows.select("ord", "sized", "feet", "mm", F.col("c.x0").alias("x0"), F.col("c.y0").alias("y0"), F.col("c.x1").alias("cx1"), F.col("c.y1").alias("cy1"))

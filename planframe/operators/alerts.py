@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planframe.binning import within
+from planframe.binning import reaching
 from planframe.functions.text import WARNINGS, first_match
 from planframe.options import DEFAULTS, Options
 from planframe.session import cut
@@ -23,8 +23,8 @@ def merge(warnings: DataFrame) -> DataFrame:
 def depths(beams: DataFrame, columns: DataFrame) -> DataFrame:
     """(job_id, ord, depth_mm): how deep the deeper end of each beam lies in a column, of beams with an end in one."""
     ends = beams.select("job_id", "ord", F.explode(F.array(F.struct(F.col("sx").alias("px"), F.col("sy").alias("py")), F.struct(F.col("ex").alias("px"), F.col("ey").alias("py")))).alias("p")).select("job_id", "ord", "p.*")
-    reach = columns.agg(F.max(F.greatest("hw", "hd"))).first()[0] or 1.0
-    near = within(ends, columns.select("job_id", "cx", "cy", "hw", "hd"), ["job_id"], "px", "py", "cx", "cy", reach)
+    reach = columns.select("job_id", "cx", "cy", "hw", "hd", F.greatest("hw", "hd").alias("_reach"))
+    near = reaching(reach, ends, ["job_id"], "cx", "cy", "_reach", "px", "py", 1024.0)
     depth = F.least(F.col("hw") - F.abs(F.col("px") - F.col("cx")), F.col("hd") - F.abs(F.col("py") - F.col("cy")))
     return near.withColumn("depth_mm", depth).where("depth_mm > 0").groupBy("job_id", "ord").agg(F.max("depth_mm").alias("depth_mm"))
 

@@ -58,12 +58,19 @@ def annotate_columns(boxes: DataFrame, spans: DataFrame, options: Options = DEFA
     )
 
 
+def zone_codes(zones: DataFrame, legend: DataFrame) -> DataFrame:
+    """``zones(job_id, zone_ord, code, ...)`` with ``t``: the thickness that the code tells itself, else the one that its drawing's legend has for it."""
+    told = legend.select("job_id", "code", F.col("thickness_mm").alias("_told"))
+    return zones.join(told, ["job_id", "code"], "left").withColumn("t", code_thickness(F.col("code"), F.col("_told"))).drop("_told")
+
+
 def zone_thickness(slabs: DataFrame, zones: DataFrame, legend: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(job_id, ord, thickness_mm): that of the first zone label inside the slab whose code tells one, else the default.
 
     ``slabs(job_id, ord, points)`` hold polygons; a label must lie in the polygon's box before the ray is cast.
+    ``legend(job_id, code, thickness_mm)`` is that of each drawing, as ``strokes.clause_totals`` gives it.
     """
-    coded = zones.join(legend, "code", "left").withColumn("t", code_thickness(F.col("code"), F.col("thickness"))).where("t is not null")
+    coded = zone_codes(zones, legend).where("t is not null")
     p = slabs.withColumns({"_x0": F.array_min("points.x"), "_x1": F.array_max("points.x"), "_y0": F.array_min("points.y"), "_y1": F.array_max("points.y")})
     hit = containing(coded.select("job_id", "zone_ord", "zx", "zy", "t"), p, ["job_id"], "zx", "zy", ("_x0", "_y0", "_x1", "_y1"), options.slab_tile)
     hit = hit.where(in_polygon(F.col("zx"), F.col("zy"), F.col("points")))

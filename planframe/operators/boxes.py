@@ -35,7 +35,7 @@ def dispatch(boxes: DataFrame) -> DataFrame:
     return known.withColumns({"id": F.when(F.col("kind") == "structural_framing", 0).otherwise(rn), "flat": w >= h, "thickness": F.least(w, h)})
 
 
-def suppress(boxes: DataFrame, options: Options = DEFAULTS, rounds: int = 200) -> DataFrame:
+def suppress(boxes: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Greedy suppression of overlapping boxes of a job and type, most confident first, the first of equals.
 
     The overlaps are found by a tiled join. A box with no better box among its overlaps that is still open stays and
@@ -49,7 +49,7 @@ def suppress(boxes: DataFrame, options: Options = DEFAULTS, rounds: int = 200) -
     better = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_ord") < F.col("b_ord")))
     edges = cut(pairs.where(better).select(*kind, "a_ord", "b_ord"))
     gone = edges.select(*kind, F.col("b_ord").alias("ord")).limit(0)
-    for _ in range(rounds):
+    while True:  # each round settles the best open box of every cluster at least
         if edges.isEmpty():
             return boxes.join(gone, [*kind, "ord"], "left_anti")
         worse = edges.select(*kind, F.col("b_ord").alias("a_ord")).distinct()
@@ -58,7 +58,6 @@ def suppress(boxes: DataFrame, options: Options = DEFAULTS, rounds: int = 200) -
         gone = gone.unionByName(out.withColumnRenamed("b_ord", "ord"))
         edges = edges.join(out, [*kind, "b_ord"], "left_anti").join(out.withColumnRenamed("b_ord", "a_ord"), [*kind, "a_ord"], "left_anti")
         edges = cut(edges)
-    raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
 
 
 def extent(grid: DataFrame) -> DataFrame:

@@ -87,28 +87,37 @@ def infer_spacings(texts: DataFrame, grid: DataFrame, options: Options = DEFAULT
     """(job_id, axis, gap, mm, source) of every gap of every job with texts.
 
     annotated: the candidate nearest to what the commonest value and the gap's width let expect, within the
-    tolerance; inferred: the annotated bay whose width ratio is nearest to 1, within 0.5 to 1.5; else fallback.
+    tolerance; inferred: the annotated bay whose width ratio is nearest to 1 (to nine decimals, the first of equals), within
+    0.5 to 1.5; else fallback. An axis of a drawing has few gaps and texts, so each is one row's work; sums go by gap, so
+    that the answer does not hang on how rows are dealt.
     """
     axis = ["job_id", "axis"]
-    candidates = assign_gaps(texts, grid).withColumn("_seq", F.struct("gap", "ord"))
-    modal = mode_first(candidates, axis, "mm", "_seq", "modal")
-    gaps = gap_bounds(grid)
-    median = upper_median(gaps, axis, "width", "median")
-    expected = F.col("modal") * F.col("width") / F.greatest(F.col("median"), F.lit(1.0))
-    scored = candidates.join(modal.join(median, axis), axis).withColumn("_e", expected)
-    off = F.abs(F.col("mm") - F.col("_e"))
-    plausible = scored.withColumn("_off", off).where(F.col("_off") / F.greatest(F.col("_e"), F.lit(1.0)) <= options.plausible)
-    annotated = first_by(plausible, [*axis, "gap"], [F.col("_off"), F.col("ord")], ["mm", "width"])
-    ratio = annotated.groupBy(*axis).agg((F.sum(F.when(F.col("mm") > 0, F.col("width") / F.col("mm"))) / F.count(F.lit(1))).alias("ratio"))
-    every = texts.select(*axis).distinct().join(gaps, axis)
-    missing = every.join(annotated, [*axis, "gap"], "left_anti")
-    known = annotated.select(*axis, F.col("gap").alias("_g"), F.col("mm").alias("_mm")).join(ratio, axis)
-    share = F.col("width") / (F.col("_mm") * F.col("ratio"))
-    tried = missing.join(known, axis).where(F.col("_mm") * F.col("ratio") > 0).withColumn("_share", share).where(F.col("_share").between(0.5, 1.5))
-    inferred = first_by(tried, [*axis, "gap"], [F.abs(F.col("_share") - 1), F.col("_g")], ["_mm"])
-    done = annotated.select(*axis, "gap", "mm", F.lit("annotated").alias("source")).unionByName(inferred.select(*axis, "gap", F.col("_mm").alias("mm"), F.lit("inferred").alias("source")))
-    out = every.join(done, [*axis, "gap"], "left")
-    return out.select(*axis, "gap", F.coalesce("mm", F.lit(options.fallback_bay_mm)).alias("mm"), F.coalesce("source", F.lit("fallback")).alias("source"))
+    gaps = gap_bounds(grid).groupBy(*axis).agg(F.array_sort(F.collect_list(F.struct("gap", "lo", "hi", "width"))).alias("gaps"))
+    sizes = texts.groupBy(*axis).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("pos").cast("double").alias("pos"), F.col("mm").cast("double").alias("mm")))).alias("texts"))
+    rows = gaps.join(sizes, axis)
+    hits = lambda t: F.filter("gaps", lambda g: F.abs(t["pos"] - (g["lo"] + g["hi"]) / 2) < F.greatest(g["width"] / 2, F.lit(1.0)))
+    given = F.transform("texts", lambda t: F.struct(F.get(hits(t), 0).alias("g"), t["ord"].alias("ord"), t["mm"].alias("mm")))
+    rows = rows.withColumn("given", F.filter(given, lambda c: c["g"].isNotNull()))
+    of = lambda v: F.filter("given", lambda c: c["mm"] == v)
+    seen = lambda v: F.array_min(F.transform(of(v), lambda c: F.struct(c["g"]["gap"].alias("gap"), c["ord"].alias("ord"))))
+    modes = F.transform(F.array_distinct("given.mm"), lambda v: F.struct((-F.size(of(v))).alias("n"), seen(v).alias("first"), v.alias("mm")))
+    widths = F.array_sort("gaps.width")
+    rows = rows.withColumns({"modal": F.array_min(modes)["mm"], "median": F.get(widths, F.floor(F.size(widths) / 2).cast("int"))})
+    expected = lambda g: F.col("modal") * g["width"] / F.greatest(F.col("median"), F.lit(1.0))
+    off = lambda g, c: F.abs(c["mm"] - expected(g))
+    fits = lambda g: F.filter("given", lambda c: (c["g"]["gap"] == g["gap"]) & (off(g, c) / F.greatest(expected(g), F.lit(1.0)) <= options.plausible))
+    best = lambda g: F.array_min(F.transform(fits(g), lambda c: F.struct(off(g, c).alias("off"), c["ord"].alias("ord"), c["mm"].alias("mm"))))["mm"]
+    rows = rows.withColumn("bays", F.transform("gaps", lambda g: F.struct(g["gap"].alias("gap"), g["width"].alias("width"), best(g).alias("mm"))))
+    rows = rows.withColumn("known", F.filter("bays", lambda b: b["mm"].isNotNull()))
+    total = F.aggregate("known", F.lit(0.0), lambda s, b: s + F.when(b["mm"] > 0, b["width"] / b["mm"]).otherwise(0.0))
+    rows = rows.withColumn("ratio", total / F.nullif(F.size("known"), F.lit(0)))
+    share = lambda b, k: b["width"] / F.nullif(k["mm"] * F.col("ratio"), F.lit(0.0))
+    alike = lambda b: F.filter("known", lambda k: (k["mm"] * F.col("ratio") > 0) & share(b, k).between(0.5, 1.5))
+    near = lambda b: F.array_min(F.transform(alike(b), lambda k: F.struct(F.round(F.abs(share(b, k) - 1), 9).alias("off"), k["gap"].alias("gap"), k["mm"].alias("mm"))))["mm"]
+    told = F.transform("bays", lambda b: F.struct(b["gap"].alias("gap"), b["mm"].alias("mm"), F.when(b["mm"].isNull(), near(b)).alias("inferred")))
+    out = rows.select(*axis, F.explode(told).alias("b"))
+    source = F.when(F.col("b.mm").isNotNull(), "annotated").when(F.col("b.inferred").isNotNull(), "inferred").otherwise("fallback")
+    return out.select(*axis, "b.gap", F.coalesce("b.mm", "b.inferred", F.lit(options.fallback_bay_mm)).alias("mm"), source.alias("source"))
 
 
 def fallback_lines(spark: SparkSession, x: int = 42, y: int = 30, pitch_px: float = 100.0) -> DataFrame:

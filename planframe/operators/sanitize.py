@@ -18,10 +18,15 @@ def world_grid(gaps: DataFrame) -> DataFrame:
     """A row for each job: the lines of both axes in millimetres and the mean bay of each."""
     pick = lambda a: F.sort_array(F.collect_list(F.when(F.col("axis") == a, F.col("start_mm"))))
     rows = prefix_mm(gaps).groupBy("job_id").agg(pick("x").alias("gx"), pick("y").alias("gy"))
-    bays = gaps.groupBy("job_id").agg(F.avg(F.when(F.col("axis") == "x", F.col("spacing_mm"))).alias("bay_x"), F.avg(F.when(F.col("axis") == "y", F.col("spacing_mm"))).alias("bay_y"))
+    bays = gaps.groupBy("job_id").agg(F.avg(F.when(F.col("axis") == "x", F.col("spacing_mm"))).alias("bay_x"), F.avg(F.when(F.col("axis") == "y", F.col("spacing_mm"))).alias("bay_y"), F.max("spacing_mm").alias("bay_max"))
     return rows.join(bays, "job_id")
 
 
+def _reach(df: DataFrame, gaps: DataFrame, share: float) -> DataFrame:
+    """``df`` with ``_reach``: a share of its drawing's widest bay, the same for all rows of the drawing."""
+    return df.join(gaps.groupBy("job_id").agg(F.greatest(F.max("spacing_mm") * share, F.lit(1.0)).alias("_reach")), "job_id")
+
+
 def footprints(columns: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """(job_id, col_ord, c_x, c_y, hw, hd) of columns: a missing centre is 0, a missing half side that of the least column."""
     half = options.min_column_mm / 2
@@ -35,7 +40,7 @@ def core_wall_polygons(walls: DataFrame) -> DataFrame:
     return walls.select("job_id", points.alias("points")).where("size(points) >= 3")
 
 
-def _in_wall(points: DataFrame, keys: list[str], x: str, y: str, walls: DataFrame, size: float) -> DataFrame:
+def _in_wall(points: DataFrame, keys: list[str], x: str, y: str, walls: DataFrame, size: float = 4096.0) -> DataFrame:
     """The keys of points that lie in a core wall: walls on every tile that their box touches, then the ray."""
     box = walls.select(F.col("job_id"), F.col("points").alias("_points"), F.array_min("points.x").alias("_x0"), F.array_max("points.x").alias("_x1"), F.array_min("points.y").alias("_y0"), F.array_max("points.y").alias("_y1"))
     box = box.withColumn("_tx", F.explode(F.sequence(tile(F.col("_x0"), size), tile(F.col("_x1"), size))))
@@ -64,7 +69,7 @@ def _ends(beams: DataFrame, gaps: DataFrame, options: Options) -> DataFrame:
     return out.drop("gx", "gy")
 
 
-def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, reach: float, options: Options) -> DataFrame:
+def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, gaps: DataFrame, options: Options) -> DataFrame:
     """Ends in a core wall stay; others move to the nearest perpendicular line within half a bay, and there stay in a core wall or go onto a column near it."""
     keys = ["job_id", "ord", "which"]
     x = F.col("axis") == "x"
@@ -74,13 +79,15 @@ def _pass_a(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, reach:
     along = F.greatest("bay_x", "bay_y") * options.along_anchor
     rx = F.when(x, along).otherwise(F.col("bay_x") * options.across_anchor)
     ry = F.when(x, F.col("bay_y") * options.across_anchor).otherwise(along)
-    near = within(ends.where("on_line").select(*keys, "axis", "bay_x", "bay_y", "ax", "ay"), footprints(columns, options), ["job_id"], "ax", "ay", "c_x", "c_y", reach)
+    share = max(options.along_anchor, options.across_anchor)
+    lined = ends.where("on_line").select(*keys, "axis", "bay_x", "bay_y", "ax", "ay", F.greatest(F.col("bay_max") * share, F.lit(1.0)).alias("_reach"))
+    near = within(lined, _reach(footprints(columns, options), gaps, share), ["job_id"], "ax", "ay", "c_x", "c_y", "_reach")
     near = near.where((F.abs(F.col("ax") - F.col("c_x")) <= rx) & (F.abs(F.col("ay") - F.col("c_y")) <= ry)).withColumn("_d", distance(F.col("ax"), F.col("ay"), F.col("c_x"), F.col("c_y")))
     best = first_by(near, keys, [F.col("_d"), F.col("col_ord")], ["c_x", "c_y", "hw", "hd"])
     out = ends.join(best, keys, "left")
     if walls is not None:
-        out = out.join(_in_wall(ends, keys, "px", "py", walls, reach).withColumn("_still", F.lit(True)), keys, "left")
-        out = out.join(_in_wall(ends.where("on_line"), keys, "ax", "ay", walls, reach).withColumn("_there", F.lit(True)), keys, "left")
+        out = out.join(_in_wall(ends, keys, "px", "py", walls).withColumn("_still", F.lit(True)), keys, "left")
+        out = out.join(_in_wall(ends.where("on_line"), keys, "ax", "ay", walls).withColumn("_there", F.lit(True)), keys, "left")
         still, wall = F.col("_still").isNotNull(), F.col("_still").isNotNull() | F.col("_there").isNotNull()
         at = {c: F.when(still, F.col(f"p{c}")).when(wall, F.col(f"a{c}")).otherwise(F.col(f"c_{c}")) for c in "xy"}
         out = out.withColumns({"c_x": at["x"], "c_y": at["y"], "hw": F.when(wall, 0.0).otherwise(F.col("hw")), "hd": F.when(wall, 0.0).otherwise(F.col("hd"))}).drop("_still", "_there")
@@ -100,24 +107,25 @@ def on_dash(ends: DataFrame, dashes: DataFrame, options: Options = DEFAULTS, key
     return hit.where(F.col("_long").between(F.col("lo") - F.col("_s"), F.col("hi") + F.col("_s"))).select(*keys).distinct()
 
 
-def _pass_b(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, rectangles: DataFrame | None, dashes: DataFrame, reach: float, options: Options) -> DataFrame:
+def _pass_b(ends: DataFrame, columns: DataFrame, walls: DataFrame | None, rectangles: DataFrame | None, dashes: DataFrame, gaps: DataFrame, options: Options) -> DataFrame:
     """(job_id, ord, which, tag, b_x, b_y, b_hw, b_hd) of floating ends ``(qx, qy, sign, budget)``; tag is null where a column, core wall or rectangle is met, tried in this order at each step."""
     keys = ["job_id", "ord", "which"]
     dashed = on_dash(ends, dashes, options, tuple(keys)).withColumn("_dash", F.lit(True))
     ends = cut(ends.join(dashed, keys, "left"))
     steps = ends.where("_dash").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("budget"))))
     x = F.col("axis") == "x"
-    steps = steps.select(*keys, "n", "bay_x", "bay_y", (F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0)).alias("_x"), (F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))).alias("_y"))
+    reach = F.greatest(F.col("bay_max") * options.step_anchor, F.lit(1.0)).alias("_reach")
+    steps = steps.select(*keys, "n", "bay_x", "bay_y", reach, (F.col("qx") + F.when(x, F.col("bay_x") * F.col("sign") * F.col("n")).otherwise(0.0)).alias("_x"), (F.col("qy") + F.when(x, F.lit(0.0)).otherwise(F.col("bay_y") * F.col("sign") * F.col("n"))).alias("_y"))
     columns_of = [*keys, "n", "_rank", "_d", "k_ord", "k_x", "k_y", "k_hw", "k_hd"]
 
     def close(anchors: DataFrame, rank: int) -> DataFrame:
-        near = within(steps, anchors, ["job_id"], "_x", "_y", "k_x", "k_y", reach)
+        near = within(steps, _reach(anchors, gaps, options.step_anchor), ["job_id"], "_x", "_y", "k_x", "k_y", "_reach")
         near = near.where((F.abs(F.col("_x") - F.col("k_x")) <= F.col("bay_x") * options.step_anchor) & (F.abs(F.col("_y") - F.col("k_y")) <= F.col("bay_y") * options.step_anchor))
         return near.withColumns({"_d": distance(F.col("_x"), F.col("_y"), F.col("k_x"), F.col("k_y")), "_rank": F.lit(rank)}).select(*columns_of)
 
     near = close(footprints(columns, options).toDF("job_id", "k_ord", "k_x", "k_y", "k_hw", "k_hd"), 0)
     if walls is not None:
-        hit = steps.join(_in_wall(steps, [*keys, "n"], "_x", "_y", walls, reach), [*keys, "n"])
+        hit = steps.join(_in_wall(steps, [*keys, "n"], "_x", "_y", walls), [*keys, "n"])
         zero = F.lit(0.0)
         near = near.unionByName(hit.withColumns({"_rank": F.lit(1), "_d": zero, "k_ord": F.lit(0).cast("long"), "k_x": F.col("_x"), "k_y": F.col("_y"), "k_hw": zero, "k_hd": zero}).select(*columns_of))
     if rectangles is not None:
@@ -136,14 +144,12 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
     later ones of its span. ``core_walls(job_id, points)`` are polygons and ``rectangles(job_id, rect_ord, x0, y0, x1, y1)``
     boxes, of which those sized like columns count, all in millimetres; beams are not trimmed at them.
     """
-    widest = gaps.agg(F.max("spacing_mm")).first()[0] or 1.0
-    reach_a, reach_b = widest * max(options.along_anchor, options.across_anchor), widest * options.step_anchor
     whole = beams.where("sx is not null and sy is not null and ex is not null and ey is not null")
     broken = beams.where("sx is null or sy is null or ex is null or ey is null").select("job_id", "ord", F.lit("no_endpoints").alias("tag"), "sx", "sy", "ex", "ey")
     # The joins of each pass start from the same ends or steps, which are written once.
-    a = _pass_a(cut(_ends(whole, gaps, options)), columns, core_walls, reach_a, options)
+    a = _pass_a(cut(_ends(whole, gaps, options)), columns, core_walls, gaps, options)
     keep = ["px", "py", "ax", "ay", "c_x", "c_y", "hw", "hd", "inside"]
-    once = ["axis", "width", "bay_x", "bay_y"]
+    once = ["axis", "width", "bay_x", "bay_y", "bay_max"]
     rows = a.groupBy("job_id", "ord").agg(*[F.first(c).alias(c) for c in once], *[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in "se" for c in keep])
     x = F.col("axis") == "x"
     along = F.when(x, F.col("s_c_x")).otherwise(F.col("s_c_y"))
@@ -163,8 +169,8 @@ def sanitize(beams: DataFrame, columns: DataFrame, dashes: DataFrame, gaps: Data
     one = lambda w, end, free, sign: F.when(free, F.struct(F.lit(w).alias("which"), F.col(f"{end}_ax").alias("qx"), F.col(f"{end}_ay").alias("qy"), sign.alias("sign")))
     out = lambda w, o: F.when(loosed(w), F.col("loose_sign")).when(at(w, "a") >= at(o, "a"), 1.0).otherwise(-1.0)
     floating = F.array(one("s", "s", F.col("s_free"), out("s", "e")), one("e", "e", F.col("e_free"), out("e", "s")), one("t", "e", tie, F.lit(-1.0)))
-    free = rows.select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "budget", F.explode(F.filter(floating, lambda v: v.isNotNull())).alias("q")).select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "budget", "q.*")
-    found = _pass_b(free, columns, core_walls, rectangles, dashes, reach_b, options)
+    free = rows.select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "bay_max", "budget", F.explode(F.filter(floating, lambda v: v.isNotNull())).alias("q")).select("job_id", "ord", "axis", "width", "bay_x", "bay_y", "bay_max", "budget", "q.*")
+    found = _pass_b(free, columns, core_walls, rectangles, dashes, gaps, options)
     met = F.struct("tag", "b_x", "b_y", "b_hw", "b_hd")
     found = found.groupBy("job_id", "ord").agg(*[F.max(F.when(F.col("which") == w, met)).alias(f"{w}_b") for w in "set"])
     rows = rows.join(found, ["job_id", "ord"], "left")

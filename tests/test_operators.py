@@ -171,5 +171,31 @@ def test_warnings_merge_and_short_columns(spark):
 def test_zone_takes_the_first_label_that_tells(spark):
     slabs = annotate.box_points(spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 50.0, 50.0, 60.0, 60.0)], "job_id long, ord long, x1 double, y1 double, x2 double, y2 double"))
     zones = spark.createDataFrame([(1, 0, 5.0, 5.0, "NSP9"), (1, 1, 6.0, 6.0, "NSP2"), (1, 2, 1.0, 1.0, "300CIS")], "job_id long, zone_ord long, zx double, zy double, code string")
-    legend = spark.createDataFrame([("NSP2", 250.0)], "code string, thickness double")
+    legend = spark.createDataFrame([(j, "NSP2", mm) for j, mm in ((1, 250.0), (2, 175.0))], "job_id long, code string, thickness_mm double")
     assert {r.ord: r.thickness_mm for r in annotate.zone_thickness(slabs, zones, legend).collect()} == {0: 250.0, 1: 200.0}
+    other = [df.withColumn("job_id", F.lit(2).cast("long")) for df in (slabs, zones)]
+    both = annotate.zone_thickness(slabs.unionByName(other[0]), zones.unionByName(other[1]), legend)
+    assert {(r.job_id, r.ord): r.thickness_mm for r in both.collect()} == {(1, 0): 250.0, (1, 1): 200.0, (2, 0): 175.0, (2, 1): 200.0}
+
+
+def test_spacings_do_not_hang_on_how_rows_are_dealt(spark):
+    # Lines as wide as each other and three sizes: every inferred bay is as near to one annotated bay as to another.
+    lines = spark.createDataFrame([(j, "x", i, 70.1 * i + j / 3) for j in range(5) for i in range(30)], "job_id long, axis string, idx long, px double")
+    sizes = (8400.0, 7350.0, 8400.0, 9450.0, 8400.0, 7900.3)
+    texts = spark.createDataFrame([(j, 100 * j + i, "x", 70.1 * i + 35 + j / 3, sizes[(i + j) % 6]) for j in range(5) for i in range(29) if (i * 7 + j) % 3], "job_id long, ord long, axis string, pos double, mm double")
+    told = [sorted(map(tuple, grid.infer_spacings(texts.repartition(n), lines.repartition(n)).collect())) for n in (1, 7, 64)]
+    assert told[0] == told[1] == told[2] and {x[4] for x in told[0]} == {"annotated", "inferred"}
+    plan = grid.infer_spacings(texts, lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 10
+
+
+def test_a_chain_of_overlaps_of_any_length_is_settled(spark):
+    n = 60
+    rows = [(1, i, "slab", 10.0 * i, 0.0, 10.0 * i + 40, 40.0, 1 - i / 1000) for i in range(n)]
+    df = spark.createDataFrame(rows, "job_id long, ord long, type string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    kept = []
+    for r in rows:
+        over = lambda k, r=r: max(0.0, k[3] + 40 - r[3])
+        if all(over(k) * 40 / (3200 - over(k) * 40) <= Options().nms_iou for k in kept):
+            kept.append(r)
+    assert sorted(x.ord for x in boxes.suppress(df).collect()) == [r[1] for r in kept]
