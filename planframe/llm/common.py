@@ -126,7 +126,9 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, tot
     out = left.join(F.broadcast(right.where(hot).select(*keys, row.alias("_hot"))), keys, "left")
     anywhere = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)) + 1
     out = out.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(anywhere).cast("int"))
-    out = out.join(right.where(~hot).select(*keys, row.alias("_cold"), F.lit(0).alias("_deal")), [*keys, "_deal"], "left")
+    # Always 0, but no constant: Spark would take a constant out of the join's keys, and deal hot rows by their key again.
+    never = F.pmod(F.col(count), F.lit(1)).cast("int").alias("_deal")
+    out = out.join(right.where(~hot).select(*keys, row.alias("_cold"), never), [*keys, "_deal"], "left")
     if how == "inner":
         out = out.where("_hot is not null or _cold is not null")
     return out.select(*left.columns, *[F.coalesce("_hot", "_cold")[c].alias(c) for c in told])
