@@ -1,11 +1,12 @@
-"""Registered queries of edits, levels, placement and scenes, over views of the driver's tables, and their SQL for DuckDB."""
+"""Registered queries of edits, levels, placement, scenes and answers, over views of the driver's tables, and their SQL for DuckDB."""
 
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planframe.operators import edits, levels, placement, scene
+from planframe.functions import answers
+from planframe.operators import corrections, edits, jobs, levels, placement, scene
 from planframe.plans.adapters import view
 from planframe.registry import query, rounded
 
@@ -174,3 +175,22 @@ def scene_vertices(spark: SparkSession, d: str) -> DataFrame:
 )
 def scene_parts(spark: SparkSession, d: str) -> DataFrame:
     return scene.parts(_solids(spark, d)).drop("colour")
+
+
+_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+@query("corr_log", f"SELECT id, {_TS} AS at, job_id, element_type, element_index, changes, CAST(is_delete AS INT) AS is_delete FROM corrections_v ORDER BY ts, id", "corrections")
+def corr_log(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.log(view(spark, d, "corrections"))
+
+
+@query("job_count", "SELECT count(DISTINCT job_id) AS n FROM job_ops_v WHERE op = 'put'", "job_ops")
+def job_count(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.count(jobs.fold(view(spark, d, "job_ops")))
+
+
+@query("answer_repair", "SELECT id, CASE WHEN id % 7 <> 6 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN id % 7 = 5 THEN 'a # b // c' END AS l FROM answers_v", "answers")
+def answer_repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "answers").select("id", answers.repair_json("answer").alias("r"))
+    return rows.select("id", F.get_json_object("r", "$.k").alias("k"), F.get_json_object("r", "$.l").alias("l"))

@@ -40,6 +40,11 @@ def export(corrections: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return newest.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "job_id", "element_type", "element_index", "changes", F.col("is_delete").cast("int").alias("is_delete"))
 
 
+def log(corrections: DataFrame) -> DataFrame:
+    """All corrections, oldest first, earlier ids first among equal times."""
+    return corrections.orderBy("ts", "id").select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "job_id", "element_type", "element_index", "changes", F.col("is_delete").cast("int").alias("is_delete"))
+
+
 def train_split(corrections: DataFrame, share: float = 0.2) -> DataFrame:
     """(job_id, split): sorted jobs, the first max(1, n * share) of them for validation."""
     jobs = ranked(corrections.select("job_id").distinct(), "job_id", "_rn")

@@ -28,6 +28,11 @@ def set_nested(state: DataFrame, changes: DataFrame) -> DataFrame:
     return state.join(new, ["job_id", "key", "subkey"], "left_anti").select("job_id", "key", "subkey", "value").unionByName(new)
 
 
+def count(jobs: DataFrame) -> DataFrame:
+    """(n): how many jobs there are."""
+    return jobs.agg(F.count_distinct("job_id").alias("n"))
+
+
 def completed(jobs: DataFrame) -> DataFrame:
     """Jobs ``(job_id, status)`` with ``error``: not_completed where they are not."""
     return jobs.withColumn("error", F.when(F.coalesce(F.col("status") != "completed", F.lit(True)), "not_completed"))

@@ -112,6 +112,9 @@ VIEWS = {
     "listed": f"""SELECT job_id, CASE p_partkey % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'structural_framing' ELSE 'slab' END AS element_type, p_partkey AS ord, CAST(p_size AS STRING) AS width, CAST(p_size + 7 AS STRING) AS depth FROM {_PARTS}""",
     "edit_log": f"""SELECT job_id, (p_partkey * 37) % 125 AS patch_ord, CASE WHEN p_partkey % 29 = 0 THEN 'stairs' WHEN p_partkey % 3 = 0 THEN 'column' WHEN p_partkey % 3 = 1 THEN 'structural_framing' ELSE 'slab' END AS element_type,
         CAST((p_size * 3 + p_partkey) % 47 - 1 AS BIGINT) AS ord, CASE p_partkey % 7 WHEN 0 THEN 'depth' WHEN 1 THEN 'level' WHEN 2 THEN 'colour' ELSE 'width' END AS field, CAST(1000 + p_partkey AS STRING) AS value, p_partkey % 4 = 0 AS is_delete FROM {_PARTS}""",
+    # What a model might answer with: fences, remarks, cut ends, lists of one, trailing and missing commas, nothing.
+    "answers": """SELECT event_id AS id, props, CASE event_id % 7 WHEN 0 THEN concat('```json', char(10), props, char(10), '```') WHEN 1 THEN concat('Here you are: ', props, ' // done') WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN concat('[', props, ',]')
+        WHEN 4 THEN concat(substr(props, 1, length(props) - 1), ', # note', char(10), char(125)) WHEN 5 THEN concat(substr(props, 1, length(props) - 1), char(10), '"l": "a # b // c"', char(125)) ELSE 'no answer' END AS answer FROM {events}""",
     "have_levels": f"""SELECT job_id, CAST(r_regionkey AS BIGINT) AS ord, CASE r_regionkey WHEN 0 THEN 'LEVEL 0' WHEN 1 THEN 'Level 2' WHEN 2 THEN 'Roof' WHEN 3 THEN concat('Old ', CAST(job_id % 3 AS STRING)) ELSE 'level 3' END AS level,
         CAST(CASE r_regionkey WHEN 0 THEN 50 * (job_id % 2) WHEN 1 THEN 3000 WHEN 2 THEN 9000 WHEN 3 THEN 6000.02 ELSE 3000 * (job_id % 5) END AS DOUBLE) AS elevation FROM {{region}} CROSS JOIN {_MODELS} WHERE job_id % 7 <> 3""",
     "want_levels": f"""SELECT job_id, CAST(n_nationkey AS BIGINT) AS ord, CASE n_nationkey WHEN 0 THEN 'Level 0' WHEN 1 THEN 'Level 1' WHEN 2 THEN 'Level 2' WHEN 3 THEN 'Level 3' WHEN 4 THEN 'level 1' ELSE concat('Roof ', CAST(job_id % 2 AS STRING)) END AS level,
@@ -142,7 +145,7 @@ def text(name: str, spark: bool) -> str:
         return sql
     for t in _TABLES:
         sql = sql.replace("{" + t + "}", t)
-    return sql.replace(" AS STRING)", " AS VARCHAR)").replace("char(65", "chr(65")
+    return sql.replace(" AS STRING)", " AS VARCHAR)").replace("char(65", "chr(65").replace("char(10", "chr(10").replace("char(125", "chr(125")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planframe.binning import ranked
+
 SCHEMAS = {
     "page_meta": "job_id long, x0 double, y0 double, x1 double, y1 double, rotation int, dpi double, width_px int, height_px int",
     "paths": "job_id long, path_ord long, type string, rect struct<x0:double,y0:double,x1:double,y1:double>, dashes string, width double, items array<struct<op:string,pts:array<struct<x:double,y:double>>>>",
@@ -129,10 +131,20 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def write_index(families: DataFrame, path: str) -> None:
-    """The family index as one ordered JSON file with its total and version; a library of families bounds it."""
+    """The family index as one ordered JSON file with its total and version.
+
+    Families are numbered by ranges of their order and written a line each between the file's first and last line, so that no
+    row holds the library; the one file is written as a stream of those lines.
+    """
     families = families.withColumns({c: F.to_json(c) for c, kind in families.dtypes if kind.startswith("map")})  # maps have no order
-    rows = families.agg(F.array_sort(F.collect_list(F.struct("category", "family_name", *[c for c in families.columns if c not in ("category", "family_name")]))).alias("families"))
-    rows.select(F.lit("1.0").alias("version"), F.size("families").alias("total"), "families").write.mode("overwrite").json(path)
+    names = ["category", "family_name", *[c for c in families.columns if c not in ("category", "family_name")]]
+    rows = ranked(families.select(F.struct(*names).alias("family")), "family", "at")
+    comma = F.when(F.col("at") > 1, ",").otherwise("")
+    lines = rows.select(F.col("at").cast("long").alias("at"), F.concat(comma, F.to_json("family", {"ignoreNullFields": "true"})).alias("value"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    head = total.select(F.lit(0).cast("long").alias("at"), F.concat(F.lit('{"version":"1.0","total":'), F.col("n").cast("string"), F.lit(',"families":[')).alias("value"))
+    foot = total.select((F.col("n") + 1).cast("long").alias("at"), F.lit("]}").alias("value"))
+    head.unionByName(lines).unionByName(foot).orderBy("at").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

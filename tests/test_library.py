@@ -33,7 +33,7 @@ def test_family_index(spark, tmp_path):
     r = by["Lone door"]
     assert (r.category, r.rfa_local, r.types[0].width_mm, r.tags) == ("OST_Doors", False, 900.0, ["door", "opening"])
     readers.write_index(library.scan(*readers.family_files(spark, str(root))), str(tmp_path / "index"))
-    told = spark.read.json(str(tmp_path / "index")).first()
+    told = spark.read.json(str(tmp_path / "index"), multiLine=True).first()
     assert told.total == 3 and [f.family_name for f in told.families] == ["Lone door", "Round dia300", "Timber beam 200x400"]
 
 
