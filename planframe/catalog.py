@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planframe import catalog_build  # noqa: F401
+from planframe import catalog_build, catalog_session  # noqa: F401
 from planframe.functions.text import BEAM_MARK, CONCRETE, MARK, RECT, ROUND_FIRST, ROUND_LAST, ROUTES, STEEL, TAG, TAGS, WARNINGS, crop, feet, first_match, millimetres, normal_dims, sized_type
 from planframe.operators import admit, alerts, annotate, boxes, corrections, detect, grid, jobs, library, recipe, sanitize, session, strokes
 from planframe.options import DEFAULTS, ROUND_FAMILY, ROUND_SIZES, SQUARE_FAMILY, SQUARE_SIZES
