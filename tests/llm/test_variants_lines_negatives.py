@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from test_corpus import ROWS
 
 from planframe.llm import embeddings, line_dedup, minhash, negatives, spelling, warc
+from planframe.llm.common import hot_join
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 BLANKS = " \t\n\x0b\x0c\r"
@@ -178,3 +179,15 @@ def test_a_long_payload_comes_back(spark):
     text = "".join(chr(33 + i % 90) for i in range(1000)) * 12_000
     got = warc.round_trip(spark.createDataFrame([(1, "u", text), (2, "v", "short")], "page_id long, url string, html string")).collect()
     assert {x.page_id: (x.payload_bytes, x.complete) for x in got} == {1: (len(text), True), 2: (5, True)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_key_is_dealt_out(spark, how):
+    left = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k", "id AS v")
+    right = left.where("k % 5 <> 1 or k = 7").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("v").alias("m")).where("k is not null")
+    got = hot_join(left, right, ["k"], "_n", 20_000, how)
+    want = left.join(right.drop("_n"), "k", how).select("k", "v", "m")
+    assert got.columns == ["k", "v", "m"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_deal" in plan[plan.index("LeftOuter") - 80 : plan.index("LeftOuter")]  # a key of the join, so that hot rows are not dealt by k
