@@ -7,6 +7,7 @@ import time
 
 from planframe.operators import admit, jobs
 from planframe.options import Options
+from planframe.streaming import events
 from planframe.streaming.handlers import Observer
 from planframe.streaming.state import VersionedStore, health, live_sessions
 
@@ -132,3 +133,12 @@ def test_a_third_rule_is_added_without_touching_judge(spark):
     got = {r.ord: (r.action, r.reason) for r in admit.judge(boxes, spans, grid, legend, paths, rules=rules).collect()}
     assert got == {0: ("admit", "slab_stands"), 1: ("reject", "too_small"), 2: ("admit", "no_rule_for_type"), 3: ("admit", "no_rule_for_type")}
     assert {r.reason for r in admit.judge(boxes, spans, grid, legend, paths).collect()} == {"no_rule_for_type"}
+
+
+def test_events_go_to_those_who_watch_their_job(spark, tmp_path):
+    rows = [{"job_id": j, "event": "warning", "ts": "2024-01-01T00:00:00Z", "payload": None} for j in ("a", "b", "c")]
+    stream = files(spark, tmp_path / "in", "job_id string, event string, ts timestamp, payload string", [rows])
+    links = spark.createDataFrame([("a", 1), ("a", 2), ("c", 1)], "job_id string, user_id long")
+    q = events.routed(stream, links).writeStream.format("memory").queryName("routed_out").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.job_id, r.user_id) for r in spark.table("routed_out").collect()) == [("a", 1), ("a", 2), ("c", 1)]
