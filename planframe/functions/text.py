@@ -19,6 +19,8 @@ STEEL = r"(?i)\b(STEEL|S\.?S\.?|UB|UC|H-?BEAM|UNIVERSAL)\b"
 TAGS = r"\b([A-Z]{1,3}-?[A-Z]{0,3}\d{1,3}[A-Z]?)\b"
 ZONE_CODE = r"(?i)^NSP\d+$"
 SELF_CODE = r"(?i)^(\d{3})CIS$"
+# What a page of schedules has beside marks.
+SCHEDULE_SIZE = r"\d{2,4}\s*[xX×*]\s*\d{2,4}|[Ø⌀∅]"
 ROW_LABEL = r"^[A-Za-z]{1,2}$"
 COLUMN_LABEL = r"^\d{1,2}$"
 DIMENSION = r"^\d{3,5}$"
@@ -70,7 +72,7 @@ def dims(text: Column) -> tuple[Column, Column, Column]:
 
 def code_thickness(code: Column, legend: Column) -> Column:
     """Thickness of a zone code: ddd before CIS says it itself, else the legend's (null without)."""
-    return F.coalesce(group(F.upper(code), r"^(\d{3})CIS$").cast("double"), legend)
+    return F.coalesce(group(code, SELF_CODE).cast("double"), legend)
 
 
 def normal_dims(width: Column, depth: Column, shape: Column, ann_w: Column, ann_d: Column, options: Options = DEFAULTS) -> Column:

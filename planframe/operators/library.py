@@ -184,15 +184,24 @@ def match_files(paths: DataFrame, category: str | None, keyword: str | None, opt
     return rows.orderBy("ord").limit(options.search_rows)
 
 
+#: Words of a loaded family's name, and beginnings of it, that tell what it is.
+UNIVERSAL_COLUMN = ("UNIVERSAL", "COLUMN")
+UNIVERSAL_STARTS = ("UC-", "UC_")
+STEEL_SECTIONS = ("UC-", "UB-", "UNIVERSAL", "I-BEAM", "WIDE FLANGE", "W-SHAPE")
+CONCRETE_WORDS = ("CONCRETE", "RC ", "CJY", "CAST-IN-PLACE")
+COLUMN_WORDS = ("COLUMN", "RECTANGULAR", "ROUND", "CIRCULAR")
+STEEL_BEAMS = ("STEEL", "I BEAM", "I-BEAM", "W-SHAPE", "WIDE FLANGE", "UB-", "UC-", "PURLIN", "L-ANGLE", "L ANGLE")
+STEEL_BEAM_STARTS = ("UB ", "UC ")
+
+
 def family_kind(name: Column) -> Column:
     """struct(steel_column, concrete_column, steel_beam): what the name of a loaded family says it is."""
     n = F.upper(F.coalesce(name, F.lit("")))
-    holds = lambda *words: F.greatest(*[n.contains(w).cast("int") for w in words], F.lit(0)) == 1
-    starts = lambda *words: F.greatest(*[n.startswith(w).cast("int") for w in words], F.lit(0)) == 1
-    steel_column = (n.contains("UNIVERSAL") & n.contains("COLUMN")) | starts("UC-", "UC_")
-    steel_section = holds("UC-", "UB-", "UNIVERSAL", "I-BEAM", "WIDE FLANGE", "W-SHAPE")
-    concrete = ~steel_section & holds("CONCRETE", "RC ", "CJY", "CAST-IN-PLACE") & holds("COLUMN", "RECTANGULAR", "ROUND", "CIRCULAR")
-    steel_beam = holds("STEEL", "I BEAM", "I-BEAM", "W-SHAPE", "WIDE FLANGE", "UB-", "UC-", "PURLIN", "L-ANGLE", "L ANGLE") | starts("UB ", "UC ")
+    holds = lambda words: F.greatest(*[n.contains(w).cast("int") for w in words], F.lit(0)) == 1
+    starts = lambda words: F.greatest(*[n.startswith(w).cast("int") for w in words], F.lit(0)) == 1
+    steel_column = (n.contains(UNIVERSAL_COLUMN[0]) & n.contains(UNIVERSAL_COLUMN[1])) | starts(UNIVERSAL_STARTS)
+    concrete = ~holds(STEEL_SECTIONS) & holds(CONCRETE_WORDS) & holds(COLUMN_WORDS)
+    steel_beam = holds(STEEL_BEAMS) | starts(STEEL_BEAM_STARTS)
     return F.struct(steel_column.alias("steel_column"), concrete.alias("concrete_column"), steel_beam.alias("steel_beam"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planframe.functions.text import millimetres
+from planframe.functions.text import MARK, SCHEDULE_SIZE, millimetres
 
 
 def query_elements(elements: DataFrame, category: str | None = None, ids: list[int] | None = None, scanned: int = 5000) -> DataFrame:
@@ -66,7 +66,7 @@ def training_plan(corrections: DataFrame, renders: DataFrame, classes: dict[str,
 
 def schedule_pages(texts: DataFrame, hits: int = 3) -> DataFrame:
     """(job_id, page_idx, schedule_hits, is_schedule): a page is a schedule if enough of its texts hold a mark and a size."""
-    both = F.col("text").rlike(r"\b[A-Z]{1,3}\d{1,3}\b") & F.col("text").rlike(r"\d{2,4}\s*[xX×*]\s*\d{2,4}|[Ø⌀∅]")
+    both = F.col("text").rlike(MARK) & F.col("text").rlike(SCHEDULE_SIZE)
     n = texts.groupBy("job_id", "page_idx").agg(F.count_if(both).alias("schedule_hits"))
     return n.withColumn("is_schedule", F.col("schedule_hits") >= hits)
 
