@@ -58,6 +58,13 @@ def test_lines(spark):
     assert sorted(repr((i, None if t is None else k)) for (i, t), (_, _, _, k) in zip(rows, want, strict=True)) == sorted(repr((x.doc_id, x.text)) for x in whole.collect())
 
 
+def test_no_lines_at_all(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert line_dedup.line_digest(df).count() == 0 and line_dedup.drop_repeated_lines(df).count() == 0
+    nulls = spark.createDataFrame([(1, None), (None, None), (2, "")], "doc_id long, text string")
+    assert sorted(str((x.doc_id, x.n_lines, x.n_dropped)) for x in line_dedup.line_digest(nulls).collect()) == ["(1, 1, 0)", "(2, 1, 0)", "(None, 1, 0)"]
+
+
 def test_bitmaps_are_runs(spark):
     rows = [(1, "a line of ten\nb line of ten\nc line of ten"), (2, "a line of ten\nB line of ten\nnew\nc line of ten")]
     got = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()
