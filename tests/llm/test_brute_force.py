@@ -148,7 +148,7 @@ def test_sample_is_bounded_when_all_rows_are_alike(spark):
 
 
 def test_fingerprints_equal_plain_sets(spark):
-    rows = [(i, t) for i, t in ROWS if i is not None] + [(900 + i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(i))) for i in range(0, 60, 3)]
+    rows = [*ROWS, (None, "a null id of its own"), (None, None)] + [(900 + i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(i))) for i in range(0, 60, 3)]
     hashed = {}
 
     def term(word):
@@ -159,9 +159,8 @@ def test_fingerprints_equal_plain_sets(spark):
 
     words = [[w.translate({k: k + 32 for k in range(65, 91)}) for w in WORD.findall(t or "")] for _, t in rows]
     df = Counter(w for ws, (_, t) in zip(words, rows, strict=True) if t is not None for w in set(ws))
-    mean = sum(df.values()) / len(rows)
     least, most = 0.02, 0.3
-    low, high = max(2, math.ceil(max(least, mean / 2_000_000) * len(rows))), max(2, int(most * len(rows)))
+    low, high = max(2, math.ceil(least * len(rows))), max(2, int(most * len(rows)))
     lexicon = {w for w, n in df.items() if low <= n <= high}
     shares = [k for k, n in enumerate(fingerprints.LEXICONS) for _ in range(n)]
 
@@ -181,7 +180,7 @@ def test_fingerprints_equal_plain_sets(spark):
         used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
         return sum(x == y for x, y in used) / len(used) if used else 1.0
 
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (-x[0], x[1]))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (math.inf if x[0] is None else -x[0], x[1]))
     want = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -189,11 +188,22 @@ def test_fingerprints_equal_plain_sets(spark):
         a, b, c = codes(t), codes(changed), codes(after)
         hexed = lambda x: "".join(f"{v:08x}" for v in x)
         want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), hexed(a), hexed(b), round(alike(a, b), 9), round(alike(a, c), 9)))
-    got = fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, most).collect()
-    assert sorted(want) == sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r))
+    for shared in (fingerprints.LEXICON, 100):  # a lexicon that is broadcast, and one that is joined
+        got = fingerprints.compare(docs, least, most, shared).collect()
+        assert ordered(want) == ordered((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
     assert len(lexicon) > 100
 
 
+def test_fingerprints_of_null_ids_alone(spark):
+    docs = spark.createDataFrame([(None, "b"), (None, "a"), (None, None)], "doc_id long, text string")
+    for shared in (fingerprints.LEXICON, -1):
+        got = fingerprints.compare(docs, shared=shared).collect()
+        assert sorted(r.n_chars for r in got) == [0, 1, 1]
+        assert fingerprints.compare(docs.limit(0), shared=shared).count() == 0
+
+
 def test_token_digests_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
