@@ -29,7 +29,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each text lies among the training sequences of 4096 tokens."""
     tune(ship(spark))
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=400_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=100_000)
 
 
 STAGES = [

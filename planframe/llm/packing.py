@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from planframe.llm.common import numbered, settle
 
-#: Stretches of text between blanks that a worker remembers, about 250 bytes each; fewer cost time and change no result.
+#: Stretches of text between blanks that a worker remembers, up to 900 bytes each (measured, with the tokenizer's own); fewer cost time and change no result.
 REMEMBERED = 800_000
 
 #: Bytes of text encoded at once.

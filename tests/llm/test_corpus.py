@@ -409,3 +409,25 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
             assert text[i] == t
         elif i is not None:
             assert hashlib.sha256(text[i].encode()).hexdigest() == removed[i].kept_sha256
+
+
+def test_forgetting_stretches_changes_no_id():
+    from planframe.llm.packing import StretchEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"Word{i} and, more word{i % 7}. " * 3 for i in range(60)]
+    small, large = StretchEncoder(path, 5), StretchEncoder(path)
+    for lo in range(0, 60, 10):
+        a, b = small(texts[lo : lo + 10]), large(texts[lo : lo + 10])
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_pipeline_packing_remembers_little(monkeypatch):
+    import corpus_pipeline
+
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline, "tune", lambda s: s)
+    monkeypatch.setattr(corpus_pipeline, "ship", lambda s: s)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **k: seen.update(k))
+    corpus_pipeline.best_fit_packing(None, None, "")
+    assert seen["remembered"] * 900 <= 100_000_000
