@@ -31,3 +31,12 @@ def test_tables_put_on_tiles_are_not_broadcast(spark, name):
 def test_legend_and_schedule_are_not_broadcast(spark):
     for name, key in (("framing_score", "tag#"), ("annotate_columns", "mark#")):
         assert not [part for part in sent(catalog.QUERIES[name](spark, DATA)) if re.search(rf"Aggregate\(key[s]?=\[job_id#\d+L, {key}", part)]
+
+
+@pytest.mark.parametrize("name", ["admit_counts", "enforce_rules", "framing_score", "isolated", "reject_examples", "stroke_style"])
+def test_joins_by_drawing_or_box_stay_shuffled_while_they_run(spark, name):
+    df = catalog.QUERIES[name](spark, DATA)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in plan
+    assert "BroadcastHashJoin" not in plan
